@@ -40,19 +40,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, id, text): rid names a row even when ids are null or repeated.
+    """(rid, id, text, rest): rid names a row even when ids are null or repeated;
+    rest holds the other columns, whatever their names.
 
     Where ids are unique they serve as rid and nothing is written. Otherwise
     numbers are dealt out and stored, so that every later pass sees the same.
     """
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    seen = base.select("id").groupBy("id").count().agg(
-        F.coalesce(F.max("count"), F.lit(1)).alias("most"),
-        F.coalesce(F.max(F.col("id").isNull()), F.lit(False)).alias("nulls"),
+    others = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)]
+    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(others or [F.lit(0).alias("none")])).alias("rest"))
+    seen = base.groupBy("id").count().agg(
+        F.coalesce(F.max("count"), F.lit(1)).alias("most"), F.coalesce(F.max(F.col("id").isNull()), F.lit(False)).alias("nulls"),
     ).first()
     if seen["most"] == 1 and not seen["nulls"] and dict(base.dtypes)["id"] == "bigint":
-        return base.select(F.col("id").alias("rid"), "id", "text")
-    return stored(base.select(F.monotonically_increasing_id().alias("rid"), "id", "text"), "rows")
+        return base.select(F.col("id").alias("rid"), "id", "text", "rest")
+    return stored(base.select(F.monotonically_increasing_id().alias("rid"), "id", "text", "rest"), "rows")
 
 
 def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import pieces, quality, sharding, transport_stream, warc
+from . import pieces, quality, repeats, sharding, simhash, transport_stream, warc
 from .common import map_batches, table
 
 #: Rows that are held out; of no other rows with an id labels are learnt.
@@ -33,10 +33,19 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items_sha256", F.sha2(F.concat_ws(",", "items"), 256)).drop("items").select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = transport_stream.with_media(table(spark, sf_dir, "documents"))
     found = transport_stream.media_features(media)
@@ -59,7 +68,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_decontaminate": op2_decontaminate,
+        "op3_repeats": op3_repeats,
         "op5_sharding": op5_sharding,
+        "op7_simhash": op7_simhash,
         "op8_transport_stream": op8_transport_stream,
         "op9_pieces": op9_pieces,
         "op10_warc": op10_warc,
