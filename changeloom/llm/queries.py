@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import pieces, quality, repeats, sharding, simhash, transport_stream, warc
+from . import chat, pieces, quality, repeats, sharding, simhash, token_files, transport_stream, warc
 from .common import map_batches, table
 
 #: Rows that are held out; of no other rows with an id labels are learnt.
@@ -38,10 +38,23 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = chat.transcript(table(spark, sf_dir, "conversations"))
+    model = chat.fit(lines.where(f"conv IS NOT NULL AND NOT {HELD_OUT.replace('doc_id', 'conv')}"))
+    turns = chat.recover_turns(lines, model)
+    return turns.select(F.col("conv").alias("conv_id"), "turn", "role", "n_lines", chat.rendered(F.col("role"), F.col("content")).alias("rendered"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,7 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_decontaminate": op2_decontaminate,
         "op3_repeats": op3_repeats,
+        "op4_chat": op4_chat,
         "op5_sharding": op5_sharding,
+        "op6_token_counts": op6_token_counts,
         "op7_simhash": op7_simhash,
         "op8_transport_stream": op8_transport_stream,
         "op9_pieces": op9_pieces,
