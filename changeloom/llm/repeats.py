@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import stored, with_row_id
 from .run_index import RunIndex
 
-INDEX_BYTES = 4 << 20
+INDEX_BYTES = 1 << 20
 PLACE_BITS = 20
 BLOCK = (1 << PLACE_BITS) - 1
 _random = np.random.default_rng(7)
