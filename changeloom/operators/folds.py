@@ -6,8 +6,13 @@ are functions of one changeset's entries, applied to many in parallel.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from changeloom.operators.entries import KEY
 from changeloom.schema import ADD, DEL, REN, UPD
@@ -121,20 +126,30 @@ def directories_first(incoming: list[dict]) -> list[dict]:
     return out
 
 
-def _per_changeset(entries: DataFrame, walk) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("pos")
-        rows = [{c: (None if pd.isna(v) else v) for c, v in zip(COLUMNS, row, strict=True)} for row in ordered[COLUMNS].itertuples(index=False)]
-        out = pd.DataFrame(walk(rows), columns=COLUMNS)
-        out["is_directory"] = out["is_directory"].astype("boolean")
-        for column in KEY:
-            out[column] = group[column].iloc[0]
-        out["pos"] = range(len(out))
-        return out[[*KEY, "pos", *COLUMNS]]
+def _per_changeset(entries: DataFrame, walk: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    """``walk`` over each changeset's entries. Changesets are mostly small, so each
+    task takes many of them from one sorted stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out: list[tuple] = []
+        for key, group in groupby(rows, key=lambda r: r[:2]):
+            done = walk([dict(zip(COLUMNS, r[3:], strict=True)) for r in group])
+            out += [(*key, pos, *(e[c] for c in COLUMNS)) for pos, e in enumerate(done)]
+            if len(out) >= 10_000:
+                yield _batch(out, arrow)
+                out = []
+        if out:
+            yield _batch(out, arrow)
 
     types = dict(entries.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in KEY) + ", pos int, action string, name string, old_name string, is_directory boolean"
-    return entries.select(*KEY, "pos", *COLUMNS).groupBy(*KEY).applyInPandas(run, schema)
+    schema = StructType.fromDDL(", ".join(f"{c} {types[c]}" for c in KEY) + ", pos int, action string, name string, old_name string, is_directory boolean")
+    arrow = to_arrow_schema(schema)
+    return entries.select(*KEY, "pos", *COLUMNS).repartition(*KEY).sortWithinPartitions(*KEY, "pos").mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def fold_patch_entries(entries: DataFrame) -> DataFrame:
