@@ -92,5 +92,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP2_SQL = f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), b AS (SELECT item_id, {WORDS} AS w FROM benchmark), bm AS (SELECT item_id, w, least(len(w), 10) AS m FROM b WHERE len(w) > 0),
+    bw AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS win FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM bm)),
+    dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
+    h AS (SELECT doc_id, item_id, i, m FROM dw JOIN bw USING (m, win)), p AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS place FROM h) GROUP BY 1),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
+OP10_SQL = """WITH p AS (SELECT page_id, lower(url) AS url, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS hex FROM pages), n AS (SELECT page_id, url, t, list_transform(range(0, 40), lambda k: position(substr(hex, CAST(k + 1 AS BIGINT), 1) IN '0123456789abcdef') - 1) AS x FROM p),
+    g AS (SELECT page_id, url, t, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((x[CAST(k // 4 * 5 + 1 AS BIGINT)] * 65536 + x[CAST(k // 4 * 5 + 2 AS BIGINT)] * 4096 + x[CAST(k // 4 * 5 + 3 AS BIGINT)] * 256 + x[CAST(k // 4 * 5 + 4 AS BIGINT)] * 16 + x[CAST(k // 4 * 5 + 5 AS BIGINT)]) // CASE k % 4 WHEN 0 THEN 32768 WHEN 1 THEN 1024 WHEN 2 THEN 32 ELSE 1 END) % 32 + 1 AS BIGINT), 1)), '') AS digest FROM n),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '(\\?[^#]*)', 1) AS q FROM g)
+    SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+    array_to_string(list_reverse(string_split(regexp_replace(host, '^www\\.', ''), '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || q AS url_key, strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others cannot be said in SQL: trained weights, XXH64 bits, indexes,
+    tokenizers, binary formats, least capacities."""
+    return {"op2_decontaminate": OP2_SQL, "op10_warc": OP10_SQL}
