@@ -148,7 +148,7 @@ def mark_repeats(docs: DataFrame, span: int = 200, gram: int = 64, id_col: str =
     """
     base = with_row_id(docs, id_col, text_col)
     found = occurrences(base, span, gram)
-    often = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    often = stored(found.groupBy("anchor").count().where("count > 1").select("anchor"), "often")  # stored, so that the join may split a large anchor
     found = stored(found.join(often, "anchor", "left_semi"), "contexts")
     different = found.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "n")).alias("at"))
     wanted = different.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct("anchor", "context", "copies", F.col("at.start").alias("start"), F.col("at.n").alias("n"))).alias("wanted"))
