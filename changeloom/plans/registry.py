@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from changeloom.plans import catalog, catalog_entries, catalog_sources  # noqa: F401  they register their queries
+from changeloom.plans import catalog, catalog_entries, catalog_sources, catalog_streams  # noqa: F401  they register their queries
 
 
 def queries() -> dict:
