@@ -34,7 +34,7 @@ KEPT_LENGTH = 48
 class PieceTokenizer:
     """Encoder and decoder of a BPE model with byte fallback and identity normalisation."""
 
-    def __init__(self, model_file: str, kept: int = 200_000):
+    def __init__(self, model_file: str, kept: int = 100_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=model_file)
@@ -56,7 +56,7 @@ class PieceTokenizer:
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.splits_lines = not any("\n" in piece for piece in self.ids)
-        self.kept, self.segments, self.older, self.pairs = kept, {}, {}, {}
+        self.kept, self.segments, self.older, self.pairs, self.odd = kept, {}, {}, {}, {}
         self.alone = {i: len(self._merged(piece)) == 1 for piece, i in self.ids.items()}  # False: no encoding has it
 
     def _merged(self, text: str) -> list[str]:
@@ -125,12 +125,19 @@ class PieceTokenizer:
         out = (" " + text).replace("\n", " \n ").replace(" ", " " + MARK).replace(" " + MARK + "\n " + MARK, " \n ").split(" ")
         return [s for s in out if s]
 
-    def _known(self, segment: str) -> tuple[int, bytes, bytes]:
-        """Number of ids, ids in decimal, decoded bytes of a segment."""
+    def _known(self, segment: str) -> bytes:
+        """Ids of a segment in decimal, joined by commas.
+
+        A segment whose ids decode to anything but its own text is noted in ``odd``.
+        """
         found = self.segments.get(segment) or self.older.get(segment)
         if found is None:
             ids = self._segment(segment)
-            found = len(ids), ",".join(map(str, ids)).encode(), self._decoded(ids).encode("utf-8")
+            found = ",".join(map(str, ids)).encode()
+            decoded = self._decoded(ids)
+            if decoded != segment.replace(MARK, " "):  # not remembered, so that each text notes it
+                self.odd[segment] = decoded.encode("utf-8")
+                return found
         if len(segment) <= KEPT_LENGTH:
             if len(self.segments) >= self.kept:
                 self.segments, self.older = {}, self.segments
@@ -138,7 +145,7 @@ class PieceTokenizer:
         return found
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for s in self.segments_of(text or "") for i in self._known(s)[1].split(b",")]
+        return [int(i) for s in self.segments_of(text or "") for i in self._known(s).split(b",")]
 
     def _decoded(self, ids: list[int]) -> str:
         out, run = [], bytearray()
@@ -163,12 +170,19 @@ class PieceTokenizer:
 
     def digest(self, text: str | None) -> tuple[int, bytes, bytes]:
         """Number of ids, ids in decimal joined by commas, bytes of the decoded text."""
-        found = []
-        for part in _chunks(self.segments_of(text or "")):
+        self.odd.clear()
+        segments, found = self.segments_of(text or ""), []
+        for part in _chunks(segments):
             known, get = self._known, self.segments.get
             found += [get(s) or known(s) for s in part]
-        decoded = b"".join([f[2] for f in found])
-        return sum([f[0] for f in found]), b",".join([f[1] for f in found]), decoded[1:] if decoded[:1] == b" " else decoded
+        ids = b",".join(found)
+        return ids.count(b",") + bool(ids), ids, self._decoded_text(text or "", segments)
+
+    def _decoded_text(self, text: str, segments: list[str]) -> bytes:
+        if not self.odd:
+            return text.replace(MARK, " ").encode("utf-8", "replace")
+        decoded = b"".join([self.odd.get(s) or s.replace(MARK, " ").encode("utf-8") for s in segments])
+        return decoded[1:] if decoded[:1] == b" " else decoded
 
 
 def _chunks(items: list, size: int = 4096):
