@@ -11,7 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch. Texts are long, and both Spark and the worker hold whole batches.
+ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session have ROWS rows at most, if it does
+    not ask for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS:
+        spark.conf.set(key, str(ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,14 +70,18 @@ def with_row_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
-    """``fn`` over columns of Arrow batches: dict of Python lists in and out."""
+    """``fn`` over columns of Arrow batches: dict of Python lists in and out, at
+    most ROWS rows at a time, so that a task holds few texts."""
     arrow = _arrow_schema(df.sparkSession, schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 out = fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

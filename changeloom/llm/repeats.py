@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, with_row_id
+from .common import small_batches, stored, with_row_id
 from .run_index import RunIndex
 
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 18
 PLACE_BITS = 20
 BLOCK = (1 << PLACE_BITS) - 1
 _random = np.random.default_rng(7)
@@ -119,6 +119,7 @@ def _indexed(contexts: DataFrame, span: int) -> DataFrame:
                 if size >= INDEX_BYTES and row[0] != held[-1][0]:
                     yield marks(held)
                     held, size = [], 0
+                    pa.default_memory_pool().release_unused()
                 held.append(row)
                 size += len(row[3])
         if held:
@@ -146,6 +147,7 @@ def mark_repeats(docs: DataFrame, span: int = 200, gram: int = 64, id_col: str =
 
     Repeated rows are documents of their own, so they repeat each other.
     """
+    small_batches(docs.sparkSession)
     base = with_row_id(docs, id_col, text_col)
     found = occurrences(base, span, gram)
     often = stored(found.groupBy("anchor").count().where("count > 1").select("anchor"), "often")  # stored, so that the join may split a large anchor
