@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeloom.llm import decontaminate as decon
-from changeloom.llm import pieces, queries, repeats, simhash
-from changeloom.llm.common import map_batches, stored, table
+from changeloom.llm import pieces, queries, repeats, similar
+from changeloom.llm.common import map_batches, stored, table, with_row_id
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,16 +25,25 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near-duplicates.
 
-    Fingerprints have 128 bits of shingles of five words. Texts of similarity 0.8
-    differ in 19 of them on average, so links reach to 23, which 12 segments
-    serve; unrelated texts differ in 64. Documents without an id all stay.
+    Documents are linked if the Jaccard similarity of their sets of five-word
+    shingles is 0.8 or more, which is verified; groups are what links connect.
+    Fingerprints of 128 bits only propose pairs: sets of similarity 0.8 differ in
+    19 bits on average, and pairs of up to 31 are verified. Documents without an
+    id all stay.
     """
-    found = simhash.near_duplicates(docs, words=5, parts=2, segments=12, distance=23)
+    rows = with_row_id(docs.select(*COLUMNS), "doc_id", "text")
+    groups = _groups(rows)
+    named = rows.select("rid", F.col("id").alias("doc_id")).join(groups, "rid")
+    found = stored(named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root"), "found")
     copies = stored(found.where("doc_id > component_id").select("doc_id").distinct(), "copies")
     kept = docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
     return kept.dropDuplicates(["doc_id"]) if _repeated(found) else kept
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    return similar.groups(rows, words=5, parts=2, segments=16, distance=31, least=0.8)
+
+
 def _repeated(found: DataFrame) -> bool:
     """Whether an id that stays stands in several rows of one group."""
     return bool(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").head(1))

@@ -65,3 +65,32 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
     kept = sorted(r["doc_id"] or 0 for r in P.keep_one_of_each(spark, docs, SF).collect())
     assert kept == [0, 1, 3, 6]
+
+
+def _brute_groups(texts, least=0.8):
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def test_near_duplicates_are_verified_at_the_threshold(spark):
+    """Pairs of similarity 0.8 are one document, those below are two, and a line that
+    repeats in two documents counts once."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts = []
+    for k in range(40):
+        words = [word() for _ in range(184)]  # 180 shingles; one side has so many more of its own
+        texts += [" ".join(words), " ".join(words + [word() for _ in range((45, 46, 77, 120)[k % 4])])]
+    line = " ".join(word() for _ in range(10)) + "\n"
+    for _ in range(6):
+        texts.append(line * 20 + " ".join(word() for _ in range(200)))
+    texts += ["a b c", "A  b c", "a b d", "", " "]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    kept = {r["doc_id"] for r in P.keep_one_of_each(spark, docs, SF).collect()}
+    assert kept == set(_brute_groups(texts))
+    assert sum(2 * k + 1 not in kept for k in range(40)) == 10
