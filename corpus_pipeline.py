@@ -23,30 +23,26 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near-duplicates.
+    """Keeps one row of each group of near-duplicates: of its smallest id, and of
+    rows with that id the first.
 
     Documents are linked if the Jaccard similarity of their sets of five-word
     shingles is 0.8 or more, which is verified; groups are what links connect.
     Fingerprints of 128 bits only propose pairs: sets of similarity 0.8 differ in
     19 bits on average, and pairs of up to 31 are verified. Documents without an
-    id all stay.
+    id all stay; so do rows of one id that are in different groups.
     """
     rows = with_row_id(docs.select(*COLUMNS), "doc_id", "text")
-    groups = _groups(rows)
-    named = rows.select("rid", F.col("id").alias("doc_id")).join(groups, "rid")
-    found = stored(named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root"), "found")
-    copies = stored(found.where("doc_id > component_id").select("doc_id").distinct(), "copies")
-    kept = docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
-    return kept.dropDuplicates(["doc_id"]) if _repeated(found) else kept
+    groups = similar.groups(rows, words=5, parts=2, segments=16, distance=31, least=0.8)
+    named = stored(rows.where("id IS NOT NULL").select("rid", "id").join(groups, "rid"), "named")
+    best = named.groupBy("root").agg(F.min(F.struct("id", "rid")).alias("best"))
+    copies = stored(named.join(best, "root").where("rid <> best.rid").select("rid"), "copies")
+    return _documents(rows.join(copies, "rid", "left_anti"))
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    return similar.groups(rows, words=5, parts=2, segments=16, distance=31, least=0.8)
-
-
-def _repeated(found: DataFrame) -> bool:
-    """Whether an id that stays stands in several rows of one group."""
-    return bool(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").head(1))
+def _documents(rows: DataFrame) -> DataFrame:
+    """Rows of ``with_row_id`` as documents again."""
+    return rows.select(F.col("id").alias("doc_id"), "text", "rest.lang", "rest.source", "rest.n_chars")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

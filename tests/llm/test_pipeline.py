@@ -94,3 +94,14 @@ def test_near_duplicates_are_verified_at_the_threshold(spark):
     kept = {r["doc_id"] for r in P.keep_one_of_each(spark, docs, SF).collect()}
     assert kept == set(_brute_groups(texts))
     assert sum(2 * k + 1 not in kept for k in range(40)) == 10
+
+
+def test_near_duplicates_by_row(spark):
+    """Rows without an id all stay though another id is repeated, and one id may have two texts."""
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcd"]
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[1]), (2, texts[2]), (2, texts[3]), (3, texts[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    kept = P.keep_one_of_each(spark, docs, SF)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == P.COLUMNS
+    assert sorted(got, key=str) == sorted([rows[0], *rows[2:6]], key=str)
