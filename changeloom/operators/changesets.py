@@ -12,6 +12,16 @@ from changeloom.functions.scalars import default_author as _author
 from changeloom.functions.scalars import branch_of, is_branch, rev_key, rev_text, same_branch
 from changeloom.schema import ADD, DEL, UPD
 
+
+def _join(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """A join by columns of equal names in which nulls are equal to each other."""
+    other = right.withColumnsRenamed({c: f"_of_{c}" for c in key})
+    same = F.lit(True)
+    for c in key:
+        same &= left[c].eqNullSafe(other[f"_of_{c}"])
+    return left.join(other, same, how).drop(*(f"_of_{c}" for c in key))
+
+
 # From file revisions to changesets
 
 
@@ -58,7 +68,7 @@ def collect_by_key(revs: DataFrame) -> tuple[DataFrame, DataFrame]:
     entries = entries.withColumn("pos", (F.row_number().over(Window.partitionBy(*key).orderBy("path")) - 1).cast("int"))
     heads = entries.groupBy(*key).agg(F.min_by("action", "pos").alias("first_action"))
     changesets = order_changesets(heads)
-    entries = entries.join(changesets.select(*key, "seq"), key).select("repo", "seq", "pos", "action", F.col("path").alias("name"), rev_text(F.col("_new")).alias("new_rev"))
+    entries = _join(entries, changesets.select(*key, "seq"), key).select("repo", "seq", "pos", "action", F.col("path").alias("name"), rev_text(F.col("_new")).alias("new_rev"))
     return changesets, entries
 
 
@@ -72,21 +82,21 @@ def _gap_runs(changesets: DataFrame, seconds: int) -> DataFrame:
     cells = changesets.select("repo", cell.alias("cell")).distinct()
     w = Window.partitionBy("repo").orderBy("cell")
     cells = cells.withColumn("_new", F.coalesce((F.col("cell") - F.lag("cell").over(w) > 1).cast("int"), F.lit(1))).withColumn("run", F.sum("_new").over(w)).drop("_new")
-    return changesets.withColumn("cell", cell).join(cells, ["repo", "cell"]).drop("cell")
+    return _join(changesets.withColumn("cell", cell), cells, ["repo", "cell"]).drop("cell")
 
 
 def order_changesets(changesets: DataFrame) -> DataFrame:
     """With seq from 0 within each repo: by date, author, first action and message.
 
     Numbers are dealt within days and then offset, so that no task sorts a whole
-    history.
+    history. Changesets without a date come first.
     """
     order = [F.col("date_utc"), F.col("author"), F.coalesce("first_action", F.lit(" ")) if "first_action" in changesets.columns else F.lit(" "), F.col("log")]
     day = changesets.withColumn("_day", F.to_date("date_utc"))
     days = day.groupBy("repo", "_day").agg(F.count("*").alias("_n"))
     days = days.withColumn("_before", F.sum("_n").over(Window.partitionBy("repo").orderBy("_day")) - F.col("_n")).drop("_n")
     placed = day.withColumn("_place", F.row_number().over(Window.partitionBy("repo", "_day").orderBy(*order)))
-    return placed.join(days, ["repo", "_day"]).withColumn("seq", F.col("_before") + F.col("_place") - 1).drop("_day", "_before", "_place")
+    return _join(placed, days, ["repo", "_day"]).withColumn("seq", F.col("_before") + F.col("_place") - 1).drop("_day", "_before", "_place")
 
 
 def collapse_changesets(changesets: DataFrame, entries: DataFrame | None = None, seconds: int = 180) -> DataFrame:
@@ -112,9 +122,10 @@ def collapse_changesets(changesets: DataFrame, entries: DataFrame | None = None,
 
 def _split_on_conflicts(marked: DataFrame, entries: DataFrame) -> DataFrame:
     """Islands cut where a path comes again with another action than the group has."""
-    names = entries.groupBy("repo", "seq", "name").agg(F.max("action").alias("action")).join(marked.select("repo", "seq", "run", "_island"), ["repo", "seq"])
+    names = entries.groupBy("repo", "seq", "name").agg(F.max("action").alias("action"))
+    names = _join(names, marked.select("repo", "seq", "run", "_island"), ["repo", "seq"])
     doubtful = names.groupBy("repo", "run", "_island", "name").agg(F.countDistinct("action").alias("n")).where("n > 1").select("repo", "run", "_island").distinct()
-    parts = names.join(doubtful, ["repo", "run", "_island"]).groupBy("repo", "run", "_island", "seq").agg(F.map_from_entries(F.collect_list(F.struct("name", "action"))).alias("acts"))
+    parts = _join(names, doubtful, ["repo", "run", "_island"]).groupBy("repo", "run", "_island", "seq").agg(F.map_from_entries(F.collect_list(F.struct("name", "action"))).alias("acts"))
     lists = parts.groupBy("repo", "run", "_island").agg(F.sort_array(F.collect_list(F.struct("seq", F.map_entries("acts").alias("acts")))).alias("parts"))
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<key:string,value:string>>").alias("held"), F.array().cast("array<struct<seq:bigint,part:int>>").alias("out"))
 
@@ -125,7 +136,7 @@ def _split_on_conflicts(marked: DataFrame, entries: DataFrame) -> DataFrame:
         return F.struct(n.alias("n"), held.alias("held"), F.array_append(acc["out"], F.struct(x["seq"].cast("bigint").alias("seq"), n.alias("part"))).alias("out"))
 
     cut = lists.select("repo", F.explode(F.aggregate("parts", start, step)["out"]).alias("o")).select("repo", F.col("o.seq").alias("seq"), F.col("o.part").alias("_part"))
-    return marked.join(cut, ["repo", "seq"], "left").withColumn("_island", F.struct("_island", F.coalesce("_part", F.lit(0)).alias("part"))).drop("_part")
+    return _join(marked, cut, ["repo", "seq"], "left").withColumn("_island", F.struct("_island", F.coalesce("_part", F.lit(0)).alias("part"))).drop("_part")
 
 
 def audit_revision_counts(revs: DataFrame, headers: DataFrame) -> DataFrame:
@@ -221,7 +232,7 @@ def dedupe(changesets: DataFrame) -> DataFrame:
     key = ["repo", "revision", "date_utc", "author"]
     hashes = F.array_sort(F.collect_set("patch_hash"))
     kinds = changesets.groupBy(*key).agg(hashes.alias("_hashes"))
-    marked = changesets.join(kinds, key).withColumn("_h", F.coalesce("patch_hash", F.get("_hashes", F.lit(0)), F.lit("")))
+    marked = _join(changesets, kinds, key).withColumn("_h", F.coalesce("patch_hash", F.get("_hashes", F.lit(0)), F.lit("")))
     return marked.withColumn("_n", F.row_number().over(Window.partitionBy(*key, "_h").orderBy(F.col("patch_hash").isNull(), "seq"))).where("_n = 1").drop("_n", "_h", "_hashes")
 
 

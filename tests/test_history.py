@@ -241,3 +241,25 @@ def test_xml_log_from_files(spark, tmp_path):
     (tmp_path / "log.xml").write_text('<?xml version="1.0"?><log><logentry revision="7"><author>u</author><date>2024-01-02T03:04:05.6Z</date><paths><path action="A" copyfrom-path="/out/a" copyfrom-rev="1">/m/b</path><path action="D">/out/a</path></paths><msg>é</msg></logentry></log>')
     rows = xml_logs.read_xml_log(spark, str(tmp_path), "m").collect()
     assert [(r["revision"], r["action"], r["name"], r["old_name"], r["copied"], r["log"]) for r in rows] == [("7", A, "b", None, True, "é")]
+
+
+@pytest.mark.parametrize("lost", ["repo", "date_utc", "author", "log", "revision"])
+def test_null_keys_are_kept(spark, lost):
+    """A row with a null in a key column is grouped, numbered and de-duplicated like any other."""
+    day = datetime(2024, 1, 1)
+    row = {"repo": "r", "date_utc": day, "author": "u", "log": "m", "revision": "1"}
+    odd = row | {lost: None}
+    whole = spark.createDataFrame([row | {"n": 0}, odd | {"n": 1}, odd | {"n": 2}], "repo string, date_utc timestamp, author string, log string, revision string, n int")
+    if lost != "revision":
+        revs = whole.drop("revision").selectExpr("*", "concat('p', n) AS path", "'1.1' AS rev", "'ADD' AS action")
+        heads, rows = changesets.collect_by_key(revs)
+        assert heads.count() == 2 and rows.count() == 3
+        assert {(r["repo"], r["seq"]) for r in rows.collect()} == {(r["repo"], r["seq"]) for r in heads.collect()}
+    numbered = changesets.order_changesets(whole)
+    seqs = sorted((r["repo"] or "", r["seq"]) for r in numbered.collect())
+    assert seqs == ([("", 0), ("", 1), ("r", 0)] if lost == "repo" else [("r", k) for k in range(3)])
+    files = numbered.selectExpr("repo", "seq", "0 AS pos", "if(n = 2, 'DEL', 'UPD') AS action", "'f' AS name")
+    groups = changesets.collapse_changesets(numbered, files).collect()
+    assert len(groups) == 3 and len({(r["repo"], r["group"]) for r in groups if r["n"]}) == 2
+    found = changesets.dedupe(numbered.selectExpr("*", "CAST(NULL AS string) AS patch_hash")).collect()
+    assert len(found) == (1 if lost == "log" else 2)
