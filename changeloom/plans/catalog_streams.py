@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from changeloom.plans import views as V
 from changeloom.plans.catalog import query
-from changeloom.storage import shared_dir
+from changeloom.storage import shared_dir, stored
 from changeloom.streaming import follow
 
+#: Parts in which the gated history comes.
+PARTS = 3
+
 CHANGES = "repo string, seq long, revision string, date_utc timestamp, author string, log string"
 
 
@@ -60,11 +63,15 @@ def kept_tree(spark, sf):
 
 @query("t7_gated_stream", V.sql("changes", "SELECT repo, seq FROM changes c WHERE seq < coalesce((SELECT min(seq) FROM changes d WHERE d.repo = c.repo AND d.path LIKE '%/f77'), 1000000000)"))
 def gated(spark, sf):
-    """What a gate lets through is applied; the rest stays pending."""
-    from changeloom.operators.adapt import gate
-
+    """What a gate lets through is applied; the rest stays pending, over several batches
+    and starts: the history lands in parts by seq, each followed by a start. The files
+    of a part are in no order, so a part is one batch."""
     rows = V.changes(spark, sf).select("repo", "seq", F.col("event_id").cast("string").alias("revision"), F.col("date_utc").cast("timestamp").alias("date_utc"), "author", "log", "path")
-    inbox, base = _landed(spark, rows)
-    stream = follow.stream_ingest(spark, inbox, CHANGES + ", path string")
-    follow.pending_stream(stream, lambda batch: gate(batch, ~F.endswith("path", F.lit("/f77"))), f"{base}/applied", f"{base}/mark").awaitTermination()
+    rows = stored(rows, "gated")
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    top = rows.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
+    for part in range(PARTS):
+        rows.where((F.col("seq") >= top * part // PARTS) & (F.col("seq") < top * (part + 1) // PARTS)).write.mode("append").parquet(f"{base}/inbox")
+        stream = follow.stream_ingest(spark, f"{base}/inbox", CHANGES + ", path string")
+        follow.gated_stream(stream, ~F.endswith("path", F.lit("/f77")), f"{base}/applied", f"{base}/pending", f"{base}/mark").awaitTermination()
     return spark.read.parquet(f"{base}/applied").select("repo", "seq")

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -87,6 +87,37 @@ def pending_stream(stream: DataFrame, apply: Callable[[DataFrame], DataFrame | N
     return rate_limited(stream).foreachBatch(resume_safe_apply(apply, applied_path, key)).option("checkpointLocation", checkpoint).start()
 
 
+def gated_stream(stream: DataFrame, accepted: Column, applied_path: str, pending_path: str, checkpoint: str, key: tuple[str, ...] = IDENTITY) -> StreamingQuery:
+    """Starts a query that applies, of each repo, what comes before the first changeset
+    that is not accepted, and ends when nothing is left to read.
+
+    The rejected changeset and all of higher seq stay pending: they are stored below
+    ``pending_path``, which belongs to ``checkpoint``, a folder for each batch, and
+    gated again with every later batch. Batches must come in order of seq, as a
+    history grows; what has been applied is not taken back.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        last = f"{pending_path}/{number - 1}"
+        fresh = batch.unionByName(spark.read.schema(batch.schema).parquet(last)) if has_rows(spark, last) else batch
+        # Of rows of one identity a rejected one decides, so that the choice is the same in every batch.
+        fresh = fresh.withColumn("_ok", F.coalesce(accepted, F.lit(False)))
+        fresh = fresh.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_ok", "seq"))).where("_n = 1").drop("_n")
+        if has_rows(spark, applied_path):
+            fresh = missing_changesets(fresh, spark.read.parquet(applied_path), key)
+        stop = fresh.where("NOT _ok").groupBy(F.col("repo").alias("_repo")).agg(F.min("seq").alias("_stop"))
+        fresh = fresh.join(stop, F.col("repo").eqNullSafe(F.col("_repo")), "left").withColumn("_held", F.coalesce(F.col("seq") >= F.col("_stop"), F.lit(False))).persist()
+        try:
+            # What is held is stored first: a batch that is lost between the two writes is run again from the last pending folder.
+            fresh.where("_held").select(*batch.columns).write.mode("overwrite").parquet(f"{pending_path}/{number}")
+            write_state(fresh.where("NOT _held").select(*batch.columns), applied_path, number)
+        finally:
+            fresh.unpersist()
+
+    return rate_limited(stream).foreachBatch(run).option("checkpointLocation", checkpoint).start()
+
+
 def stream_dedupe(stream: DataFrame, time: str = "date_utc", delay: str = "1 hour", key: tuple[str, ...] = IDENTITY) -> DataFrame:
     """Without rows of an identity that came less than ``delay`` before."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))

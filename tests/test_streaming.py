@@ -89,3 +89,26 @@ def test_session_windows_and_snapshot(spark):
     out = follow.bootstrap_then_follow(batch, 2, source="s").orderBy("seq").collect()
     assert [(r["seq"], r["snapshot"], r["log"]) for r in out] == [(2, True, "Import of s at 2"), (3, False, "m")]
     assert follow.bootstrap_then_follow(batch, None, follow=False).count() == 1
+
+
+def test_gated_changesets_stay_pending(spark, tmp_path):
+    """Over batches and starts nothing passes a rejected changeset, nothing is lost, and
+    what is accepted later goes on from there."""
+    inbox, applied, pending, mark = (str(tmp_path / n) for n in ("inbox", "applied", "pending", "mark"))
+
+    def run(accepted):
+        follow.gated_stream(follow.stream_ingest(spark, inbox, CHANGES, files_per_batch=1), accepted, applied, pending, mark).awaitTermination()
+        return sorted((r["repo"], r["seq"]) for r in spark.read.parquet(applied).collect())
+
+    def land(first, n, repo="r"):
+        some(spark, first, n, repo).coalesce(1).write.mode("append").parquet(inbox)
+
+    shut, no_three = [("r", k) for k in range(3)], ~((F.col("repo") == "r") & (F.col("seq") == 3))
+    land(0, 5)
+    land(5, 3)
+    assert run(no_three) == shut
+    land(8, 2)
+    land(0, 2, "s")
+    assert run(no_three) == [*shut, ("s", 0), ("s", 1)]
+    land(10, 1)
+    assert run(F.lit(True)) == [*(("r", k) for k in range(11)), ("s", 0), ("s", 1)]
