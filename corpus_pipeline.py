@@ -60,10 +60,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of a benchmark item."""
-    found = decon.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = stored(found.where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct(), "contaminated")
-    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops the rows that hold a window of a benchmark item, whatever their ids."""
+    rows = with_row_id(docs.select(*COLUMNS), "doc_id", "text")
+    found = decon.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="rid")
+    bad = stored(found.where("contaminated").select("rid"), "contaminated")
+    return _documents(rows.join(bad, "rid", "left_anti"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

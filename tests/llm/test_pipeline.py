@@ -105,3 +105,12 @@ def test_near_duplicates_by_row(spark):
     got = [(r["doc_id"], r["text"]) for r in kept.collect()]
     assert kept.columns == P.COLUMNS
     assert sorted(got, key=str) == sorted([rows[0], *rows[2:6]], key=str)
+
+
+def test_contaminated_rows_without_or_of_one_id(spark):
+    item = next(r["text"] for r in Q.table(spark, SF, "benchmark").collect() if len(split(r["text"])) >= 12)
+    rows = [(None, item), (None, "clean"), (1, item), (1, "clean too"), (2, "clean")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    kept = P.drop_contaminated(spark, docs, SF)
+    assert kept.columns == P.COLUMNS
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
