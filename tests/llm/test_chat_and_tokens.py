@@ -99,7 +99,10 @@ def test_counts_of_documents(spark):
     docs = Q.table(spark, SF, "documents").select("doc_id", "text")
     got = {r["doc_id"]: r["n_tokens"] for r in Q.op6_token_counts(spark, SF).collect()}
     assert got == {r["doc_id"]: len(encoding.encode_ordinary(r["text"])) for r in docs.collect()}
-    odd = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "<|endoftext|> x"), (None, "é " * 20_000)], "doc_id long, text string").selectExpr("*", "1 AS file", "2 AS place", "3 AS start")
+    odd = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "<|endoftext|> x"), (None, "é " * 20_000), (3, "ab " * 250_000), (4, "end")], "doc_id long, text string").selectExpr("*", "1 AS file", "2 AS place", "3 AS start")
     counts = token_files.count_tokens(odd, ranks, tokenizers.PATTERN, 50256, block_ids=1_000).collect()
-    assert sorted(r["n_tokens"] for r in counts) == sorted([0, 0, 0, len(encoding.encode_ordinary("<|endoftext|> x")), len(encoding.encode_ordinary("é " * 20_000))])
+    want = sorted(((r["doc_id"] or 0, len(encoding.encode_ordinary(r["text"] or ""))) for r in odd.collect()))
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in counts) == want and want[-2][1] > 2 * token_files.BLOCK_IDS
+    whole = token_files.count_tokens(odd, ranks, tokenizers.PATTERN, 50256).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in whole) == want
     assert token_files.count_tokens(odd.limit(0), ranks, tokenizers.PATTERN, 50256).count() == 0
