@@ -15,7 +15,9 @@ bounded number.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -31,6 +33,17 @@ BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 KEPT_LENGTH = 48
 
 
+class _Segments(dict):
+    """Remembered segments; others are made when they are asked for."""
+
+    def __init__(self, make: Callable[[str], tuple[bytes, bytes]]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, segment: str) -> tuple[bytes, bytes]:
+        return self.make(segment)
+
+
 class PieceTokenizer:
     """Encoder and decoder of a BPE model with byte fallback and identity normalisation."""
 
@@ -56,7 +69,7 @@ class PieceTokenizer:
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.splits_lines = not any("\n" in piece for piece in self.ids)
-        self.kept, self.segments, self.older, self.pairs, self.odd = kept, {}, {}, {}, {}
+        self.kept, self.segments, self.older, self.pairs = kept, _Segments(self._known), {}, {}
         self.alone = {i: len(self._merged(piece)) == 1 for piece, i in self.ids.items()}  # False: no encoding has it
 
     def _merged(self, text: str) -> list[str]:
@@ -110,9 +123,29 @@ class PieceTokenizer:
         return out[::-1]
 
     def _marks(self, n: int) -> list[int]:
-        """A run of marks alone. Their pieces all have one score, so the rule for
-        ties decides: passes from the left join neighbours."""
-        return [self.ids[p] for p in self._merged(MARK * n)]
+        """A run of marks alone. Several pairs of their pieces give one piece, so the
+        last token of a prefix is not the prefix's own; pairs are joined by the
+        definition, best score first and then the leftmost, from a heap: n log n."""
+        size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def offers(places: Iterable[int]) -> Iterator[tuple[float, int, int, int]]:
+            for at in places:
+                if at >= 0 and after[at] < n and (i := self.ids.get(MARK * (size[at] + size[after[at]]))) is not None:
+                    yield -self.scores[i], at, size[at], size[after[at]]
+
+        heap = list(offers(range(n)))
+        heapq.heapify(heap)
+        while heap:
+            _, at, mine, others = heapq.heappop(heap)
+            right = after[at]
+            if size[at] != mine or right >= n or size[right] != others:
+                continue  # one of the two has been joined to another since
+            size[at], size[right], after[at] = mine + others, 0, after[right]
+            if after[at] < n:
+                before[after[at]] = at
+            for offer in offers((before[at], at)):
+                heapq.heappush(heap, offer)
+        return [self.ids[MARK * k] for k in size if k]
 
     def segments_of(self, text: str) -> list[str]:
         """Parts that no piece crosses: runs of marks with what follows, and line
@@ -125,27 +158,20 @@ class PieceTokenizer:
         out = (" " + text).replace("\n", " \n ").replace(" ", " " + MARK).replace(" " + MARK + "\n " + MARK, " \n ").split(" ")
         return [s for s in out if s]
 
-    def _known(self, segment: str) -> bytes:
-        """Ids of a segment in decimal, joined by commas.
-
-        A segment whose ids decode to anything but its own text is noted in ``odd``.
-        """
-        found = self.segments.get(segment) or self.older.get(segment)
+    def _known(self, segment: str) -> tuple[bytes, bytes]:
+        """A segment's ids in decimal, joined by commas, and the text that those decode to."""
+        found = self.older.get(segment)
         if found is None:
             ids = self._segment(segment)
-            found = ",".join(map(str, ids)).encode()
-            decoded = self._decoded(ids)
-            if decoded != segment.replace(MARK, " "):  # not remembered, so that each text notes it
-                self.odd[segment] = decoded.encode("utf-8")
-                return found
+            found = ",".join(map(str, ids)).encode(), self._decoded(ids).encode()
         if len(segment) <= KEPT_LENGTH:
             if len(self.segments) >= self.kept:
-                self.segments, self.older = {}, self.segments
+                self.segments, self.older = _Segments(self._known), self.segments
             self.segments[segment] = found
         return found
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for s in self.segments_of(text or "") for i in self._known(s).split(b",")]
+        return [int(i) for s in self.segments_of(text or "") for i in self.segments[s][0].split(b",")]
 
     def _decoded(self, ids: list[int]) -> str:
         out, run = [], bytearray()
@@ -169,24 +195,14 @@ class PieceTokenizer:
         return text[1:] if shown and self.pieces[shown[0]][:1] == MARK else text
 
     def digest(self, text: str | None) -> tuple[int, bytes, bytes]:
-        """Number of ids, ids in decimal joined by commas, bytes of the decoded text."""
-        self.odd.clear()
-        segments, found = self.segments_of(text or ""), []
-        for part in _chunks(segments):
-            known, get = self._known, self.segments.get
-            found += [get(s) or known(s) for s in part]
-        ids = b",".join(found)
-        return ids.count(b",") + bool(ids), ids, self._decoded_text(text or "", segments)
-
-    def _decoded_text(self, text: str, segments: list[str]) -> bytes:
-        if not self.odd:
-            return text.replace(MARK, " ").encode("utf-8", "replace")
-        decoded = b"".join([self.odd.get(s) or s.replace(MARK, " ").encode("utf-8") for s in segments])
-        return decoded[1:] if decoded[:1] == b" " else decoded
-
-
-def _chunks(items: list, size: int = 4096):
-    return (items[k : k + size] for k in range(0, len(items), size))
+        """Number of ids, ids in decimal joined by commas, bytes of the text that the ids decode to.
+
+        No character's bytes stand in two segments, so what a segment's ids
+        decode to does not depend on its neighbours.
+        """
+        found = list(map(self.segments.__getitem__, self.segments_of(text or "")))
+        ids, decoded = b",".join([f[0] for f in found]), b"".join([f[1] for f in found])
+        return ids.count(b",") + bool(ids), ids, decoded[1:] if decoded[:1] == b" " else decoded
 
 
 def _utf8(data: bytes) -> str:
