@@ -1,35 +1,37 @@
 """WARC archives written from pages, read back, and indexed by merging sorted runs.
 
 Writing is plain Spark: a record is one string, and the text writer with CRLF
-CRLF as line separator makes gzipped files of records. Reading takes whole files
-(bounded by ``records_per_file``), cuts them into records by their lengths and
-checks digests.
-
-The index orders captures by URL key, time and id. Every file read gives one run
-sorted in its task; range partitioning deals the runs' pieces to partitions in
-global order, where a loser tree merges them.
+CRLF as line separator makes gzipped files of records. Reading streams the pieces
+between such separators and puts records together by their lengths, so that files
+and pages may have any size; digests are checked.
+
+The index orders captures by URL key, time and id. Every file read gives sorted
+runs of ``RUN_RECORDS`` captures at most, which are stored. Runs are dealt to ranges
+of bounded size; within a range Spark's external sort brings each run's part
+together, and a loser tree merges the parts as they are.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, scratch_dir
+from .common import scratch_dir, small_batches, stored
 
 EOL = "\r\n"
 CAPTURE = "url_key string, stamp string, capture_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string"
 #: Second of the first capture; a page without a time of its own gets its id in seconds after it.
 EPOCH = "2024-01-01T00:00:00Z"
+#: Captures of a sorted run, and captures that a task merges, on average.
+RUN_RECORDS, RANGE_RECORDS = 50_000, 100_000
 
 
 def digest_of(payload: bytes) -> str:
@@ -55,7 +57,7 @@ def url_key(url: str | None) -> str:
     return (",".join(labels) + tail).lower()
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, records_per_file: int = 20_000) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, records_per_file: int = 50_000) -> None:
     """One WARC record per row of ``pages`` in gzipped files below ``path``.
 
     Of the rows with equal payloads of ``min_bytes`` or more, the one of smallest
@@ -92,47 +94,73 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     known.select(record.alias("value")).write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict, bytes]]:
-    """(header, payload) of each record of an unpacked archive."""
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
-        header = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            header[name.lower()] = value.strip()
-        size = int(header["content-length"])
-        payload = stream.read(size)
-        if len(payload) != size or stream.read(4) != b"\r\n\r\n":
-            raise ValueError("a WARC record is cut short")
-        yield header, payload
+def records(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, dict, bytes]]:
+    """(file, header, payload) of each record, from what stands between CRLF CRLFs, in
+    order, with the name of its file.
 
+    Separators inside or across the end of a payload are put back, and what is
+    beyond the payload's length belongs to the next record.
+    """
+    end = (2 * EOL).encode()
+    for file, piece in pieces:
+        rest = piece + end
+        while rest:
+            head, _, rest = rest.partition(end)
+            first, *lines = head.decode("utf-8", "replace").split(EOL)
+            if not first.startswith("WARC/"):
+                raise ValueError("not a WARC record")
+            parts = (line.partition(":") for line in lines)
+            header = {name.strip().lower(): value.strip() for name, _, value in parts}
+            size, held = int(header["content-length"]), [rest]
+            found = len(rest)
+            while found < size + len(end):
+                other, piece = next(pieces, (None, b""))
+                if other != file:
+                    raise ValueError("a WARC record is cut short")
+                held += [piece, end]
+                found += len(piece) + len(end)
+            whole = b"".join(held)
+            payload, rest = whole[:size], whole[size + len(end) :]
+            if whole[size : size + len(end)] != end:
+                raise ValueError("a WARC record has another length than it says")
+            yield file, header, payload
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """What the archives below ``path`` hold, each file's captures as one sorted run.
 
-    Digests of payloads that are present are computed anew and must agree.
-    """
+def read_captures(spark: SparkSession, path: str) -> DataFrame:
+    """What the gzipped archives below ``path`` hold: sorted runs of captures, each in
+    one file only. An archive that is damaged is an error, and so is a payload
+    that does not match its digest."""
+    fields = [(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in CAPTURE.split(", ")]
 
-    def read(rows: dict) -> dict:
-        out = {"run": []} | {c.split()[0]: [] for c in CAPTURE.split(", ")}
-        for name, data in zip(rows["path"], rows["content"], strict=True):
-            run = []
-            for header, payload in records(io.BytesIO(zlib.decompress(data, 47)) if data else io.BytesIO()):
-                kind, digest = header["warc-type"], header["warc-payload-digest"].removeprefix("sha1:")
-                if kind == "response" and digest_of(payload) != digest:
-                    raise ValueError("a WARC payload does not match its digest")
-                bare = lambda x: (x or "").removeprefix("<urn:capture:").removesuffix(">")
-                size = len(payload) if kind == "response" else int(header["x-payload-length"])
-                run.append((url_key(header["warc-target-uri"]), header["warc-date"], bare(header["warc-record-id"]), header["warc-target-uri"], kind, size, digest, bare(header.get("warc-refers-to")) or None))
-            run.sort(key=order_of)
-            out["run"] += [name] * len(run)
-            for column, values in zip([c.split()[0] for c in CAPTURE.split(", ")], zip(*run, strict=True) if run else [[]] * 8, strict=True):
-                out[column] += values
-        return out
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return map_batches(files, read, f"run string, {CAPTURE}")
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        for batch in batches:
+            for file, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield file, value.as_py()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, number, name = [], 0, None
+        for file, header, payload in records(pieces(batches)):
+            if run and (file != name or len(run) == RUN_RECORDS):
+                yield sorted_run(run, f"{name}#{number}")
+                run, number = [], number + 1
+            name = file
+            kind, digest = header["warc-type"], header["warc-payload-digest"].removeprefix("sha1:")
+            if kind == "response" and digest_of(payload) != digest:
+                raise ValueError("a WARC payload does not match its digest")
+            bare = lambda x: (x or "").removeprefix("<urn:capture:").removesuffix(">")
+            size = len(payload) if kind == "response" else int(header["x-payload-length"])
+            run.append((url_key(header["warc-target-uri"]), header["warc-date"], bare(header["warc-record-id"]), header["warc-target-uri"], kind, size, digest, bare(header.get("warc-refers-to")) or None))
+        if run:
+            yield sorted_run(run, f"{name}#{number}")
+
+    def sorted_run(run: list[tuple], name: str) -> pa.RecordBatch:
+        run.sort(key=order_of)
+        columns = [pa.array([name] * len(run)), *(pa.array(c, kind) for c, (_, kind) in zip(zip(*run, strict=True), fields, strict=True))]
+        return pa.RecordBatch.from_arrays(columns, names=["run", *(n for n, _ in fields)])
+
+    small_batches(spark)
+    lines = spark.read.option("lineSep", EOL * 2).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    return stored(lines.mapInArrow(read, f"run string, {CAPTURE}"), "runs")
 
 
 def order_of(capture: tuple) -> tuple:
@@ -179,22 +207,27 @@ class LoserTree:
 
 
 def merged_index(captures: DataFrame) -> DataFrame:
-    """Captures in global order of URL key, time and id, with their place in
-    the partition's part of that order."""
-    columns = captures.columns
-    dealt = captures.repartitionByRange("url_key", "stamp", F.length("capture_id"), "capture_id")
+    """Captures (run and the columns of CAPTURE) in global order of URL key, time and
+    id, with their place in the partition's part of that order.
+
+    A partition holds some RANGE_RECORDS captures, one URL's among several where
+    it has more, so what a task merges is bounded.
+    """
+    order = ["url_key", "stamp", F.length("capture_id"), "capture_id"]
+    ranges = max(1, -(-captures.count() // RANGE_RECORDS))
+    dealt = captures.repartitionByRange(ranges, *order).sortWithinPartitions("run", *order)
+    names = [c.split()[0] for c in CAPTURE.split(", ")]
+    fields = [pa.field(c, pa.int64() if c == "payload_bytes" else pa.string()) for c in names] + [pa.field("place", pa.int64())]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
-        for batch in batches:
-            data = [c.to_pylist() for c in batch.columns]
-            for name, *row in zip(*data, strict=True):
-                runs.setdefault(name, []).append(tuple(row))
-        for run in runs.values():
-            run.sort(key=order_of)  # pieces of a run come in any order; sorting sorted pieces is linear
-        names, out = sorted(runs), []
-        fields = [pa.field(c, pa.int64() if c == "payload_bytes" else pa.string()) for c in columns[1:]] + [pa.field("place", pa.int64())]
-        for place, row in enumerate(LoserTree([iter(runs[n]) for n in names], order_of) if names else []):
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        runs = table.column("run").combine_chunks().dictionary_encode().indices.to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(runs)]
+        out = []
+        for place, row in enumerate(LoserTree([_rows(table.slice(a, b - a), names) for a, b in zip(edges, edges[1:], strict=False)], order_of)):
             out.append((*row, place))
             if len(out) == 10_000:
                 yield _batch(out, fields)
@@ -205,6 +238,12 @@ def merged_index(captures: DataFrame) -> DataFrame:
     return dealt.mapInArrow(merge, CAPTURE + ", place long")
 
 
+def _rows(run: pa.Table, names: list[str]) -> Iterator[tuple]:
+    """A run's captures one by one, few of them as Python objects at a time."""
+    for part in run.select(names).to_batches(max_chunksize=256):
+        yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+
 def _batch(rows: list[tuple], fields: list[pa.Field]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
