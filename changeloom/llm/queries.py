@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as decon
 from . import chat, pieces, quality, repeats, sharding, simhash, token_files, transport_stream, warc
-from .common import map_batches, table
+from .common import stored, table
 
 #: Rows that are held out; of no other rows with an id labels are learnt.
 HELD_OUT = "coalesce(crc32(binary(string(doc_id))) % 3 = 1, false)"
@@ -60,7 +60,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = transport_stream.with_media(table(spark, sf_dir, "documents"))
+    media = stored(transport_stream.with_media(table(spark, sf_dir, "documents")), "media")  # read back from there
     found = transport_stream.media_features(media)
     feature = F.format_string("packets=%d breaks=%d units=%d last=%d rap=%s", "packets", "breaks", F.size("times"), F.element_at("times", -1), F.concat_ws(",", F.col("random_access").cast("array<string>")))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

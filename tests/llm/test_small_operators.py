@@ -7,10 +7,12 @@ import re
 import zlib
 
 import pytest
+import xxhash
 
 from changeloom.llm import decontaminate as decon
 from changeloom.llm import pieces, quality, sharding, transport_stream, warc
 from changeloom.llm import queries as Q
+from changeloom.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
 #: Nulls in any column, empty and long texts, repeated rows, clashing names.
@@ -168,13 +170,65 @@ def test_transport_stream_round_trip(spark):
 
 def test_media_of_odd_rows(spark):
     docs = odd_docs(spark, TEXTS)
-    rows = transport_stream.media_features(transport_stream.with_media(docs)).collect()
+    rows = transport_stream.media_features(stored(transport_stream.with_media(docs), "media")).collect()
     want = [transport_stream.padded(t) for t in TEXTS + TEXTS[:2]]
     assert sorted(r["payload_sha256"] for r in rows) == sorted(hashlib.sha256(p).hexdigest() for p in want)
     assert all(r["payload_bytes"] % 576 == 0 and r["payload_bytes"] >= 576 for r in rows)
     assert transport_stream.media_features(transport_stream.with_media(docs.limit(0))).count() == 0
 
 
+def test_media_query_equals_brute_force(spark):
+    """Every column of the query, from the texts alone; the stream is taken apart by hand."""
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in Q.table(spark, SF, "documents").collect()}
+    rows = Q.op8_transport_stream(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        data = texts[r["doc_id"]]
+        payload = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
+        stream = transport_stream.mux(payload)
+        parts, begins, rap = [], [], []
+        for k in range(0, len(stream), 188):
+            packet = stream[k : k + 188]
+            pid, start, adapted = (packet[1] & 0x1F) << 8 | packet[2], packet[1] & 0x40, packet[3] & 0x20
+            if pid == 0x101:
+                field = packet[4] + 1 if adapted else 0
+                body = packet[4 + field :]
+                if start:
+                    begins.append(len(begins))
+                    rap += [begins[-1]] if adapted and packet[4] and packet[5] & 0x40 else []
+                    body = body[9 + body[8] :]
+                parts.append(body)
+        assert b"".join(parts) == payload
+        units = -(-len(payload) // transport_stream.UNIT)
+        feature = f"packets={len(stream) // 188} breaks=0 units={units} last={(units - 1) * 3600} rap={','.join(map(str, rap))}"
+        assert len(begins) == units
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(stream), hashlib.sha256(stream).hexdigest(), feature)
+
+
+def test_sharding_query_is_optimal(spark):
+    """The largest shard of the given documents is as small as the order of groups allows."""
+    docs = Q.table(spark, SF, "documents")
+    rows = Q.op5_sharding(spark, SF).collect()
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {d: (len(t) + 1, zlib.crc32(t)) for d, t in texts.items()}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    groups = {}
+    for t in texts.values():
+        key = signed(xxhash.xxh64_intdigest(t, 42))
+        groups[key] = groups.get(key, 0) + len(t) + 1
+    loads, shard_of = {}, {}
+    for r in rows:
+        loads[r["shard"]] = loads.get(r["shard"], 0) + r["size"]
+        shard_of.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert max(loads.values()) == brute_capacity([groups[k] for k in sorted(groups)], 16)
+    assert all(len(s) == 1 for s in shard_of.values()) and set(loads) <= set(range(16))
+    ordered = sorted((signed(xxhash.xxh64_intdigest(t, 42)), *s) for t, s in shard_of.items())
+    assert [s for _, s in ordered] == sorted(s for _, s in ordered)
+    for k in loads:
+        assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows)))
+
+
 def model_file():
     return pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
 
@@ -202,7 +256,7 @@ def test_pieces_of_odd_rows(spark):
     import sentencepiece
 
     theirs = sentencepiece.SentencePieceProcessor(model_file=model_file())
-    texts = [t for t in TEXTS if not t or len(t) < 1_000]
+    texts = [*TEXTS, " " * 100_000, "=" * 2_000]
     rows = pieces.token_digests(odd_docs(spark, texts), model_file()).collect()
     want = [theirs.encode(t or "") for t in texts + texts[:2]]
     assert sorted(r["ids_sha256"] for r in rows) == sorted(hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in want)
@@ -213,7 +267,7 @@ def test_pieces_of_odd_rows(spark):
 PAGES = [(3, "http://b.example/x", "<p>one"), (1, "http://a.example/", "<p>one"), (2, None, ""), (4, "https://www.a.example/?q=1", None), (5, "::bad::[", "l1\r\n\r\nWARC/1.1\r\n"), (6, "http://a.example/\r\nX: y", "é" * 50_000), (6, "http://a.example/", "dup"), (6, "http://a.example/", "dup"), (None, "http://c.example/", "<p>one"), (None, None, "only")]
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, monkeypatch):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS first", "3 AS run")
     rows = warc.archive_round_trip(pages).collect()
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
@@ -225,11 +279,22 @@ def test_warc_round_trip(spark):
     assert kinds[6, digest("dup")] == kinds[None, digest("only")] == ("response", None)
     keys = [(r["url_key"], r["stamp"]) for r in rows]
     assert keys == sorted(keys)
+    monkeypatch.setattr(warc, "RUN_RECORDS", 2)
+    monkeypatch.setattr(warc, "RANGE_RECORDS", 3)
+    assert sorted(map(tuple, warc.archive_round_trip(pages).drop("place").collect()), key=repr) == sorted((tuple(r)[:-1] for r in rows), key=repr)
     large = warc.archive_round_trip(pages, min_bytes=10_000).collect()
     assert {r["record_type"] for r in large} == {"response"}
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_damaged_archives_are_errors():
+    whole = [("f", b"WARC/1.1\r\nContent-Length: 6"), ("f", b"a"), ("f", b"b"), ("f", b"WARC/1.1\r\ncontent-length:0"), ("f", b"")]
+    assert [(h["content-length"], p) for _, h, p in warc.records(iter(whole))] == [("6", b"a\r\n\r\nb"), ("0", b"")]
+    for damaged in (whole[:2], whole[1:], [*whole[:2], ("g", b"b")], [whole[0], ("f", b"too long")]):
+        with pytest.raises(ValueError):
+            list(warc.records(iter(damaged)))
+
+
 def test_loser_tree_merges():
     rng = random.Random(2)
     for runs in (0, 1, 2, 3, 7, 16):
