@@ -1,30 +1,25 @@
 """SimHash near-dedup with deletion-variant signatures.
 
 A fingerprint is cut into so few segments that, at the distance asked for, one of
-them differs by at most one bit: n segments serve distances below 2n. Each segment
-is indexed once for each of its bits with that bit blanked out. Two fingerprints
-that are near enough agree in one of these variants at least; equal variants are
-brought together and the whole fingerprints compared.
-
-Of the links in one bucket a spanning forest is kept, not all pairs: the
-components are the same.
+them differs by at most one bit: n segments serve distances below 2n. Variants of
+segments with one bit blanked out bring such fingerprints together (see
+``variants``); whole fingerprints are then compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, stored
 from .graph import components
+from .variants import Search
+from .variants import links as linked
 
-#: Shingles whose bits are counted at a time, and pairs compared at a time.
-BLOCK, ROWS = 1 << 15, 1 << 22
+#: Shingles whose bits are counted at a time.
+BLOCK = 1 << 15
 
 
 def fingerprint(text: str | None, words: int, parts: int, seed: int) -> list[int]:
@@ -50,89 +45,13 @@ def fingerprint(text: str | None, words: int, parts: int, seed: int) -> list[int
     return np.packbits(2 * count > len(starts), axis=1, bitorder="little").view(np.int64).ravel().tolist()
 
 
-def segments_of(parts: int, segments: int) -> list[tuple[int, int, int]]:
-    """(part, first bit, bits) of each segment; ``segments`` is a multiple of ``parts``."""
-    each = segments // parts
-    edges = [64 * k // each for k in range(each + 1)]
-    return [(part, lo, hi - lo) for part in range(parts) for lo, hi in zip(edges, edges[1:], strict=False)]
-
-
-def _forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest among rows of ``prints`` (n x parts) at most ``distance`` bits apart."""
-    n, links = len(prints), []
-    label = np.arange(n)
-    step = max(1, min(256, ROWS // max(1, n)))
-    for top in range(0, n, step):
-        block = prints[top : top + step]
-        far = np.zeros((len(block), top + len(block)), np.uint16)
-        for part in range(prints.shape[1]):
-            far += np.bitwise_count(block[:, part, None] ^ prints[None, : top + len(block), part])
-        near = far <= distance
-        near &= np.arange(far.shape[1]) < np.arange(top, top + len(block))[:, None]
-        for i in np.flatnonzero(near.any(axis=1)).tolist():
-            partners = np.flatnonzero(near[i])
-            found, first = np.unique(label[partners], return_index=True)
-            links += [(top + i, int(partners[k])) for k in first]
-            if len(found) > 1:
-                label[np.isin(label, found)] = found[0]
-            label[top + i] = found[0]
-    return links
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted batches, cut so that rows of one key (column 0) stay together."""
-    held = None
-    for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
-        if not len(columns[0]):
-            continue
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        if cut:
-            yield [c[:cut] for c in columns]
-        held = [c[cut:] for c in columns]
-    if held is not None and len(held[0]):
-        yield held
-
-
 def links(prints: DataFrame, parts: int, segments: int, distance: int) -> DataFrame:
-    """(a, b) for distinct fingerprints (node long, f0 long, ...): a forest of
-    the links of each bucket, so that components are those of all links."""
-    cuts, names = segments_of(parts, segments), [f"f{k}" for k in range(parts)]
-    if distance >= 2 * len(cuts):
+    """(a, b) for distinct fingerprints (node long, f0 long, ...): enough of the links
+    of at most ``distance`` bits for the components of all."""
+    if distance >= 2 * segments:
         raise ValueError("too few segments for this distance")
-    fields = pa.schema([("key", pa.int64()), ("node", pa.int64()), *((n, pa.int64()) for n in names)])
-
-    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            for number, (part, lo, bits) in enumerate(cuts):
-                segment = columns[1 + part].view(np.uint64) >> np.uint64(lo) & np.uint64((1 << bits) - 1)
-                for bit in range(bits):
-                    key = segment & np.uint64(~(1 << bit) & (1 << bits) - 1) | np.uint64((number << 6 | bit) << 40)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], schema=fields)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, *prints in _runs(batches):
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(starts, len(key)))
-            data = np.stack(prints, axis=1).view(np.uint64)
-            two = starts[sizes == 2]
-            two = two[np.bitwise_count(data[two] ^ data[two + 1]).sum(axis=1, dtype=np.int64) <= distance]
-            a, b = [node[two]], [node[two + 1]]
-            for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                if found := _forest(data[start : start + size], distance):
-                    pairs = np.array(found)
-                    a.append(node[start + pairs[:, 0]])
-                    b.append(node[start + pairs[:, 1]])
-            a, b = np.concatenate(a), np.concatenate(b)
-            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    schema = "key long, node long, " + ", ".join(f"{n} long" for n in names)
-    dealt = prints.select("node", *names).mapInArrow(variants, schema).repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    search = Search(parts, segments, 64 * parts // segments, distance, forest_is_enough=True)
+    return linked(prints.withColumn("size", F.lit(1).cast("long")), search)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, parts: int = 1, segments: int = 2, distance: int = 2, seed: int = 42) -> DataFrame:

@@ -1,28 +1,43 @@
 """Groups of rows whose shingle sets are similar, by verified links.
 
-SimHash fingerprints of the sets and their deletion variants (see ``simhash``)
+SimHash fingerprints of the sets and their deletion variants (see ``variants``)
 only propose pairs; a pair is a link if the exact Jaccard similarity of the two
 sets is high enough. Equal sets are one node.
-
-Pairs are proposed in two rounds. The first takes a spanning forest of each bucket
-and verifies it. The second takes every other pair of nodes that the first left
-in different components. So each proposed pair is verified or lies within a
-component already, and large groups of true copies never become all their pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, stored
 from .graph import components
-from .simhash import BLOCK, ROWS, _runs, segments_of
+from .simhash import BLOCK
+from .variants import Search
+from .variants import links as linked
+
+#: Segments have this many bits, and one more for each doubling of the rows beyond 2**24, so that buckets do not grow.
+BITS, FREE = 16, 8
+
+
+def search_for(rows: int, least: float, recall: float = 0.98) -> Search:
+    """How to search among so many sets, that of pairs of similarity ``least`` this
+    share is proposed, and of more similar ones more.
+
+    With q = 1 - p, where p is the chance that one bit of two such sets differs, a
+    segment of k bits differs by at most one bit with the chance q^k + k p q^(k-1).
+    Whole fingerprints may differ by 4.5 standard deviations more than on average.
+    """
+    p = math.acos(2 * least / (1 + least)) / math.pi
+    bits = max(BITS, rows.bit_length() - FREE)
+    hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    segments = math.ceil(math.log(1 - recall) / math.log(1 - hit))
+    whole = 64 * math.ceil(segments * bits / 64)
+    return Search(whole // 64, segments, bits, math.ceil(whole * p + 4.5 * math.sqrt(whole * p * (1 - p))), least)
 
 
 def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -49,86 +64,6 @@ def majority(hashes: np.ndarray, parts: int) -> list[int]:
     return np.packbits(2 * count > len(hashes), axis=1, bitorder="little").view(np.int64).ravel().tolist()
 
 
-def _first_variant(differ: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
-    """The number of the first variant in which two fingerprints with these differing
-    bits (n x parts) agree, so that a pair is taken in one bucket only."""
-    first = np.full(len(differ), -1, np.int64)
-    for number, (part, lo, bits) in reversed(list(enumerate(cuts))):
-        segment = differ[:, part] >> np.uint64(lo) & np.uint64((1 << bits) - 1)
-        one = np.bitwise_count(segment)
-        bit = np.bitwise_count((segment - np.uint64(1)) & ~segment).astype(np.int64)
-        first = np.where(one == 0, number << 6, np.where(one == 1, number << 6 | bit, first))
-    return first
-
-
-def _bucket(number: int, node: np.ndarray, size: np.ndarray, label: np.ndarray, prints: np.ndarray, cuts: list, distance: int, least: float, every: bool) -> Iterator[np.ndarray]:
-    """Pairs (k x 2) of one bucket's nodes of different labels that may be similar:
-    a spanning forest, or every pair whose first bucket this is."""
-    n = len(node)
-    label = np.unique(label, return_inverse=True)[1]
-    step = max(1, min(256, ROWS // n))
-    for top in range(0, n, step):
-        block, upto = prints[top : top + step], min(n, top + step)
-        far = np.zeros((len(block), upto), np.uint16)
-        for part in range(prints.shape[1]):
-            far += np.bitwise_count(block[:, part, None] ^ prints[None, :upto, part])
-        i, j = np.nonzero(far <= distance)
-        i += top
-        ok = (j < i) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
-        if every:
-            ok &= label[i] != label[j]
-        i, j = i[ok], j[ok]
-        if every:
-            mine = _first_variant(prints[i] ^ prints[j], cuts) == number
-            i, j = i[mine], j[mine]
-            if len(i):
-                yield np.stack([node[i], node[j]], axis=1)
-            continue
-        taken = []
-        for a in np.unique(i).tolist():
-            partners = j[np.searchsorted(i, a) : np.searchsorted(i, a, side="right")]
-            found, first = np.unique(label[partners], return_index=True)
-            for other, at in zip(found.tolist(), first.tolist(), strict=True):
-                if other != label[a]:
-                    taken.append((node[a], node[partners[at]]))
-                    label[label == other] = label[a]
-        if taken:
-            yield np.array(taken)
-
-
-def proposed(nodes: DataFrame, parts: int, segments: int, distance: int, least: float, every: bool) -> DataFrame:
-    """(a, b) of nodes (node, size, label, f0, ...) that the variants bring together."""
-    cuts, names = segments_of(parts, segments), [f"f{k}" for k in range(parts)]
-    if distance >= 2 * len(cuts):
-        raise ValueError("too few segments for this distance")
-    columns = ["node", "size", "label", *names]
-    fields = pa.schema([(n, pa.int64()) for n in ("key", *columns)])
-
-    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [batch.column(3 + part).to_numpy(zero_copy_only=False).view(np.uint64) for part in range(parts)]
-            for number, (part, lo, bits) in enumerate(cuts):
-                segment = prints[part] >> np.uint64(lo) & np.uint64((1 << bits) - 1)
-                for bit in range(bits):
-                    key = segment & np.uint64(~(1 << bit) & (1 << bits) - 1) | np.uint64((number << 6 | bit) << 40)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], schema=fields)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, size, label, *prints in _runs(batches):
-            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])).tolist()
-            data = np.stack(prints, axis=1).view(np.uint64)
-            pairs = [np.zeros((0, 2), np.int64)]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if hi - lo > 1:
-                    pairs += _bucket(int(key[lo]) >> 40, node[lo:hi], size[lo:hi], label[lo:hi], data[lo:hi], cuts, distance, least, every)
-            pairs = np.concatenate(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["a", "b"])
-
-    dealt = nodes.select(*columns).mapInArrow(variants, ", ".join(f"{n} long" for n in ("key", *columns))).repartition("key").sortWithinPartitions("key")
-    found = dealt.mapInArrow(compare, "a long, b long")
-    return found if every else found.distinct()
-
-
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs`` whose sets (node, hashes) have a Jaccard similarity of ``least``."""
     one, two = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"of_{n}")) for n in "ab")
@@ -136,30 +71,31 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("k") >= F.lit(least) * (F.col("m") + F.col("n") - F.col("k")) - F.lit(1e-9)).select("a", "b")
 
 
-def groups(rows: DataFrame, words: int, parts: int, segments: int, distance: int, least: float, seed: int = 42) -> DataFrame:
+def groups(rows: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
     """(rid, root) for each row (rid long, unique and the same in each pass; text):
     rows of one root are connected by links of similarity ``least`` or more.
     Texts without words are alike."""
-    names = [f"f{k}" for k in range(parts)]
+    search = search_for(rows.count(), least)
+    names = [f"f{k}" for k in range(search.parts)]
 
     def prints_of(batch: dict) -> dict:
         sets = [shingle_set(x, words, seed) for x in batch["text"]]
         keys = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]).reshape(-1, 2)
-        found = [majority(s, parts) for s in sets]
+        found = [majority(s, search.parts) for s in sets]
         return {"rid": batch["rid"], "d0": keys[:, 0], "d1": keys[:, 1], "size": [len(s) for s in sets]} | {n: [f[k] for f in found] for k, n in enumerate(names)}
 
     def sets_of(batch: dict) -> dict:
         return {"node": batch["rid"], "hashes": [shingle_set(x, words, seed).view(np.int64) for x in batch["text"]]}
 
     texts = rows.select("rid", "text")
+
+    def accepted(pairs: DataFrame) -> DataFrame:
+        known = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+        sets = stored(map_batches(texts.join(known, "rid"), sets_of, "node long, hashes array<long>"), "sets")
+        return verified(pairs, sets, least)
+
     prints = stored(map_batches(texts, prints_of, "rid long, d0 long, d1 long, size long, " + ", ".join(f"{n} long" for n in names)), "prints")
-    nodes = stored(prints.groupBy("d0", "d1").agg(F.min("rid").alias("node"), F.min("size").alias("size"), *(F.min(n).alias(n) for n in names)).withColumn("label", F.col("node")), "nodes")
-    first = stored(proposed(nodes, parts, segments, distance, least, every=False), "proposed")
-    known = first.select(F.col("a").alias("rid")).union(first.select("b")).distinct()
-    sets = stored(map_batches(texts.join(known, "rid"), sets_of, "node long, hashes array<long>"), "sets")
-    links = stored(verified(first, sets, least), "links")
-    left = nodes.drop("label").join(sets.select("node"), "node").join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node"))
-    second = stored(proposed(left, parts, segments, distance, least, every=True), "proposed")
-    roots = components(links.union(stored(verified(second, sets, least), "links")))
+    nodes = stored(prints.groupBy("d0", "d1").agg(F.min("rid").alias("node"), F.min("size").alias("size"), *(F.min(n).alias(n) for n in names)), "nodes")
+    roots = components(linked(nodes, search, accepted))
     rooted = nodes.select("d0", "d1", "node").join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"))
     return prints.select("rid", "d0", "d1").join(rooted, ["d0", "d1"]).select("rid", "root")

@@ -3,10 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
-from changeloom.llm import graph, repeats, simhash
+from changeloom.llm import graph, repeats, similar, simhash, variants
 from changeloom.llm import queries as Q
 from changeloom.llm.run_index import RunIndex
 
@@ -57,18 +58,57 @@ def test_simhash_of_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("parts", "segments", "distance"), [(1, 2, 3), (1, 4, 7), (2, 12, 23)])
-def test_links_lose_no_component(spark, parts, segments, distance):
+@pytest.mark.parametrize(("parts", "segments", "distance", "most"), [(1, 2, 3, 4096), (1, 4, 7, 4096), (3, 12, 23, 4096), (1, 2, 3, 6), (1, 4, 7, 40), (3, 12, 23, 10)])
+def test_links_lose_no_component(spark, parts, segments, distance, most, monkeypatch):
+    """Whether buckets are compared whole, by a forest or, of more than ``most`` rows, in blocks."""
+    monkeypatch.setattr(variants, "MOST", most)
+    monkeypatch.setattr(variants, "ROWS", 64)
     rng = random.Random(distance)
     centres = [rng.getrandbits(64 * parts) for _ in range(6)]
-    prints = list({c ^ sum(1 << b for b in rng.sample(range(64 * parts), rng.randint(0, distance))) for c in centres for _ in range(40)})
+    prints = list({c ^ sum(1 << b for b in rng.sample(range(64 * parts), rng.randint(0, distance))) for c in centres for _ in range(40)} | {centres[0] ^ 1 << b for b in range(64 * parts)})
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     rows = [(k, *(signed(p >> 64 * w & (1 << 64) - 1) for w in range(parts))) for k, p in enumerate(prints)]
     frame = spark.createDataFrame(rows, "node long, " + ", ".join(f"f{w} long" for w in range(parts)))
     linked = simhash.links(frame, parts, segments, distance)
     roots = {r["node"]: r["root"] for r in graph.components(linked).collect()}
     assert [roots.get(k, k) for k in range(len(prints))] == brute_components(prints, distance)
-    assert linked.count() <= 64 * parts * len(prints)
+    assert simhash.links(frame.limit(0), parts, segments, distance).count() == 0
+
+
+@pytest.mark.parametrize("most", [4096, 12])
+def test_verified_links_lose_no_component(spark, most, monkeypatch):
+    """Where a forest of proposed pairs is not one of links, the others are looked at too:
+    among near fingerprints, only nodes of one colour are linked."""
+    monkeypatch.setattr(variants, "MOST", most)
+    monkeypatch.setattr(variants, "DENSE", 4)
+    rng = random.Random(most)
+    centre = rng.getrandbits(64)
+    prints = sorted({centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 2))) for _ in range(150)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = spark.createDataFrame([(k, 1, signed(p)) for k, p in enumerate(prints)], "node long, size long, f0 long")
+    search = variants.Search(1, 4, 16, 5)
+    found = variants.links(frame, search, lambda pairs: pairs.where("a % 3 = b % 3"))
+    roots = {r["node"]: r["root"] for r in graph.components(found).collect()}
+    assert [roots.get(k, k) for k in range(len(prints))] == [k % 3 for k in range(len(prints))]
+
+
+@pytest.mark.parametrize(("bits", "lo"), [(16, 48), (17, 51), (28, 112)])
+def test_segments_across_words(bits, lo):
+    values = [random.Random(k).getrandbits(192) for k in range(20)]
+    words = np.array([[v >> 64 * w & (1 << 64) - 1 for w in range(3)] for v in values], np.uint64)
+    assert variants._segment(words, lo, bits).tolist() == [v >> lo & (1 << bits) - 1 for v in values]
+
+
+@pytest.mark.parametrize(("rows", "similarity"), [(10_000, 0.8), (10_000, 0.9), (1 << 36, 0.8)])
+def test_share_of_similar_sets_that_is_proposed(rows, similarity):
+    """At 0.8 and above, for small and for very large corpora, from fingerprints of random sets."""
+    rng, found, n = np.random.default_rng(rows), 0, 400
+    search = similar.search_for(rows, 0.8)
+    for _ in range(n):
+        shared, own = round(200 * similarity), round(200 * (1 - similarity)) // 2
+        a, b = (np.array([similar.majority(np.concatenate([both, rng.integers(0, 1 << 64, own, np.uint64)]), search.parts)]).view(np.uint64) for both in [rng.integers(0, 1 << 64, shared, np.uint64)] for _ in "ab")
+        found += bool(variants._first_variant(a ^ b, search.segments, search.bits)[0] >= 0 and variants._apart(a, b)[0] <= search.distance)
+    assert found >= 0.95 * n
 
 
 def test_components_of_odd_links(spark):
