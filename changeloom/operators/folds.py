@@ -1,140 +1,192 @@
-"""Operators that walk the entries of one changeset in order.
+"""What the entries of one changeset come to, and an order in which they can be applied.
 
-Each entry's effect depends on the list that the earlier ones have left, so these
-are functions of one changeset's entries, applied to many in parallel.
+Folding follows what each path holds through the steps, in one pass with look-ups by
+path, for many changesets in parallel. Orders are column work: each entry gets the
+place of the earliest entry that must not come before it, and one sort does the rest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from changeloom.functions.scalars import ancestors_of
 from changeloom.operators.entries import KEY
 from changeloom.schema import ADD, DEL, REN, UPD
 
 COLUMNS = ["action", "name", "old_name", "is_directory"]
 
 
-def _below(path: str | None, root: str) -> bool:
-    return path is not None and path.startswith(root + "/")
-
-
-def folded(incoming: list[dict]) -> list[dict]:
-    """A patch's entries without steps that later ones undo.
-
-    Entries are dicts of action, name, old_name and is_directory.
-    """
-    done: list[dict] = []
-    for new in incoming:
-        take = {ADD: _take_add, DEL: _take_delete, REN: _take_rename}.get(new["action"], _take_other)
-        take(done, dict(new))
-    dirs = [e for e in done if e["action"] == ADD and e["is_directory"]]
-    return _dirs_ahead(done, dirs)
-
-
-def _take_other(done: list[dict], new: dict) -> None:
-    if not any(e["action"] == ADD and e["name"] == new["name"] for e in done):
-        done.append(new)
-
-
-def _take_add(done: list[dict], new: dict) -> None:
-    name, at = new["name"], None
-    for e in list(done):
-        if e["action"] == REN and e["old_name"] == name:
-            if any(x["action"] == REN and _below(x["name"], name) for x in done):
-                continue
-            target = e["name"]
-            e.update(action=ADD, old_name=None, is_directory=new["is_directory"])
-            done[:] = [x for x in done if not (x["action"] == UPD and x["name"] == target)]
-            return
-        if e["action"] == REN and e["name"] == name:
-            done[:] = [x for x in done if x is not e]
-    for k, e in enumerate(done):
-        if e["name"] == name or _below(e["name"], name) or (e["action"] == REN and _below(e["old_name"], name)):
-            at = k
-            break
-    done.insert(len(done) if at is None else at, new)
-
-
-def _take_delete(done: list[dict], new: dict) -> None:
-    for k, e in enumerate(done):
-        if e["action"] == REN and e["name"] == new["name"]:
-            e.update(action=DEL, name=e["old_name"], old_name=None)
-            return
-        if e["action"] == ADD and e["name"] == new["name"]:
-            del done[k]
+def _above(path: str) -> Iterator[str]:
+    """The directories that hold a path."""
+    at = path.find("/")
+    while at >= 0:
+        yield path[:at]
+        at = path.find("/", at + 1)
+
+
+@dataclass(eq=False)
+class _Thing:
+    """What a step has touched. ``source`` is its path before the changeset, None if it
+    was not there; ``path`` its path now, None if it is not there any more."""
+
+    place: int
+    source: str | None
+    path: str | None
+    directory: bool | None
+    moved: bool = False  # by a rename, whatever became of it
+    void: bool = False
+
+    def entry(self) -> dict:
+        if self.path is None:
+            return {"action": DEL, "name": self.source, "old_name": None, "is_directory": self.directory}
+        if self.source is None:
+            return {"action": ADD, "name": self.path, "old_name": None, "is_directory": self.directory}
+        return {"action": REN, "name": self.path, "old_name": self.source, "is_directory": self.directory}
+
+
+class _Changeset:
+    """Things by where they are now, and renamed ones by where they came from and by
+    the directories that they are in."""
+
+    def __init__(self):
+        self.things: list[_Thing] = []
+        self.here: dict[str, _Thing] = {}
+        self.left: dict[str, _Thing] = {}
+        self.within: dict[str, dict[_Thing, None]] = {}
+        self.updates: list[tuple[int, dict]] = []
+
+    def _renamed(self, thing: _Thing, path: str | None) -> None:
+        """Puts a renamed thing to ``path``; None takes it out of the look-ups."""
+        for d in _above(thing.path or ""):
+            self.within.get(d, {}).pop(thing, None)
+        if path is None:
+            self.left.pop(thing.source, None)
+        else:
+            for d in _above(path):
+                self.within.setdefault(d, {})[thing] = None
+        thing.path = path
+
+    def _new(self, *values) -> _Thing:
+        self.things.append(_Thing(*values))
+        return self.things[-1]
+
+    def add(self, place: int, name: str, directory: bool | None) -> None:
+        late = self.left.get(name)
+        if late and not self.within.get(name):  # renames are listed first: this is what was renamed
+            path = late.path
+            self._renamed(late, None)
+            late.source, late.path, late.directory = None, path, directory
             return
-        if e["action"] == DEL and _below(new["name"], e["name"]):
-            done.insert(k, new)
+        before = self.here.get(name)
+        if before and before.source is None:
             return
-    done.append(new)
-
-
-def _take_rename(done: list[dict], new: dict) -> None:
-    old, name = new["old_name"], new["name"]
-    for e in done:
-        if e["action"] == REN and _below(e["name"], old):
-            e["name"] = name + e["name"][len(old) :]
-    for e in done:
-        if e["action"] == REN and e["name"] == old:
-            e["name"] = name
-            return
-        if e["action"] == ADD and e["name"] == old:
-            e["name"] = name
-            return
-    if not any(e["action"] == ADD and e["name"] == name for e in done):
-        done.append(new)
-
-
-def _dirs_ahead(done: list[dict], dirs: list[dict]) -> list[dict]:
-    """Added directories stand before whatever goes into them."""
-    out = list(done)
-    for d in sorted(dirs, key=lambda e: e["name"]):
-        k = next(i for i, e in enumerate(out) if e is d)
-        first = next((i for i, e in enumerate(out[:k]) if _below(e["name"], d["name"])), None)
-        if first is not None:
-            out.insert(first, out.pop(k))
-    return out
-
+        if before:
+            place, before.void = before.place, True
+            self._renamed(before, None)
+        self.here[name] = self._new(place, None, name, directory)
+
+    def delete(self, place: int, name: str, directory: bool | None) -> None:
+        thing = self.here.pop(name, None)
+        if thing is None:
+            self._new(place, name, None, directory)
+        elif thing.source is None:
+            thing.void = True
+        else:
+            self._renamed(thing, None)
+            thing.directory = directory
+
+    def rename(self, place: int, old: str, name: str, directory: bool | None) -> None:
+        for inner in list(self.within.get(old, ())):
+            self.here.pop(inner.path, None)
+            self._renamed(inner, name + inner.path[len(old) :])
+            self.here[inner.path] = inner
+        thing, there = self.here.pop(old, None), self.here.get(name)
+        if thing is None:
+            if there and there.source is None:
+                return
+            thing = self._new(place, old, None, directory, True)
+            self.left[old] = thing
+        if thing.source is None:
+            thing.path = name
+        else:
+            self._renamed(thing, name)
+        self.here[name] = thing
+
+    def update(self, place: int, name: str, directory: bool | None) -> None:
+        thing = self.here.get(name)
+        if thing is None or thing.source is not None:
+            self.updates.append((place, {"action": UPD, "name": name, "old_name": None, "is_directory": directory}))
+
+    def entries(self) -> list[dict]:
+        found = [(t.place, t.entry(), t.moved) for t in self.things if not t.void]
+        added = {e["name"] for _, e, _ in found if e["action"] == ADD}
+        low: dict[str, int] = {}
+        for place, entry in [*((p, e) for p, e, _ in found), *self.updates]:
+            for name in (entry["name"], entry["old_name"]) if entry["action"] == REN else (entry["name"],):
+                for d in _above(name):
+                    low[d] = min(place, low.get(d, place))
+            low[entry["name"]] = min(place, low.get(entry["name"], place))
+        gone: dict[str, int] = {}
+        for place, entry, _ in found:
+            if entry["action"] == DEL:
+                gone[entry["name"]] = min(place, gone.get(entry["name"], place))
+        out = []
+        for place, entry, moved in [*found, *((p, e, False) for p, e in self.updates if e["name"] not in added)]:
+            depth, key = entry["name"].count("/"), (place, 1, 0, place)
+            if entry["action"] == ADD:  # parents first, all before what is in them
+                key = (low[entry["name"]], 0, depth, place)
+            elif entry["action"] == DEL and not moved:
+                first = min((gone[d] for d in _above(entry["name"]) if d in gone), default=place)
+                if first < place:
+                    key = (first, 0, -depth, place)
+            out.append((key, entry))
+        return [entry for _, entry in sorted(out, key=lambda x: x[0])]
+
+
+def net_effects(steps: Iterable[dict]) -> list[dict]:
+    """A patch's steps (action, name, old_name, is_directory) as what they come to.
+
+    What is added and moved is added where it ends, what is added and deleted was
+    never there, what is moved and deleted is deleted where it was, a chain of
+    moves is one, and what is added needs no update. An addition of a path that
+    was moved away is that of what was moved, because patches list moves first,
+    unless something was moved to below that path. A move to a path that is added
+    as well gives way to the addition. Moves to below a directory that moves later
+    end in its new place.
+
+    Everything stands where its first step stood, but an addition before what
+    names its path or one below, and a deletion before that of its directory.
+    """
+    found = _Changeset()
+    for place, s in enumerate(steps):
+        if s["action"] == ADD:
+            found.add(place, s["name"], s["is_directory"])
+        elif s["action"] == DEL:
+            found.delete(place, s["name"], s["is_directory"])
+        elif s["action"] == REN:
+            found.rename(place, s["old_name"], s["name"], s["is_directory"])
+        else:
+            found.update(place, s["name"], s["is_directory"])
+    return found.entries()
 
-def directories_first(incoming: list[dict]) -> list[dict]:
-    """Entries ordered so that they can be applied one by one.
 
-    An added or renamed directory stands before what lies in it; a deletion before
-    a rename to, or an addition of, its path, and before the deletion of a
-    directory whose name begins its own.
-    """
-    out: list[dict] = []
-    for new in incoming:
-        enters = new["action"] in (ADD, REN) and new["is_directory"]
-        at = len(out)
-        for k, e in enumerate(out):
-            if enters and _below(e["name"], new["name"]):
-                at = k
-            elif new["action"] == DEL and (
-                (e["action"] in (REN, ADD) and e["name"] == new["name"]) or (e["action"] == DEL and e["is_directory"] and new["name"].startswith(e["name"]) and new["name"] != e["name"])
-            ):
-                at = k
-            if at == k:
-                break
-        out.insert(at, new)
-    return out
-
-
-def _per_changeset(entries: DataFrame, walk: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    """``walk`` over each changeset's entries. Changesets are mostly small, so each
-    task takes many of them from one sorted stream."""
+def fold_patch_entries(entries: DataFrame) -> DataFrame:
+    """``net_effects`` of each changeset, pos given anew. Changesets are mostly small,
+    so each task takes many of them from one sorted stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         out: list[tuple] = []
         for key, group in groupby(rows, key=lambda r: r[:2]):
-            done = walk([dict(zip(COLUMNS, r[3:], strict=True)) for r in group])
+            done = net_effects(dict(zip(COLUMNS, r[3:], strict=True)) for r in group)
             out += [(*key, pos, *(e[c] for c in COLUMNS)) for pos, e in enumerate(done)]
             if len(out) >= 10_000:
                 yield _batch(out, arrow)
@@ -152,11 +204,36 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def fold_patch_entries(entries: DataFrame) -> DataFrame:
-    """``folded`` for each changeset; pos is given anew."""
-    return _per_changeset(entries, folded)
-
-
 def order_directories_first(entries: DataFrame) -> DataFrame:
-    """``directories_first`` for each changeset; pos is given anew."""
-    return _per_changeset(entries, directories_first)
+    """Entries in an order in which they can be applied one by one, pos given anew.
+
+    They come as delta lists give them: renames, additions, deletions, updates. An
+    added or renamed directory goes before what lies in it; a deletion before a
+    rename to, or an addition of, its path, and before the deletion of a directory
+    whose name its own begins with. What must not move stays.
+    """
+    e = entries.select(*KEY, "pos", *COLUMNS)
+    depth = lambda c: F.size(F.split(c, "/"))
+    enters = F.col("action").isin(ADD, REN) & F.coalesce("is_directory", F.lit(False))
+    dirs = e.where(enters).select(*KEY, "pos", F.col("name").alias("dir"))
+    inside = e.select(*KEY, F.col("pos").alias("_at"), F.explode(ancestors_of(F.col("name"))).alias("dir"))
+    first = dirs.join(inside, [*KEY, "dir"]).where("_at < pos").groupBy(*KEY, "pos").agg(F.min("_at").alias("_first"))
+    e = e.join(first, [*KEY, "pos"], "left").withColumn("_place", F.coalesce("_first", "pos"))
+    # Deletions: of what comes to their path, and of deleted directories that begin their name.
+    comes = e.where(F.col("action").isin(ADD, REN)).select(*KEY, "name", F.struct(F.col("_place").alias("place"), depth("name").alias("depth")).alias("_to"), F.col("pos").alias("_at"))
+    gone = e.where(F.col("action") == DEL).select(*KEY, "pos", "name", F.coalesce("is_directory", F.lit(False)).alias("dir"))
+    own = gone.join(comes, [*KEY, "name"]).where("_at < pos").groupBy(*KEY, "pos").agg(F.min("_to").alias("_to"))
+    gone = gone.join(own, [*KEY, "pos"], "left").withColumn("_to", F.coalesce("_to", F.struct(F.col("pos").alias("place"), F.lit(1 << 30).alias("depth"))))
+    heads = F.transform(F.sequence(F.lit(1), F.length("name")), lambda k: F.substr("name", F.lit(1), k))
+    starts = gone.where("name <> ''").select(*KEY, F.col("pos").alias("_pos"), F.explode(heads).alias("name"))
+    outer = starts.join(gone.where("dir"), [*KEY, "name"]).where("pos < _pos").groupBy(*KEY, F.col("_pos").alias("pos")).agg(F.min("_to").alias("_out"), F.count("*").cast("int").alias("_nested"))
+    gone = gone.join(outer, [*KEY, "pos"], "left").select(*KEY, "pos", F.least("_to", "_out").alias("_to"), F.coalesce("_nested", F.lit(0)).alias("_nested"))
+    out = e.join(gone, [*KEY, "pos"], "left")
+    stays = F.coalesce(F.col("_to.place"), F.col("_place")) == F.col("pos")
+    order = [
+        F.coalesce(F.col("_to.place"), F.col("_place")),
+        F.when(F.col("action") == DEL, F.when(stays, 1 << 30).otherwise(F.col("_to.depth"))).when(enters, depth("name")).otherwise(1 << 30),
+        F.when(stays & ~enters, 1).otherwise(0), F.when(enters, 1).otherwise(0), -F.coalesce("_nested", F.lit(0)), F.col("pos"),
+    ]
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)) - 1
+    return out.withColumn("_pos", place.cast("int")).select(*KEY, F.col("_pos").alias("pos"), *COLUMNS)

@@ -154,7 +154,9 @@ def replaced(spark, sf):
 
 @query("j1_to_j4_resolve_copies")
 def resolve(spark, sf):
-    rows = with_dirs(spark, sf).withColumn("action", F.expr("CASE WHEN action = 'UPD' THEN 'REP' WHEN action = 'REN' THEN 'ADD' ELSE action END")).dropDuplicates(["repo", "seq", "name"])
+    rows = with_dirs(spark, sf).withColumn("action", F.expr("CASE WHEN action = 'UPD' THEN 'REP' WHEN action = 'REN' THEN 'ADD' ELSE action END"))
+    nth = F.row_number().over(Window.partitionBy("repo", "seq", "name").orderBy("pos"))
+    rows = rows.withColumn("name", F.concat("name", F.when(nth > 1, F.concat(F.lit("~"), nth.cast("string"))).otherwise("")))  # each path is named once
     return out(entries.resolve_copies(rows.withColumn("copied", F.col("old_name").isNotNull())))
 
 
@@ -299,9 +301,23 @@ def by_name(spark, sf):
     return out(entries.order_entries_by_name(V.moves(spark, sf)))
 
 
-@query("w7_order_directories_first")
+DELTAS = M + """, deltas AS (SELECT repo, seq, row_number() OVER (PARTITION BY repo, seq ORDER BY CASE action WHEN 'REN' THEN 0 WHEN 'ADD' THEN 1 WHEN 'DEL' THEN 2 ELSE 3 END, pos) - 1 AS pos, action, CASE WHEN pos % 3 = 1 THEN split_part(name, '/', 1) WHEN pos % 3 = 2 AND action <> 'UPD' THEN split_part(name, '/', 1) || '/' || split_part(name, '/', 2) ELSE name END AS name, old_name FROM moves),
+    flags AS (SELECT *, length(name) < 6 AS dir, action IN ('REN', 'ADD') AND length(name) < 6 AS ent, len(string_split(name, '/')) AS depth FROM deltas)"""
+
+
+@query("w7_order_directories_first", DELTAS + """, p AS (SELECT f.repo, f.seq, f.pos, any_value(f.action) AS action, any_value(f.name) AS name, any_value(f.old_name) AS old_name, any_value(f.dir) AS dir, any_value(f.ent) AS ent, any_value(f.depth) AS depth, least(f.pos, coalesce(min(x.pos), f.pos)) AS place
+        FROM flags f LEFT JOIN flags x ON f.ent AND x.repo = f.repo AND x.seq = f.seq AND x.pos < f.pos AND starts_with(x.name, f.name || '/') GROUP BY f.repo, f.seq, f.pos),
+    own AS (SELECT d.repo, d.seq, d.pos, any_value(d.name) AS name, any_value(d.dir) AS dir, coalesce(min(CASE WHEN a.pos IS NOT NULL THEN a.place * 2000000000 + a.depth END), any_value(d.pos) * 2000000000 + 1073741824) AS at FROM p d LEFT JOIN p a ON a.repo = d.repo AND a.seq = d.seq AND a.name = d.name AND a.action IN ('REN', 'ADD') AND a.pos < d.pos WHERE d.action = 'DEL' GROUP BY d.repo, d.seq, d.pos),
+    del AS (SELECT d.repo, d.seq, d.pos, least(any_value(d.at), coalesce(min(o.at), any_value(d.at))) AS at, count(o.pos) AS nested FROM own d LEFT JOIN own o ON o.repo = d.repo AND o.seq = d.seq AND o.dir AND o.pos < d.pos AND starts_with(d.name, o.name) GROUP BY d.repo, d.seq, d.pos),
+    k AS (SELECT p.repo, p.seq, p.pos, action, name, old_name, ent, coalesce(d.at // 2000000000, place) AS place, coalesce(d.at // 2000000000, place) = p.pos AS stays, CASE WHEN action = 'DEL' AND d.at // 2000000000 < p.pos THEN d.at % 2000000000 WHEN ent THEN depth ELSE 1073741824 END AS level, coalesce(d.nested, 0) AS nested FROM p LEFT JOIN del d USING (repo, seq, pos))
+    SELECT repo, seq, row_number() OVER (PARTITION BY repo, seq ORDER BY place, level, stays AND NOT ent, ent, -nested, pos) - 1 AS pos, action, name, old_name FROM k""")
 def dirs_first(spark, sf):
-    return out(folds.order_directories_first(with_dirs(spark, sf).withColumn("is_directory", ~F.contains(F.col("name"), F.lit("/")))))
+    """Changesets as delta lists with directories at two depths."""
+    pos, top = F.col("pos"), F.substring_index("name", "/", 1)
+    rank = F.element_at(F.create_map(*(F.lit(x) for x in ("REN", 0, "ADD", 1, "DEL", 2, "UPD", 3))), F.col("action"))
+    name = F.when(pos % 3 == 1, top).when((pos % 3 == 2) & (F.col("action") != "UPD"), F.substring_index("name", "/", 2)).otherwise(F.col("name"))
+    rows = V.moves(spark, sf).withColumns({"name": name, "pos": F.row_number().over(Window.partitionBy("repo", "seq").orderBy(rank, "pos")) - 1})
+    return out(folds.order_directories_first(rows.withColumn("is_directory", F.length("name") < 6)))
 
 
 @query("w8_rename_before_dir_delete", DIRS + """, f AS (SELECT m.repo, m.seq, m.pos, min(d.pos) AS first_at FROM dirs m JOIN dirs d ON d.repo = m.repo AND d.seq = m.seq AND d.action = 'DEL' AND m.action = 'REN' AND m.old_name LIKE d.name || '/%' GROUP BY ALL)

@@ -1,6 +1,7 @@
 """Operators of the history library on small histories."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -21,38 +22,42 @@ def frame(spark, rows, seq=1):
 # Copies and replacements
 
 
-def walk_copies(items):
-    """The rule, walked entry by entry: items are (action, name, old_name, copied)."""
-    items = [dict(zip(("action", "name", "old", "copied"), i)) for i in sorted(items, key=lambda i: i[1])]
-    copied = {i["name"] for i in items if i["copied"]}
-    under = lambda n: any(n.startswith(c + "/") for c in copied)
-    moved = {}
-    for i in items:
-        if i["action"] in ("ADD", "REP") and i["old"]:
-            moved[i["old"]] = i
-    head, tail = [], []
-    for i in items:
-        if i["action"] in ("DEL", "REP"):
-            if i["name"] in moved:
-                moved[i["name"]]["action"] = "REN"
-                hit = True
-            else:
-                hit = False
-                for old, m in moved.items():
-                    if old.startswith(i["name"] + "/"):
-                        m["action"] = "REN"
-            if i["action"] == "DEL":
-                if not hit:
-                    tail.append(i)
-                continue
-            if i["action"] == "REP":
-                i["action"] = "REN" if i["old"] else "ADD"
-            tail.append(i)
-        else:
-            if under(i["name"]):
-                i["action"] = "ADD"
-            head.append(i)
-    return [(i["action"], i["name"]) for i in head + tail]
+class Copies:
+    """The rule, stated for each entry alone: items are (action, name, old_name, copied)."""
+
+    def __init__(self, items):
+        self.items = {i[1]: i for i in items}
+        self.source = {n: old for n, (action, _, old, _) in self.items.items() if action in ("ADD", "REP") and old}
+        self.copy_of = {old: max(n for n, o in self.source.items() if o == old) for old in self.source.values()}
+
+    def credits(self, giver, taker):
+        """Whether the end of ``giver``'s old content makes ``taker`` a rename."""
+        old = self.source.get(taker)
+        if old is None or self.copy_of[old] != taker or not self.frees(giver):
+            return False
+        return old == giver or (old.startswith(giver + "/") and giver not in self.copy_of)
+
+    def frees(self, name):
+        """Deletions do; replacements do unless an entry of a smaller name has made them renames."""
+        action = self.items[name][0]
+        return action == "DEL" or (action == "REP" and not any(self.credits(n, name) for n in self.items if n < name))
+
+    def action(self, name):
+        """None for an entry that vanishes."""
+        action, _, old, _ = self.items[name]
+        if action == "DEL":
+            return None if name in self.copy_of else "DEL"
+        if action == "REP" and self.frees(name):
+            return "REN" if old else "ADD"
+        givers = [n for n in self.items if self.credits(n, name)]
+        below = any(i[3] and name.startswith(n + "/") for n, i in self.items.items())
+        if below and not any(n > name for n in givers):
+            return "ADD"
+        return "REN" if givers else action
+
+    def result(self):
+        late = lambda n: self.items[n][0] in ("DEL", "REP") and self.frees(n)
+        return [(self.action(n), n) for n in sorted(self.items, key=lambda n: (late(n), n)) if self.action(n)]
 
 
 def test_copies_in_every_order(spark):
@@ -67,7 +72,7 @@ def test_copies_in_every_order(spark):
             old = rng.choice([None, *paths]) if action in ("ADD", "REP") else None
             old = None if old == name else old
             items.append((action, name, old, old is not None or (action == "ADD" and rng.random() < 0.2)))
-        want[seq] = walk_copies(items)
+        want[seq] = Copies(items).result()
         rows += [("r", seq, k, *i) for k, i in enumerate(items)]
     df = spark.createDataFrame(rows, "repo string, seq long, pos int, action string, name string, old_name string, copied boolean")
     got = {}
@@ -93,19 +98,81 @@ def e(action, name, old=None, directory=False):
     ([e(R, "y", "x"), e(R, "z", "y")], [(R, "z")]),
     ([e(A, "x"), e(U, "x")], [(A, "x")]),
     ([e(R, "y", "x"), e(A, "x")], [(A, "y")]),
+    ([e(R, "y", "x"), e(U, "y"), e(A, "x")], [(A, "y")]),
+    ([e(R, "B", "A"), e(U, "c"), e(A, "B")], [(A, "B"), (U, "c")]),
+    ([e(A, "B"), e(R, "B", "A")], [(A, "B")]),
     ([e(A, "d/f"), e(A, "d", None, True)], [(A, "d"), (A, "d/f")]),
+    ([e(R, "d/e/f", "o"), e(A, "d/e", None, True), e(A, "d", None, True)], [(A, "d"), (A, "d/e"), (R, "d/e/f")]),
+    ([e(R, "x", "d/f"), e(A, "d", None, True)], [(A, "d"), (R, "x")]),
+    ([e(R, "d2", "d"), e(R, "d/b", "d2"), e(A, "d", None, True)], [(A, "d"), (R, "d/b")]),
     ([e(R, "d/a", "o/a"), e(R, "n", "d")], [(R, "n/a"), (R, "n")]),
     ([e(D, "d"), e(D, "d/f")], [(D, "d/f"), (D, "d")]),
+    ([e(D, "d", None, True), e(D, "d/s", None, True), e(D, "d/s/f"), e(D, "db")], [(D, "d/s/f"), (D, "d/s"), (D, "d"), (D, "db")]),
 ])
 def test_fold(steps, left):
-    assert [(x["action"], x["name"]) for x in folds.folded(steps)] == left
+    assert [(x["action"], x["name"]) for x in folds.net_effects(steps)] == left
+
+
+def test_deletion_tells_what_was_deleted():
+    assert folds.net_effects([e(R, "y", "x", False), e(D, "y", None, True)]) == [e(D, "x", None, True)]
+
+
+def replayed(tree, steps):
+    """The tree (path: what is there) after steps in order."""
+    tree = dict(tree)
+    for k, s in enumerate(steps):
+        if s["action"] == A:
+            tree[s["name"]] = "new"
+        elif s["action"] == D:
+            del tree[s["name"]]
+        elif s["action"] == R:
+            tree[s["name"]] = tree.pop(s["old_name"])
+        else:
+            tree[s["name"]] += "" if tree[s["name"]] == "new" else "u"
+    return tree
+
+
+def test_net_effects_lead_to_the_same_tree():
+    """On random changesets without directories: what is taken away at once, then what is put, then what is changed."""
+    rng = random.Random(8)
+    for _ in range(2_000):
+        start = {n: n for n in rng.sample("abcdefgh", 5)}
+        tree, steps, away = dict(start), [], set()
+        for _ in range(rng.randint(1, 9)):
+            free = [n for n in "abcdefgh" if n not in tree and n not in away]
+            step = rng.choice([A, D, U, R])
+            if step == A and free:
+                steps.append(e(A, rng.choice(free)))
+            elif step in (D, U) and tree:
+                steps.append(e(step, rng.choice(sorted(tree))))
+            elif step == R and tree and free:
+                steps.append(e(R, rng.choice(free), rng.choice(sorted(tree))))
+                away.add(steps[-1]["old_name"])
+            else:
+                continue
+            tree = replayed(tree, steps[-1:])
+        folded, got = folds.net_effects(steps), dict(start)
+        taken = [(x, got.pop(x["old_name"] if x["action"] == R else x["name"])) for x in folded if x["action"] in (D, R)]
+        got |= {x["name"]: was for x, was in taken if x["action"] == R}
+        got |= {x["name"]: "new" for x in folded if x["action"] == A}
+        for x in folded:
+            assert x["action"] != U or got.get(x["name"]) != "new"
+        strip = lambda t: {n: w.rstrip("u") or "u" for n, w in t.items()}
+        assert strip(got) == strip(tree), (start, steps, folded)
+
+
+def test_large_changesets_are_folded_in_linear_time():
+    began = time.process_time()
+    steps = [e(A, f"d{k % 300}/f{k}") for k in range(40_000)] + [e(A, f"d{k}", None, True) for k in range(300)] + [e(R, f"r{k}", f"q{k}") for k in range(40_000)] + [e(D, f"r{k}") for k in range(0, 40_000, 2)]
+    assert len(folds.net_effects(steps)) == 80_300
+    assert time.process_time() - began < 20
 
 
 def test_no_rename_into_a_directory_added_later(spark):
     rng = random.Random(3)
     for _ in range(300):
         steps = [rng.choice([e(A, "d", None, True), e(R, f"d/{k}", f"o/{k}"), e(A, f"d/{k}"), e(U, f"u{k}"), e(D, f"d/{k}")]) for k in range(rng.randint(1, 8))]
-        done = folds.folded(steps)
+        done = folds.net_effects(steps)
         for k, x in enumerate(done):
             if x["action"] == A and x["is_directory"]:
                 assert not any(y["action"] == R and y["name"].startswith(x["name"] + "/") for y in done[:k])
@@ -113,9 +180,17 @@ def test_no_rename_into_a_directory_added_later(spark):
     assert [(r["action"], r["name"], r["pos"]) for r in out.collect()] == [(U, "y", 0)]
 
 
-def test_directories_first(spark):
-    out = folds.order_directories_first(frame(spark, [(R, "d/f", "f", False), (A, "d", None, True), (A, "g", None, False), (D, "g", None, False)]))
-    assert [(r["action"], r["name"]) for r in out.orderBy("pos").collect()] == [(A, "d"), (R, "d/f"), (D, "g"), (A, "g")]
+@pytest.mark.parametrize(("rows", "want"), [
+    ([(R, "d/f", "f", False), (A, "d", None, True), (A, "g", None, False), (D, "g", None, False)], [(A, "d"), (R, "d/f"), (D, "g"), (A, "g")]),
+    ([(R, "d/e/f", "f", False), (A, "d/e", None, True), (A, "d", None, True)], [(A, "d"), (A, "d/e"), (R, "d/e/f")]),
+    ([(R, "n", "o", True), (D, "n", None, True), (D, "n/x", None, False)], [(D, "n/x"), (D, "n"), (R, "n")]),
+    ([(D, "foo", None, True), (D, "foobar", None, False), (D, "foo/s", None, True), (D, "foo/s/x", None, False)], [(D, "foo/s/x"), (D, "foobar"), (D, "foo/s"), (D, "foo")]),
+    ([(R, "d/n", "o", False), (A, "d", None, True), (D, "d/n", None, False), (U, "z", None, False)], [(A, "d"), (D, "d/n"), (R, "d/n"), (U, "z")]),
+    ([(U, "b", None, False), (U, "a", None, None)], [(U, "b"), (U, "a")]),
+])
+def test_directories_first(spark, rows, want):
+    out = folds.order_directories_first(frame(spark, rows))
+    assert [(r["action"], r["name"]) for r in out.orderBy("pos").collect()] == want
 
 
 # Changesets
