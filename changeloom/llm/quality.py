@@ -2,8 +2,10 @@
 follow-the-regularised-leader updates and scored as sparse dot products.
 
 Tokens are runs of word bytes and runs of other visible bytes; features are
-hashed 1- to ``max_n``-grams of tokens. A text's feature vector holds each
-n-gram's share of all its n-grams, times ``SCALE``.
+hashed 1- to ``max_n``-grams of tokens, and hashed 3-grams of which only the
+pattern of equal tokens is kept, so that "go go on" and "so so so-so" have theirs in
+common with other texts. A text's feature vector holds each n-gram's share of all
+its n-grams, times ``SCALE``.
 
 Training takes at most ``max_rows`` labelled rows (those with the smallest hash
 of the id), deals them to ``shards`` tasks by that hash, runs FTRL-proximal in
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+")
 BLOCK = 1 << 20
 SCALE = 32.0
-#: How far back a token is looked for, for "same word again".
-REPEATS = 2
+#: Tokens of an n-gram of which the pattern is kept, and the first number of a pattern.
+PATTERN, PATTERNS = 3, 0x5EED0000
 
 
 def _blocks(data: bytes) -> Iterator[bytes]:
@@ -41,12 +43,13 @@ def _blocks(data: bytes) -> Iterator[bytes]:
 
 
 def features(text: str | None, bits: int, max_n: int) -> Iterator[np.ndarray]:
-    """Arrays of feature numbers below 2**bits, together every n-gram of ``text``.
+    """Arrays of feature numbers below 2**bits, together every n-gram of ``text``."""
+    mask, reach = np.uint64((1 << bits) - 1), max(max_n, PATTERN) - 1
+
+    def hashed(grams: np.ndarray) -> np.ndarray:
+        mixed = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((mixed >> np.uint64(32)) & mask).astype(np.int64)
 
-    A token that equals the one before it, or the one before that, also counts
-    as the n-gram "same word again" at that distance, whatever the word is.
-    """
-    mask, reach = np.uint64((1 << bits) - 1), max(max_n - 1, REPEATS)
     tail = np.zeros(0, np.uint64)
     for block in _blocks((text or "").encode("utf-8", "replace")):
         tokens = TOKEN.findall(block)
@@ -54,15 +57,11 @@ def features(text: str | None, bits: int, max_n: int) -> Iterator[np.ndarray]:
         old, gram = tail.size, h
         for n in range(1, max_n + 1):
             gram = gram if n == 1 else gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[n - 1:]
-            new = gram[max(0, old - n + 1):]
-            mixed = (new ^ (new >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            yield ((mixed >> np.uint64(32)) & mask).astype(np.int64)
+            yield hashed(gram[max(0, old - n + 1):])
             if gram.size < 2:
                 break
-        for gap in range(1, REPEATS + 1):
-            start = max(old, gap)
-            again = int((h[start:] == h[start - gap:-gap]).sum()) if h.size > start else 0
-            yield np.full(again, gap, np.int64)
+        a, b, c = (h[max(0, old - PATTERN + 1) + k: h.size - PATTERN + 1 + k] for k in range(PATTERN))
+        yield hashed((PATTERNS + (a == b) + 2 * (b == c) + 4 * (a == c)).astype(np.uint64))
         tail = h[max(0, h.size - reach):]
 
 
@@ -139,13 +138,17 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, key_col: str, max_ro
     return QualityModel(total[:-1].astype(np.float32), float(total[-1]), bits, max_n)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int = 16384, id_col: str = "doc_id") -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with labels, the at most ``max_rows`` ids of smallest hash.
 
     Rows without an id or a label are left out. An id with several labels counts
-    with the smallest, so that repeated label rows change nothing.
+    with the smallest, so that repeated label rows change nothing. Document rows of
+    one id and text count once; of several texts of one id the least counts, so
+    that there are no more rows than ids.
     """
     order = F.xxhash64(F.col(id_col))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias(label_col))
     chosen = known.orderBy(order, id_col).limit(max_rows)
-    return docs.join(F.broadcast(chosen), id_col)  # max_rows ids at most
+    found = docs.join(F.broadcast(chosen), id_col)  # max_rows ids at most
+    others = [F.min_by(F.struct(*(F.col(f"`{c}`") for c in found.columns)), F.coalesce(text_col, F.lit(""))).alias("row")]
+    return found.groupBy(id_col).agg(*others).select("row.*")

@@ -103,6 +103,73 @@ def test_quality_of_odd_rows(spark):
     assert set(scores) == {0.5}
 
 
+def brute_features(text, bits, max_n):
+    """Counts by feature number, n-gram by n-gram, with integers of any size."""
+    tokens = re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+", (text or "").encode())
+    mod, counts = 1 << 64, {}
+
+    def count(gram):
+        gram = (gram ^ gram >> 29) * 0xBF58476D1CE4E5B9 % mod
+        number = gram >> 32 & (1 << bits) - 1
+        counts[number] = counts.get(number, 0) + 1
+
+    for n in range(1, max_n + 1):
+        for k in range(len(tokens) - n + 1):
+            gram = 0
+            for t in tokens[k : k + n]:
+                gram = (gram * 0x9E3779B97F4A7C15 + zlib.crc32(t)) % mod
+            count(gram)
+    for a, b, c in zip(tokens, tokens[1:], tokens[2:]):
+        count(0x5EED0000 + (a == b) + 2 * (b == c) + 4 * (a == c))
+    return counts
+
+
+def test_quality_model_equals_brute_force(spark):
+    """Training and scores, feature by feature, from the definition."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice(["good", "fine", "so", "no", "no!"][: 3 + 2 * (k % 2)]) for _ in range(rng.randrange(30))), k % 2) for k in range(60)]
+    bits, max_n, alpha, beta, l1, l2, scale = 10, 2, 0.5, 1.0, 0.002, 0.01, quality.SCALE
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(frame, "text", "quality", "doc_id", shards=2, bits=bits, max_n=max_n, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    orders = {r[0]: r[1] for r in frame.selectExpr("doc_id", "xxhash64(doc_id)").collect()}
+    total, used = {}, 0
+    for shard in (0, 1):
+        part = sorted((r for r in rows if orders[r[0]] % 2 == shard), key=lambda r: orders[r[0]])
+        z, n = {}, {}
+
+        def weight(i):
+            if abs(z.get(i, 0.0)) <= l1:
+                return 0.0
+            return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+        for _ in range(2):
+            for _, text, label in part:
+                counts = brute_features(text, bits, max_n)
+                x = {i: scale * c / max(1, sum(counts.values())) for i, c in counts.items()} | {"intercept": 1.0}
+                p = 1 / (1 + 2.718281828459045 ** -sum(weight(i) * v for i, v in x.items()))
+                for i, v, w in [(i, v, weight(i)) for i, v in x.items()]:
+                    g, old = (p - label) * v, n.get(i, 0.0)
+                    z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * w
+                    n[i] = old + g * g
+        for i in z:
+            total[i] = total.get(i, 0.0) + weight(i) * len(part)
+        used += len(part)
+    wanted = {i: w / used for i, w in total.items()}
+    assert abs(model.intercept - wanted["intercept"]) < 1e-5
+    assert all(abs(model.weights[i] - wanted.get(i, 0.0)) < 1e-5 for i in range(1 << bits))
+    for text in ("good so so", "", "no! no no!", None, "unseen words"):
+        counts = brute_features(text, bits, max_n)
+        margin = wanted["intercept"] + scale * sum(wanted.get(i, 0.0) * c for i, c in counts.items()) / max(1, sum(counts.values()))
+        assert abs(model.score_text(text) - 1 / (1 + 2.718281828459045**-margin)) < 1e-5
+
+
+def test_repeated_document_rows_add_no_training_rows(spark):
+    docs = spark.createDataFrame([(1, "b", 1), (1, "b", 1), (1, "a", 2), (2, None, 3), (3, "x", 4)], "doc_id long, text string, quality_of int")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1)], "doc_id long, quality int")
+    rows = quality.training_rows(docs, labels, "quality").collect()
+    assert sorted((r["doc_id"], r["text"], r["quality"]) for r in rows) == [(1, "a", 1), (2, None, 0)]
+
+
 def test_features_do_not_depend_on_blocks(monkeypatch):
     import numpy as np
 
