@@ -6,10 +6,11 @@ marker, in one of many styles, or none. A hidden Markov model whose states are
 ending; Viterbi's algorithm finds the best states, and lines of one turn are
 rendered together under their role.
 
-The model's probabilities are counted from labelled lines. Long transcripts are
-cut into blocks of turns: what a block does to the scores of states is a small
-matrix, matrices are combined over a transcript, and every block is then decoded
-between its known first and last states. The result is that of one pass.
+The model's probabilities are counted from labelled lines. Lines are dealt out in
+their order, and a transcript is cut into blocks of so many lines at most: what a
+block does to the scores of states is a small matrix, matrices are combined over a
+transcript, and every block is then decoded between its known first and last
+states. The result is that of one pass, and no task holds a long transcript.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,9 @@ SPEAKERS = {"system": "system", "instruction": "system", "user": "user", "human"
 MARKER = r"^\s*(?:#+\s*|\*\*|<\|?|\[)?(?i:(" + "|".join(sorted(SPEAKERS, key=len, reverse=True)) + r"))(?:\s*\*\*\s*:|\s*:\s*\*\*|\|?>|\]|\s*:)\s*"
 LENGTHS = [0, 20, 60, 150, 400]
 CODES = 4 * (len(LENGTHS) + 1) * 3
-BLOCK_TURNS = 512
+BLOCK_LINES = 4096
+#: Lines of a transcript are in this order. Rows that are equal in all but row are repeated rows, so their order changes nothing.
+ORDER = ["key", "turn", "tie", "row", "pos"]
 
 
 def line_code(line: Column) -> Column:
@@ -50,12 +54,14 @@ def line_code(line: Column) -> Column:
 
 
 def transcript(conversations: DataFrame, marked_percent: int = 85) -> DataFrame:
-    """(conv, turn, tie, pos, line, role) lines of a plain transcript of
+    """(conv, turn, tie, row, pos, line, role) lines of a plain transcript of
     ``conversations`` (conv_id, turn, role, text).
 
     Each conversation has one style of markers; the turns that carry one are
     picked by a hash. Null texts are empty lines, turns without a number come
-    first, turns of an unknown role carry no marker.
+    first, turns of an unknown role carry no marker, repeated rows are turns of
+    their own; an empty table has no lines. Other columns are ignored, whatever
+    their names.
     """
     rows = conversations.select("conv_id", "turn", "role", "text")
     style = F.pmod(F.xxhash64(F.col("conv_id")), F.lit(4))
@@ -66,7 +72,7 @@ def transcript(conversations: DataFrame, marked_percent: int = 85) -> DataFrame:
     shown = F.when(F.pmod(F.xxhash64("conv_id", "turn", "role"), F.lit(100)) < marked_percent, F.concat(marker, F.lit(" ")))
     text = F.concat(F.coalesce(shown, F.lit("")), F.coalesce("text", F.lit("")))
     return rows.select(
-        F.col("conv_id").alias("conv"), F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.xxhash64("role", "text").alias("tie"), "role",
+        F.col("conv_id").alias("conv"), F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.xxhash64("role", "text").alias("tie"), F.monotonically_increasing_id().alias("row"), "role",
         F.posexplode(F.split(text, "\n")).alias("pos", "line"),
     )
 
@@ -113,15 +119,47 @@ def borders(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return list(zip([len(STATES), *ends[:-1]], ends, strict=True))
 
 
-def fit(lines: DataFrame) -> TurnModel:
-    """Counts over labelled lines (see ``transcript``), plus one half each."""
+def numbered(lines: DataFrame, block_lines: int) -> DataFrame:
+    """(key, block, place, first, pos, code, role, line): lines (see ``transcript``) by
+    the block of their transcript, block numbers and places ascending in order.
+
+    Range partitions follow the order, whatever a transcript's size; in each, a
+    block ends with its transcript or when it is full. first marks a transcript's
+    first block.
+    """
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit(""))
+    role = F.col("role") if "role" in lines.columns else F.lit(None).cast("string")
+    rows = lines.select(key.alias("key"), "turn", "tie", "row", "pos", line_code(F.col("line")).alias("code"), role.alias("role"), "line")
+    kept = ["key", "pos", "code", "role", "line"]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, place, last, size = TaskContext.get().partitionId() << 40, 0, None, 0
+        for batch in batches:
+            blocks = []
+            for name in batch.column(0).to_pylist():
+                if name != last or size == block_lines:
+                    block, last, size = block + 1, name, 0
+                size += 1
+                blocks.append(block)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blocks, pa.int64()), pa.array(np.arange(place, place + n)), *batch.columns[1:]], names=["key", "block", "place", *kept[1:]])
+            place += n
+
+    dealt = rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select(*kept)
+    placed = stored(dealt.mapInArrow(number, "key string, block long, place long, pos int, code int, role string, line string"), "lines")
+    first = placed.groupBy("key").agg(F.min("block").alias("block")).withColumn("first", F.lit(True))
+    return placed.join(first, ["key", "block"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
+
+
+def fit(lines: DataFrame, block_lines: int = BLOCK_LINES) -> TurnModel:
+    """Counts over labelled lines (see ``transcript``), plus one half each. Lines of
+    other roles are left out; without any line all states are alike."""
     names = F.create_map(*(x for k, (role, begins) in enumerate(STATES) for x in (F.lit(f"{role}{begins}"), F.lit(k))))
-    known = lines.where(F.col("role").isin(ROLES)).select(
-        "conv", "turn", "tie", "pos", F.floor(F.col("turn") / BLOCK_TURNS).alias("block"), line_code(F.col("line")).alias("code"),
-        F.element_at(names, F.concat("role", F.when(F.col("pos") == 0, "True").otherwise("False"))).alias("state"),
+    known = numbered(lines.where(F.col("role").isin(ROLES)), block_lines).select(
+        "key", "block", "place", "first", "code", F.element_at(names, F.concat("role", F.when(F.col("pos") == 0, "True").otherwise("False"))).alias("state"),
     )
-    pairs = known.selectExpr("state", "code", "block", "lag(state) OVER (PARTITION BY conv, block ORDER BY turn, tie, pos) AS before")
-    counted = pairs.groupBy("before", "state", "code", F.expr("before IS NULL AND block <= 0").alias("starts")).count().collect()  # a few thousand kinds at most
+    pairs = known.selectExpr("state", "code", "first", "lag(state) OVER (PARTITION BY key, block ORDER BY place) AS before")
+    counted = pairs.groupBy("before", "state", "code", F.expr("before IS NULL AND first").alias("starts")).count().collect()  # a few thousand kinds at most
     size = len(STATES)
     first, step, emit = np.full(size, 0.5), np.full((size, size), 0.5), np.full((size, CODES), 0.5)
     for row in counted:
@@ -143,16 +181,17 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
     return ((key, list(part)) for key, part in groupby(rows, key=lambda r: r[:keys]))
 
 
-def recover_turns(lines: DataFrame, model: TurnModel) -> DataFrame:
+def recover_turns(lines: DataFrame, model: TurnModel, block_lines: int = BLOCK_LINES) -> DataFrame:
     """(conv, turn, role, n_lines, content) of the turns found in ``lines``
-    (conv, turn, tie, pos, line), numbered from 0 within each transcript.
+    (conv, turn, tie, row, pos, line), numbered from 0 within each transcript.
 
-    The marker goes from a turn's first line. Lines of no conversation form one.
+    The marker goes from a turn's first line. Lines of no conversation form one,
+    repeated rows follow each other, an empty table has no turns. Other columns
+    are ignored, whatever their names.
     """
     shared = lines.sparkSession.sparkContext.broadcast(model)
-    key = F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit(""))
-    coded = lines.select(key.alias("key"), F.floor(F.col("turn") / BLOCK_TURNS).alias("block"), "turn", "tie", "pos", line_code(F.col("line")).alias("code"), "conv", "line")
-    order = ["key", "block", "turn", "tie", "pos"]
+    coded = numbered(lines.drop("role") if "role" in lines.columns else lines, block_lines).select("key", "block", "place", "code", "line")
+    order = ["key", "block", "place"]
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, block), rows in _groups(batches, 2):
@@ -171,8 +210,8 @@ def recover_turns(lines: DataFrame, model: TurnModel) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, block), rows in _groups(batches, 2):
-            before, last = rows[0][7:9]
-            states = shared.value.best(np.array([r[5] for r in rows]), len(STATES) if before is None else before, last)
+            before, last = rows[0][5:7]
+            states = shared.value.best(np.array([r[3] for r in rows]), len(STATES) if before is None else before, last)
             parts: list[list] = []
             number = 0
             for row, state in zip(rows, states, strict=True):
@@ -182,7 +221,7 @@ def recover_turns(lines: DataFrame, model: TurnModel) -> DataFrame:
                 if begins or not parts:
                     parts.append([number, begins, role, 0, []])
                 parts[-1][3] += 1
-                parts[-1][4].append(re.sub(MARKER, "", row[6], count=1) if begins else row[6])
+                parts[-1][4].append(re.sub(MARKER, "", row[4], count=1) if begins else row[4])
             columns = list(zip(*parts, strict=True))
             yield pa.RecordBatch.from_pydict({
                 "key": [key] * len(parts), "block": pa.array([block] * len(parts), pa.int64()), "number": pa.array(columns[0], pa.int64()), "begins": columns[1],

@@ -56,7 +56,7 @@ def test_rendering(spark):
     assert [r[0] for r in frame.select(chat.rendered(frame["role"], frame["content"])).collect()] == ["<|user|>\na < |end|> b<|end|>\n", "<|system|>\n<|end|>\n"]
 
 
-def test_turns_of_odd_and_long_transcripts(spark, monkeypatch):
+def test_turns_of_odd_and_long_transcripts(spark):
     rng = random.Random(1)
     rows = [(1, None, "user", "hi"), (1, 2, None, "what"), (1, 2, None, "what"), (None, 1, "assistant", None), (2, 1, "system", ""), (3, 0, "user", "Human: a\n" * 3_000)]
     rows += [(4, k, ["user", "assistant"][k % 2], " ".join("w" for _ in range(rng.randint(1, 60))) + "\nsecond line") for k in range(300)]
@@ -66,8 +66,11 @@ def test_turns_of_odd_and_long_transcripts(spark, monkeypatch):
     whole = sorted(map(tuple, chat.recover_turns(lines, model).collect()), key=repr)
     assert sum(r[3] for r in whole) == lines.count()
     assert sum(r[3] for r in whole if r[0] is None) == 1
-    monkeypatch.setattr(chat, "BLOCK_TURNS", 7)
-    assert sorted(map(tuple, chat.recover_turns(lines, model).collect()), key=repr) == whole
+    for size in (1, 7):
+        blocks = chat.numbered(lines, size).groupBy("key", "block").count()
+        assert blocks.where(f"count > {size}").count() == 0
+        assert np.allclose(chat.fit(lines, size).emit, model.emit)
+        assert sorted(map(tuple, chat.recover_turns(lines, model, size).collect()), key=repr) == whole
     assert chat.recover_turns(lines.limit(0), chat.fit(lines.limit(0))).count() == 0
 
 
