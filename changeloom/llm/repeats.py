@@ -7,11 +7,18 @@ context, the bytes they cover together; each window of a text is in exactly one
 of its contexts.
 
 Anchors that occur once in the corpus are dropped; their windows cannot repeat.
-Of the other contexts, equal ones are counted and kept once. All contexts of an
-anchor go to one task, which builds a run-length index of them (see ``run_index``),
-streams matching statistics and so finds the windows that occur elsewhere. The
-index of a task is built piece by piece, for whole anchors, so its size is bounded
-by ``INDEX_BYTES`` or one anchor's different contexts.
+Of the other contexts, equal ones are counted and kept once; contexts with equal
+anchors and lengths are equal if two independent 64-bit hashes, of the anchor and
+of all bytes, agree. The contexts of an anchor go to one task, which builds a
+run-length index of them (see ``run_index``), streams matching statistics and so
+finds the windows that occur elsewhere. The index of a task is built piece by
+piece, for whole anchors, up to ``INDEX_BYTES``.
+
+An anchor with more than ``HOT`` different contexts, such as a frequent line, is made
+longer: windows that reach far enough to its left are grouped by the bytes there,
+the others by the bytes on its right. That is repeated for groups that are still
+too large; the bytes that a window has besides its anchor are halved each time, so
+that in the end the windows of a group are equal and one context is left of it.
 
 Lengths are in UTF-8 bytes; matches never cross texts. A null text is an empty one.
 """
@@ -22,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +37,8 @@ from .common import small_batches, stored, with_row_id
 from .run_index import RunIndex
 
 INDEX_BYTES = 1 << 18
+#: Different contexts of an anchor beyond which it is made longer.
+HOT = 1024
 PLACE_BITS = 20
 BLOCK = (1 << PLACE_BITS) - 1
 _random = np.random.default_rng(7)
@@ -89,6 +99,16 @@ class Anchors:
         return start, n, grams[anchor[start]].view(np.int64), covered.view(np.int64)
 
 
+    def anchor_of(self, data: bytes) -> int:
+        """Where in a context its anchor is."""
+        grams, step = BYTE_VALUES[np.frombuffer(data, np.uint8)[: self.span]], 1
+        while step < self.gram:
+            grams = grams[:-step] * self.forward[step - 1] + grams[step:]
+            step *= 2
+        grams = _mixed(grams) & ~np.uint64(BLOCK)
+        return len(grams) - 1 - int(np.argmin(grams[::-1]))
+
+
 def occurrences(base: DataFrame, span: int, gram: int) -> DataFrame:
     """(rid, start, n, anchor, context) of every context of ``base`` (rid, text)."""
     schema = pa.schema(OCCURRENCE)
@@ -141,6 +161,61 @@ def _indexed(contexts: DataFrame, span: int) -> DataFrame:
     return dealt.mapInArrow(index, "anchor long, context long, runs array<int>")
 
 
+def _lengthened(pieces: DataFrame) -> DataFrame:
+    """Contexts grouped by longer anchors: ``pieces`` are (anchor, context, copies, lo, data,
+    key, left, right), windows of a context from number lo on, whose anchor is at
+    left .. right in data; each gives two at most, with new keys and their hash, sub."""
+    fields = [("anchor", "long"), ("context", "long"), ("copies", "long"), ("lo", "long"), ("data", "binary"), ("key", "long"), ("left", "long"), ("right", "long"), ("span", "long")]
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for anchor, context, copies, lo, data, key, left, right, span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                spare, windows = span - (right - left), len(data) - span + 1
+                more = -(-spare // 2)
+                cut = max(0, min(windows, left - more + 1))  # windows that begin so far before the anchor
+                for side, first, last, begin, end in ((0, 0, cut, left - more, right), (1, cut, windows, left, right + spare - more + 1 if spare else right)):
+                    if first < last:
+                        new = xxhash.xxh3_64_intdigest(data[begin:end], side) ^ key & (1 << 64) - 1
+                        part = data[first : last - 1 + span]
+                        out.append((anchor, context, copies, lo + first, part, _signed(new), begin - first, end - first, span, _signed(xxhash.xxh3_64_intdigest(part))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*out, strict=True), [*fields, ("sub", "long")], strict=True)], names=[*(n for n, _ in fields), "sub"])
+
+    return pieces.select(*(n for n, _ in fields)).mapInArrow(halves, ", ".join(f"{n} {k}" for n, k in fields) + ", sub long")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _marked_hot(contexts: DataFrame, span: int, gram: int) -> DataFrame:
+    """(anchor, context, runs) for ``contexts`` (anchor, context, copies, data) of hot anchors."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors(span, gram)
+        for batch in batches:
+            left = [anchors.anchor_of(data) for data in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(left, pa.int64())], names=["anchor", "context", "copies", "data", "left"])
+
+    pieces = contexts.select("anchor", "context", "copies", "data").mapInArrow(placed, "anchor long, context long, copies long, data binary, left long")
+    pieces = pieces.select("*", F.col("anchor").alias("key"), F.lit(0).cast("long").alias("lo"), (F.col("left") + gram).alias("right"), F.lit(span).cast("long").alias("span"))
+    done = None
+    while True:
+        pieces = stored(_lengthened(pieces), "pieces")
+        large = stored(pieces.select("key", "sub").distinct().groupBy("key").count().where(F.col("count") > HOT).select("key"), "hot")
+        ready = pieces.join(large, "key", "left_anti")
+        once = ready.groupBy(F.col("key").alias("anchor"), F.col("sub").alias("context")).agg(F.sum("copies").alias("copies"), F.min("data").alias("data"))
+        found = _indexed(once, span).select(F.col("anchor").alias("key"), F.col("context").alias("sub"), "runs")
+        runs = F.transform("runs", lambda x: (x + F.col("lo")).cast("int"))
+        marks = stored(ready.select("anchor", "context", "key", "sub", "lo").join(found, ["key", "sub"]).select("anchor", "context", runs.alias("runs")), "marked")
+        done = marks if done is None else done.union(marks)
+        if not large.head(1):
+            return done
+        pieces = pieces.join(large, "key", "left_semi")
+
+
 def mark_repeats(docs: DataFrame, span: int = 200, gram: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, text, rest (its other columns) and marks,
     structs (start, runs) of windows whose bytes occur elsewhere; null if none do.
@@ -152,8 +227,8 @@ def mark_repeats(docs: DataFrame, span: int = 200, gram: int = 64, id_col: str =
     found = occurrences(base, span, gram)
     often = stored(found.groupBy("anchor").count().where("count > 1").select("anchor"), "often")  # stored, so that the join may split a large anchor
     found = stored(found.join(often, "anchor", "left_semi"), "contexts")
-    different = found.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "n")).alias("at"))
-    wanted = different.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct("anchor", "context", "copies", F.col("at.start").alias("start"), F.col("at.n").alias("n"))).alias("wanted"))
+    different = stored(found.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "n")).alias("at")), "different")
+    hot = stored(different.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "hot")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,8 +241,16 @@ def mark_repeats(docs: DataFrame, span: int = 200, gram: int = 64, id_col: str =
                         names=["anchor", "context", "copies", "data"],
                     )
 
-    texts = base.select("rid", "text").join(wanted, "rid").select("text", "wanted").mapInArrow(cut_out, "anchor long, context long, copies long, data binary")
-    marked = _indexed(texts, span)
+    def with_bytes(contexts: DataFrame) -> DataFrame:
+        parts = F.struct("anchor", "context", "copies", F.col("at.start").alias("start"), F.col("at.n").alias("n"))
+        wanted = contexts.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(parts).alias("wanted"))
+        return base.select("rid", "text").join(wanted, "rid").select("text", "wanted").mapInArrow(cut_out, "anchor long, context long, copies long, data binary")
+
+    if hot.head(1):
+        cool, warm = different.join(hot, "anchor", "left_anti"), different.join(hot, "anchor", "left_semi")
+        marked = _indexed(with_bytes(cool), span).union(_marked_hot(with_bytes(warm), span, gram))
+    else:
+        marked = _indexed(with_bytes(different), span)
     marks = found.join(marked, ["anchor", "context"]).groupBy("rid").agg(F.collect_list(F.struct("start", "runs")).alias("marks"))
     return base.join(stored(marks, "marks"), "rid", "left").select("id", "text", "rest", "marks")
 

@@ -67,9 +67,10 @@ class RunIndex:
         change = bytes_before[1:] != bytes_before[:-1]
         change |= bytes_before[1:] == SEPARATOR  # separators differ from each other
         heads = np.concatenate([[0], np.flatnonzero(change) + 1]) if len(order) else np.zeros(0, np.int64)
-        tails = np.append(heads[1:] - 1, len(order) - 1) if len(order) else heads
-        self.run_bytes, self.run_lengths = bytes_before[heads], tails - heads + 1
-        self.head_samples, self.tail_samples = order[heads], order[tails]
+        self.run_bytes, self.run_lengths = bytes_before[heads], np.diff(np.append(heads, len(order)))
+        # From here on runs are all that is left of the sorted suffixes.
+        ends = np.cumsum(self.run_lengths)
+        self.head_samples, self.tail_samples = order[ends - self.run_lengths], order[ends - 1]
         self.head_matches = np.append(0, self._match(self.head_samples[1:], self.tail_samples[:-1])) if len(order) else heads
         self.tail_matches = np.append(self.head_matches[1:], 0) if len(order) else heads
 

@@ -147,7 +147,8 @@ def test_run_index_equals_brute_force():
         for s in strings:
             for k in range(len(s) - span + 1):
                 count[s[k : k + span]] = count.get(s[k : k + span], 0) + 1
-        assert index.run_lengths.sum() == len(index.text) and len(index.run_bytes) <= len(index.text)
+        before = [index.text[at - 1] for at in sorted(range(len(index.text)), key=lambda at: (bytes(index.text[at : at + index.to_end[at]]) + b"\xff", at))]
+        assert np.repeat(index.run_bytes, index.run_lengths).tolist() == before
         for s, got in zip(strings, index.repeated(span)):
             assert got.tolist() == [count[s[k : k + span]] > 1 for k in range(len(s) - span + 1)]
     assert RunIndex([]).repeated(3) == [] and RunIndex([b""]).repeated(3)[0].size == 0
@@ -169,8 +170,10 @@ def brute_repeats(texts, span):
     return out
 
 
-@pytest.mark.parametrize(("span", "gram"), [(200, 64), (24, 8), (9, 8), (8, 8)])
-def test_repeats_equal_brute_force(spark, span, gram, monkeypatch):
+@pytest.mark.parametrize(("span", "gram", "hot"), [(200, 64, 1024), (200, 64, 1), (24, 8, 2), (24, 8, 1024), (9, 8, 1), (8, 8, 1)])
+def test_repeats_equal_brute_force(spark, span, gram, hot, monkeypatch):
+    """Whether anchors are taken as they are or made longer where they have more than ``hot`` contexts."""
+    monkeypatch.setattr(repeats, "HOT", hot)
     rng = random.Random(span)
     passages = ["".join(rng.choice("abé ") for _ in range(rng.randint(span // 2, 3 * span))) for _ in range(6)]
     texts = [None, "", "a" * (span * 3), "x" * span] + [
@@ -184,6 +187,27 @@ def test_repeats_equal_brute_force(spark, span, gram, monkeypatch):
     assert repeats.remove_repeats(docs.limit(0), span, gram=gram).count() == 0
 
 
+def test_a_frequent_line_is_dealt_out(spark, monkeypatch):
+    """One line of 90 bytes in many documents, some of whose surroundings repeat as well."""
+    monkeypatch.setattr(repeats, "HOT", 5)
+    seen, indexed = [], repeats._indexed
+
+    def watched(contexts, span):
+        contexts = repeats.stored(contexts, "watched")
+        seen.append(max([0, *(r["count"] for r in contexts.groupBy("anchor").count().collect())]))
+        return indexed(contexts, span)
+
+    monkeypatch.setattr(repeats, "_indexed", watched)
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    line, near = word(90), [word(70) for _ in range(3)]
+    texts = [word(rng.randint(0, 150)) + rng.choice(near) + line + rng.choice([*near, word(70)]) + word(rng.randint(0, 150)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["id"], r["n_removed"], bytes(r["kept"])) for r in repeats.remove_repeats(docs).collect())
+    assert got == sorted((k, f[1], f[3]) for k, f in enumerate(brute_repeats([t.encode() for t in texts], 200)))
+    assert max(seen) <= 5 and len(seen) > 2
+
+
 def test_contexts_of_long_texts_hold_every_window_once(monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", (1 << 9) - 1)
     data = random.Random(1).randbytes(5_000)
