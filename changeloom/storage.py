@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir;
-    only where that is unset (one machine) a temporary one is made."""
+    only where that is unset and Spark runs on one machine a temporary one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-changeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
