@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from changeloom.operators import adapt
 from changeloom.plans import views as V
 from changeloom.plans.catalog import query
 from changeloom.storage import shared_dir, stored
@@ -44,15 +45,66 @@ def last(spark, sf):
     return follow.last_applied(spark, f"{base}/applied").select("repo", "seq")
 
 
+def _in_parts(spark, rows, base: str, start) -> None:
+    """``rows`` land in PARTS by date; after each part ``start`` takes what is there."""
+    rows = stored(rows, "landing")
+    low, high = rows.agg(F.min("date_utc"), F.max("date_utc")).first()
+    edges = [low + (high - low) * k / PARTS for k in range(PARTS)] if low else []
+    for k, edge in enumerate(edges):
+        rows.where((F.col("date_utc") >= edge) & (F.lit(k + 1 == PARTS) | (F.col("date_utc") < (edges[k + 1] if k + 1 < PARTS else edge)))).write.mode("append").parquet(f"{base}/inbox")
+        start().awaitTermination()
+
+
 @query("t6_stream_dedupe", V.sql("changes", "SELECT repo, seq FROM changes"))
 def deduped(spark, sf):
-    rows = _changes(spark, sf)
-    inbox, base = _landed(spark, rows.union(rows).coalesce(1))
-    stream = follow.stream_dedupe(follow.stream_ingest(spark, inbox, CHANGES), delay="10000 days")
-    follow.rate_limited(stream).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/mark").start().awaitTermination()
+    """Every changeset comes twice within the delay; the state of earlier parts is gone by then."""
+    rows, base = _changes(spark, sf), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def start():
+        stream = follow.stream_dedupe(follow.stream_ingest(spark, f"{base}/inbox", CHANGES), delay="1 hour")
+        return follow.rate_limited(stream).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/mark").start()
+
+    _in_parts(spark, rows.union(rows), base, start)
     return spark.read.parquet(f"{base}/out").select("repo", "seq")
 
 
+GROUPS = """, m AS (SELECT *, CASE WHEN lag(author) OVER w = author AND lag(log) OVER w = log AND date_trunc('microseconds', date_utc) - lag(date_utc) OVER w < INTERVAL 6 HOUR AND lag(seq) OVER w % 5 <> 0 THEN 0 ELSE 1 END AS new FROM changes WINDOW w AS (PARTITION BY repo ORDER BY seq)), g AS (SELECT *, sum(new) OVER (PARTITION BY repo ORDER BY seq) AS grp FROM m)
+    SELECT repo, min_by(CAST(event_id AS VARCHAR), seq) AS revision, count(*) AS n, false AS late FROM g GROUP BY repo, grp"""
+
+
+@query("t5_stream_collapse", V.sql("changes", GROUPS).replace(") , m AS", "), m AS"))
+def collapsed(spark, sf):
+    """Groups across batches, closed by gaps, other changesets and tags; a last changeset far behind closes the last."""
+    rows = V.changes(spark, sf).select("repo", "seq", F.col("event_id").cast("string").alias("revision"), F.col("date_utc").cast("timestamp").alias("date_utc"), "author", "log", F.when(F.col("seq") % 5 == 0, F.array(F.lit("t"))).alias("tags"))
+    ends = rows.groupBy("repo").agg(F.lit(-1).cast("long").alias("seq"), F.lit("end").alias("revision"), (F.max("date_utc") + F.expr("INTERVAL 9 DAYS")).alias("date_utc"), F.lit("nobody").alias("author"), F.lit("").alias("log"), F.lit(None).cast("array<string>").alias("tags"))
+    base, key = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+
+    def start():
+        stream = follow.stream_collapse(follow.stream_ingest(spark, f"{base}/inbox", CHANGES + ", tags array<string>"), 6 * 3600, "1 day")
+        return stream.writeStream.trigger(availableNow=True).outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/mark").start()
+
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        _in_parts(spark, rows.union(ends), base, start)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(f"{base}/out").select("repo", "revision", "n", "late")
+
+
+@query("h2_after_hooks", V.sql("changes", "SELECT repo, seq, 'release-' || seq AS tag FROM changes WHERE seq % 50 = 49"))
+def tagged(spark, sf):
+    """After each commit of a batch a hook tags every fiftieth changeset."""
+    inbox, base = _landed(spark, _changes(spark, sf))
+
+    def tag(committed):
+        rows = committed.where("seq % 50 = 49").select("repo", "seq", F.concat(F.lit("release-"), F.col("seq").cast("string")).alias("tag"))
+        rows.write.mode("append").parquet(f"{base}/tags")
+
+    follow.pending_stream(follow.stream_ingest(spark, inbox, CHANGES, files_per_batch=2), lambda batch: adapt.after_hooks(batch, [tag]), f"{base}/applied", f"{base}/mark").awaitTermination()
+    return spark.read.parquet(f"{base}/tags")
+
+
 @query("t9_stream_tree", V.sql("ivals", "SELECT repo, path, rev FROM ivals WHERE to_seq IS NULL"))
 def kept_tree(spark, sf):
     rows = V.changes(spark, sf).select("repo", "path", "rev", "seq", (F.col("action") != "DEL").alias("live"))

@@ -8,13 +8,17 @@ applied rows are looked up by identity.
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from changeloom.operators.changesets import missing_changesets
 
@@ -42,39 +46,50 @@ def rate_limited(stream: DataFrame, seconds: float | None = None):
     return stream.writeStream.trigger(availableNow=True) if seconds is None else stream.writeStream.trigger(processingTime=f"{seconds} seconds")
 
 
-def has_rows(spark: SparkSession, path: str) -> bool:
-    """Whether a table has been written at ``path``."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+def table_at(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The table at ``path``; an empty one where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
-def resume_safe_apply(apply: Callable[[DataFrame], DataFrame | None], applied_path: str, key: tuple[str, ...] = IDENTITY) -> Callable[[DataFrame, int], None]:
+def resume_safe_apply(apply: Callable[[DataFrame], DataFrame | None], applied_path: str, key: tuple[str, ...] = IDENTITY, run: str = "") -> Callable[[DataFrame, int], None]:
     """A function for foreachBatch that applies each changeset once.
 
-    The batch is what is pending; rows whose identity is in the table at
-    ``applied_path`` were applied before. What ``apply`` gives, or the batch if it
-    gives nothing, is then recorded with the number of its batch.
+    The batch is what is pending; rows whose identity was recorded at
+    ``applied_path`` by other batches were applied before. What ``apply`` gives,
+    or the batch if it gives nothing, is recorded in a folder of ``run`` (name of
+    the checkpoint) and batch. A batch that was lost halfway is run again and its
+    folder replaced, so that applying by returning rows happens once; what
+    ``apply`` does besides may be done again for that one batch.
     """
 
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(list(key))
-        if has_rows(spark, applied_path):
-            fresh = missing_changesets(fresh, spark.read.parquet(applied_path), key)
-        fresh = fresh.persist()
+    def step(batch: DataFrame, number: int) -> None:
+        done_before = _recorded(batch.sparkSession, applied_path, batch.schema).where((F.col("run") != _run_name(run)) | (F.col("batch") != number))
+        fresh = missing_changesets(batch.dropDuplicates(list(key)), done_before, key).persist()
         try:
             done = apply(fresh)
-            write_state(fresh if done is None else done, applied_path, number)
+            write_state(fresh if done is None else done, applied_path, number, run)
         finally:
             fresh.unpersist()
 
-    return run
+    return step
+
+
+def _run_name(run: str) -> str:
+    return f"r{zlib.crc32(run.encode()):08x}"
+
 
+def _recorded(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return table_at(spark, path, StructType([*schema.fields]).add("run", "string").add("batch", "long"))
 
-def write_state(applied: DataFrame, path: str, number: int) -> None:
-    """Appends applied changesets to the table of what has been applied."""
-    applied.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+
+def write_state(applied: DataFrame, path: str, number: int, run: str = "") -> None:
+    """Records applied changesets as those of a batch, in one step."""
+    applied.drop("run", "batch").write.mode("overwrite").parquet(f"{path}/run={_run_name(run)}/batch={number}")
 
 
 def last_applied(spark: SparkSession, path: str) -> DataFrame:
@@ -83,8 +98,9 @@ def last_applied(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pending_stream(stream: DataFrame, apply: Callable[[DataFrame], DataFrame | None], applied_path: str, checkpoint: str, key: tuple[str, ...] = IDENTITY) -> StreamingQuery:
-    """Starts a query that applies what is pending and ends when nothing is."""
-    return rate_limited(stream).foreachBatch(resume_safe_apply(apply, applied_path, key)).option("checkpointLocation", checkpoint).start()
+    """Starts a query that applies what is pending and ends when nothing is. To keep
+    back what is not accepted, see ``gated_stream``."""
+    return rate_limited(stream).foreachBatch(resume_safe_apply(apply, applied_path, key, checkpoint)).option("checkpointLocation", checkpoint).start()
 
 
 def gated_stream(stream: DataFrame, accepted: Column, applied_path: str, pending_path: str, checkpoint: str, key: tuple[str, ...] = IDENTITY) -> StreamingQuery:
@@ -99,19 +115,18 @@ def gated_stream(stream: DataFrame, accepted: Column, applied_path: str, pending
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = f"{pending_path}/{number - 1}"
-        fresh = batch.unionByName(spark.read.schema(batch.schema).parquet(last)) if has_rows(spark, last) else batch
+        fresh = batch.unionByName(table_at(spark, f"{pending_path}/{number - 1}", batch.schema))
         # Of rows of one identity a rejected one decides, so that the choice is the same in every batch.
         fresh = fresh.withColumn("_ok", F.coalesce(accepted, F.lit(False)))
         fresh = fresh.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_ok", "seq"))).where("_n = 1").drop("_n")
-        if has_rows(spark, applied_path):
-            fresh = missing_changesets(fresh, spark.read.parquet(applied_path), key)
+        done_before = _recorded(spark, applied_path, batch.schema).where((F.col("run") != _run_name(checkpoint)) | (F.col("batch") != number))
+        fresh = missing_changesets(fresh, done_before, key)
         stop = fresh.where("NOT _ok").groupBy(F.col("repo").alias("_repo")).agg(F.min("seq").alias("_stop"))
         fresh = fresh.join(stop, F.col("repo").eqNullSafe(F.col("_repo")), "left").withColumn("_held", F.coalesce(F.col("seq") >= F.col("_stop"), F.lit(False))).persist()
         try:
             # What is held is stored first: a batch that is lost between the two writes is run again from the last pending folder.
             fresh.where("_held").select(*batch.columns).write.mode("overwrite").parquet(f"{pending_path}/{number}")
-            write_state(fresh.where("NOT _held").select(*batch.columns), applied_path, number)
+            write_state(fresh.where("NOT _held").select(*batch.columns), applied_path, number, checkpoint)
         finally:
             fresh.unpersist()
 
@@ -125,40 +140,48 @@ def stream_dedupe(stream: DataFrame, time: str = "date_utc", delay: str = "1 hou
 
 class _Collapse(StatefulProcessor):
     """Holds the changesets of a repo until no earlier one can come, and the group
-    that may still grow."""
+    that may still grow. A repo's latest date less the delay is its mark; what comes
+    with an earlier date than the mark of the batches before is late."""
 
-    def __init__(self, seconds: int):
-        self.gap = timedelta(seconds=seconds)
+    def __init__(self, seconds: int, delay: timedelta):
+        self.gap, self.delay = timedelta(seconds=seconds), delay
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "date_utc timestamp, author string, log string, revision string")
-        self.open = handle.getValueState("open", "first timestamp, last timestamp, author string, log string, revision string, n long")
+        row = "date_utc timestamp, author string, log string, revision string, tagged boolean, acts string"
+        self.waiting = handle.getListState("waiting", row)
+        self.open = handle.getValueState("open", "first timestamp, last timestamp, author string, log string, revision string, n long, tagged boolean, acts string")
+        self.mark = handle.getValueState("mark", "at timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark = self.mark.get()[0] if self.mark.exists() else None
+        waiting = sorted(self.waiting.get(), key=_in_order) if self.waiting.exists() else []
+        out, new = [], []
         for frame in rows:
-            for row in frame[["date_utc", "author", "log", "revision"]].itertuples(index=False):
-                self.waiting.appendValue(tuple(row))
-                self.handle.registerTimer(int((row[0] + self.gap).timestamp() * 1000))
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
-
-    def _release(self, key, watermark_ms: int) -> Iterator[pd.DataFrame]:
-        until = pd.Timestamp(watermark_ms, unit="ms").to_pydatetime() if watermark_ms > 0 else None
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ready = [r for r in waiting if until and r[0] <= until]
-        group, out = (self.open.get() if self.open.exists() else None), []
-        for date, author, log, revision in ready:
-            if group and group[2] == author and group[3] == log and date - group[1] < self.gap:
-                group = (group[0], date, author, log, group[4], group[5] + 1)
-            else:
-                if group:
-                    out.append(group)
-                group = (date, date, author, log, revision, 1)
-        if group and until and until - group[1] >= self.gap:
-            out.append(group)
+            for date, *rest in frame[["date_utc", "author", "log", "revision", "tagged", "acts_json"]].itertuples(index=False):
+                row = (pd.Timestamp(date).to_pydatetime(), *(None if x is None or x != x else x for x in rest))
+                if mark and row[0] < mark:
+                    out.append((*row[:1], *row[:4], 1, True))
+                else:
+                    new.append(row)
+        waiting = sorted([*waiting, *new], key=_in_order)
+        if waiting:
+            mark = max(x for x in (mark, waiting[-1][0] - self.delay) if x)
+            self.mark.update((mark,))
+        group = self.open.get() if self.open.exists() else None
+        ready = [r for r in waiting if r[0] < mark] if mark else []
+        for row in ready:
+            date, author, log, revision, tagged, acts = row
+            here = json.loads(acts) if acts else {}
+            if group and group[2] == author and group[3] == log and date - group[1] < self.gap and not group[6]:
+                held = json.loads(group[7])
+                if all(held.get(path, action) == action for path, action in here.items()):
+                    group = (group[0], date, author, log, group[4], group[5] + 1, bool(tagged), json.dumps(held | here))
+                    continue
+            if group:
+                out.append((*group[:6], False))
+            group = (date, date, author, log, revision, 1, bool(tagged), json.dumps(here))
+        if group and mark and mark - group[1] >= self.gap:
+            out.append((*group[:6], False))
             group = None
         if group:
             self.open.update(group)
@@ -166,7 +189,7 @@ class _Collapse(StatefulProcessor):
             self.open.clear()
         self.waiting.put(waiting[len(ready) :])
         if out:
-            frame = pd.DataFrame(out, columns=["first_date", "date_utc", "author", "log", "revision", "n"])
+            frame = pd.DataFrame(out, columns=["first_date", "date_utc", "author", "log", "revision", "n", "late"])
             frame.insert(0, "repo", key[0])
             yield frame
 
@@ -174,15 +197,27 @@ class _Collapse(StatefulProcessor):
         pass
 
 
-COLLAPSED = "repo string, first_date timestamp, date_utc timestamp, author string, log string, revision string, n long"
+def _in_order(row: tuple) -> tuple:
+    return tuple((x is not None, x) for x in row[:4])
+
+
+COLLAPSED = "repo string, first_date timestamp, date_utc timestamp, author string, log string, revision string, n long, late boolean"
 
 
 def stream_collapse(stream: DataFrame, seconds: int = 180, delay: str = "10 minutes") -> DataFrame:
     """Groups of neighbouring changesets as ``collapse_changesets`` makes them, each
-    when the watermark shows that it cannot grow. Needs the RocksDB state store.
+    when its repo's later changesets show that it cannot grow: same author and log,
+    less than ``seconds`` apart, no tag in between (tags array) and no path with
+    another action (acts, a map from path to action), where the stream has those.
+
+    A changeset that comes more than ``delay`` after later ones of earlier batches
+    is a row of its own with late, to be looked into. Those without a date are not
+    for this. Needs the RocksDB state store.
     """
-    rows = stream.withWatermark("date_utc", delay).groupBy("repo")
-    return rows.transformWithStateInPandas(_Collapse(seconds), outputStructType=COLLAPSED, outputMode="Append", timeMode="EventTime")
+    tagged = F.coalesce(F.size("tags") > 0, F.lit(False)) if "tags" in stream.columns else F.lit(False)
+    acts = F.to_json("acts") if "acts" in stream.columns else F.lit("{}")
+    rows = stream.where("date_utc IS NOT NULL").select("repo", "date_utc", "author", "log", "revision", tagged.alias("tagged"), acts.alias("acts_json")).groupBy("repo")
+    return rows.transformWithStateInPandas(_Collapse(seconds, pd.Timedelta(delay).to_pytimedelta()), outputStructType=COLLAPSED, outputMode="Append", timeMode="None")
 
 
 def session_collapse(stream: DataFrame, seconds: int = 180, delay: str = "10 minutes") -> DataFrame:

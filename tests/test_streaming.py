@@ -67,19 +67,22 @@ def test_tree_is_kept(spark, tmp_path):
 
 
 def test_stream_collapse_gives_groups_that_cannot_grow(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Over batches: gaps, others' changesets, tags and clashing paths end a group; what is late is told."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     inbox, mark, out = (str(tmp_path / n) for n in ("inbox", "mark", "out"))
-    at = [0, 60, 500, 560, 2_000, 9_000]
-    authors = "uuuvuu"
+    rows = [(0, "u", [], "UPD"), (60, "u", ["t"], "UPD"), (110, "u", [], "UPD"), (150, "u", [], "DEL"), (500, "u", [], "UPD"), (560, "v", [], "UPD"), (2_000, "u", [], "UPD"), (10, "u", [], "UPD"), (9_000, "u", [], "UPD")]
     try:
-        for k, seconds in enumerate(at):
-            spark.createDataFrame([("r", k, str(k), START + timedelta(seconds=seconds), authors[k], "m")], CHANGES).write.mode("append").parquet(inbox)
-            stream = follow.stream_collapse(follow.stream_ingest(spark, inbox, CHANGES), 180, "1 minute")
+        for k, (seconds, author, tags, action) in enumerate(rows):
+            row = ("r", k, str(k), START + timedelta(seconds=seconds), author, "m", tags, {"p": action})
+            spark.createDataFrame([row], CHANGES + ", tags array<string>, acts map<string,string>").write.mode("append").parquet(inbox)
+            stream = follow.stream_collapse(follow.stream_ingest(spark, inbox, CHANGES + ", tags array<string>, acts map<string,string>"), 180, "1 minute")
             stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-        got = sorted((r["revision"], r["author"], r["n"]) for r in spark.read.parquet(out).collect())
+        got = sorted((r["revision"], r["author"], r["n"], r["late"]) for r in spark.read.parquet(out).collect())
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    assert got == [("0", "u", 2), ("2", "u", 1), ("3", "v", 1), ("4", "u", 1)]
+        spark.conf.set(key, before)
+    assert got == [("0", "u", 2, False), ("2", "u", 1, False), ("3", "u", 1, False), ("4", "u", 1, False), ("5", "v", 1, False), ("6", "u", 1, False), ("7", "u", 1, True)]
 
 
 def test_session_windows_and_snapshot(spark):
