@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,13 +133,13 @@ def parse_date(kind: str, text: Column) -> Column:
     HH:mm:ss', or with dashes; short 'EEE MMM d HH:mm:ss yyyy'.
     """
     if kind == "compact":
-        stamp = F.regexp_replace(text, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", r"$1-$2-$3 $4:$5:$6")
+        stamp = F.regexp_replace(F.regexp_extract(text, r"^\d{14}$", 0), r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", r"$1-$2-$3 $4:$5:$6")
     elif kind in ("words", "short"):
         pattern = r"^\w{3}\s+(\w{3})\s+(\d+)\s+(\d\d:\d\d:\d\d)\s+" + (r"\S+\s+" if kind == "words" else "") + r"(\d{4})$"
         part = lambda k: F.regexp_extract(text, pattern, k)
         stamp = F.concat(part(4), F.lit("-"), _month(part(1)), F.lit("-"), F.lpad(part(2), 2, "0"), F.lit(" "), part(3))
     elif kind == "iso":
-        stamp = F.regexp_replace(F.regexp_replace(text, "T", " "), r"Z$", "")
+        stamp = F.replace(F.regexp_extract(text, r"^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d+)?)Z?$", 1), F.lit("T"), F.lit(" "))
     elif kind == "slash":
         stamp = F.regexp_replace(F.regexp_extract(text, r"^(\d{4}[/-]\d\d?[/-]\d\d?\s+\d\d?:\d\d:\d\d)", 1), "/", "-")
     else:
@@ -236,8 +237,8 @@ def safe_tag(style: str, tag: Column) -> Column:
 
 # Characters
 
-#: Control characters that XML does not allow.
-CONTROLS = "".join(map(chr, [*range(1, 9), 11, 12, *range(14, 32), 127, 0xFFFE, 0xFFFF]))
+#: Characters that are replaced by default: NUL to TAB, VT, FF, SO to US, DEL. Fixed values.
+CONTROLS = "".join(map(chr, [*range(0, 10), 11, 12, *range(14, 32), 127]))
 
 
 def scrub_chars(text: Column, chars: str = CONTROLS, by: str = "?") -> Column:
@@ -245,18 +246,25 @@ def scrub_chars(text: Column, chars: str = CONTROLS, by: str = "?") -> Column:
     return F.translate(text, chars, by * len(chars))
 
 
-#: Substitutions of letters that a target without accents wants. Fixed values.
-PLAIN_LETTERS = {"à": "a", "á": "a", "â": "a", "ä": "a", "ç": "c", "è": "e", "é": "e", "ê": "e", "ë": "e", "ì": "i", "í": "i", "î": "i", "ï": "i", "ñ": "n", "ò": "o", "ó": "o", "ô": "o", "ö": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ý": "y", "ÿ": "y", "ß": "ss"}
+#: Letters and the numeric entities that stand for them by default. Fixed values.
+ENTITIES = {
+    "\xb4": "&#180;", "\xc1": "&#193;", "\xc4": "&#196;", "\xc5": "&#197;", "\xc9": "&#201;", "\xcd": "&#205;", "\xd3": "&#211;", "\xd5": "&#336;",
+    "\xd6": "&#214;", "\xda": "&#218;", "\xdb": "&#368;", "\xdc": "&#220;", "\xdf": "&#223;", "\xe1": "&#225;", "\xe5": "&#229;", "\xe9": "&#233;",
+    "\xed": "&#237;", "\xf1": "&#241;", "\xf3": "&#243;", "\xf5": "&#337;", "\xf6": "&#246;", "\xfa": "&#250;", "\xfb": "&#369;", "\xfc": "&#252;",
+}
 
 
-def map_chars(text: Column, mapping: Mapping[str, str] = PLAIN_LETTERS) -> Column:
-    """Each character replaced as ``mapping`` says; others stay."""
+def map_chars(text: Column, mapping: Mapping[str, str] = ENTITIES) -> Column:
+    """Each character replaced as ``mapping`` says; others stay, and so does what has been put in."""
     single = {k: v for k, v in mapping.items() if len(v) == 1}
-    out = F.translate(text, "".join(single), "".join(single.values()))
+    if any(k in v for k in mapping for v in mapping.values() if v not in single.values()):
+        table = F.create_map(*(F.lit(x) for item in mapping.items() for x in item))
+        return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    out = text
     for char, by in mapping.items():
         if char not in single:
             out = F.replace(out, F.lit(char), F.lit(by))
-    return out
+    return F.translate(out, "".join(single), "".join(single.values())) if single else out
 
 
 # Charsets
@@ -264,15 +272,24 @@ def map_chars(text: Column, mapping: Mapping[str, str] = PLAIN_LETTERS) -> Colum
 
 def decode_text(data: Column, charset: str = "UTF-8", policy: str = "strict") -> Column:
     """Bytes as text. strict raises on bad bytes, quarantine gives null, replace
-    U+FFFD and ignore nothing in their place. The last three are for UTF-8."""
+    U+FFFD and ignore nothing in their place."""
     if policy == "strict":
         return F.decode(data, charset)
-    if charset.upper() not in ("UTF-8", "UTF8"):
-        return F.decode(data, charset)
-    if policy == "quarantine":
-        return F.try_validate_utf8(data.cast("string"))
-    fixed = F.make_valid_utf8(data.cast("string"))
-    return F.replace(fixed, F.lit("�"), F.lit("")) if policy == "ignore" else fixed
+    if charset.upper() in ("UTF-8", "UTF8") and policy != "ignore":
+        return F.try_validate_utf8(data.cast("string")) if policy == "quarantine" else F.make_valid_utf8(data.cast("string"))
+    errors = {"quarantine": "strict", "replace": "replace", "ignore": "ignore"}[policy]
+
+    @F.pandas_udf("string")
+    def decoded(values: pd.Series) -> pd.Series:
+        def one(value: bytes | None) -> str | None:
+            try:
+                return None if value is None else bytes(value).decode(charset, errors)
+            except UnicodeDecodeError:
+                return None
+
+        return values.map(one)
+
+    return decoded(data)
 
 
 #: What each single-byte charset can hold. Fixed values.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from changeloom.functions.scalars import ancestors_of, normalized_path, rev_key, rev_text, trimmed_path
 from changeloom.schema import ADD, DEL, REN, UPD
+from changeloom.storage import stored
 
 KEY = ["repo", "seq"]
 REPLACED = "REP"  # deleted and added again, until resolve_copies
@@ -117,14 +118,15 @@ def resolve_copies(entries: DataFrame) -> DataFrame:
     unless it was made a rename before its turn. Anything else below a copied path
     becomes an addition in its turn. Of several copies of a path the last counts.
     """
-    e = entries.select(*entries.columns, F.coalesce("copied", F.lit(False)).alias("_copied"))
+    e = stored(entries.select(*entries.columns, F.coalesce("copied", F.lit(False)).alias("_copied")), "entries")
     movers = e.where(F.col("action").isin(ADD, REPLACED) & F.col("old_name").isNotNull()).groupBy(*KEY, "old_name").agg(F.max_by(F.struct("name", "action"), "name").alias("m"))
     movers = movers.select(*KEY, "old_name", F.col("m.name").alias("mover"), (F.col("m.action") == REPLACED).alias("mover_rep"))
     frees = e.where(F.col("action").isin(DEL, REPLACED)).select(*KEY, F.col("name").alias("freed"), (F.col("action") == REPLACED).alias("freed_rep"))
     exact = frees.join(movers.select(*KEY, F.col("old_name").alias("freed")), [*KEY, "freed"], "left_semi").select(*KEY, "freed", F.lit(True).alias("is_exact"))
-    reach = movers.select("*", F.explode(_self_and_above(F.col("old_name"))).alias("freed"))
+    some = frees.select(*KEY).distinct()  # only changesets in which something is freed need ancestors
+    reach = movers.join(some, KEY, "left_semi").select("*", F.explode(_self_and_above(F.col("old_name"))).alias("freed"))
     credits = reach.join(frees, [*KEY, "freed"]).join(exact, [*KEY, "freed"], "left")
-    credits = credits.where((F.col("freed") == F.col("old_name")) | F.col("is_exact").isNull())
+    credits = stored(credits.where((F.col("freed") == F.col("old_name")) | F.col("is_exact").isNull()), "credits")
     # A replacement that was credited before its own turn frees nothing: settled in order of names.
     links = credits.where("mover_rep AND freed < mover").select(*KEY, F.col("mover"), "freed", "freed_rep")
     off = links.where("NOT freed_rep").select(*KEY, F.col("mover").alias("freed")).distinct()
@@ -155,7 +157,7 @@ def _settle(off: DataFrame, chain: DataFrame) -> DataFrame:
     round decides those whose crediting replacements are all decided."""
     nodes = chain.select(*KEY, F.col("freed").alias("r")).union(chain.select(*KEY, "mover")).distinct()
     state = nodes.join(off.select(*KEY, F.col("freed").alias("r"), F.lit(True).alias("off")), [*KEY, "r"], "left")
-    before = -1
+    before, state = -1, stored(state, "settled")
     while True:
         judged = chain.join(state.select(*KEY, F.col("r").alias("freed"), "off"), [*KEY, "freed"])
         verdict = judged.groupBy(*KEY, F.col("mover").alias("r")).agg(
@@ -164,6 +166,7 @@ def _settle(off: DataFrame, chain: DataFrame) -> DataFrame:
         state = state.join(verdict, [*KEY, "r"], "left").select(
             *KEY, "r", F.expr("CASE WHEN off IS NOT NULL THEN off WHEN credited THEN true WHEN open THEN NULL ELSE false END").alias("off"),
         )
+        state = stored(state, "settled")
         left = state.where("off IS NULL").count()
         if left in (0, before):
             return off.union(state.where("off").select(*KEY, F.col("r"))).distinct()
@@ -214,11 +217,12 @@ def renames_by_branch_note(entries: DataFrame, notes: DataFrame) -> DataFrame:
 def snapshot_diff(before: DataFrame, after: DataFrame, copies: DataFrame, keys: Sequence[str] = ("repo", "seq")) -> DataFrame:
     """Entries that lead from tree to tree (keys, path, rev): changed in both UPD,
     only after ADD or, with a source in ``copies`` (keys, path, source) that is
-    gone, REN, only before DEL unless a rename took it."""
+    gone, REN, only before DEL unless a rename took it. A source goes to the first
+    of its copies, and a path comes from the first of its sources."""
     keys = list(keys)
     both = before.select(*keys, "path", F.col("rev").alias("old_rev")).join(after.select(*keys, "path", F.col("rev").alias("new_rev")), [*keys, "path"], "full_outer")
     gone = both.where("new_rev IS NULL").select(*keys, F.col("path").alias("source"))
-    first = copies.join(gone, [*keys, "source"], "left_semi").groupBy(*keys, "source").agg(F.min("path").alias("path"))
+    first = copies.join(gone, [*keys, "source"], "left_semi").groupBy(*keys, "source").agg(F.min("path").alias("path")).groupBy(*keys, "path").agg(F.min("source").alias("source"))
     renames = both.where("old_rev IS NULL").select(*keys, "path").join(first, [*keys, "path"])
     taken = renames.select(*keys, F.col("source").alias("path"), F.lit(True).alias("_taken"))
     out = both.join(renames, [*keys, "path"], "left").join(taken, [*keys, "path"], "left")
@@ -353,11 +357,12 @@ def removal_order(entries: DataFrame) -> DataFrame:
 
 def merge_members(entries: DataFrame) -> DataFrame:
     """Members listed twice as one, from the least old to the greatest new revision.
-    INITIAL means an addition, a '(DEAD)' suffix a deletion."""
+    INITIAL means an addition, a '(DEAD)' suffix a deletion. Of members of equal
+    revisions the first gives the old and the last the new one."""
     dead = F.endswith("new_rev", F.lit("(DEAD)"))
     m = entries.withColumns({"_dead": dead, "new_rev": F.regexp_replace("new_rev", r"\(DEAD\)$", "")})
     first = F.when(F.col("old_rev") == "INITIAL", F.array(F.lit(0))).otherwise(rev_key(F.col("old_rev")))
-    out = m.groupBy(*KEY, "name").agg(F.min("pos").alias("pos"), F.min_by("old_rev", first).alias("old_rev"), F.max_by(F.struct("new_rev", "_dead"), rev_key(F.col("new_rev"))).alias("n"))
+    out = m.groupBy(*KEY, "name").agg(F.min("pos").alias("pos"), F.min_by("old_rev", F.struct(first, "pos")).alias("old_rev"), F.max_by(F.struct("new_rev", "_dead"), F.struct(rev_key(F.col("new_rev")), "pos")).alias("n"))
     action = F.when(F.col("n._dead"), DEL).when(F.col("old_rev") == "INITIAL", ADD).otherwise(UPD)
     return out.select(*KEY, "pos", action.alias("action"), "name", F.when(F.col("old_rev") != "INITIAL", F.col("old_rev")).alias("old_rev"), F.col("n.new_rev").alias("new_rev"))
 

@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from changeloom.storage import stored
+from changeloom.storage import shared_dir, stored
 
 
 def reachable(edges: DataFrame, roots: DataFrame, direction: str = "ancestors") -> DataFrame:
     """(repo, revision) that can be reached from ``roots`` (repo, revision), which
-    are left out unless they can be reached themselves."""
+    are left out unless they can be reached themselves.
+
+    Straight runs of revisions are drawn together first and reached as a whole, so
+    that rounds follow merges and forks. Each round's finds are added to a table.
+    """
     a, b = ("child", "parent") if direction == "ancestors" else ("parent", "child")
-    steps = edges.select("repo", F.col(a).alias("revision"), F.col(b).alias("_to")).distinct()
-    front, seen = roots.select("repo", "revision").distinct(), None
+    ways = stored(edges.select("repo", F.col(a).alias("child"), F.col(b).alias("parent")).where("child IS NOT NULL AND parent IS NOT NULL").distinct(), "ways")
+    nodes = ways.select("repo", F.col("child").alias("revision")).union(ways.select("repo", "parent")).distinct()
+    chains = stored(_chains(ways, nodes), "chains")
+    place = lambda df, of: df.join(chains.select("repo", F.col("revision").alias(of), "head", "place"), ["repo", of])
+    # From a run's head one gets to the ends of other runs; inner revisions have no other way in or out.
+    onward = stored(place(ways, "child").where("place = 0").select("repo", F.col("head").alias("_from"), F.col("parent").alias("_to")), "onward")
+    # What each root reaches in its own run lies below its place there.
+    starts = stored(place(roots.select("repo", "revision").distinct(), "revision").groupBy("repo", "head").agg(F.max("place").alias("upto")), "starts")
+    path = f"{shared_dir(edges.sparkSession)}/reached-{uuid.uuid4().hex}"
+    read = lambda: edges.sparkSession.read.schema(front.schema).parquet(path)
+    front = starts.select("repo", "head")
+    first = True
     while True:
-        front = front.join(steps, ["repo", "revision"]).select("repo", F.col("_to").alias("revision")).distinct()
-        if seen is not None:
-            front = front.join(seen, ["repo", "revision"], "left_anti")
+        front = place(front.join(onward, (onward["repo"] == front["repo"]) & (onward["_from"] == front["head"])).select(onward["repo"], F.col("_to").alias("revision")).distinct(), "revision").select("repo", "head").distinct()
+        if not first:
+            front = front.join(read(), ["repo", "head"], "left_anti")
         front = stored(front, "front")
         if not front.head(1):
-            return seen if seen is not None else front
-        seen = front if seen is None else stored(seen.union(front), "seen")
+            break
+        front.write.mode("append").parquet(path)
+        first = False
+    part = chains.join(starts, ["repo", "head"]).where("place < upto").select("repo", "revision")
+    if first:
+        return part
+    return chains.join(read(), ["repo", "head"]).select("repo", "revision").union(part).distinct()
 
 
 def topo_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

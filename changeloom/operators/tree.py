@@ -49,6 +49,15 @@ def _running(df: DataFrame, order: str, value: str, name: str, keys: tuple[str,
     return cells.withColumn("_inside", inside).join(sums, [*keys, "_cell"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_cell", "_inside", "_before", value)
 
 
+def _with_next(df: DataFrame, order: str, name: str, keys: tuple[str, ...] = ("repo",), cell: int = 10_000) -> DataFrame:
+    """With the next value of ``order`` by keys, or 2**62 behind the last: from the same cell or a later one's first."""
+    cells = df.withColumn("_cell", F.floor(F.col(order) / cell))
+    firsts = cells.groupBy(*keys, "_cell").agg(F.min(order).alias("_first"))
+    firsts = firsts.withColumn("_later", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_cell"))).drop("_first")
+    inside = F.lead(order).over(Window.partitionBy(*keys, "_cell").orderBy(order))
+    return cells.withColumn("_next", inside).join(firsts, [*keys, "_cell"]).withColumn(name, F.coalesce("_next", "_later", F.lit(1 << 62))).drop("_cell", "_next", "_later")
+
+
 # Tags
 
 
@@ -68,9 +77,7 @@ def place_tags(intervals: DataFrame, file_tags: DataFrame) -> DataFrame:
     spans = held.groupBy("repo", "tag", "path").agg(F.max("from_seq").alias("lo"), F.max_by(F.coalesce("to_seq", F.lit((1 << 62))), "from_seq").alias("hi"))
     fits = spans.groupBy("repo", "tag").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"), F.count("*").alias("matched"))
     fits = fits.join(tag_file_counts(file_tags), ["repo", "tag"]).where("matched = n_files AND lo < hi")
-    counts = live_counts(intervals)
-    w = Window.partitionBy("repo").orderBy("seq")
-    counts = counts.withColumn("until", F.coalesce(F.lead("seq").over(w), F.lit(1 << 62)))
+    counts = _with_next(live_counts(intervals), "seq", "until")
     out = fits.join(counts, (fits["repo"] == counts["repo"]) & (fits["n_files"] == counts["live"])).where("until > lo AND seq < hi")
     return out.select(fits["repo"], "tag", F.greatest("lo", "seq").alias("from_seq"), F.least("hi", "until").alias("to_seq"))
 
@@ -104,10 +111,12 @@ def youngest_entry(manifest: DataFrame) -> DataFrame:
 
 def flag_deleted_dirs(entries: DataFrame, intervals: DataFrame) -> DataFrame:
     """With is_directory of deletions: whether paths lay below when it happened."""
-    gone = entries.where(F.col("action") == DEL).select("repo", "seq", "name")
-    below = intervals.select("repo", "from_seq", "to_seq", F.explode(ancestors_of(F.col("path"))).alias("name"))
-    dirs = gone.join(below, ["repo", "name"]).where("from_seq < seq AND (to_seq IS NULL OR to_seq >= seq)").select("repo", "seq", "name", F.lit(True).alias("_dir")).distinct()
-    out = entries.drop("is_directory").join(dirs, ["repo", "seq", "name"], "left")
+    gone = entries.where(F.col("action") == DEL).select("repo", F.col("name").alias("path"), "seq", F.lit(None).cast("string").alias("change")).distinct()
+    # The last change of the directory before the deletion tells whether it held anything.
+    both = gone.union(directory_changes(intervals).select("repo", "path", "seq", F.col("action").alias("change")))
+    w = Window.partitionBy("repo", "path").orderBy("seq", F.col("change").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    held = both.withColumn("_last", F.last("change", ignorenulls=True).over(w)).where("change IS NULL AND _last = 'ADD'")
+    out = entries.drop("is_directory").join(held.select("repo", "seq", F.col("path").alias("name"), F.lit(True).alias("_dir")), ["repo", "seq", "name"], "left")
     return out.withColumn("is_directory", F.when(F.col("action") == DEL, F.coalesce("_dir", F.lit(False)))).drop("_dir")
 
 
@@ -123,19 +132,13 @@ def split_snapshot_by_depth(tree: DataFrame, level: int) -> DataFrame:
 # Directories
 
 
-def synthesize_dir_adds(entries: DataFrame, first_files: DataFrame | None = None) -> DataFrame:
-    """(repo, seq, path): directories that additions and renames bring into being, at
-    the changeset in which the first path below appears.
-
-    With ``first_files`` (repo, path, from_seq), directories that already hold
-    something before are left out.
-    """
-    fresh = entries.where(F.col("action").isin(ADD, REN)).select("repo", "seq", F.explode(ancestors_of(F.col("name"))).alias("path"))
-    out = fresh.groupBy("repo", "path").agg(F.min("seq").alias("seq"))
-    if first_files is not None:
-        known = first_files.select("repo", "from_seq", F.explode(ancestors_of(F.col("path"))).alias("path")).groupBy("repo", "path").agg(F.min("from_seq").alias("_from"))
-        out = out.join(known, ["repo", "path"], "left").where("_from IS NULL OR _from >= seq").drop("_from")
-    return out
+def synthesize_dir_adds(entries: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
+    """(repo, seq, path): directories that additions and renames bring into being: all
+    those above their paths that held nothing before. One that was left empty and
+    is filled again comes again. ``intervals`` are those of the entries."""
+    fresh = entries.where(F.col("action").isin(ADD, REN)).select("repo", "seq", F.explode(ancestors_of(F.col("name"))).alias("path")).distinct()
+    found = directory_changes(tree_intervals(entries) if intervals is None else intervals).where(F.col("action") == ADD)
+    return found.join(fresh, ["repo", "seq", "path"], "left_semi").select("repo", "seq", "path")
 
 
 def directory_changes(intervals: DataFrame) -> DataFrame:
@@ -176,9 +179,15 @@ def detect_dir_renames(entries: DataFrame, intervals: DataFrame) -> DataFrame:
 def find_conflicts(entries: DataFrame, intervals: DataFrame) -> DataFrame:
     """Entries whose old_rev is not the revision that the tree had before."""
     keyed = entries.where("old_rev IS NOT NULL").select("repo", "seq", "pos", "action", F.col("name").alias("path"), "old_rev")
-    before = keyed.join(intervals, ["repo", "path"], "left").where("from_seq IS NULL OR (from_seq < seq AND (to_seq IS NULL OR to_seq >= seq))")
-    live = before.select("repo", "seq", "pos", F.col("rev").alias("live_rev"))
-    return keyed.join(live, ["repo", "seq", "pos"], "left").where("NOT (old_rev <=> live_rev)")
+    # Beginnings and ends of intervals and entries of a path in one order; what stands last before an entry counts.
+    begins = intervals.select("repo", "path", F.col("from_seq").alias("_at"), F.struct(F.lit(True).alias("live"), "rev").alias("_state"), F.lit(1).alias("_kind"))
+    ends = intervals.where("to_seq IS NOT NULL").select("repo", "path", F.col("to_seq").alias("_at"), F.struct(F.lit(False).alias("live"), F.lit(None).cast("string").alias("rev")).alias("_state"), F.lit(0).alias("_kind"))
+    asked = keyed.select("repo", "path", F.col("seq").alias("_at"), F.lit(-1).alias("_kind"), F.struct("seq", "pos", "action", "old_rev").alias("_entry"))
+    events = begins.unionByName(ends).unionByName(asked, allowMissingColumns=True)
+    w = Window.partitionBy("repo", "path").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    found = events.withColumn("_before", F.last("_state", ignorenulls=True).over(w)).where("_entry IS NOT NULL")
+    out = found.select("repo", "_entry.seq", "_entry.pos", "_entry.action", "path", "_entry.old_rev", F.when(F.col("_before.live"), F.col("_before.rev")).alias("live_rev"))
+    return out.where("NOT (old_rev <=> live_rev)")
 
 
 def leftover_check(expected: DataFrame, actual: DataFrame) -> DataFrame:

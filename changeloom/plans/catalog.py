@@ -227,10 +227,10 @@ def ancestors(spark, sf):
     return V.moves(spark, sf).select("repo", "seq", "pos", F.concat_ws("|", S.ancestors_of(F.col("name"))).alias("above"), S.parent_of(F.col("name")).alias("parent"))
 
 
-@query("s15_decode_text", "SELECT doc_id, text, sha256(text) AS ignored FROM documents")
+@query("s15_decode_text", "SELECT doc_id, text, sha256(text || chr(65533)) AS ignored FROM documents")
 def decode_text(spark, sf):
     docs = V.load(spark, sf, "documents")
-    broken = F.concat(F.unhex(F.lit("FF")), F.col("text").cast("binary"), F.unhex(F.lit("C3")))
+    broken = F.concat(F.unhex(F.lit("FF")), F.col("text").cast("binary"), F.unhex(F.lit("EFBFBDC3")))  # bad bytes, and one U+FFFD of its own
     return docs.select("doc_id", S.decode_text(F.col("text").cast("binary")).alias("text"), F.sha2(S.decode_text(broken, policy="ignore").cast("binary"), 256).alias("ignored"))
 
 
@@ -240,12 +240,16 @@ def encode_text(spark, sf):
     return V.load(spark, sf, "documents").select("doc_id", F.sha2(S.encode_text(t), 256).alias("strict"), F.octet_length(S.encode_text(t, "US-ASCII", "ignore")).cast("long").alias("n_ignore"), F.octet_length(S.encode_text(t, "US-ASCII", "replace")).cast("long").alias("n_replace"))
 
 
-@query("s17_scrub_chars", "SELECT doc_id, replace(replace(text, 'a', '?'), 'e', '?') AS text FROM documents")
+@query("s17_scrub_chars", r"SELECT doc_id, regexp_replace(translate(text, 'ae', chr(1) || chr(9)), '[\x00-\x09\x0B\x0C\x0E-\x1F\x7F]', '?', 'g') AS text FROM documents")
 def scrub(spark, sf):
-    return V.load(spark, sf, "documents").select("doc_id", S.scrub_chars(F.translate("text", "ae", "\x01\x1f")).alias("text"))
+    return V.load(spark, sf, "documents").select("doc_id", S.scrub_chars(F.translate("text", "ae", "\x01\x09")).alias("text"))
 
 
-@query("s18_map_chars", "SELECT doc_id, replace(translate(text, 'éèêáóíñüäöçà', 'eeeaoinuaoca'), 'ß', 'ss') AS text FROM documents")
+ENTITY_SQL = "text"
+for _char, _entity in S.ENTITIES.items():
+    ENTITY_SQL = f"replace({ENTITY_SQL}, '{_char}', '{_entity}')"
+
+
+@query("s18_map_chars", f"SELECT doc_id, {ENTITY_SQL} AS text FROM documents")
 def map_chars(spark, sf):
-    letters = {c: S.PLAIN_LETTERS[c] for c in "éèêáóíñüäöçàß"}
-    return V.load(spark, sf, "documents").select("doc_id", S.map_chars(F.col("text"), letters).alias("text"))
+    return V.load(spark, sf, "documents").select("doc_id", S.map_chars(F.col("text")).alias("text"))

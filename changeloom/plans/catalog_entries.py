@@ -174,11 +174,24 @@ def branch_note(spark, sf):
 TREES = V.sql("trees", "").rstrip() + ", bef AS (SELECT repo, seq + 1 AS seq, path, rev FROM trees)"
 
 
-@query("j6_snapshot_diff", TREES + ", yrs AS (SELECT DISTINCT repo, seq FROM trees), o AS (SELECT coalesce(b.repo, a.repo) AS repo, coalesce(b.seq, a.seq) AS seq, coalesce(b.path, a.path) AS name, b.rev AS old_rev, a.rev AS new_rev FROM bef b FULL JOIN trees a USING (repo, seq, path)) SELECT repo, seq, name, CASE WHEN old_rev IS NULL THEN 'ADD' WHEN new_rev IS NULL THEN 'DEL' ELSE 'UPD' END AS action, old_rev, new_rev FROM o WHERE old_rev IS NULL OR new_rev IS NULL OR old_rev <> new_rev")
+COPIED = """, o AS (SELECT coalesce(b.repo, a.repo) AS repo, coalesce(b.seq, a.seq) AS seq, coalesce(b.path, a.path) AS name, b.rev AS old_rev, a.rev AS new_rev FROM bef b FULL JOIN trees a USING (repo, seq, path)),
+    cp AS (SELECT n.repo, n.seq, n.name AS path, g.name AS source FROM o n JOIN o g ON g.repo = n.repo AND g.seq = n.seq AND split_part(g.name, '/', 3) = split_part(n.name, '/', 3) WHERE n.old_rev IS NULL AND g.new_rev IS NULL), cf AS (SELECT repo, seq, source, min(path) AS path FROM cp GROUP BY ALL)"""
+
+
+def named_alike(before, after, file="[^/]+$"):
+    """Copies (repo, seq, path, source) as a log that looks for equal file names would note them."""
+    part = lambda df, other, name: df.join(other, ["repo", "seq", "path"], "left_anti").select("repo", "seq", F.col("path").alias(name), F.regexp_extract("path", file, 0).alias("file"))
+    return part(after, before, "path").join(part(before, after, "source"), ["repo", "seq", "file"]).drop("file")
+
+
+@query("j6_snapshot_diff", TREES.replace("'/f' || (o_custkey % 500)", "'/f' || (o_custkey % 50)") + COPIED + """, ren AS (SELECT o.repo, o.seq, o.name, min(cf.source) AS source FROM o JOIN cf ON cf.repo = o.repo AND cf.seq = o.seq AND cf.path = o.name GROUP BY ALL) SELECT o.repo, o.seq, o.name, CASE WHEN old_rev IS NULL THEN CASE WHEN ren.source IS NULL THEN 'ADD' ELSE 'REN' END WHEN new_rev IS NULL THEN 'DEL' ELSE 'UPD' END AS action, ren.source AS old_name, old_rev, new_rev
+    FROM o LEFT JOIN ren USING (repo, seq, name) WHERE (old_rev IS NULL OR new_rev IS NULL OR old_rev <> new_rev) AND NOT (new_rev IS NULL AND (o.repo, o.seq, o.name) IN (SELECT (repo, seq, source) FROM ren))""")
 def diff(spark, sf):
-    trees = V.trees(spark, sf)
-    none = spark.createDataFrame([], "repo string, seq long, path string, source string")
-    return entries.snapshot_diff(trees.withColumn("seq", F.col("seq") + 1), trees, none).select("repo", "seq", "name", "action", "old_rev", "new_rev")
+    """Trees of which some paths move: a new path with the file name of one that went is noted as its copy."""
+    path = F.format_string("c%d/s%d/f%d", F.col("o_custkey") % 13, F.col("o_custkey") % 4, F.col("o_custkey") % 50)
+    trees = V.load(spark, sf, "orders").groupBy(F.concat(F.lit("r"), (F.col("o_custkey") % 3).cast("string")).alias("repo"), F.year("o_orderdate").cast("long").alias("seq"), path.alias("path")).agg((F.max("o_orderkey") % 7).cast("string").alias("rev"))
+    before = trees.withColumn("seq", F.col("seq") + 1)
+    return entries.snapshot_diff(before, trees, named_alike(before, trees)).select("repo", "seq", "name", "action", "old_name", "old_rev", "new_rev")
 
 
 KNOWN = M + ", known AS (SELECT DISTINCT repo, name AS path FROM moves WHERE seq % 50 = 0 AND name NOT LIKE '%/f3')"
@@ -262,10 +275,12 @@ def deleted_dirs(spark, sf):
     return tree.flag_deleted_dirs(gone, tree.tree_intervals(rows)).select("repo", "seq", "name", "is_directory")
 
 
-@query("j16_rewrite_inverted", M + ", mv AS (SELECT repo, seq, pos, split_part(old_name, '/', 1) AS dir FROM moves WHERE action = 'REN' AND pos = 0) SELECT m.repo, m.seq, m.pos, CASE WHEN v.dir IS NOT NULL AND m.pos > 0 THEN 'new' || substr(name, length(v.dir) + 1) WHEN m.action = 'REN' AND m.pos = 0 THEN 'new' ELSE name END AS name FROM moves m LEFT JOIN mv v ON v.repo = m.repo AND v.seq = m.seq AND m.name LIKE v.dir || '/%' WHERE m.action <> 'REN' OR m.pos = 0")
+@query("j16_rewrite_inverted", M + """, mv AS (SELECT repo, seq, pos, split_part(old_name, '/', 1) AS dir FROM moves WHERE action = 'REN'), hit AS (SELECT m.repo, m.seq, m.pos, max_by(v.dir, v.pos) AS dir, max(v.pos) AS at FROM moves m JOIN mv v ON v.repo = m.repo AND v.seq = m.seq AND v.pos < m.pos AND m.name LIKE v.dir || '/%' WHERE m.action <> 'REN' GROUP BY ALL)
+    SELECT m.repo, m.seq, m.pos, CASE WHEN m.action = 'REN' THEN 'new' || m.pos WHEN h.dir IS NOT NULL THEN 'new' || h.at || substr(name, length(h.dir) + 1) ELSE name END AS name FROM moves m LEFT JOIN hit h USING (repo, seq, pos)""")
 def inverted(spark, sf):
-    head = (F.col("action") == "REN") & (F.col("pos") == 0)
-    rows = V.moves(spark, sf).where("action <> 'REN' OR pos = 0").withColumns({"name": F.when(head, "new").otherwise(F.col("name")), "old_name": F.when(head, F.substring_index("old_name", "/", 1)), "inverted": F.lit(True)})
+    """Every rename of a changeset is one of a whole directory."""
+    moved = F.col("action") == "REN"
+    rows = V.moves(spark, sf).withColumns({"name": F.when(moved, F.concat(F.lit("new"), F.col("pos").cast("string"))).otherwise(F.col("name")), "old_name": F.when(moved, F.substring_index("old_name", "/", 1)), "inverted": F.lit(True)})
     return entries.rewrite_inverted(rows).select("repo", "seq", F.col("pos").cast("long").alias("pos"), "name")
 
 
@@ -356,12 +371,10 @@ def double_delete(spark, sf):
     return entries.merge_double_delete(V.moves(spark, sf)).select("repo", "seq", F.col("pos").cast("long").alias("pos"), "action", "name", "new_rev")
 
 
-@query("a4_merge_members", M + f", m AS (SELECT repo, seq, pos, name, CASE WHEN pos = 0 THEN 0 ELSE {NUM.format('old_rev')} END AS o, {NUM.format('new_rev')} AS n, action = 'DEL' AS dead, old_rev FROM moves) SELECT repo, seq, name, CASE WHEN bool_or(dead AND n = mx) THEN 'DEL' WHEN min(CASE WHEN pos = 0 THEN 0 ELSE 1 END) = 0 THEN 'ADD' ELSE 'UPD' END AS action, '1.' || max(n) AS new_rev FROM (SELECT *, max(n) OVER (PARTITION BY repo, seq, name) AS mx, count(*) OVER (PARTITION BY repo, seq, name, n) AS same FROM m) GROUP BY 1, 2, 3 HAVING max(CASE WHEN n = mx THEN same END) = 1")
+@query("a4_merge_members", M + f", m AS (SELECT repo, seq, pos, name, pos = 0 AS initial, CASE WHEN pos = 0 THEN 0 ELSE {NUM.format('old_rev')} END AS o, {NUM.format('new_rev')} AS n, action = 'DEL' AS dead FROM moves), g AS (SELECT repo, seq, name, min_by(initial, o * 100000 + (CASE WHEN initial THEN -50000 ELSE 0 END) + pos) AS initial, max_by(dead, n * 100000 + pos) AS dead, max(n) AS n FROM m GROUP BY 1, 2, 3) SELECT repo, seq, name, CASE WHEN dead THEN 'DEL' WHEN initial THEN 'ADD' ELSE 'UPD' END AS action, '1.' || n AS new_rev FROM g")
 def members(spark, sf):
     rows = V.moves(spark, sf).withColumns({"old_rev": F.when(F.col("pos") == 0, "INITIAL").otherwise(F.col("old_rev")), "new_rev": F.when(F.col("action") == "DEL", F.concat("new_rev", F.lit("(DEAD)"))).otherwise(F.col("new_rev"))})
-    number = F.regexp_replace("new_rev", r"\(DEAD\)$", "")
-    tied = rows.select("repo", "seq", "name", number.alias("n")).groupBy("repo", "seq", "name", "n").count().groupBy("repo", "seq", "name").agg(F.max_by("count", F.split("n", r"\.")[1].cast("int")).alias("ties")).where("ties > 1")
-    return entries.merge_members(rows.join(tied, ["repo", "seq", "name"], "left_anti")).select("repo", "seq", "name", "action", "new_rev")
+    return entries.merge_members(rows).select("repo", "seq", "name", "action", "new_rev")
 
 
 @query("a5_tag_file_counts", V.sql("ivals", "").rstrip() + TAGGED + " SELECT repo, tag, count(DISTINCT path) AS n_files FROM ft GROUP BY 1, 2")
@@ -424,10 +437,9 @@ DIRSQL = V.sql("ivals", "").rstrip() + """, dv AS (SELECT repo, split_part(path,
     lv AS (SELECT *, sum(d) OVER (PARTITION BY repo, path ORDER BY seq) AS live FROM st), ch AS (SELECT repo, path, seq, CASE WHEN live - d = 0 AND live > 0 THEN 'ADD' WHEN live - d > 0 AND live = 0 THEN 'DEL' END AS action FROM lv)"""
 
 
-@query("d1_synthesize_dir_adds", V.sql("changes", "SELECT repo, split_part(path, '/', 1) AS path, min(seq) AS seq FROM changes WHERE action = 'ADD' GROUP BY 1, 2"))
+@query("d1_synthesize_dir_adds", DIRSQL + " SELECT repo, seq, path FROM ch WHERE action = 'ADD'")
 def dir_adds(spark, sf):
-    rows = V.changes(spark, sf)
-    return tree.synthesize_dir_adds(rows, tree.tree_intervals(rows))
+    return tree.synthesize_dir_adds(V.changes(spark, sf))
 
 
 @query("d2_synthesize_dir_deletes", DIRSQL + " SELECT repo, seq, path FROM ch WHERE action = 'DEL'")
@@ -538,13 +550,11 @@ def topo(spark, sf):
     return graph.topo_order(V.edges(spark, sf), nodes)
 
 
-@query("u2_reachable", "SELECT CAST(user_id % 4 AS VARCHAR) AS repo, event_id AS revision FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k < 6")
+@query("u2_reachable", "SELECT CAST(user_id % 4 AS VARCHAR) AS repo, event_id AS revision FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k > 1")
 def reach(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    roots = V.load(spark, sf, "events").withColumn("k", F.row_number().over(w)).where("k = 6").select((F.col("user_id") % 4).cast("string").alias("repo"), F.col("event_id").alias("revision"))
-    short = V.load(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("revision")).where("n < 6").select((F.col("user_id") % 4).cast("string").alias("repo"), "revision")
-    up = graph.reachable(V.edges(spark, sf), roots.union(short))
-    return up.union(short).distinct()
+    """All that came before each user's last event: as deep as histories are long."""
+    roots = V.load(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("revision")).select((F.col("user_id") % 4).cast("string").alias("repo"), "revision")
+    return graph.reachable(V.edges(spark, sf), roots)
 
 
 @query("w3_linearize", TOPO + ", b AS (SELECT repo, revision, row_number() OVER (PARTITION BY repo ORDER BY level, revision) - 1 AS seq FROM lv) SELECT repo, revision, seq, coalesce(lag(revision) OVER (PARTITION BY repo ORDER BY seq), -1) AS lin_parent FROM b WHERE revision % 3 = 0")

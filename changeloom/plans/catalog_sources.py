@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions import scalars as S
 from changeloom.operators import changesets
 from changeloom.plans import views as V
 from changeloom.plans.catalog import epoch, query
+from changeloom.plans.catalog_entries import named_alike
 from changeloom.sources import commit_logs, file_logs, trees, xml_logs
 
 
@@ -80,8 +81,7 @@ def xml_log(spark, sf):
     path = text("<path", copy, ' action="', code, '">/', F.col("name"), "</path>\n")
     sets = joined(V.moves(spark, sf), ["repo", "seq"], ["pos"], path)
     record = text('<logentry revision="', F.col("seq"), '">\n<author>a&amp;b</author>\n<date>2024-01-02T03:04:05.678901Z</date>\n<paths>\n', F.col("value"), "</paths>\n<msg>", escaped(text("<m> ", F.col("seq"))), "</msg>\n</logentry>\n")
-    whole = joined(sets.select("repo", "seq", record.alias("r")), ["repo"], ["seq"], F.col("r")).select("repo", text('<?xml version="1.0"?>\n<log>\n', F.col("value"), "</log>\n").alias("value"))
-    found = xml_logs.ingest_xml_log(whole, "d1")
+    found = xml_logs.ingest_xml_log(sets.select("repo", text('<?xml version="1.0"?>\n<log>\n', record, "</log>\n").alias("value")), "d1")
     return found.select("repo", "revision", "author", epoch("date_utc").alias("at"), "log", "action", "name", "old_name", "copied", F.col("pos").cast("long").alias("pos"))
 
 
@@ -96,8 +96,7 @@ def patch_xml(spark, sf):
     sets = joined(V.moves(spark, sf), ["repo", "seq"], ["pos"], text(child, "\n"))
     date = F.when(seq % 4 == 0, "Tue Jan  2 03:04:05 CEST 2024").otherwise("20240102030405")
     record = text("<patch author='a &lt;x@y&gt;' date='", date, "' local_date='-' inverted='", F.when(seq % 2 == 0, "True").otherwise("False"), "' hash='h", seq, "'>\n<name>", F.when(seq % 3 == 0, "TAG t").otherwise("p"), seq, "</name>\n<comment>Ignore-this: abc0\nsaid</comment>\n<summary>\n", F.col("value"), "</summary>\n</patch>\n")
-    whole = joined(sets.select("repo", "seq", record.alias("r")), ["repo"], ["seq"], F.col("r"))
-    found = xml_logs.ingest_patch_xml(whole).where("author = 'a <x@y>' AND log = 'said'")
+    found = xml_logs.ingest_patch_xml(sets.select("repo", record.alias("value"))).where("author = 'a <x@y>' AND log = 'said'")
     return found.select("repo", "revision", "action", "name", "old_name", "inverted", F.col("pos").cast("long").alias("pos"), "tag", epoch("date_utc").alias("at"), "is_directory")
 
 
@@ -107,9 +106,12 @@ def preview(spark, sf):
     seq = F.col("seq")
     name = F.when(seq % 3 == 0, text("* name ", seq)).when(seq % 3 == 1, text("tagged v", seq)).otherwise(text("UNDO: name ", seq))
     record = text("Mon ", month, " ", F.lpad(F.date_format("date_utc", "d"), 2, " "), " ", F.date_format("date_utc", "HH:mm:ss"), " CEST ", F.date_format("date_utc", "yyyy"), " ", F.col("author"), "\n  ", name, "\n  line of ", seq, "\n  and more\n\n")
-    whole = joined(V.changes(spark, sf).select("repo", "seq", record.alias("r")), ["repo"], ["seq"], F.col("r")).select("repo", text("Would pull the following changes:\n", F.col("value"), "Making no changes: this is a dry run.\nMon Jan  1 00:00:00 CEST 2024 x\n  * not this\n").alias("value"))
-    found = xml_logs.ingest_pull_preview(whole)
-    return found.select("repo", F.col("pos").cast("long").alias("seq"), "author", epoch("date_utc").alias("at"), "log", "tag", "inverted")
+    part = F.floor(seq / 50).alias("part")
+    whole = joined(V.changes(spark, sf).select("repo", part, "seq", record.alias("r")), ["repo", "part"], ["seq"], F.col("r"))
+    value = text("Would pull the following changes:\n", F.col("value"), "Making no changes: this is a dry run.\nMon Jan  1 00:00:00 CEST 2024 x\n  * not this\n")
+    found = xml_logs.ingest_pull_preview(whole.select(F.concat_ws(":", "repo", "part").alias("repo"), value.alias("value")))
+    names = F.split("repo", ":")
+    return found.select(names[0].alias("repo"), (names[1].cast("long") * 50 + F.col("pos")).alias("seq"), "author", epoch("date_utc").alias("at"), "log", "tag", "inverted")
 
 
 @query("s6_commit_raw", V.sql("moves", "SELECT repo, 'c' || seq AS revision, pos, action, name, CASE WHEN action = 'REN' THEN old_name END AS old_name, 'A B <a@b>' AS author, CAST(1700000000 + seq AS BIGINT) AS at, CAST(-210 AS BIGINT) AS tz, 'do ' || seq || chr(10) || chr(10) || 'body' AS log, CASE WHEN seq > 5 THEN 'c1,c2' ELSE '' END AS parents FROM moves"))
@@ -123,18 +125,17 @@ def commit_raw(spark, sf):
     return found.select("repo", "revision", F.col("pos").cast("long").alias("pos"), "action", "name", "old_name", "author", epoch("date_utc").alias("at"), F.col("tz_offset_min").cast("long").alias("tz"), "log", F.concat_ws(",", "parents").alias("parents"))
 
 
-@query("s7_changelist", V.sql("moves", "SELECT repo, seq, pos, CASE WHEN action = 'REN' THEN 'ADD' ELSE action END AS action, name, CASE WHEN action = 'REN' THEN old_name END AS origin, 'joe' AS author, CAST(1704164645 AS BIGINT) AS at, 'did ' || seq || chr(10) || 'more' AS log FROM moves"))
+@query("s7_changelist", V.sql("moves", "SELECT repo, seq, pos, CASE WHEN action = 'REN' THEN 'ADD' ELSE action END AS action, name || CASE WHEN k > 1 THEN '~' || k ELSE '' END AS name, CASE WHEN action = 'REN' THEN old_name END AS origin, 'joe' AS author, CAST(1704164645 AS BIGINT) AS at, 'did ' || seq || chr(10) || 'more' AS log FROM (SELECT *, row_number() OVER (PARTITION BY repo, seq, name ORDER BY pos) AS k FROM moves)"))
 def changelist(spark, sf):
-    seq = F.col("seq")
+    """A changelist names each path once."""
+    seq, nth = F.col("seq"), F.row_number().over(Window.partitionBy("repo", "seq", "name").orderBy("pos"))
+    moves = V.moves(spark, sf).withColumn("k", nth).withColumn("name", F.concat("name", F.when(F.col("k") > 1, text("~", F.col("k"))).otherwise("")))
     code = F.element_at(F.create_map(*(F.lit(x) for x in ("ADD", "add", "DEL", "delete", "UPD", "edit", "REN", "branch"))), F.col("action"))
-    sets = joined(V.moves(spark, sf), ["repo", "seq"], ["pos"], text("... //depot/", F.col("name"), "#", F.col("pos") + 1, " ", code, "\n"))
+    sets = joined(moves, ["repo", "seq"], ["pos"], text("... //depot/", F.col("name"), "#", F.col("pos") + 1, " ", code, "\n"))
     value = text("Change ", seq, " by joe@box on 2024/01/02 03:04:05\n\n\tdid ", seq, "\n\tmore\n\nAffected files ...\n\n", F.col("value"))
-    notes = V.moves(spark, sf).where("action = 'REN'").select("repo", "seq", F.concat(F.lit("//depot/"), "name").alias("path"), text("branch from //depot/", F.col("old_name"), "#1").alias("note"), "name")
-    once = V.moves(spark, sf).groupBy("repo", "seq", "name").count().where("count = 1").select("repo", "seq", "name")
-    heads, ents = commit_logs.ingest_changelist(sets.select("repo", value.alias("value")), notes.join(once, ["repo", "seq", "name"], "left_semi").drop("name"))
-    full = ents.join(heads, ["repo", "seq"]).select("repo", "seq", F.col("pos").cast("long").alias("pos"), "action", "name", "origin", "author", epoch("date_utc").alias("at"), "log")
-    twice = V.moves(spark, sf).where("action = 'REN'").join(once, ["repo", "seq", "name"], "left_anti").select("repo", "seq", F.col("pos").cast("long").alias("pos"), F.col("old_name").alias("_o"))
-    return full.join(twice, ["repo", "seq", "pos"], "left").withColumn("origin", F.coalesce("origin", "_o")).drop("_o")
+    notes = moves.where("action = 'REN'").select("repo", "seq", F.concat(F.lit("//depot/"), "name").alias("path"), text("branch from //depot/", F.col("old_name"), "#1").alias("note"))
+    heads, ents = commit_logs.ingest_changelist(sets.select("repo", value.alias("value")), notes)
+    return ents.join(heads, ["repo", "seq"]).select("repo", "seq", F.col("pos").cast("long").alias("pos"), "action", "name", "origin", "author", epoch("date_utc").alias("at"), "log")
 
 
 @query("s8_header_log", V.sql("logs", "SELECT conv_id, turn, role || ' <r@x>' AS author, CAST(1704164645 AS BIGINT) AS at, 'Sum ' || turn || chr(10) || 'key' || chr(10) || rtrim(log, chr(10)) AS log, turn % 4 = 1 AS bad FROM logs WHERE log <> ''"))
@@ -202,12 +203,14 @@ def manifest(spark, sf):
     return found.select("repo", "path", "rev", epoch("ts").alias("at"), "tag")
 
 
-@query("s13_snapshot_history", V.sql("trees", ", b AS (SELECT repo, seq + 1 AS seq, path, rev FROM trees WHERE seq < (SELECT max(seq) FROM trees)), o AS (SELECT coalesce(b.repo, a.repo) AS repo, coalesce(b.seq, a.seq) AS seq, coalesce(b.path, a.path) AS name, b.rev AS o, a.rev AS n FROM b FULL JOIN trees a USING (repo, seq, path)) SELECT repo, seq, CASE WHEN o IS NULL THEN 'ADD' WHEN n IS NULL THEN 'DEL' ELSE 'UPD' END AS action, count(*) AS n FROM o WHERE o IS DISTINCT FROM n GROUP BY ALL").replace(") , b AS", "), b AS"))
+@query("s13_snapshot_history", V.sql("trees", ", b AS (SELECT repo, seq + 1 AS seq, path, rev FROM trees WHERE (repo, seq + 1) IN (SELECT (repo, seq) FROM trees)), o AS (SELECT coalesce(b.repo, a.repo) AS repo, coalesce(b.seq, a.seq) AS seq, coalesce(b.path, a.path) AS name, b.rev AS o, a.rev AS n FROM b FULL JOIN trees a USING (repo, seq, path)), cp AS (SELECT x.repo, x.seq, y.name AS source, min(x.name) AS path FROM o x JOIN o y ON y.repo = x.repo AND y.seq = x.seq AND split_part(y.name, '/', 3) = split_part(x.name, '/', 3) WHERE x.o IS NULL AND y.n IS NULL GROUP BY ALL), k AS (SELECT repo, seq, path, min(source) AS source FROM cp GROUP BY ALL) SELECT repo, seq, CASE WHEN o IS NULL AND (repo, seq, name) IN (SELECT (repo, seq, path) FROM k) THEN 'REN' WHEN o IS NULL THEN 'ADD' WHEN n IS NULL THEN 'DEL' ELSE 'UPD' END AS action, count(*) AS n FROM o WHERE o IS DISTINCT FROM n AND NOT (n IS NULL AND (repo, seq, name) IN (SELECT (repo, seq, source) FROM k)) GROUP BY ALL").replace(") , b AS", "), b AS"))
 def snapshots(spark, sf):
+    """Files that moved are noted as copies of files of the same name."""
     rows = V.trees(spark, sf)
-    parents = rows.select("repo", "seq").distinct().withColumn("parent", F.col("seq") - 1)
-    none = spark.createDataFrame([], "repo string, seq long, path string, source string")
-    ents, _ = trees.ingest_snapshot_history(rows, parents, none)
+    years = rows.select("repo", "seq").distinct()
+    parents = years.withColumn("parent", F.col("seq") - 1)
+    before = rows.withColumn("seq", F.col("seq") + 1).join(years, ["repo", "seq"], "left_semi")
+    ents, _ = trees.ingest_snapshot_history(rows, parents, named_alike(before, rows))
     return ents.groupBy("repo", "seq", "action").agg(F.count("*").alias("n"))
 
 

@@ -34,7 +34,7 @@ def ingest_changelist(describes: DataFrame, filelogs: DataFrame | None = None, d
     below ``depot`` and without it. ``filelogs`` (repo, path, seq, note) give the
     origin of branched paths."""
     first = r"^Change (\d+) by ([^@]*)@(\S+) on (\S+ \S+)"
-    log = F.array_join(F.transform(F.split(F.regexp_extract("value", r"(?s)^[^\n]*\n\n((?:\t[^\n]*\n?)*)", 1), "\n"), lambda x: F.regexp_replace(x, r"^\t", "")), "\n")
+    log = F.array_join(F.transform(F.split(F.regexp_extract("value", r"(?s)^[^\n]*\n\n((?:\t[^\n]*+\n?)*+)", 1), "\n"), lambda x: F.regexp_replace(x, r"^\t", "")), "\n")
     changesets = describes.select("repo", F.regexp_extract("value", first, 1).try_cast("long").alias("seq"), F.regexp_extract("value", first, 2).alias("author"), parse_date("slash", F.regexp_extract("value", first, 4)).alias("date_utc"), F.regexp_replace(log, r"\n+$", "").alias("log"))
     lines = describes.select("repo", F.regexp_extract("value", first, 1).try_cast("long").alias("seq"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(?m)^\.\.\. (//[^\n]*#\d+ \w+)"), F.lit(1))).alias("pos", "line"))
     pattern = r"^(//.*)#(\d+) (\w+)$"
@@ -47,7 +47,8 @@ def ingest_changelist(describes: DataFrame, filelogs: DataFrame | None = None, d
     return changesets, entries
 
 
-QUOTED = r'"(?:[^"\\]|\\.)*"'
+#: Possessive, so that the matcher does not recurse once for each character.
+QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
 
 def unquoted(text: Column) -> Column:

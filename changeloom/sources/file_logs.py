@@ -71,7 +71,7 @@ def ingest_file_headers(df: DataFrame, module: str = "") -> DataFrame:
 
 def ingest_symbols(df: DataFrame, module: str = "") -> DataFrame:
     """(repo, path, tag, number) of every file's table of symbols."""
-    tables = _file_sections(df, module).select("repo", "path", F.regexp_extract("header", r"(?m)^symbolic names:\n((?:\t[^\n]*\n)*)", 1).alias("t"))
+    tables = _file_sections(df, module).select("repo", "path", F.regexp_extract("header", r"(?m)^symbolic names:\n((?:\t[^\n]*+\n)*+)", 1).alias("t"))
     pairs = tables.select("repo", "path", F.explode(F.filter(F.split("t", "\n"), lambda x: x != "")).alias("line"))
     return pairs.select("repo", "path", F.regexp_extract("line", r"^\t(.*): [\d.]+$", 1).alias("tag"), F.regexp_extract("line", r": ([\d.]+)$", 1).alias("number"))
 

@@ -79,7 +79,7 @@ def ingest_pull_preview(df: DataFrame, trailer: str = "Making no changes: this i
     """Patches of a preview: repo, pos, name, author, date_utc, log, tag, inverted,
     patch_hash. Records are parted by empty lines and end at the trailer."""
     text = F.regexp_replace("value", rf"(?s)\Q{trailer}\E.*$", "")
-    records = df.select("repo", F.posexplode(F.regexp_extract_all(text, F.lit(r"(?m)^\w{3} \w{3} +\d+ \d\d:\d\d:\d\d [^\n]*\n  (?:\*|UNDO:|tagged)[^\n]*(?:\n  [^\n]*|\n[ \t]*(?=\n  ))*"), F.lit(0))).alias("pos", "r"))
+    records = df.select("repo", F.posexplode(F.regexp_extract_all(text, F.lit(r"(?m)^\w{3} \w{3} +\d+ \d\d:\d\d:\d\d [^\n]*\n  (?:\*|UNDO:|tagged)[^\n]*+(?:\n  [^\n]*+|\n[ \t]*+(?=\n  ))*+"), F.lit(0))).alias("pos", "r"))
     first, second = F.regexp_extract("r", r"^([^\n]*)", 1), F.regexp_extract("r", r"^[^\n]*\n  ([^\n]*)", 1)
     name = F.regexp_replace(second, r"^\* ", "")
     lines = F.transform(F.filter(F.split(F.regexp_extract("r", r"(?s)^[^\n]*\n[^\n]*\n?(.*)$", 1), "\n"), lambda x: x != ""), lambda x: F.regexp_replace(x, "^  ", ""))
