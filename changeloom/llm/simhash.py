@@ -51,7 +51,7 @@ def links(prints: DataFrame, parts: int, segments: int, distance: int) -> DataFr
     if distance >= 2 * segments:
         raise ValueError("too few segments for this distance")
     search = Search(parts, segments, 64 * parts // segments, distance, forest_is_enough=True)
-    return linked(prints.withColumn("size", F.lit(1).cast("long")), search)
+    return linked(prints, search)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, parts: int = 1, segments: int = 2, distance: int = 2, seed: int = 42) -> DataFrame:

@@ -20,8 +20,8 @@ from .simhash import BLOCK
 from .variants import Search
 from .variants import links as linked
 
-#: Segments have this many bits, and one more for each doubling of the rows beyond 2**24, so that buckets do not grow.
-BITS, FREE = 16, 8
+#: Segments have this many bits, and one more for each doubling of the rows beyond 2**22, so that buckets do not grow.
+BITS, FREE = 12, 10
 
 
 def search_for(rows: int, least: float, recall: float = 0.98) -> Search:
@@ -37,7 +37,7 @@ def search_for(rows: int, least: float, recall: float = 0.98) -> Search:
     hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
     segments = math.ceil(math.log(1 - recall) / math.log(1 - hit))
     whole = 64 * math.ceil(segments * bits / 64)
-    return Search(whole // 64, segments, bits, math.ceil(whole * p + 4.5 * math.sqrt(whole * p * (1 - p))), least)
+    return Search(whole // 64, segments, bits, math.ceil(whole * p + 4.5 * math.sqrt(whole * p * (1 - p))))
 
 
 def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -82,7 +82,7 @@ def groups(rows: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42)
         sets = [shingle_set(x, words, seed) for x in batch["text"]]
         keys = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]).reshape(-1, 2)
         found = [majority(s, search.parts) for s in sets]
-        return {"rid": batch["rid"], "d0": keys[:, 0], "d1": keys[:, 1], "size": [len(s) for s in sets]} | {n: [f[k] for f in found] for k, n in enumerate(names)}
+        return {"rid": batch["rid"], "d0": keys[:, 0], "d1": keys[:, 1]} | {n: [f[k] for f in found] for k, n in enumerate(names)}
 
     def sets_of(batch: dict) -> dict:
         return {"node": batch["rid"], "hashes": [shingle_set(x, words, seed).view(np.int64) for x in batch["text"]]}
@@ -94,8 +94,8 @@ def groups(rows: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42)
         sets = stored(map_batches(texts.join(known, "rid"), sets_of, "node long, hashes array<long>"), "sets")
         return verified(pairs, sets, least)
 
-    prints = stored(map_batches(texts, prints_of, "rid long, d0 long, d1 long, size long, " + ", ".join(f"{n} long" for n in names)), "prints")
-    nodes = stored(prints.groupBy("d0", "d1").agg(F.min("rid").alias("node"), F.min("size").alias("size"), *(F.min(n).alias(n) for n in names)), "nodes")
+    prints = stored(map_batches(texts, prints_of, "rid long, d0 long, d1 long, " + ", ".join(f"{n} long" for n in names)), "prints")
+    nodes = stored(prints.groupBy("d0", "d1").agg(F.min("rid").alias("node"), *(F.min(n).alias(n) for n in names)), "nodes")
     roots = components(linked(nodes, search, accepted))
     rooted = nodes.select("d0", "d1", "node").join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"))
     return prints.select("rid", "d0", "d1").join(rooted, ["d0", "d1"]).select("rid", "root")

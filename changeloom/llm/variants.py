@@ -7,7 +7,9 @@ rows of equal variants meet in a bucket.
 
 Of a bucket's pairs that are near enough each is taken in its first common variant
 only. Where a bucket of more than ``DENSE`` rows has many, as among the copies of
-one text, a spanning forest is taken first. A bucket of more than ``MOST`` rows is
+one text, only a spanning forest is taken first; that its pairs too are taken in
+their first common variant alone disconnects nothing, since there a forest
+connects them by such pairs again. A bucket of more than ``MOST`` rows is
 dealt out to blocks, each compared with itself and with one of them. What that
 leaves is made up for when the components of these links are known: of such
 buckets, rows of different components are compared, and rows of the bucket's main
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import stored
 from .graph import components
 
-DENSE, MOST = 32, 4096
+DENSE, MOST = 16, 4096
 #: Near pairs for each row of a bucket beyond which a forest is taken, and rows looked at together.
-MANY, ROWS = 8, 8192
+MANY, ROWS = 4, 8192
 #: What became of a bucket: a pair of it, a forest of it, nothing yet.
 PAIR, FOREST, NOTHING = 0, 1, 2
 
@@ -63,75 +65,73 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """How fingerprints of ``parts`` words are cut and compared. Sizes of sets that
-    are similar enough differ by the factor ``least`` at most."""
+    """How fingerprints of ``parts`` words are cut into ``segments`` of ``bits`` and up to
+    which ``distance`` they are near. ``forest_is_enough`` says that near pairs are
+    links as they are, so that a forest of them has their components."""
 
-    def __init__(self, parts: int, segments: int, bits: int, distance: int, least: float = 0.0, forest_is_enough: bool = False):
+    def __init__(self, parts: int, segments: int, bits: int, distance: int, forest_is_enough: bool = False):
         if segments * bits > 64 * parts or bits > 40:
             raise ValueError("segments do not fit")
-        self.parts, self.segments, self.bits, self.distance, self.least, self.enough = parts, segments, bits, distance, least, forest_is_enough
+        self.parts, self.segments, self.bits, self.distance, self.enough = parts, segments, bits, distance, forest_is_enough
 
     def mine(self, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pairs' first common variant is that of their bucket's ``key``."""
         return _first_variant(a ^ b, self.segments, self.bits) == key >> 40
 
-    def small(self, key: np.ndarray, size: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Near pairs of many small buckets at once; rows are sorted by key and size."""
+    def small(self, key: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Near pairs of many small buckets at once; rows are sorted by key."""
         alive, step, found = np.arange(len(key)), 1, [np.zeros((2, 0), np.int64)]
         while True:
             alive = alive[alive < len(key) - step]
-            other = alive + step
-            go_on = (key[alive] == key[other]) & (size[alive] >= self.least * size[other] - 1e-9)
-            alive, other = alive[go_on], other[go_on]
+            alive = alive[key[alive] == key[alive + step]]
             if not len(alive):
                 break
-            near = _apart(prints[alive], prints[other]) <= self.distance
-            found.append(np.stack([alive[near], other[near]]))
+            near = alive[_apart(prints[alive], prints[alive + step]) <= self.distance]
+            found.append(np.stack([near, near + step]))
             step += 1
         i, j = np.concatenate(found, axis=1)
         mine = self.mine(key[i], prints[i], prints[j])
         return i[mine], j[mine]
 
-    def _matrix(self, top: np.ndarray, size: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, top: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Near pairs of rows ``top`` and all rows."""
-        far = np.zeros((len(top), len(size)), np.uint16)
+        far = np.zeros((len(top), len(prints)), np.uint16)
         for part in range(self.parts):
             far += np.bitwise_count(prints[top, None, part] ^ prints[None, :, part])
-        low, high = np.minimum(size[top, None], size[None, :]), np.maximum(size[top, None], size[None, :])
-        i, j = np.nonzero((far <= self.distance) & (low >= self.least * high - 1e-9))
+        i, j = np.nonzero(far <= self.distance)
         return top[i], j
 
-    def dense(self, key: int, node: np.ndarray, size: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Near pairs of one bucket, or, where they are many, a spanning forest of
-        links to small nodes; and whether these are all."""
-        n, found = len(node), 0
+    def dense(self, key: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Near pairs of one bucket, rows sorted by node, or, where they are many, a
+        spanning forest of links to small nodes; and whether these are all."""
+        n, found, whole = len(prints), 0, True
         parts, step = [np.zeros((2, 0), np.int64)], max(1, (1 << 20) // n)
         for top in range(0, n, step):
-            i, j = self._matrix(np.arange(top, min(n, top + step)), size, prints)
+            i, j = self.near(np.arange(top, min(n, top + step)), prints)
             parts.append(np.stack([i, j])[:, j < i])
             found += parts[-1].shape[1]
             if found > MANY * n:
-                return *self._forest(node, size, prints), False
+                parts, whole = [self._forest(prints)], False
+                break
         i, j = np.concatenate(parts, axis=1)
         mine = self.mine(np.full(len(i), key), prints[i], prints[j])
-        return i[mine], j[mine], True
-
-    def _forest(self, node: np.ndarray, size: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(node)
-        size, prints, label, links = size[order], prints[order], np.arange(len(node)), []
-        step = max(1, (1 << 20) // len(node))
-        for top in range(0, len(node), step):
-            rows = np.arange(top, min(len(node), top + step))
-            i, j = self._matrix(rows, size, prints)
-            for a in rows.tolist():
-                partners = j[np.searchsorted(i, a) : np.searchsorted(i, a, side="right")]
-                others, first = np.unique(label[partners[partners < a]], return_index=True)
-                links += [(a, int(partners[k])) for k, other in zip(first.tolist(), others.tolist(), strict=True) if other != label[a]]
-                if len(others):
+        return i[mine], j[mine], whole
+
+    def _forest(self, prints: np.ndarray) -> np.ndarray:
+        label, links = np.arange(len(prints)), []
+        step = max(1, (1 << 20) // len(prints))
+        for top in range(0, len(prints), step):
+            i, j = self.near(np.arange(top, min(len(prints), top + step)), prints)
+            edges = np.searchsorted(i, np.arange(top, min(len(prints), top + step) + 1)).tolist()
+            for a, lo, hi in zip(range(top, len(prints)), edges, edges[1:], strict=False):
+                partners = j[lo : lo + np.searchsorted(j[lo:hi], a)]
+                others, first = np.unique(label[partners], return_index=True)
+                links += [(a, int(partners[k])) for k in first]
+                if len(others) > 1:
                     label[np.isin(label, others)] = others[0]
+                if len(others):
                     label[a] = others[0]
-        pairs = np.array(links, np.int64).reshape(-1, 2)
-        return order[pairs[:, 0]], order[pairs[:, 1]]
+        return np.array(links, np.int64).reshape(-1, 2).T
 
 
 def _long(columns: list[str]) -> str:
@@ -143,18 +143,17 @@ def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def keyed(nodes: DataFrame, search: Search) -> DataFrame:
-    """``nodes`` (node, size, label, f0, ...) with key, once for each variant."""
-    names = [f"f{k}" for k in range(search.parts)]
-    columns = ["key", "node", "size", "label", *names]
+    """``nodes`` (longs, the fingerprint's words last) with key, once for each variant."""
+    columns = ["key", *nodes.columns]
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.stack(_arrays(batch)[3:], axis=1).view(np.uint64)
+            prints = np.stack(_arrays(batch)[-search.parts :], axis=1).view(np.uint64)
             for number in range(search.segments):
                 for bit in range(search.bits):
                     yield pa.RecordBatch.from_arrays([pa.array(_variant(prints, number, search.bits, bit).view(np.int64)), *batch.columns], names=columns)
 
-    return nodes.select(*columns[1:]).mapInArrow(variants, _long(columns))
+    return nodes.mapInArrow(variants, _long(columns))
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], bool]]:
@@ -202,22 +201,22 @@ def _first_round(rows: DataFrame, search: Search) -> DataFrame:
     a bucket's key and, as a, how many of its rows."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, node, size, *words), large in _buckets(batches):
+        for (key, node, *words), large in _buckets(batches):
             if large:
                 yield batch_of([(NOTHING, int(key[0]), len(key), None)])
                 continue
-            prints = np.stack(words[1:], axis=1).view(np.uint64)
+            prints = np.stack(words, axis=1).view(np.uint64)
             edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             counts = np.diff(edges)
             at = np.flatnonzero(np.repeat(counts <= DENSE, counts))
-            i, j = search.small(key[at], size[at], prints[at])
+            i, j = search.small(key[at], prints[at])
             pairs, left = [np.stack([node[at[i]], node[at[j]]], axis=1)], []
             for k in np.flatnonzero(counts > DENSE).tolist():
                 lo, hi = int(edges[k]), int(edges[k + 1])
                 if hi - lo > MOST:
                     left.append((NOTHING, int(key[lo]), hi - lo, None))
                     continue
-                a, b, whole = search.dense(int(key[lo]), node[lo:hi], size[lo:hi], prints[lo:hi])
+                a, b, whole = search.dense(int(key[lo]), prints[lo:hi])
                 pairs.append(np.stack([node[lo + a], node[lo + b]], axis=1))
                 if not whole and not search.enough:
                     left.append((FOREST, int(key[lo]), hi - lo, None))
@@ -230,7 +229,7 @@ def _first_round(rows: DataFrame, search: Search) -> DataFrame:
         types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["kind", "key", "a", "b"])
 
-    dealt = rows.repartition("key").sortWithinPartitions("key", "size", "node")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(compare, "kind int, key long, a long, b long")
 
 
@@ -254,11 +253,11 @@ def _meet(rows: DataFrame, search: Search, every: bool) -> DataFrame:
     def pairs_of(key: int, own: list[np.ndarray] | None, part: list[np.ndarray], visit: bool) -> pa.RecordBatch:
         found = [np.zeros((0, 2), np.int64)]
         own = [c[:0] for c in part] if own is None else own
-        node, size, label, *words = (np.concatenate(c) for c in zip(own, part, strict=True))
+        node, label, *words = (np.concatenate(c) for c in zip(own, part, strict=True))
         prints, old = np.stack(words, axis=1).view(np.uint64), len(own[0])
         step = max(1, (1 << 20) // max(1, len(node)))
         for top in range(old, len(node), step):
-            i, j = search._matrix(np.arange(top, min(len(node), top + step)), size, prints)
+            i, j = search.near(np.arange(top, min(len(node), top + step)), prints)
             ok = j < old if visit else j < i
             i, j = i[ok], j[ok]
             if every:
@@ -281,12 +280,11 @@ def _meet(rows: DataFrame, search: Search, every: bool) -> DataFrame:
 
 
 def links(nodes: DataFrame, search: Search, verified: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(a, b) of ``nodes`` (node, size, f0, ...) whose components are those of all near
-    pairs, or of all that ``verified`` lets through."""
+    """(a, b) of ``nodes`` (node, f0, ...) whose components are those of all near pairs,
+    or of all that ``verified`` lets through."""
     accept = verified or (lambda pairs: pairs)
     names = [f"f{k}" for k in range(search.parts)]
-    plain = nodes.select("node", "size", F.lit(0).cast("long").alias("label"), *names)
-    rows = keyed(plain, search)
+    rows = keyed(nodes.select("node", *names), search)
     first = stored(_first_round(rows, search), "proposed")
     pairs = first.where(f"kind = {PAIR}").select("a", "b")
     left = stored(first.where(f"kind <> {PAIR}").groupBy("key").agg(F.sum("a").alias("n"), F.max("kind").alias("kind")), "buckets")
@@ -295,7 +293,7 @@ def links(nodes: DataFrame, search: Search, verified: Callable[[DataFrame], Data
         return done
     blocks = F.ceil(F.col("n") / (MOST // 2))
     own = F.pmod(F.xxhash64("node"), blocks)
-    columns = ["node", "size", "label", *names]
+    columns = ["node", "label", *names]
 
     def dealt(rows: DataFrame, goes_round) -> DataFrame:
         placed = rows.select("key", *columns, own.alias("own"), F.explode(F.when(goes_round, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("at"))
@@ -303,10 +301,10 @@ def links(nodes: DataFrame, search: Search, verified: Callable[[DataFrame], Data
 
     large = left.where(f"kind = {NOTHING}")
     if large.head(1):
-        near = _meet(dealt(rows.join(large, "key"), own == 0), search, every=False)
+        near = _meet(dealt(rows.join(large, "key").withColumn("label", F.col("node")), own == 0), search, every=False)
         done = stored(done.union(accept(stored(near, "proposed"))), "links")
     roots = components(done)
-    labelled = nodes.join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("label"), *names)
+    labelled = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), *names)
     rows = stored(keyed(labelled, search).join(left, "key"), "open")
     main = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     near = _meet(dealt(rows.join(main, "key"), F.col("label") != F.col("main")), search, every=True)

@@ -85,7 +85,7 @@ def test_verified_links_lose_no_component(spark, most, monkeypatch):
     centre = rng.getrandbits(64)
     prints = sorted({centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 2))) for _ in range(150)})
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    frame = spark.createDataFrame([(k, 1, signed(p)) for k, p in enumerate(prints)], "node long, size long, f0 long")
+    frame = spark.createDataFrame([(k, signed(p)) for k, p in enumerate(prints)], "node long, f0 long")
     search = variants.Search(1, 4, 16, 5)
     found = variants.links(frame, search, lambda pairs: pairs.where("a % 3 = b % 3"))
     roots = {r["node"]: r["root"] for r in graph.components(found).collect()}
