@@ -2,9 +2,8 @@
 follow-the-regularised-leader updates and scored as sparse dot products.
 
 Tokens are runs of word bytes and runs of other visible bytes; features are
-hashed 1- to ``max_n``-grams of tokens, and hashed 3-grams of which only the
-pattern of equal tokens is kept, so that "go go on" and "so so so-so" have theirs in
-common with other texts. A text's feature vector holds each n-gram's share of all
+hashed 1- to ``max_n``-grams of tokens, and of 3-grams that repeat a token also the
+hashed pattern alone, so that "go go on" and "so so far" have one in common. A text's feature vector holds each n-gram's share of all
 its n-grams, times ``SCALE``.
 
 Training takes at most ``max_rows`` labelled rows (those with the smallest hash
@@ -61,7 +60,8 @@ def features(text: str | None, bits: int, max_n: int) -> Iterator[np.ndarray]:
             if gram.size < 2:
                 break
         a, b, c = (h[max(0, old - PATTERN + 1) + k: h.size - PATTERN + 1 + k] for k in range(PATTERN))
-        yield hashed((PATTERNS + (a == b) + 2 * (b == c) + 4 * (a == c)).astype(np.uint64))
+        pattern = (a == b) + 2 * (b == c) + 4 * (a == c)
+        yield hashed((PATTERNS + pattern[pattern > 0]).astype(np.uint64))
         tail = h[max(0, h.size - reach):]
 
 

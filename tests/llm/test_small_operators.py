@@ -120,7 +120,8 @@ def brute_features(text, bits, max_n):
                 gram = (gram * 0x9E3779B97F4A7C15 + zlib.crc32(t)) % mod
             count(gram)
     for a, b, c in zip(tokens, tokens[1:], tokens[2:]):
-        count(0x5EED0000 + (a == b) + 2 * (b == c) + 4 * (a == c))
+        if len({a, b, c}) < 3:
+            count(0x5EED0000 + (a == b) + 2 * (b == c) + 4 * (a == c))
     return counts
 
 
