@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from changeloom.functions import scalars as S
 from changeloom.functions.reflow import reflowed
 from changeloom.operators import adapt, changesets, entries, folds, graph, tree
-from changeloom.sources import file_logs, xml_logs
+from changeloom.sources import commit_logs, file_logs, xml_logs
 
 ENTRY = "repo string, seq long, pos int, action string, name string, old_name string, is_directory boolean"
 
@@ -305,6 +305,79 @@ def test_odd_values(spark):
     assert [r[0] for r in df.select(S.parse_date("iso", F.col("t"))).collect()] == [None] * 4
 
 
+@pytest.mark.parametrize(("kind", "text", "good"), [
+    ("iso", "2024-01-02T03:04:05.678901Z", True), ("iso", "2024-01-02 03:04:05", True), ("iso", "-0130", False), ("iso", "2024", False), ("iso", "2024-01-02 03:04:05 x", False), ("iso", "2024-13-02 03:04:05", False),
+    ("compact", "20240102030405", True), ("compact", "2024", False), ("compact", "x20240102030405", False), ("compact", "99999999999999", False),
+])
+def test_dates_are_whole(spark, kind, text, good):
+    found = spark.createDataFrame([(text,)], "t string").select(F.unix_seconds(S.parse_date(kind, F.col("t")))).first()[0]
+    assert found == (1704164645 if good else None)
+
+
+def test_default_characters(spark):
+    text = "".join(map(chr, range(256)))
+    row = spark.createDataFrame([(text,)], "t string").select(S.scrub_chars(F.col("t")), S.map_chars(F.col("t")), S.map_chars(F.col("t"), {"a": "bb", "b": "a", "c": "d"})).first()
+    bad = {*range(0, 10), 11, 12, *range(14, 32), 127}
+    assert len(bad) == 31 and row[0] == "".join("?" if k in bad else chr(k) for k in range(256))
+    assert row[1].startswith(text[:0xB4]) and "&#180;" in row[1] and "&#336;" in row[1] and "&#369;" in row[1] and "\xe4" in row[1] and "\xfc" not in row[1]
+    assert row[2] == text.translate({97: "bb", 98: "a", 99: "d"})
+
+
+@pytest.mark.parametrize(("data", "charset", "want"), [
+    (b"a\xff\xef\xbf\xbdb", "UTF-8", ["a\ufffd\ufffdb", "a\ufffdb", None]), (b"plain", "UTF-8", ["plain"] * 3), (b"a\x81b", "windows-1252", ["a\ufffdb", "ab", None]), (b"\xe9", "ISO-8859-1", ["é"] * 3), (None, "UTF-8", [None] * 3), (None, "US-ASCII", [None] * 3),
+])
+def test_decoding_policies(spark, data, charset, want):
+    frame = spark.createDataFrame([(data,)], "d binary")
+    assert list(frame.select(*(S.decode_text(F.col("d"), charset, p) for p in ("replace", "ignore", "quarantine"))).first()) == want
+
+
+def test_parsers_of_very_long_records(spark):
+    """Messages of 100,000 lines and quoted values of a million characters."""
+    lines = 100_000
+    long = '"' + 'say \\" \\\\ ' * 100_000 + '"'
+    certs = spark.createDataFrame([("r", "1", f'name "changelog"\nvalue {long}\n')], "repo string, revision string, value string")
+    found = commit_logs.ingest_certs(certs).first()
+    assert found["name"] == "changelog" and found["value"] == 'say " \\ ' * 100_000
+    stanza = spark.createDataFrame([("r", "1", f"add_file {long}\n")], "repo string, revision string, value string")
+    assert commit_logs.ingest_stanza_diff(stanza).first()["action"] == A
+    change = "Change 1 by u@h on 2024/01/02 03:04:05\n\n" + "\tline\n" * lines + "\nAffected files ...\n\n... //depot/a#1 add\n"
+    heads, ents = commit_logs.ingest_changelist(spark.createDataFrame([("r", change)], "repo string, value string"))
+    assert heads.first()["log"].count("\n") == lines - 1 and ents.count() == 1
+    symbols = "RCS file: /r/mod/f,v\nsymbolic names:\n" + "".join(f"\tt{k}: 1.{k}\n" for k in range(lines)) + "total revisions: 0;\tselected revisions: 0\n" + file_logs.FILE_END + "\n"
+    assert file_logs.ingest_symbols(spark.createDataFrame([("r", symbols)], "repo string, value string"), "mod").count() == lines
+    preview = "Tue Jan  2 03:04:05 CET 2024 u\n  * name\n" + "  line\n" * lines + "\n"
+    assert xml_logs.ingest_pull_preview(spark.createDataFrame([("r", preview)], "repo string, value string")).first()["log"].count("\n") == lines - 1
+
+
+def test_members_of_equal_revisions(spark):
+    rows = [("r", 1, 0, "f", "1.2", "1.3"), ("r", 1, 1, "f", "INITIAL", "1.4(DEAD)"), ("r", 1, 2, "f", "1.1", "1.4"), ("r", 1, 3, "g", "1.1", "1.2"), ("r", 1, 4, "g", "1.1", "1.2(DEAD)")]
+    df = spark.createDataFrame(rows, "repo string, seq long, pos int, name string, old_rev string, new_rev string")
+    assert [(r["name"], r["action"], r["old_rev"], r["new_rev"]) for r in entries.merge_members(df).orderBy("name").collect()] == [("f", A, None, "1.4"), ("g", D, "1.1", "1.2")]
+
+
+def test_snapshots_with_copies(spark):
+    before = spark.createDataFrame([("r", 1, p, "1") for p in "abcd"], "repo string, seq long, path string, rev string")
+    after = spark.createDataFrame([("r", 1, p, v) for p, v in (("a", "2"), ("b", "1"), ("x", "1"), ("y", "1"), ("z", "1"))], "repo string, seq long, path string, rev string")
+    copies = spark.createDataFrame([("r", 1, "x", "c"), ("r", 1, "y", "c"), ("r", 1, "z", "a")], "repo string, seq long, path string, source string")
+    got = sorted((r["action"], r["name"], r["old_name"]) for r in entries.snapshot_diff(before, after, copies).collect())
+    assert got == [(A, "y", None), (A, "z", None), (D, "d", None), (R, "x", "c"), (U, "a", None)]
+
+
+def test_directories_come_and_go(spark):
+    steps = [(0, A, "d/e/a"), (1, D, "d/e/a"), (2, A, "d/b"), (3, D, "d/b"), (3, A, "d/c"), (4, D, "x")]
+    df = spark.createDataFrame([("r", s, k, a, n, None, "1") for k, (s, a, n) in enumerate(steps)], "repo string, seq long, pos int, action string, name string, old_name string, new_rev string")
+    assert sorted((r["seq"], r["path"]) for r in tree.synthesize_dir_adds(df).collect()) == [(0, "d"), (0, "d/e"), (2, "d")]
+    gone = spark.createDataFrame([("r", s, D, n) for s, n in ((1, "d"), (2, "d"), (3, "d/e"), (0, "d"), (4, "x"))], "repo string, seq long, action string, name string")
+    assert {(r["seq"], r["name"]): r["is_directory"] for r in tree.flag_deleted_dirs(gone, tree.tree_intervals(df)).collect()} == {(1, "d"): True, (2, "d"): False, (3, "d/e"): False, (0, "d"): False, (4, "x"): False}
+
+
+def test_reach_from_inside_runs(spark):
+    edges = spark.createDataFrame([("r", k + 1, k) for k in range(30)] + [("r", 100, 20), ("r", 101, 100), ("s", 5, 4)], "repo string, child long, parent long")
+    reach = lambda roots, way="ancestors": sorted(r["revision"] for r in graph.reachable(edges, spark.createDataFrame([("r", k) for k in roots], "repo string, revision long"), way).collect())
+    assert reach([7]) == list(range(7)) and reach([7, 10]) == list(range(10)) and reach([0]) == [] and reach([]) == []
+    assert reach([101]) == [*range(21), 100] and reach([18], "descendants") == [*range(19, 31), 100, 101]
+
+
 def test_locks_and_dashes_in_a_log(spark):
     text = "RCS file: /r/mod/Attic/f,v\nsymbolic names:\ntotal revisions: 2;\tselected revisions: 2\ndescription:\n" + file_logs.BLOCK_END + "\nrevision 1.2\tlocked by: x;\ndate: 1999-05-17 10:00:00 +0000;  author: u;  state: Exp;  lines: +1 -1\nfirst\n" + file_logs.BLOCK_END + "\nnot a revision\n" + file_logs.BLOCK_END + "\nrevision 1.1\ndate: 1999/05/16 10:00:00;  author: u;  state: Exp;\n*** empty log message ***\n" + file_logs.FILE_END + "\n"
     rows = file_logs.ingest_file_log(spark.createDataFrame([("r", text)], "repo string, value string"), "mod").orderBy("rev").collect()
