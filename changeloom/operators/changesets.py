@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from changeloom.functions.scalars import default_author as _author
 from changeloom.functions.scalars import branch_of, is_branch, rev_key, rev_text, same_branch
+from changeloom.operators.cells import running
 from changeloom.schema import ADD, DEL, UPD
 
 
@@ -259,8 +260,8 @@ def first_seen_tags(changesets: DataFrame) -> DataFrame:
 def suppress_repeat_tags(changesets: DataFrame) -> DataFrame:
     """(repo, seq, tag) without tags that the same state already has: a state is a
     changeset with changes (not tag_only) and the tag-only ones that follow."""
-    state = F.sum(F.when(F.col("tag_only"), 0).otherwise(1)).over(Window.partitionBy("repo").orderBy("seq"))
-    rows = changesets.withColumn("_state", state).select("repo", "seq", "_state", F.explode("tags").alias("tag"))
+    steps = changesets.withColumn("_step", F.when(F.col("tag_only"), 0).otherwise(1))
+    rows = running(steps, "seq", "_step", "_state").select("repo", "seq", "_state", F.explode("tags").alias("tag"))
     w = Window.partitionBy("repo", "tag").orderBy("seq")
     return rows.withColumn("_last", F.lag("_state").over(w)).where("_last IS NULL OR _last <> _state").select("repo", "seq", "tag")
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from changeloom.operators.cells import with_previous
 from changeloom.storage import shared_dir, stored
 
 
@@ -97,8 +98,7 @@ def linearize(changesets: DataFrame, order: DataFrame, branch: str, first_only:
     """Revisions of one branch in topological order (repo, revision, seq), each with
     lin_parent, the kept one before; the first kept has ``start``."""
     kept = changesets.where(F.array_contains("branches", branch)).drop("seq", "lin_parent").join(order.select("repo", "revision", "seq"), ["repo", "revision"])
-    w = Window.partitionBy("repo").orderBy("seq")
-    out = kept.withColumn("lin_parent", F.coalesce(F.lag("revision").over(w), F.lit(start)))
+    out = with_previous(kept, "seq", "revision", "_parent").withColumn("lin_parent", F.coalesce("_parent", F.lit(start))).drop("_parent")
     if first_only:
         first = kept.groupBy("repo").agg(F.min("seq").alias("seq"))
         out = out.join(first, ["repo", "seq"], "left_semi").withColumn("lin_parent", F.lit(start).cast("string"))
@@ -111,5 +111,4 @@ def graft_branch(changesets: DataFrame, branchpoint: str, parents: DataFrame | N
     revision), the history that must hold that point, repos without it are left out."""
     if parents is not None:
         changesets = changesets.join(parents.where(F.col("revision") == branchpoint).select("repo").distinct(), "repo", "left_semi")
-    w = Window.partitionBy("repo").orderBy("seq")
-    return changesets.withColumn("lin_parent", F.coalesce(F.lag("revision").over(w), F.lit(branchpoint)))
+    return with_previous(changesets, "seq", "revision", "_parent").withColumn("lin_parent", F.coalesce("_parent", F.lit(branchpoint))).drop("_parent")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions.scalars import ancestors_of, parent_of, rev_key
+from changeloom.operators.cells import running, with_next
 from changeloom.schema import ADD, DEL, REN
 
 
@@ -37,25 +38,7 @@ def live_counts(intervals: DataFrame) -> DataFrame:
     """(repo, seq, live): number of paths after each changeset that changes it."""
     steps = intervals.select("repo", F.col("from_seq").alias("seq"), F.lit(1).alias("d")).union(intervals.where("to_seq IS NOT NULL").select("repo", "to_seq", F.lit(-1)))
     steps = steps.groupBy("repo", "seq").agg(F.sum("d").alias("d"))
-    return _running(steps, "seq", "d", "live")
-
-
-def _running(df: DataFrame, order: str, value: str, name: str, keys: tuple[str, ...] = ("repo",), cell: int = 10_000) -> DataFrame:
-    """With the running sum of ``value`` by keys: within cells of ``order``, then over cells."""
-    cells = df.withColumn("_cell", F.floor(F.col(order) / cell))
-    sums = cells.groupBy(*keys, "_cell").agg(F.sum(value).alias("_sum"))
-    sums = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_cell")) - F.col("_sum")).drop("_sum")
-    inside = F.sum(value).over(Window.partitionBy(*keys, "_cell").orderBy(order))
-    return cells.withColumn("_inside", inside).join(sums, [*keys, "_cell"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_cell", "_inside", "_before", value)
-
-
-def _with_next(df: DataFrame, order: str, name: str, keys: tuple[str, ...] = ("repo",), cell: int = 10_000) -> DataFrame:
-    """With the next value of ``order`` by keys, or 2**62 behind the last: from the same cell or a later one's first."""
-    cells = df.withColumn("_cell", F.floor(F.col(order) / cell))
-    firsts = cells.groupBy(*keys, "_cell").agg(F.min(order).alias("_first"))
-    firsts = firsts.withColumn("_later", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_cell"))).drop("_first")
-    inside = F.lead(order).over(Window.partitionBy(*keys, "_cell").orderBy(order))
-    return cells.withColumn("_next", inside).join(firsts, [*keys, "_cell"]).withColumn(name, F.coalesce("_next", "_later", F.lit(1 << 62))).drop("_cell", "_next", "_later")
+    return running(steps, "seq", "d", "live")
 
 
 # Tags
@@ -77,7 +60,7 @@ def place_tags(intervals: DataFrame, file_tags: DataFrame) -> DataFrame:
     spans = held.groupBy("repo", "tag", "path").agg(F.max("from_seq").alias("lo"), F.max_by(F.coalesce("to_seq", F.lit((1 << 62))), "from_seq").alias("hi"))
     fits = spans.groupBy("repo", "tag").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"), F.count("*").alias("matched"))
     fits = fits.join(tag_file_counts(file_tags), ["repo", "tag"]).where("matched = n_files AND lo < hi")
-    counts = _with_next(live_counts(intervals), "seq", "until")
+    counts = with_next(live_counts(intervals), "seq", "until")
     out = fits.join(counts, (fits["repo"] == counts["repo"]) & (fits["n_files"] == counts["live"])).where("until > lo AND seq < hi")
     return out.select(fits["repo"], "tag", F.greatest("lo", "seq").alias("from_seq"), F.least("hi", "until").alias("to_seq"))
 
@@ -147,7 +130,7 @@ def directory_changes(intervals: DataFrame) -> DataFrame:
     dirs = intervals.select("repo", "from_seq", "to_seq", F.explode(ancestors_of(F.col("path"))).alias("path"))
     steps = dirs.select("repo", "path", F.col("from_seq").alias("seq"), F.lit(1).alias("d")).union(dirs.where("to_seq IS NOT NULL").select("repo", "path", "to_seq", F.lit(-1)))
     steps = steps.groupBy("repo", "path", "seq").agg(F.sum("d").alias("d"))
-    counts = _running(steps.withColumn("_d", F.col("d")), "seq", "d", "live", ("repo", "path"))
+    counts = running(steps.withColumn("_d", F.col("d")), "seq", "d", "live", ("repo", "path"))
     before = F.col("live") - F.col("_d")
     action = F.when((before == 0) & (F.col("live") > 0), ADD).when((before > 0) & (F.col("live") == 0), DEL)
     return counts.withColumn("action", action).where("action IS NOT NULL").select("repo", "path", "seq", "action")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from changeloom.functions import scalars as S
 from changeloom.functions.reflow import reflowed
-from changeloom.operators import adapt, changesets, entries, folds, graph, tree
+from changeloom.operators import adapt, cells, changesets, entries, folds, graph, tree
 from changeloom.sources import commit_logs, file_logs, xml_logs
 
 ENTRY = "repo string, seq long, pos int, action string, name string, old_name string, is_directory boolean"
@@ -371,6 +371,19 @@ def test_directories_come_and_go(spark):
     assert {(r["seq"], r["name"]): r["is_directory"] for r in tree.flag_deleted_dirs(gone, tree.tree_intervals(df)).collect()} == {(1, "d"): True, (2, "d"): False, (3, "d/e"): False, (0, "d"): False, (4, "x"): False}
 
 
+def test_cells_equal_windows(spark):
+    """Sums and neighbours cell by cell are those of one window, with nulls and gaps."""
+    rng = random.Random(4)
+    rows = [(r, s, rng.choice([None, "a", "b"]), rng.randrange(5)) for r in "xyz" for s in sorted(rng.sample(range(400), 60))]
+    df = spark.createDataFrame(rows, "repo string, seq long, v string, d long")
+    got = {(r["repo"], r["seq"]): (r["prev"], r["until"], r["total"]) for r in cells.running(cells.with_next(cells.with_previous(df, "seq", "v", "prev", cell=7), "seq", "until", cell=7), "seq", "d", "total", cell=7).collect()}
+    for repo in "xyz":
+        own, total = [r for r in rows if r[0] == repo], 0
+        for k, (_, seq, _, d) in enumerate(own):
+            total += d
+            assert got[repo, seq] == (own[k - 1][2] if k else None, own[k + 1][1] if k + 1 < len(own) else 1 << 62, total)
+
+
 def test_reach_from_inside_runs(spark):
     edges = spark.createDataFrame([("r", k + 1, k) for k in range(30)] + [("r", 100, 20), ("r", 101, 100), ("s", 5, 4)], "repo string, child long, parent long")
     reach = lambda roots, way="ancestors": sorted(r["revision"] for r in graph.reachable(edges, spark.createDataFrame([("r", k) for k in roots], "repo string, revision long"), way).collect())
