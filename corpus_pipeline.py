@@ -17,7 +17,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects (score below 0.5)."""
+    """Drops the documents that the quality classifier rejects (score below 0.5).
+
+    Each row is judged by its text alone; a null text counts as an empty one.
+    Labels are those of ``sf_dir``; without any, all scores are 0.5 and all rows
+    stay. Null and repeated ids change nothing, an empty table gives one.
+    """
     model = queries.quality_model(spark, table(spark, sf_dir, "documents"), sf_dir)
     return docs.select(*COLUMNS).where(model.score(F.col("text"), spark) >= 0.5)
 
@@ -49,7 +54,9 @@ def _documents(rows: DataFrame) -> DataFrame:
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every passage of 200 bytes or more that stands elsewhere too.
 
-    A character that is cut in part goes as a whole. Documents stay, even empty.
+    A character that is cut in part goes as a whole. Documents stay, even empty;
+    null texts become empty ones. Rows are documents whatever their ids, so repeated
+    rows lose what they repeat; an empty table gives one.
     """
     found = repeats.remove_repeats(docs.select(*COLUMNS))
 
@@ -61,7 +68,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows that hold a window of a benchmark item, whatever their ids."""
+    """Drops the rows that hold a window of a benchmark item, whatever their ids.
+
+    Null and empty texts hold none; without items all rows stay; an empty table
+    gives one.
+    """
     rows = with_row_id(docs.select(*COLUMNS), "doc_id", "text")
     found = decon.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="rid")
     bad = stored(found.where("contaminated").select("rid"), "contaminated")
@@ -69,7 +80,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and the text they decode to, as digests."""
+    """Token ids and the text they decode to, as digests: a row for each row, with its
+    id, null or repeated as it is. A null text counts as an empty one, which has no
+    ids; an empty table gives one.
+    """
     import public_tokenizers
 
     return pieces.token_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
