@@ -51,6 +51,18 @@ def test_roles_of_given_conversations(spark, marked_percent, least):
     assert sum(found[k] == truth[k] for k in truth) >= least * len(truth)
 
 
+def test_roles_of_held_out_lines(spark):
+    """The query's own split: the model learns from two thirds, roles of the others' lines are compared."""
+    sf = "/root/testdata/sf0.01"
+    truth, found = {}, {}
+    for r in Q.table(spark, sf, "conversations").where(Q.HELD_OUT.replace("doc_id", "conv_id")).orderBy("conv_id", "turn").collect():
+        truth.setdefault(r["conv_id"], []).extend([r["role"]] * (r["text"] or "").count("\n") + [r["role"]])
+    for r in Q.op4_chat(spark, sf).where(Q.HELD_OUT.replace("doc_id", "conv_id")).orderBy("conv_id", "turn").collect():
+        found.setdefault(r["conv_id"], []).extend([r["role"]] * r["n_lines"])
+    pairs = [(a, b) for k in truth for a, b in zip(truth[k], found[k], strict=True)]
+    assert sum(a == b for a, b in pairs) >= 0.93 * len(pairs)
+
+
 def test_rendering(spark):
     frame = spark.createDataFrame([("user", "a <|end|> b"), ("system", "")], "role string, content string")
     assert [r[0] for r in frame.select(chat.rendered(frame["role"], frame["content"])).collect()] == ["<|user|>\na < |end|> b<|end|>\n", "<|system|>\n<|end|>\n"]
