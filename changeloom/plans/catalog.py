@@ -144,7 +144,7 @@ def map_action(spark, sf):
     return V.moves(spark, sf).groupBy(F.col("action").alias("native")).agg(F.count("*").alias("n"), F.max(S.map_action("commit", code)).alias("mapped"))
 
 
-@query("f6_refill")
+@query("f6_refill", V.sql("logs", r"SELECT conv_id, turn, list_reduce(string_split(trim(regexp_replace(log, '\s+', ' ', 'g')), ' '), lambda acc, w: acc || CASE WHEN length(regexp_extract(acc, '[^\n]*$')) + 1 + length(w) <= 70 THEN ' ' ELSE chr(10) END || w) AS log FROM logs"))
 def refilled(spark, sf):
     return V.logs(spark, sf).select("conv_id", "turn", refill(F.col("log")).alias("log"))
 

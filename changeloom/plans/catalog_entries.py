@@ -341,7 +341,29 @@ def before_delete(spark, sf):
     return out(entries.rename_before_dir_delete(with_dirs(spark, sf)))
 
 
-@query("e1_fold_patch_entries")
+#: Folding walked step by step over a list of what has been touched (no path of ``moves`` lies below another).
+FOLDED = """, n AS (SELECT *, max(pos) OVER (PARTITION BY repo, seq) AS last FROM moves),
+    w(repo, seq, k, last, t) AS (SELECT repo, seq, CAST(-1 AS BIGINT), any_value(last), CAST([] AS STRUCT(place BIGINT, src VARCHAR, path VARCHAR, here BOOLEAN, gone BOOLEAN, upd BOOLEAN, void BOOLEAN, moved BOOLEAN)[]) FROM n GROUP BY repo, seq
+        UNION ALL SELECT repo, seq, pos, last, CASE
+            WHEN action = 'ADD' AND len(lefts) > 0 THEN list_transform(t, lambda x: CASE WHEN x.gone AND x.src = name THEN {place: x.place, src: NULL, path: x.path, here: x.here, gone: false, upd: false, void: x.void, moved: true} ELSE x END)
+            WHEN action = 'ADD' AND len(at_name) > 0 AND at_name[1].src IS NULL THEN t
+            WHEN action = 'ADD' AND len(at_name) > 0 THEN list_append(list_transform(t, lambda x: CASE WHEN x.here AND x.path = name THEN {place: x.place, src: x.src, path: x.path, here: false, gone: false, upd: x.upd, void: true, moved: x.moved} WHEN x.src = at_name[1].src THEN {place: x.place, src: x.src, path: x.path, here: x.here, gone: false, upd: x.upd, void: x.void, moved: x.moved} ELSE x END), {place: at_name[1].place, src: NULL, path: name, here: true, gone: false, upd: false, void: false, moved: false})
+            WHEN action = 'ADD' THEN list_append(t, {place: pos, src: NULL, path: name, here: true, gone: false, upd: false, void: false, moved: false})
+            WHEN action = 'DEL' AND len(at_name) = 0 THEN list_append(t, {place: pos, src: name, path: NULL, here: false, gone: false, upd: false, void: false, moved: false})
+            WHEN action = 'DEL' AND at_name[1].src IS NULL THEN list_transform(t, lambda x: CASE WHEN x.here AND x.path = name THEN {place: x.place, src: x.src, path: x.path, here: false, gone: x.gone, upd: x.upd, void: true, moved: x.moved} ELSE x END)
+            WHEN action = 'DEL' THEN list_transform(t, lambda x: CASE WHEN x.here AND x.path = name THEN {place: x.place, src: x.src, path: NULL, here: false, gone: false, upd: x.upd, void: x.void, moved: x.moved} WHEN x.src = at_name[1].src THEN {place: x.place, src: x.src, path: x.path, here: x.here, gone: false, upd: x.upd, void: x.void, moved: x.moved} ELSE x END)
+            WHEN action = 'REN' AND len(at_old) = 0 AND len(at_name) > 0 AND at_name[1].src IS NULL THEN t
+            WHEN action = 'REN' AND len(at_old) = 0 THEN list_append(list_transform(t, lambda x: {place: x.place, src: x.src, path: x.path, here: x.here AND x.path <> name, gone: x.gone AND x.src <> old_name, upd: x.upd, void: x.void, moved: x.moved}), {place: pos, src: old_name, path: name, here: true, gone: true, upd: false, void: false, moved: true})
+            WHEN action = 'REN' THEN list_transform(t, lambda x: CASE WHEN x.here AND x.path = old_name THEN {place: x.place, src: x.src, path: name, here: true, gone: x.gone, upd: x.upd, void: x.void, moved: x.moved} ELSE {place: x.place, src: x.src, path: x.path, here: x.here AND x.path <> name, gone: x.gone, upd: x.upd, void: x.void, moved: x.moved} END)
+            WHEN len(at_name) > 0 AND at_name[1].src IS NULL THEN t
+            ELSE list_append(t, {place: pos, src: NULL, path: name, here: false, gone: false, upd: true, void: false, moved: false}) END
+        FROM (SELECT w.repo, w.seq, n.pos, n.last, w.t, n.action, n.name, n.old_name, list_filter(w.t, lambda x: x.gone AND x.src = n.name) AS lefts, list_filter(w.t, lambda x: x.here AND x.path = n.name) AS at_name, list_filter(w.t, lambda x: x.here AND x.path = n.old_name) AS at_old FROM w JOIN n ON n.repo = w.repo AND n.seq = w.seq AND n.pos = w.k + 1)),
+    e AS (SELECT repo, seq, x.place AS place, x.upd AS upd, CASE WHEN x.upd THEN 'UPD' WHEN x.path IS NULL THEN 'DEL' WHEN x.src IS NULL THEN 'ADD' ELSE 'REN' END AS action, coalesce(x.path, x.src) AS name, CASE WHEN x.path IS NOT NULL THEN x.src END AS old_name FROM (SELECT repo, seq, unnest(t) AS x FROM w WHERE k = last) WHERE NOT x.void),
+    o AS (SELECT *, min(place) OVER (PARTITION BY repo, seq, name) AS low, bool_or(action = 'ADD') OVER (PARTITION BY repo, seq, name) AS added FROM e)
+    SELECT repo, seq, row_number() OVER (PARTITION BY repo, seq ORDER BY CASE WHEN action = 'ADD' THEN low ELSE place END, action <> 'ADD', place) - 1 AS pos, action, name, old_name FROM o WHERE NOT (upd AND added)"""
+
+
+@query("e1_fold_patch_entries", M.replace("WITH ", "WITH RECURSIVE ", 1) + FOLDED)
 def fold(spark, sf):
     return out(folds.fold_patch_entries(V.moves(spark, sf).withColumn("is_directory", F.lit(False))))
 
