@@ -22,22 +22,27 @@ from .variants import links as linked
 
 #: Segments have this many bits, and one more for each doubling of the rows beyond 2**22, so that buckets do not grow.
 BITS, FREE = 12, 10
+#: Words of a fingerprint at least: what is not cut into segments tells pairs just below the least similarity from those above.
+WORDS = 4
+#: Standard deviations by which whole fingerprints may differ more than on average.
+Z = 2.2
 
 
 def search_for(rows: int, least: float, recall: float = 0.98) -> Search:
     """How to search among so many sets, that of pairs of similarity ``least`` this
-    share is proposed, and of more similar ones more.
+    share meets in a bucket, and of more similar ones more.
 
     With q = 1 - p, where p is the chance that one bit of two such sets differs, a
     segment of k bits differs by at most one bit with the chance q^k + k p q^(k-1).
-    Whole fingerprints may differ by 4.5 standard deviations more than on average.
+    Whole fingerprints may differ by Z standard deviations more than on average,
+    which 98.6 % of such pairs do not exceed.
     """
     p = math.acos(2 * least / (1 + least)) / math.pi
     bits = max(BITS, rows.bit_length() - FREE)
     hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
     segments = math.ceil(math.log(1 - recall) / math.log(1 - hit))
-    whole = 64 * math.ceil(segments * bits / 64)
-    return Search(whole // 64, segments, bits, math.ceil(whole * p + 4.5 * math.sqrt(whole * p * (1 - p))))
+    whole = 64 * max(WORDS, math.ceil(segments * bits / 64))
+    return Search(whole // 64, segments, bits, math.ceil(whole * p + Z * math.sqrt(whole * p * (1 - p))))
 
 
 def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
