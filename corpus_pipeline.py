@@ -34,7 +34,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents are linked if the Jaccard similarity of their sets of five-word
     shingles is 0.8 or more, which is verified; groups are what links connect.
     SimHash fingerprints of the sets only propose pairs: of pairs of similarity
-    0.8 at least 98 % by ``similar.search_for``, of more similar ones more.
+    0.8 some 96.6 % by ``similar.search_for``, of more similar ones more.
     Documents without an id all stay, and so do rows of one id that are in
     different groups; texts without words are alike. An empty table gives one.
     """
