@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from changeloom.operators import adapt, changesets, entries, folds, graph, tree
 from changeloom.plans import views as V
 from changeloom.plans.catalog import epoch, query
+from changeloom.storage import stored
 
 E_COLS = "repo, seq, pos, action, name, old_name"
 M = V.sql("moves", "").rstrip()
@@ -233,7 +234,7 @@ TAGGED = ", ft AS (SELECT repo, path, rev, 't' || s AS tag FROM ivals, (VALUES (
 
 
 def file_tags(rows):
-    intervals = tree.tree_intervals(rows)
+    intervals = stored(tree.tree_intervals(rows), "intervals")  # read once for each tag and again
     parts = [tree.tree_at(intervals, s).withColumn("tag", F.lit(f"t{s}")) for s in (50, 200, 500)]
     return intervals, parts[0].union(parts[1]).union(parts[2])
 
