@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import chat, pieces, quality, repeats, sharding, simhash, token_files, transport_stream, warc
+from . import byte_pieces, chat, periods, pieces, quality, repeats, sharding, simhash, spelling, token_files, transport_stream, warc
 from .common import stored, table
 
 #: Rows that are held out; of no other rows with an id labels are learnt.
@@ -77,6 +77,51 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp")
 
 
+def op11_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = byte_pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by its id's hash, has the words from a on repeat those of p words."""
+    h, w = "crc32(binary(string(doc_id)))", r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"
+    rows = docs.select("doc_id", "text", F.expr(f"{h} div 10").alias("g"), F.expr(f"CASE WHEN {h} % 10 = 0 THEN {w} END").alias("w")).withColumn("n", F.size("w"))
+    rows = rows.withColumn("a", F.expr("CASE WHEN n > 0 THEN int(g % n) END")).withColumn("p", F.expr("1 + int((n - a) div (3 + g % 8))"))
+    planted = "array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), int(ceil((n - a) / p)))), 1, n - a)), ' ')"
+    return rows.select("doc_id", F.expr(f"CASE WHEN n > 0 THEN {planted} ELSE text END").alias("text"))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    best = F.get(longest, F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * -best.less div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
+def edited_words(docs: DataFrame) -> DataFrame:
+    """(word): the runs of letters of every text, of which every 199th or so lacks a letter.
+
+    Shorter runs than six letters make no word of six. Without an id nothing is taken away.
+    """
+    letters = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all(letters, F.lit("[a-z\u00C0-\u00FF]{6,}"), F.lit(0))).alias("run"))
+    hashed = runs.select("run", F.expr("crc32(binary(concat(string(doc_id), ':', run)))").alias("h"))
+    at = "int(h % length(run))"
+    return hashed.select(F.expr(f"CASE WHEN h % 199 = 0 THEN concat(substring(run, 1, {at}), substring(run, {at} + 2)) ELSE run END").alias("word"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = edited_words(table(spark, sf_dir, "documents")).where("length(word) >= 6").groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
+    return spelling.spelling_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -89,6 +134,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_transport_stream": op8_transport_stream,
         "op9_pieces": op9_pieces,
         "op10_warc": op10_warc,
+        "op11_byte_pieces": op11_byte_pieces,
+        "op12_periods": op12_periods,
+        "op13_spelling": op13_spelling,
     }
 
 
