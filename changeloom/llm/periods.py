@@ -27,13 +27,16 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 POWERS, SHORTEST = 4, 6
 #: Octaves 0 to BASE share tiles, which start every STEP words.
 BASE, STEP, OVERLAP = 8, 4096, 5
-#: Texts of more characters have their tiles dealt to all tasks.
-LONG = 4_000_000
+#: Texts of more words have their tiles dealt to all tasks.
+LONG = 1_000_000
 #: Bytes of tiles in an Arrow batch.
 BATCH = 8_000_000
 
-TILES = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("start", pa.int64()), ("octave", pa.int32()), ("words", pa.binary())])
-FRAGMENTS = pa.schema([("rid", pa.int64()), ("period", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+FRAGMENTS = [("rid", pa.int64()), ("period", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())]
+TILES = [("rid", pa.int64()), ("n", pa.int64()), ("start", pa.int64()), ("octave", pa.int32()), ("words", pa.binary())]
+#: A fragment or a tile that is still to be solved.
+EITHER = pa.schema([("fragment", pa.struct(FRAGMENTS)), ("tile", pa.struct(TILES))])
+EITHER_SQL = "fragment struct<rid: long, period: long, begin: long, end: long>, tile struct<rid: long, n: long, start: long, octave: int, words: binary>"
 
 
 def cut(n: int) -> Iterator[tuple[int, int, int]]:
@@ -47,8 +50,9 @@ def cut(n: int) -> Iterator[tuple[int, int, int]]:
         octave += 1
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows, size = [], 0
+def _solved_or_dealt(batches: Iterator[pa.RecordBatch], long: int) -> Iterator[pa.RecordBatch]:
+    """Fragments of texts of at most ``long`` words, and the tiles of longer ones."""
+    here, away, size = [], [], 0
     for whole in batches:
         for at in range(0, whole.num_rows, ROWS):
             batch = whole.slice(at, ROWS)
@@ -58,17 +62,27 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(words) < SHORTEST or len(number) == len(words):
                     continue
                 for octave, start, end in cut(len(words)):
-                    rows.append((rid, len(words), start, octave, words[start:end].tobytes()))
+                    tile = rid, len(words), start, octave, words[start:end]
+                    (away if len(words) > long else here).append(tile)
                     size += 4 * (end - start)
                     if size > BATCH:
-                        yield _batch(rows, TILES)
-                        rows, size = [], 0
-    if rows:
-        yield _batch(rows, TILES)
+                        yield from _either(here, away)
+                        here, away, size = [], [], 0
+    yield from _either(here, away)
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _either([(*head, np.frombuffer(words, np.int32)) for *head, words in zip(*(c.to_pylist() for c in batch.columns))], [])
+
+
+def _either(here: list[tuple], away: list[tuple]) -> Iterator[pa.RecordBatch]:
+    found = [dict(zip(("rid", "period", "begin", "end"), f)) for f in tile_fragments(here)]
+    tiles = [dict(zip(("rid", "n", "start", "octave", "words"), (*t[:4], t[4].tobytes()))) for t in away]
+    if found or tiles:
+        columns = [*found, *[None] * len(tiles)], [*[None] * len(found), *tiles]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, EITHER)], schema=EITHER)
+    pa.default_memory_pool().release_unused()
 
 
 def z_function(s: list[int]) -> list[int]:
@@ -157,45 +171,40 @@ def fragments(words: np.ndarray, octaves: range) -> Iterator[tuple[int, int, int
         grams ^= grams >> np.uint64(31)
 
 
-def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments of tiles. Base tiles are solved side by side, with a word of its own between two."""
-    for batch in batches:
-        tiles = [(*head, np.frombuffer(words, np.int32)) for *head, words in zip(*(c.to_pylist() for c in batch.columns))]
-        groups, size = [[]], 0
-        for tile in sorted((t for t in tiles if t[3] == BASE), key=lambda t: len(t[4])):
-            groups[-1].append(tile)
-            size += len(tile[4])
-            if size > 64 * STEP:
-                groups.append([])
-                size = 0
-        groups += [[t] for t in tiles if t[3] > BASE]
-        out = []
-        for group in filter(None, groups):
-            parts = [x for i, t in enumerate(group) for x in (t[4], np.array([-2 - i], np.int32))]
-            starts = np.cumsum([0] + [len(t[4]) + 1 for t in group])
-            top = max(len(t[4]) for t in group)
-            octave = group[0][3]
-            octaves = range(octave, octave + 1) if octave > BASE else range(min(BASE + 1, max(1, (top // POWERS).bit_length())))
-            for q, begin, end in fragments(np.concatenate(parts), octaves):
-                i = int(np.searchsorted(starts, begin, "right")) - 1
-                rid, n, start, _, words = group[i]
-                begin, end = begin - int(starts[i]), end - int(starts[i])
-                cut_left, cut_right = begin == 0 and start > 0, end + q == len(words) and start + len(words) < n
-                if end - begin >= (POWERS - 1) * q or cut_left or cut_right:
-                    out.append((rid, q, start + begin, start + end))
-        if out:
-            yield _batch(out, FRAGMENTS)
-        pa.default_memory_pool().release_unused()
+def tile_fragments(tiles: list[tuple[int, int, int, int, np.ndarray]]) -> Iterator[tuple[int, int, int, int]]:
+    """(rid, q, begin, end) of tiles (rid, n, start, octave, words): fragments that are
+    runs or that go to the edge of a tile within its text. Base tiles are solved side
+    by side, with a word of its own between two."""
+    groups, size = [[]], 0
+    for tile in sorted((t for t in tiles if t[3] == BASE), key=lambda t: len(t[4])):
+        groups[-1].append(tile)
+        size += len(tile[4])
+        if size > 64 * STEP:
+            groups.append([])
+            size = 0
+    groups += [[t] for t in tiles if t[3] > BASE]
+    for group in filter(None, groups):
+        parts = [x for i, t in enumerate(group) for x in (t[4], np.array([-2 - i], np.int32))]
+        starts = np.cumsum([0] + [len(t[4]) + 1 for t in group])
+        top = max(len(t[4]) for t in group)
+        octave = group[0][3]
+        octaves = range(octave, octave + 1) if octave > BASE else range(min(BASE + 1, max(1, (top // POWERS).bit_length())))
+        for q, begin, end in fragments(np.concatenate(parts), octaves):
+            i = int(np.searchsorted(starts, begin, "right")) - 1
+            rid, n, start, _, words = group[i]
+            begin, end = begin - int(starts[i]), end - int(starts[i])
+            cut_left, cut_right = begin == 0 and start > 0, end + q == len(words) and start + len(words) < n
+            if end - begin >= (POWERS - 1) * q or cut_left or cut_right:
+                yield rid, q, start + begin, start + end
 
 
 def find_runs(docs: DataFrame) -> DataFrame:
     """(rid, start, length, period) of every run of ``docs`` (rid, text)."""
     small_batches(docs.sparkSession)
-    schema = "rid long, n long, start long, octave int, words binary"
-    texts = docs.select("rid", "text")
-    tiles = texts.where(f"length(text) <= {LONG}").mapInArrow(_tiles, schema)
-    far = texts.where(f"length(text) > {LONG}").mapInArrow(_tiles, schema).repartition("rid", "octave", "start")
-    found = tiles.union(far).mapInArrow(_solved, "rid long, period long, begin long, end long")
+    long = LONG
+    first = stored(docs.select("rid", "text").mapInArrow(lambda batches: _solved_or_dealt(batches, long), EITHER_SQL), "tiles")
+    dealt = first.where("tile IS NOT NULL").select("tile.*").repartition("rid", "octave", "start")
+    found = first.union(dealt.mapInArrow(_solved, EITHER_SQL)).where("fragment IS NOT NULL").select("fragment.*")
     w = Window.partitionBy("rid", "period").orderBy("begin", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     parts = found.withColumn("_new", F.coalesce((F.col("begin") > before).cast("int"), F.lit(1)))
@@ -237,5 +246,6 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             texts.append(" ".join(words))
         return {"id": batch["id"], "n_words": numbers, "runs": [[{k: r[k] for k in ("start", "length", "period")} for r in found or []] for found in batch["runs"]], "kept": texts}
 
-    out = map_batches(rows.join(each, "rid", "left").select("id", "text", "runs"), kept, f"id {id_type}, n_words long, runs array<struct<start: long, length: long, period: long>>, kept string")
+    # Never by broadcast: runs grow with the texts, and so does what is sent.
+    out = map_batches(rows.join(each.hint("merge"), "rid", "left").select("id", "text", "runs"), kept, f"id {id_type}, n_words long, runs array<struct<start: long, length: long, period: long>>, kept string")
     return out.withColumnRenamed("id", id_col)

@@ -87,10 +87,11 @@ def op11_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """Every tenth text, by its id's hash, has the words from a on repeat those of p words."""
     h, w = "crc32(binary(string(doc_id)))", r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"
-    rows = docs.select("doc_id", "text", F.expr(f"{h} div 10").alias("g"), F.expr(f"CASE WHEN {h} % 10 = 0 THEN {w} END").alias("w")).withColumn("n", F.size("w"))
-    rows = rows.withColumn("a", F.expr("CASE WHEN n > 0 THEN int(g % n) END")).withColumn("p", F.expr("1 + int((n - a) div (3 + g % 8))"))
-    planted = "array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), int(ceil((n - a) / p)))), 1, n - a)), ' ')"
-    return rows.select("doc_id", F.expr(f"CASE WHEN n > 0 THEN {planted} ELSE text END").alias("text"))
+    n, g = "size(w)", f"({h} div 10)"
+    a, p = f"int({g} % {n})", f"(1 + int(({n} - int({g} % {n})) div (3 + {g} % 8)))"
+    planted = f"array_join(concat(slice(w, 1, {a}), slice(flatten(array_repeat(slice(w, {a} + 1, {p}), int(ceil(({n} - {a}) / {p})))), 1, {n} - {a})), ' ')"
+    # A lambda's variable: the words are looked for once.
+    return docs.select("doc_id", F.expr(f"CASE WHEN {h} % 10 = 0 AND text IS NOT NULL THEN get(transform(array({w}), w -> CASE WHEN {n} > 0 THEN {planted} ELSE '' END), 0) ELSE text END").alias("text"))
 
 
 def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
