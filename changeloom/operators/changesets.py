@@ -10,17 +10,11 @@ from pyspark.sql import functions as F
 
 from changeloom.functions.scalars import default_author as _author
 from changeloom.functions.scalars import branch_of, is_branch, rev_key, rev_text, same_branch
+from changeloom.operators import cells
 from changeloom.operators.cells import running
+from changeloom.operators.joins import null_safe as _join
 from changeloom.schema import ADD, DEL, UPD
-
-
-def _join(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
-    """A join by columns of equal names in which nulls are equal to each other."""
-    other = right.withColumnsRenamed({c: f"_of_{c}" for c in key})
-    same = F.lit(True)
-    for c in key:
-        same &= left[c].eqNullSafe(other[f"_of_{c}"])
-    return left.join(other, same, how).drop(*(f"_of_{c}" for c in key))
+from changeloom.storage import stored
 
 
 # From file revisions to changesets
@@ -73,19 +67,6 @@ def collect_by_key(revs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return changesets, entries
 
 
-def _gap_runs(changesets: DataFrame, seconds: int) -> DataFrame:
-    """With run: no two changesets of different runs are less than ``seconds`` apart.
-
-    Time is cut into cells of that length; an empty cell between two occupied ones
-    is a break. So histories of any length are worked on in many parts.
-    """
-    cell = F.floor(F.unix_micros(F.col("date_utc").cast("timestamp")) / (seconds * 1_000_000))
-    cells = changesets.select("repo", cell.alias("cell")).distinct()
-    w = Window.partitionBy("repo").orderBy("cell")
-    cells = cells.withColumn("_new", F.coalesce((F.col("cell") - F.lag("cell").over(w) > 1).cast("int"), F.lit(1))).withColumn("run", F.sum("_new").over(w)).drop("_new")
-    return _join(changesets.withColumn("cell", cell), cells, ["repo", "cell"]).drop("cell")
-
-
 def order_changesets(changesets: DataFrame) -> DataFrame:
     """With seq from 0 within each repo: by date, author, first action and message.
 
@@ -107,37 +88,59 @@ def collapse_changesets(changesets: DataFrame, entries: DataFrame | None = None,
     A changeset joins the one just before it, whoever made that, if author and
     message are equal, it comes less than ``seconds`` later, the group has no tag
     yet and no path occurs in both with different actions.
+
+    Neighbours, numbers of islands and groups go from cell to cell of seq, which must be
+    distinct in a repo, so that dense histories and long groups are in many tasks.
     """
     tags = F.coalesce(F.size("tags") > 0, F.lit(False)) if "tags" in changesets.columns else F.lit(False)
-    runs = _gap_runs(changesets.withColumn("_tagged", tags), seconds)
-    w = Window.partitionBy("repo", "run").orderBy("seq")
-    near = (F.lag("author").over(w).eqNullSafe(F.col("author"))) & F.lag("log").over(w).eqNullSafe(F.col("log"))
-    near &= F.unix_micros(F.col("date_utc").cast("timestamp")) - F.unix_micros(F.lag("date_utc").over(w).cast("timestamp")) < seconds * 1_000_000
-    near &= ~F.lag("_tagged").over(w)
-    marked = runs.withColumn("_new", (~F.coalesce(near, F.lit(False))).cast("int")).withColumn("_island", F.sum("_new").over(w)).drop("_new")
-    if entries is not None:
-        marked = _split_on_conflicts(marked, entries)
-    per = Window.partitionBy("repo", "run", "_island")
-    return marked.withColumns({"group": F.min("seq").over(per), "group_date": F.max("date_utc").over(per)}).drop("run", "_island", "_tagged")
-
-
-def _split_on_conflicts(marked: DataFrame, entries: DataFrame) -> DataFrame:
-    """Islands cut where a path comes again with another action than the group has."""
+    micros = F.unix_micros(F.col("date_utc").cast("timestamp"))
+    rows = cells.with_previous(changesets, "seq", F.struct("author", "log", micros.alias("at"), tags.alias("tagged")), "_prev")
+    near = F.col("_prev.author").eqNullSafe(F.col("author")) & F.col("_prev.log").eqNullSafe(F.col("log"))
+    near &= (micros - F.col("_prev.at") < seconds * 1_000_000) & ~F.col("_prev.tagged")
+    first = F.col("_prev").isNull() | ~F.coalesce(near, F.lit(False))
+    if entries is None:
+        begins = rows.withColumn("_start", F.when(first, F.col("seq")))
+    else:
+        islands = cells.running_greatest(rows.select("repo", "seq", F.when(first, F.col("seq")).alias("_start")), "seq", "_start", "_island").select("repo", "seq", "_island")
+        cut = group_starts(stored(islands, "islands"), entries).withColumn("_cut", F.lit(True))
+        begins = _join(rows, cut, ["repo", "seq"], "left").withColumn("_start", F.when(first | F.col("_cut"), F.col("seq"))).drop("_cut")
+    grouped = cells.running_greatest(begins.drop("_prev"), "seq", "_start", "group").drop("_start")
+    return cells.group_greatest(grouped, "seq", "group", "date_utc", "group_date")
+
+
+def group_starts(islands: DataFrame, entries: DataFrame) -> DataFrame:
+    """(repo, seq): where groups begin inside of islands (repo, seq, _island: the seq of
+    its first), because a path comes again with another action than the group has.
+
+    A group that begins at g ends before the first changeset of which a path was in g or
+    later with another action; it is enough to look at the path's occurrence just
+    before. So each possible start has one next start, the least of the clashes that
+    begin at it or behind it, and pointer doubling over these tells which are reached
+    from the islands' starts. Rounds are as the logarithm of the groups in an island.
+    """
     names = entries.groupBy("repo", "seq", "name").agg(F.max("action").alias("action"))
-    names = _join(names, marked.select("repo", "seq", "run", "_island"), ["repo", "seq"])
-    doubtful = names.groupBy("repo", "run", "_island", "name").agg(F.countDistinct("action").alias("n")).where("n > 1").select("repo", "run", "_island").distinct()
-    parts = _join(names, doubtful, ["repo", "run", "_island"]).groupBy("repo", "run", "_island", "seq").agg(F.map_from_entries(F.collect_list(F.struct("name", "action"))).alias("acts"))
-    lists = parts.groupBy("repo", "run", "_island").agg(F.sort_array(F.collect_list(F.struct("seq", F.map_entries("acts").alias("acts")))).alias("parts"))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<key:string,value:string>>").alias("held"), F.array().cast("array<struct<seq:bigint,part:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        clash = F.exists(x["acts"], lambda a: F.exists(acc["held"], lambda h: (h["key"] == a["key"]) & (h["value"] != a["value"])))
-        n = acc["n"] + clash.cast("int")
-        held = F.when(clash, x["acts"]).otherwise(F.concat(acc["held"], x["acts"]))
-        return F.struct(n.alias("n"), held.alias("held"), F.array_append(acc["out"], F.struct(x["seq"].cast("bigint").alias("seq"), n.alias("part"))).alias("out"))
-
-    cut = lists.select("repo", F.explode(F.aggregate("parts", start, step)["out"]).alias("o")).select("repo", F.col("o.seq").alias("seq"), F.col("o.part").alias("_part"))
-    return _join(marked, cut, ["repo", "seq"], "left").withColumn("_island", F.struct("_island", F.coalesce("_part", F.lit(0)).alias("part"))).drop("_part")
+    names = _join(names, islands, ["repo", "seq"])
+    pairs = cells.with_previous(names, "seq", F.struct("seq", "action"), "_was", keys=("repo", "_island", "name")).where("_was.action <> action")
+    where = F.struct("repo", "_island").alias("_in")
+    clashes = stored(pairs.select(where, F.col("_was.seq").alias("seq"), F.col("seq").alias("target")).groupBy("_in", "seq").agg(F.min("target").alias("target")), "clashes")
+    firsts = clashes.select("_in", F.col("_in._island").alias("seq")).distinct()
+    starts = firsts.union(clashes.select("_in", F.col("target").alias("seq"))).distinct().withColumn("start", F.lit(True))
+    places = clashes.withColumn("start", F.lit(False)).unionByName(starts.withColumn("target", F.lit(None).cast("long")))
+    places = places.groupBy("_in", "seq").agg(F.min("target").alias("target"), F.bool_or("start").alias("start"))
+    nexts = cells.following_least(places, "seq", "target", "next", keys=("_in",)).where("start AND next IS NOT NULL")
+    hops = stored(nexts.select("_in", "seq", "next"), "hops")
+    reached, found = stored(firsts, "reached"), None
+    while True:
+        # What hops of the present length reach is new: nothing lies as far from the first as something before it.
+        fresh = stored(reached.join(hops, ["_in", "seq"]).select("_in", F.col("next").alias("seq")), "reached")
+        if not fresh.head(1):
+            break
+        found = fresh if found is None else found.union(fresh)
+        reached = reached.union(fresh)
+        further = hops.select("_in", F.col("seq").alias("next"), F.col("next").alias("_next"))
+        hops = stored(hops.join(further, ["_in", "next"]).select("_in", "seq", F.col("_next").alias("next")), "hops")
+    found = firsts.where("false") if found is None else found
+    return found.select("_in.repo", "seq")
 
 
 def audit_revision_counts(revs: DataFrame, headers: DataFrame) -> DataFrame:

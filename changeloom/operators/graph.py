@@ -1,107 +1,194 @@
-"""Operators on the graph of revisions: ``edges`` (repo, child, parent)."""
+"""Operators on the graph of revisions: ``edges`` (repo, child, parent).
+
+Work goes block by block: revisions of about the same depth are a block, small enough
+for one task, in which a whole stretch of the graph is walked at once; what crosses from
+block to block is joined. So rounds follow the number of blocks that a path goes
+through, not merges, forks or depth. Null repos are a repo; edges without a child or a
+parent are none.
+"""
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections import defaultdict, deque
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from changeloom.operators.cells import with_previous
+from changeloom.operators.cells import running, with_previous
+from changeloom.operators.joins import null_safe
 from changeloom.storage import shared_dir, stored
 
+#: Revisions of a block.
+BLOCK = 100_000
+
+
+class CycleError(ValueError):
+    """Revisions that come before themselves, and what stands on them."""
+
 
-def reachable(edges: DataFrame, roots: DataFrame, direction: str = "ancestors") -> DataFrame:
+def _numbered(edges: DataFrame, nodes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(id, repo, revision) and edges (c, p) by ids, both stored."""
+    whole = edges.where("child IS NOT NULL AND parent IS NOT NULL")
+    every = whole.select("repo", F.col("child").alias("revision")).union(whole.select("repo", "parent"))
+    every = (every.union(nodes.select("repo", "revision")) if nodes is not None else every).distinct()
+    numbered = stored(every.select(F.monotonically_increasing_id().alias("id"), "repo", "revision"), "revisions")
+    named = numbered.select(F.struct("repo", "revision").alias("_v"), "id")
+    ends = whole.select(F.struct("repo", F.col("child").alias("revision")).alias("_v"), F.struct("repo", F.col("parent").alias("revision")).alias("_p"))
+    ends = ends.join(named.withColumnRenamed("id", "c"), "_v").select("c", F.col("_p").alias("_v")).join(named.withColumnRenamed("id", "p"), "_v")
+    return numbered, stored(ends.select("c", "p").distinct(), "edges")
+
+
+def _depths(up: DataFrame, count: int) -> DataFrame:
+    """(id, depth) along single parents (id, up; null at roots), by pointer doubling. In
+    a cycle depths are what the bounded number of rounds gives."""
+    state = stored(up.select("id", F.coalesce("up", "id").alias("at"), F.col("up").isNotNull().cast("long").alias("depth")), "depths")
+    for _ in range(math.ceil(math.log2(count + 1)) + 1):
+        far = state.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_depth"))
+        moved = stored(state.join(far, "at").select("id", F.col("_at").alias("at"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("_depth") > 0).alias("_moved")), "depths")
+        state = moved.drop("_moved")
+        if not moved.where("_moved").head(1):
+            break
+    return state.select("id", "depth")
+
+
+def _blocks(numbered: DataFrame, ways: DataFrame, block: int) -> DataFrame:
+    """(id, block), stored: revisions of neighbouring depths along one parent, of several
+    that which is deepest along any."""
+    count = numbered.count()
+    parents = ways.groupBy(F.col("c").alias("id")).agg(F.max("p").alias("up"), F.count("*").alias("n"))
+    depth = stored(_depths(numbered.select("id").join(parents.drop("n"), "id", "left"), count), "depth")
+    if parents.where("n > 1").head(1):
+        deep = ways.join(depth.select(F.col("id").alias("p"), "depth"), "p").groupBy(F.col("c").alias("id")).agg(F.max_by("p", F.struct("depth", "p")).alias("up"))
+        depth = stored(_depths(numbered.select("id").join(deep, "id", "left"), count), "depth")
+    place = depth.join(numbered.select("id", "repo"), "id")
+    sizes = place.groupBy("repo", "depth").agg(F.count("*").alias("n"))
+    starts = running(sizes.withColumn("_n", F.col("n")), "depth", "_n", "upto")
+    # A depth of more than a block is parted by hash, so that no block is much larger.
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block))
+    placed = null_safe(place, starts, ["repo", "depth"])
+    return stored(placed.select("id", F.xxhash64("repo", F.floor((F.col("upto") - F.col("n")) / block), part).alias("block")), "blocks")
+
+
+def reachable(edges: DataFrame, roots: DataFrame, direction: str = "ancestors", block: int = BLOCK) -> DataFrame:
     """(repo, revision) that can be reached from ``roots`` (repo, revision), which
-    are left out unless they can be reached themselves.
+    are left out unless they can be reached themselves, as in a cycle.
 
-    Straight runs of revisions are drawn together first and reached as a whole, so
-    that rounds follow merges and forks. Each round's finds are added to a table.
+    A round walks as far as it gets within each block, and its finds are added to a table.
     """
-    a, b = ("child", "parent") if direction == "ancestors" else ("parent", "child")
-    ways = stored(edges.select("repo", F.col(a).alias("child"), F.col(b).alias("parent")).where("child IS NOT NULL AND parent IS NOT NULL").distinct(), "ways")
-    nodes = ways.select("repo", F.col("child").alias("revision")).union(ways.select("repo", "parent")).distinct()
-    chains = stored(_chains(ways, nodes), "chains")
-    place = lambda df, of: df.join(chains.select("repo", F.col("revision").alias(of), "head", "place"), ["repo", of])
-    # From a run's head one gets to the ends of other runs; inner revisions have no other way in or out.
-    onward = stored(place(ways, "child").where("place = 0").select("repo", F.col("head").alias("_from"), F.col("parent").alias("_to")), "onward")
-    # What each root reaches in its own run lies below its place there.
-    starts = stored(place(roots.select("repo", "revision").distinct(), "revision").groupBy("repo", "head").agg(F.max("place").alias("upto")), "starts")
-    path = f"{shared_dir(edges.sparkSession)}/reached-{uuid.uuid4().hex}"
-    read = lambda: edges.sparkSession.read.schema(front.schema).parquet(path)
-    front = starts.select("repo", "head")
-    first = True
+    spark = edges.sparkSession
+    numbered, ways = _numbered(edges, None)
+    a, b = ("c", "p") if direction == "ancestors" else ("p", "c")
+    blocks = _blocks(numbered, ways, block)
+    ways = stored(ways.select(F.col(a).alias("id"), F.col(b).alias("to")).join(blocks, "id"), "ways")
+    # Ways that lead out of their block, where walking goes on.
+    out = stored(ways.join(blocks.select(F.col("id").alias("to"), F.col("block").alias("_block")), "to").where("block <> _block").select(F.col("to").alias("id"), F.col("_block").alias("block")).distinct(), "out")
+    path = f"{shared_dir(spark)}/reached-{uuid.uuid4().hex}"
+    front = null_safe(numbered, roots.select("repo", "revision").distinct(), ["repo", "revision"], "left_semi").select("id").join(blocks, "id")
+    found = None
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        """All that the block's part of the front gets to, whether in the block or just outside."""
+        after = defaultdict(list)
+        for v, to in rows.loc[rows["to"].notna(), ["id", "to"]].astype("int64").itertuples(index=False):
+            after[v].append(to)
+        todo, seen = rows.loc[rows["to"].isna(), "id"].tolist(), set()
+        while todo:
+            fresh = [w for w in after.pop(todo.pop(), ()) if w not in seen]
+            seen.update(fresh)
+            todo += fresh
+        return pd.DataFrame({"id": sorted(seen)}, dtype="int64")
+
     while True:
-        front = place(front.join(onward, (onward["repo"] == front["repo"]) & (onward["_from"] == front["head"])).select(onward["repo"], F.col("_to").alias("revision")).distinct(), "revision").select("repo", "head").distinct()
-        if not first:
-            front = front.join(read(), ["repo", "head"], "left_anti")
         front = stored(front, "front")
         if not front.head(1):
             break
-        front.write.mode("append").parquet(path)
-        first = False
-    part = chains.join(starts, ["repo", "head"]).where("place < upto").select("repo", "revision")
-    if first:
-        return part
-    return chains.join(read(), ["repo", "head"]).select("repo", "revision").union(part).distinct()
-
-
-def topo_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+        here = ways.join(front.select("block").distinct(), "block", "left_semi").select("block", "id", "to").union(front.select("block", "id", F.lit(None).cast("long")))
+        got = here.groupBy("block").applyInPandas(walk, "id long").distinct()
+        if found is not None:
+            got = got.join(found, "id", "left_anti")
+        got = stored(got, "got")
+        got.write.mode("append").parquet(path)
+        found = spark.read.schema("id long").parquet(path)
+        front = out.join(got, "id", "left_semi").select("id", "block")
+    if found is None:
+        return numbered.where("false").select("repo", "revision")
+    return numbered.join(found, "id", "left_semi").select("repo", "revision")
+
+
+def topo_order(edges: DataFrame, nodes: DataFrame | None = None, cycles: str = "error", block: int = BLOCK) -> DataFrame:
     """(repo, revision, level, seq): ancestors before descendants; level is the length
     of the longest path to a root, and ids decide within a level.
 
-    Straight runs of revisions are first drawn together by pointer doubling; levels
-    are then found between runs, in as many rounds as merges and forks follow on
-    each other.
+    In a round each block settles whatever has no unsettled parents, one after the
+    other; only what is left goes on. What is left when nothing settles is in a cycle
+    or stands on one: a CycleError, or with ``cycles="flag"`` rows of null level and seq.
     """
-    every = edges.select("repo", F.col("child").alias("revision")).union(edges.select("repo", "parent"))
-    every = (every.union(nodes.select("repo", "revision")) if nodes is not None else every).distinct()
-    chains = stored(_chains(edges, every), "chains")
-    between = stored(
-        edges.join(chains.select("repo", F.col("revision").alias("child"), F.col("head").alias("to"), F.col("place").alias("to_place")), ["repo", "child"])
-        .join(chains.select("repo", F.col("revision").alias("parent"), F.col("head").alias("frm"), F.col("place").alias("from_place")), ["repo", "parent"])
-        .where("to <> frm").select("repo", "frm", "to", (F.col("from_place") + 1 - F.col("to_place")).alias("gain")).groupBy("repo", "frm", "to").agg(F.max("gain").alias("gain")),
-        "between",
-    )
-    heads = stored(chains.select("repo", "head").distinct().withColumn("level", F.lit(0).cast("long")), "heads")
-    while True:
-        better = between.join(heads.select("repo", F.col("head").alias("frm"), "level"), ["repo", "frm"]).groupBy("repo", F.col("to").alias("head")).agg(F.max(F.col("level") + F.col("gain")).alias("_new"))
-        after = stored(heads.join(better, ["repo", "head"], "left").select("repo", "head", F.greatest("level", F.coalesce("_new", F.lit(0))).alias("level"), (F.coalesce("_new", F.lit(0)) > F.col("level")).alias("moved")), "heads")
-        heads = after.drop("moved")
-        if not after.where("moved").head(1):
+    if cycles not in ("error", "flag"):
+        raise ValueError("cycles are an error or flagged")
+    spark = edges.sparkSession
+    numbered, ways = _numbered(edges, nodes)
+    left = _blocks(numbered, ways, block)
+    open_ = stored(ways.select(F.col("c").alias("id"), "p", F.lit(None).cast("long").alias("level")).join(left, "id"), "open")
+    path = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        """kind 0: unsettled revisions; 1: the level that settled parents ask for; 2: unsettled parents."""
+        ids = rows.loc[rows["kind"] == 0, "id"].tolist()
+        level, waits, after = dict.fromkeys(ids, 0), dict.fromkeys(ids, 0), defaultdict(list)
+        for v, at in rows.loc[rows["kind"] == 1, ["id", "level"]].astype("int64").itertuples(index=False):
+            level[v] = at
+        for v, p in rows.loc[rows["kind"] == 2, ["id", "p"]].astype("int64").itertuples(index=False):
+            waits[v] += 1
+            after[p].append(v)  # if p is of another block, v waits for another round
+        ready, done = deque(v for v in ids if not waits[v]), []
+        while ready:
+            v = ready.popleft()
+            done.append(v)
+            for w in after.get(v, ()):
+                level[w] = max(level[w], level[v] + 1)
+                waits[w] -= 1
+                if not waits[w]:
+                    ready.append(w)
+        return pd.DataFrame({"id": done, "level": [level[v] for v in done]}, dtype="int64")
+
+    settled = False
+    none = F.lit(None).cast("long")
+    while left.head(1):
+        known = open_.where("level IS NOT NULL").groupBy("block", "id").agg((F.max("level") + 1).alias("level"))
+        rows = left.select("block", "id", none.alias("p"), none.alias("level"), F.lit(0).alias("kind"))
+        rows = rows.union(known.select("block", "id", none, "level", F.lit(1))).union(open_.where("level IS NULL").select("block", "id", "p", "level", F.lit(2)))
+        done = stored(rows.groupBy("block").applyInPandas(settle, "id long, level long"), "done")
+        if not done.head(1):
             break
-    level = chains.join(heads, ["repo", "head"]).select("repo", "revision", (F.col("level") + F.col("place")).alias("level"))
-    sizes = level.groupBy("repo", "level").agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("repo").orderBy("level")) - F.col("_n")).drop("_n")
+        settled = True
+        done.write.mode("append").parquet(path)
+        left = stored(left.join(done, "id", "left_anti"), "left")
+        still = open_.join(done, "id", "left_anti").join(done.select(F.col("id").alias("p"), F.col("level").alias("_level")), "p", "left")
+        open_ = stored(still.select("id", "p", F.coalesce("level", "_level").alias("level"), "block"), "open")
+    stuck = numbered.join(left, "id", "left_semi")
+    if cycles == "error" and (some := stuck.orderBy("repo", "revision").head(5)):
+        raise CycleError(f"{left.count()} revisions are in cycles or stand on one, such as " + ", ".join(f"{r['revision']} of {r['repo']}" for r in some))
+    levels = spark.read.schema("id long, level long").parquet(path) if settled else left.where("false").select("id", none.alias("level"))
+    level = numbered.join(levels, "id")
+    sizes = level.groupBy("repo", "level").agg(F.count("*").alias("n"))
+    starts = running(sizes.withColumn("_n", F.col("n")), "level", "_n", "upto")
     placed = level.withColumn("_place", F.row_number().over(Window.partitionBy("repo", "level").orderBy("revision")))
-    return placed.join(sizes, ["repo", "level"]).select("repo", "revision", "level", (F.col("_before") + F.col("_place") - 1).alias("seq"))
-
-
-def _chains(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(repo, revision, head, place): runs in which each has one parent and is its
-    only child, by pointer doubling."""
-    e = edges.select("repo", "child", "parent").distinct()
-    ones = e.groupBy("repo", "child").agg(F.count("*").alias("n"), F.min("parent").alias("parent")).where("n = 1")
-    only = e.groupBy("repo", "parent").agg(F.count("*").alias("m")).where("m = 1").select("repo", "parent")
-    up = ones.join(only, ["repo", "parent"]).select("repo", F.col("child").alias("revision"), F.col("parent").alias("head"), F.lit(1).cast("long").alias("place"))
-    state = nodes.join(up, ["repo", "revision"], "left").select("repo", "revision", F.coalesce("head", "revision").alias("head"), F.coalesce("place", F.lit(0)).cast("long").alias("place"))
-    while True:
-        state = stored(state, "chains")
-        far = state.select("repo", F.col("revision").alias("head"), F.col("head").alias("_head"), F.col("place").alias("_place"))
-        moved = state.join(far, ["repo", "head"]).select("repo", "revision", F.col("_head").alias("head"), (F.col("place") + F.col("_place")).alias("place"), (F.col("_place") > 0).alias("moved"))
-        if not state.join(far, ["repo", "head"]).where("_place > 0").head(1):
-            return state
-        state = moved.drop("moved")
+    out = null_safe(placed, starts, ["repo", "level"]).select("repo", "revision", "level", (F.col("upto") - F.col("n") + F.col("_place") - 1).alias("seq"))
+    return out.union(stuck.select("repo", "revision", none, none)) if cycles == "flag" else out
 
 
 def linearize(changesets: DataFrame, order: DataFrame, branch: str, first_only: bool = False, start: str | None = None) -> DataFrame:
     """Revisions of one branch in topological order (repo, revision, seq), each with
     lin_parent, the kept one before; the first kept has ``start``."""
-    kept = changesets.where(F.array_contains("branches", branch)).drop("seq", "lin_parent").join(order.select("repo", "revision", "seq"), ["repo", "revision"])
+    kept = changesets.where(F.array_contains("branches", branch)).drop("seq", "lin_parent")
+    kept = null_safe(kept, order.select("repo", "revision", "seq"), ["repo", "revision"])
     out = with_previous(kept, "seq", "revision", "_parent").withColumn("lin_parent", F.coalesce("_parent", F.lit(start))).drop("_parent")
     if first_only:
         first = kept.groupBy("repo").agg(F.min("seq").alias("seq"))
-        out = out.join(first, ["repo", "seq"], "left_semi").withColumn("lin_parent", F.lit(start).cast("string"))
+        out = null_safe(out, first, ["repo", "seq"], "left_semi").withColumn("lin_parent", F.lit(start).cast("string"))
     return out
 
 
@@ -110,5 +197,5 @@ def graft_branch(changesets: DataFrame, branchpoint: str, parents: DataFrame | N
     ``branchpoint``, each later one on the one before. With ``parents`` (repo,
     revision), the history that must hold that point, repos without it are left out."""
     if parents is not None:
-        changesets = changesets.join(parents.where(F.col("revision") == branchpoint).select("repo").distinct(), "repo", "left_semi")
+        changesets = null_safe(changesets, parents.where(F.col("revision") == branchpoint).select("repo").distinct(), ["repo"], "left_semi")
     return with_previous(changesets, "seq", "revision", "_parent").withColumn("lin_parent", F.coalesce("_parent", F.lit(branchpoint))).drop("_parent")

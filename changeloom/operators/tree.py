@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions.scalars import ancestors_of, parent_of, rev_key
-from changeloom.operators.cells import running, with_next
+from changeloom.operators.cells import END, running, running_greatest, starting_within, with_next
+from changeloom.operators.changesets import revision_ids
+from changeloom.operators.joins import null_safe
 from changeloom.schema import ADD, DEL, REN
+from changeloom.storage import stored
 
 
 def tree_intervals(entries: DataFrame) -> DataFrame:
@@ -37,7 +40,7 @@ def tree_at(intervals: DataFrame, seq: int) -> DataFrame:
 def live_counts(intervals: DataFrame) -> DataFrame:
     """(repo, seq, live): number of paths after each changeset that changes it."""
     steps = intervals.select("repo", F.col("from_seq").alias("seq"), F.lit(1).alias("d")).union(intervals.where("to_seq IS NOT NULL").select("repo", "to_seq", F.lit(-1)))
-    steps = steps.groupBy("repo", "seq").agg(F.sum("d").alias("d"))
+    steps = steps.groupBy("repo", "seq").agg(F.sum("d").alias("d")).where("d <> 0")
     return running(steps, "seq", "d", "live")
 
 
@@ -54,15 +57,52 @@ def place_tags(intervals: DataFrame, file_tags: DataFrame) -> DataFrame:
 
     A tag fits while each of its files has the tagged revision and there are no
     other files: between the latest beginning and the earliest end of its files'
-    intervals, for changesets with as many live paths as the tag has files.
+    intervals, for changesets with as many live paths as the tag has files. With
+    intervals of ``intervals_since`` a from_seq of BEFORE means that the tree before the
+    first changeset fits.
+
+    Stretches of equal counts meet tags by blocks of seq, so that a tag is never
+    compared with a stretch that it doesn't overlap.
     """
-    held = file_tags.join(intervals, ["repo", "path", "rev"])
-    spans = held.groupBy("repo", "tag", "path").agg(F.max("from_seq").alias("lo"), F.max_by(F.coalesce("to_seq", F.lit((1 << 62))), "from_seq").alias("hi"))
+    held = null_safe(file_tags, intervals, ["repo", "path", "rev"])
+    spans = held.groupBy("repo", "tag", "path").agg(F.max("from_seq").alias("lo"), F.max_by(F.coalesce("to_seq", F.lit(END)), "from_seq").alias("hi"))
     fits = spans.groupBy("repo", "tag").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"), F.count("*").alias("matched"))
-    fits = fits.join(tag_file_counts(file_tags), ["repo", "tag"]).where("matched = n_files AND lo < hi")
-    counts = with_next(live_counts(intervals), "seq", "until")
-    out = fits.join(counts, (fits["repo"] == counts["repo"]) & (fits["n_files"] == counts["live"])).where("until > lo AND seq < hi")
-    return out.select(fits["repo"], "tag", F.greatest("lo", "seq").alias("from_seq"), F.least("hi", "until").alias("to_seq"))
+    fits = stored(null_safe(fits, tag_file_counts(file_tags), ["repo", "tag"]).where("matched = n_files AND lo < hi").drop("matched"), "fits")
+    counts = stored(with_next(live_counts(intervals), "seq", "until").select("repo", "seq", F.col("live").alias("n_files"), "until"), "counts")
+    # The stretch in which a tag's span begins, and those that begin within it.
+    both = fits.select("repo", F.col("lo").alias("seq"), F.struct("tag", "n_files", "lo", "hi").alias("fit"), F.lit(None).cast("struct<seq:bigint,n_files:bigint,until:bigint>").alias("stretch"))
+    both = both.union(counts.select("repo", "seq", F.lit(None).cast(both.schema["fit"].dataType), F.struct("seq", "n_files", "until")))
+    first = running_greatest(both, "seq", "stretch", "now").where("fit IS NOT NULL AND now.n_files = fit.n_files").select("repo", "fit.tag", "fit.lo", "fit.hi", "now.seq", "now.until")
+    last = counts.groupBy("repo").agg((F.max("seq") + 1).alias("_end"))
+    spans = null_safe(fits, last, ["repo"]).select("repo", "n_files", "tag", "lo", "hi", (F.col("lo") + 1).alias("_begin"), F.least("hi", "_end").alias("_end"))
+    some = null_safe(counts, fits.select("repo", "n_files").distinct(), ["repo", "n_files"], "left_semi")
+    later = starting_within(some, spans, "seq", "_begin", "_end", ["repo", "n_files"]).select("repo", "tag", "lo", "hi", "seq", "until")
+    return first.union(later).where("until > lo").select("repo", "tag", F.greatest("lo", "seq").alias("from_seq"), F.least("hi", "until").alias("to_seq"))
+
+
+#: The place of the state before the first changeset.
+BEFORE = -1
+
+
+def intervals_since(entries: DataFrame, before: DataFrame) -> DataFrame:
+    """``tree_intervals`` of a history that goes on from a tree (repo, path, rev)."""
+    began = before.select("repo", F.lit(BEFORE).cast("long").alias("seq"), F.lit(0).alias("pos"), F.lit(ADD).alias("action"), F.col("path").alias("name"), F.lit(None).cast("string").alias("old_name"), F.col("rev").alias("new_rev"))
+    return tree_intervals(entries.select("repo", "seq", "pos", "action", "name", "old_name", "new_rev").union(began))
+
+
+def tagging_changesets(placed: DataFrame, since: str | None = None) -> DataFrame:
+    """The changeset of each repo that does nothing but tag, for tags that fit the tree
+    before the first one: repo, seq, revision, date_utc, author, log, tags.
+
+    Its time is ``since``, up to which history was known, or the year 1900. Nobody
+    knows when such a tag was set; whether it is there already must be looked up.
+    """
+    at = F.lit(since or "1900-01-01 00:00:00").cast("timestamp")
+    early = placed.where(F.col("from_seq") <= BEFORE).groupBy("repo").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("tags", lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "), F.lit("]"))
+    log = F.concat_ws(" ", F.lit("tag"), F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00")), listed)
+    rows = revision_ids(early.select("repo", F.lit(BEFORE).cast("long").alias("seq"), at.alias("date_utc"), F.lit("unknown tagger").alias("author"), log.alias("log"), "tags"))
+    return rows.select("repo", "seq", "revision", "date_utc", "author", "log", "tags")
 
 
 def tags_common_to_all(tree: DataFrame, file_tags: DataFrame) -> DataFrame:

@@ -240,12 +240,29 @@ def file_tags(rows):
 
 
 @query("j11_place_tags", V.sql("ivals", "").rstrip() + TAGGED + """, cnt AS (SELECT repo, tag, count(*) AS n FROM ft GROUP BY ALL), sp AS (SELECT repo, tag, max(from_seq) AS lo, min(coalesce(to_seq, 4611686018427387904)) AS hi FROM ft JOIN ivals USING (repo, path, rev) GROUP BY ALL),
-    st AS (SELECT repo, seq, sum(d) AS d FROM (SELECT repo, from_seq AS seq, 1 AS d FROM ivals UNION ALL SELECT repo, to_seq, -1 FROM ivals WHERE to_seq IS NOT NULL) GROUP BY ALL), lc AS (SELECT repo, seq, sum(d) OVER (PARTITION BY repo ORDER BY seq) AS live, coalesce(lead(seq) OVER (PARTITION BY repo ORDER BY seq), 4611686018427387904) AS until FROM st)
+    st AS (SELECT repo, seq, sum(d) AS d FROM (SELECT repo, from_seq AS seq, 1 AS d FROM ivals UNION ALL SELECT repo, to_seq, -1 FROM ivals WHERE to_seq IS NOT NULL) GROUP BY ALL HAVING sum(d) <> 0), lc AS (SELECT repo, seq, sum(d) OVER (PARTITION BY repo ORDER BY seq) AS live, coalesce(lead(seq) OVER (PARTITION BY repo ORDER BY seq), 4611686018427387904) AS until FROM st)
     SELECT repo, tag, CAST(greatest(lo, seq) AS BIGINT) AS from_seq, CAST(least(hi, until) AS BIGINT) AS to_seq FROM sp JOIN cnt USING (repo, tag) JOIN lc USING (repo) WHERE live = n AND until > lo AND seq < hi AND lo < hi""")
 def place(spark, sf):
     return tree.place_tags(*file_tags(V.changes(spark, sf)))
 
 
+SINCE = """, later AS (SELECT repo, path, rev, CASE WHEN from_seq <= 50 THEN -1 ELSE from_seq END AS from_seq, to_seq FROM ivals WHERE to_seq IS NULL OR to_seq > 50), cnt AS (SELECT repo, tag, count(*) AS n FROM ft GROUP BY ALL), sp AS (SELECT repo, tag, max(from_seq) AS lo, min(coalesce(to_seq, 4611686018427387904)) AS hi, count(*) AS m FROM ft JOIN later USING (repo, path, rev) GROUP BY ALL),
+    st AS (SELECT * FROM (SELECT repo, seq, sum(d) AS d FROM (SELECT repo, from_seq AS seq, 1 AS d FROM later UNION ALL SELECT repo, to_seq, -1 FROM later WHERE to_seq IS NOT NULL) GROUP BY ALL) WHERE d <> 0), lc AS (SELECT repo, seq, sum(d) OVER (PARTITION BY repo ORDER BY seq) AS live, coalesce(lead(seq) OVER (PARTITION BY repo ORDER BY seq), 4611686018427387904) AS until FROM st),
+    pl AS (SELECT repo, tag, CAST(greatest(lo, seq) AS BIGINT) AS from_seq, CAST(least(hi, until) AS BIGINT) AS to_seq FROM sp JOIN cnt USING (repo, tag) JOIN lc USING (repo) WHERE live = n AND m = n AND until > lo AND seq < hi AND lo < hi)
+    SELECT repo, tag, from_seq, to_seq, CASE WHEN from_seq = -1 THEN '1900-01-01 00:00:00 by unknown tagger' END AS revision, CASE WHEN from_seq = -1 THEN concat('tag 1900-01-01 00:00:00+00:00 [', chr(39), tag, chr(39), ']') END AS log FROM pl"""
+
+
+@query("j11_tags_before_first", V.sql("ivals", "").rstrip() + TAGGED + SINCE)
+def place_since(spark, sf):
+    """A history that goes on from the tree after changeset 50, which a tag fits."""
+    rows = V.changes(spark, sf)
+    intervals, tags = file_tags(rows)
+    since = stored(tree.intervals_since(rows.where("seq > 50"), tree.tree_at(intervals, 50)), "since")
+    placed = stored(tree.place_tags(since, tags), "placed")
+    made = tree.tagging_changesets(placed).select("repo", F.col("seq").alias("from_seq"), "revision", "log")
+    return placed.join(made, ["repo", "from_seq"], "left").select("repo", "tag", "from_seq", "to_seq", "revision", "log")
+
+
 @query("j12_remap_authors", "SELECT event_id, CASE event_type WHEN 'click' THEN 'Clicker <c@x>' WHEN 'view' THEN 'Viewer <v@x>' ELSE event_type END AS author, CASE event_type WHEN 'click' THEN 'C' ELSE event_type END AS joined FROM events")
 def remap(spark, sf):
     rows = V.load(spark, sf, "events").select("event_id", F.col("event_type").alias("author"))

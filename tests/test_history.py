@@ -424,3 +424,126 @@ def test_null_keys_are_kept(spark, lost):
     assert len(groups) == 3 and len({(r["repo"], r["group"]) for r in groups if r["n"]}) == 2
     found = changesets.dedupe(numbered.selectExpr("*", "CAST(NULL AS string) AS patch_hash")).collect()
     assert len(found) == (1 if lost == "log" else 2)
+
+
+def test_cells_of_null_keys_and_places(spark):
+    """Every user of cells keeps rows of null repo and null seq."""
+    rows = [("r", 1), (None, 1), (None, 2), (None, None), ("r", None)]
+    df = spark.createDataFrame(rows, "repo string, seq long").selectExpr("*", "1L AS d", "'x' AS v", "'g' AS g")
+    for made in (cells.running(df, "seq", "d", "n"), cells.with_next(df, "seq", "n"), cells.with_previous(df, "seq", "v", "n"), cells.following_least(df, "seq", "d", "n"), cells.running_greatest(df, "seq", "d", "n"), cells.group_greatest(df, "seq", "g", "d", "n")):
+        assert sorted(((r["repo"], r["seq"]) for r in made.collect()), key=repr) == sorted(rows, key=repr)
+    sets = spark.createDataFrame([(r, s, str(s), ["t"], False) for r, s in rows], "repo string, seq long, revision string, tags array<string>, tag_only boolean")
+    assert changesets.suppress_repeat_tags(sets).count() == 5 and graph.graft_branch(sets, "base").count() == 5
+    linear = graph.linearize(sets.where("seq IS NOT NULL").drop("seq").withColumn("branches", F.array(F.lit("b"))), sets.select("repo", "revision", "seq"), "b")
+    assert sorted(((r["repo"], r["seq"]) for r in linear.collect()), key=repr) == sorted(((a, b) for a, b in rows if b), key=repr)
+
+
+def test_extremes_cell_by_cell(spark):
+    rng = random.Random(6)
+    rows = [(r, s, rng.choice([None, 1, 5, 9]), rng.choice("gh")) for r in "xy" for s in sorted(rng.sample(range(300), 80))]
+    df = spark.createDataFrame(rows, "repo string, seq long, v long, g string")
+    got = cells.group_greatest(cells.running_greatest(cells.following_least(df, "seq", "v", "least", cell=9), "seq", "v", "most", cell=9), "seq", "g", "v", "all", cell=9)
+    for r in got.collect():
+        own = [x for x in rows if x[0] == r["repo"] and x[2] is not None]
+        assert r["least"] == min((v for _, s, v, _ in own if s >= r["seq"]), default=None)
+        assert r["most"] == max((v for _, s, v, _ in own if s <= r["seq"]), default=None)
+        assert r["all"] == max(v for _, _, v, g in own if g == r["g"])
+
+
+def test_points_in_spans(spark, monkeypatch):
+    monkeypatch.setattr(cells, "BLOCK", 2)
+    monkeypatch.setattr(cells, "FACTOR", 3)
+    monkeypatch.setattr(cells, "LEVELS", 4)
+    rng = random.Random(8)
+    points = [(rng.choice([None, "a", "b"]), rng.randrange(300), k) for k in range(150)]
+    spans = [(rng.choice([None, "a", "b"]), a, rng.choice([a - 1, a, a + 1, a + 7, a + 100, 2_000]), k) for k in range(60) for a in [rng.randrange(-3, 300)]]
+    got = cells.starting_within(spark.createDataFrame(points, "repo string, at long, p long"), spark.createDataFrame(spans, "repo string, lo long, hi long, s long"), "at", "lo", "hi", ["repo"])
+    want = sorted((p, s) for r, at, p in points for q, lo, hi, s in spans if r == q and lo <= at < hi)
+    assert sorted((r["p"], r["s"]) for r in got.collect()) == want
+
+
+def test_dense_islands_in_many_tasks(spark):
+    """One repo, one author, a second apart: 200,000 changesets of one island, cut by 20,000 clashes."""
+    n = 200_000
+    rows = spark.range(n).selectExpr("'r' AS repo", "id AS seq", "timestamp_seconds(1700000000 + id) AS date_utc", "'u' AS author", "'m' AS log")
+    acts = rows.selectExpr("repo", "seq", "concat('p', seq % 10) AS name", "if(floor(seq / 10) % 2 = 0, 'UPD', 'DEL') AS action")
+    began = time.time()
+    found = changesets.collapse_changesets(rows, acts)
+    got = found.groupBy("group").agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("group_date").alias("date"), F.max("date_utc").alias("last")).collect()
+    assert len(got) == n // 10 and all(r["n"] == 10 and r["lo"] == r["group"] and r["date"] == r["last"] for r in got)
+    assert changesets.collapse_changesets(rows).select("group", "group_date").distinct().count() == 1
+    assert time.time() - began < 240
+
+
+def test_order_and_reach_in_small_blocks(spark):
+    rng = random.Random(3)
+    edges = {(rng.choice([None, "a"]), b, a) for b in range(1, 70) for a in rng.sample(range(b), min(b, rng.choice([1, 1, 2])))}
+    df = spark.createDataFrame(sorted(edges, key=repr), "repo string, child long, parent long")
+    level = {}
+    for g, b, a in sorted(edges, key=lambda e: (e[1], repr(e))):
+        level[g, b] = max(level.get((g, b), 0), level.setdefault((g, a), 0) + 1)
+    rows = graph.topo_order(df, block=25).collect()
+    assert {(r["repo"], r["revision"]): r["level"] for r in rows} == level
+    for repo in (None, "a"):
+        own = sorted((r["level"], r["revision"], r["seq"]) for r in rows if r["repo"] == repo)
+        assert [s for _, _, s in own] == list(range(len(own)))
+        root = max(b for g, b, _ in edges if g == repo)
+        seen, todo = set(), [root]
+        while todo:
+            b = todo.pop()
+            fresh = {a for g, y, a in edges if g == repo and y == b} - seen
+            seen |= fresh
+            todo += fresh
+        got = graph.reachable(df, spark.createDataFrame([(repo, root)], "repo string, revision long"), block=25).collect()
+        assert {(r["repo"], r["revision"]) for r in got} == {(repo, v) for v in seen}
+
+
+@pytest.mark.parametrize(("edges", "stuck"), [
+    ([(1, 1)], {1}), ([(1, 2), (2, 1), (1, 0), (3, 2), (4, 0)], {1, 2, 3}), ([(k, (k + 1) % 6) for k in range(6)] + [(2, 9), (8, 4), (8, 9)], {*range(6), 8}),
+])
+def test_cycles_are_told(spark, edges, stuck):
+    df = spark.createDataFrame([("r", c, p) for c, p in edges], "repo string, child long, parent long")
+    with pytest.raises(graph.CycleError, match=f"^{len(stuck)} revisions .*such as {min(stuck)} of r"):
+        graph.topo_order(df)
+    rows = graph.topo_order(df, cycles="flag").collect()
+    assert {r["revision"] for r in rows if r["level"] is None and r["seq"] is None} == stuck
+    assert {r["revision"] for r in rows} == {v for e in edges for v in e}
+    for way, step in (("ancestors", 1), ("descendants", -1)):
+        seen, todo = set(), [min(stuck)]
+        while todo:
+            v = todo.pop()
+            fresh = {b for a, b in (e[::step] for e in edges) if a == v} - seen
+            seen |= fresh
+            todo += fresh
+        got = graph.reachable(df, spark.createDataFrame([("r", min(stuck))], "repo string, revision long"), way)
+        assert {r["revision"] for r in got.collect()} == seen
+
+
+def test_many_merges_take_few_rounds(spark):
+    """A ladder of 30,000 merges: each commit stands on the one before and on a side commit."""
+    n = 30_000
+    main = spark.range(1, n).selectExpr("'r' AS repo", "2 * id AS child", "2 * id - 2 AS parent")
+    side = spark.range(1, n).selectExpr("'r' AS repo", "2 * id + 1 AS child", "2 * id - 2 AS parent")
+    merge = spark.range(2, n).selectExpr("'r' AS repo", "2 * id AS child", "2 * id - 1 AS parent")
+    began = time.time()
+    found = graph.topo_order(main.union(side).union(merge))
+    assert found.agg(F.max("level"), F.count("*")).first()[0] >= n - 1
+    up = graph.reachable(main.union(side).union(merge), spark.createDataFrame([("r", 2 * n - 2)], "repo string, revision long"))
+    assert up.count() > 2 * n - 10
+    assert time.time() - began < 180
+
+
+def test_tags_of_counts_that_stand_still(spark):
+    """Updates that change no count give no stretches; a tag before the first changeset is placed there."""
+    rows = [("r", s, 0, U if s > 1 else A, f"p{s % 2}", None, str(s)) for s in range(40)]
+    df = spark.createDataFrame(rows, "repo string, seq long, pos int, action string, name string, old_name string, new_rev string")
+    intervals = tree.tree_intervals(df)
+    assert tree.live_counts(intervals).count() == 2
+    before = spark.createDataFrame([("r", "p0", "0"), ("r", "p1", "1")], "repo string, path string, rev string")
+    since = tree.intervals_since(df.where("seq > 1"), before)
+    tags = before.withColumn("tag", F.lit("old")).union(spark.createDataFrame([("r", "p0", "8", "t"), ("r", "p1", "7", "t"), ("r", "p1", "7", "wrong"), ("r", "p0", "8", "x"), ("r", "p1", "9", "x")], "repo string, path string, rev string, tag string"))
+    placed = tree.place_tags(since, tags)
+    assert sorted((r["tag"], r["from_seq"], r["to_seq"]) for r in placed.collect()) == [("old", -1, 2), ("t", 8, 9), ("x", 9, 10)]
+    made = tree.tagging_changesets(placed).collect()
+    assert [(r["seq"], r["author"], r["revision"], r["log"], r["tags"]) for r in made] == [(-1, "unknown tagger", "1900-01-01 00:00:00 by unknown tagger", "tag 1900-01-01 00:00:00+00:00 ['old']", ["old"])]
+    assert tree.tagging_changesets(placed, "2024-05-06 07:08:09").first()["log"] == "tag 2024-05-06 07:08:09+00:00 ['old']"
