@@ -10,7 +10,7 @@ from changeloom.operators import adapt
 from changeloom.plans import views as V
 from changeloom.plans.catalog import query
 from changeloom.storage import shared_dir, stored
-from changeloom.streaming import follow
+from changeloom.streaming import follow, growing
 
 #: Parts in which the gated history comes.
 PARTS = 3
@@ -68,6 +68,24 @@ def deduped(spark, sf):
     return spark.read.parquet(f"{base}/out").select("repo", "seq")
 
 
+@query("t1_stream_log", V.sql("acts", "SELECT repo, CAST(event_id AS VARCHAR) AS revision, author, log, CAST(epoch(date_trunc('second', date_utc)) AS BIGINT) AS date, action, path AS name FROM acts"))
+def log_stream(spark, sf):
+    """A history as XML logs, which land in parts; tasks take 64 KiB, wherever that cuts a record."""
+    rows = V.acts(spark, sf).withColumn("date_utc", F.date_trunc("second", F.col("date_utc").cast("timestamp")))
+    code = F.translate(F.substring("action", 1, 1), "U", "M")
+    value = F.format_string(
+        '<logentry revision="%d"><author>%s</author><date>%s</date><paths><path action="%s">/%s</path></paths><msg>%s</msg></logentry>',
+        "event_id", "author", F.date_format("date_utc", "yyyy-MM-dd'T'HH:mm:ss.000000'Z'"), code, "path", "log",
+    )
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    texts = stored(rows.select("repo", "event_id", value.alias("value")), "texts")
+    for part in range(PARTS):
+        texts.where(F.col("event_id") % PARTS == part).select("repo", "value").write.mode("append").partitionBy("repo").text(f"{base}/logs")
+        stream = growing.stream_log(spark, f"{base}/logs", "xml_log", repo="folder", split=1 << 16)
+        stream.writeStream.trigger(availableNow=True).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/mark").start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("repo", "revision", "author", "log", F.unix_seconds("date_utc").alias("date"), "action", "name")
+
+
 GROUPS = """, m AS (SELECT *, CASE WHEN lag(author) OVER w = author AND lag(log) OVER w = log AND date_trunc('microseconds', date_utc) - lag(date_utc) OVER w < INTERVAL 6 HOUR AND lag(seq) OVER w % 5 <> 0 THEN 0 ELSE 1 END AS new FROM changes WINDOW w AS (PARTITION BY repo ORDER BY seq)), g AS (SELECT *, sum(new) OVER (PARTITION BY repo ORDER BY seq) AS grp FROM m)
     SELECT repo, min_by(CAST(event_id AS VARCHAR), seq) AS revision, count(*) AS n, false AS late FROM g GROUP BY repo, grp"""
 

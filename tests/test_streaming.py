@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from changeloom.streaming import follow
+from changeloom.streaming import follow, growing
 
 CHANGES = "repo string, seq long, revision string, date_utc timestamp, author string, log string"
 START = datetime(2024, 1, 1)
@@ -115,3 +115,68 @@ def test_gated_changesets_stay_pending(spark, tmp_path):
     assert run(no_three) == [*shut, ("s", 0), ("s", 1)]
     land(10, 1)
     assert run(F.lit(True)) == [*(("r", k) for k in range(11)), ("s", 0), ("s", 1)]
+
+
+def entry_of(k, text="m"):
+    return f'<logentry revision="{k}"><author>u{k % 3}</author><date>2024-01-02T03:04:05Z</date><paths><path action="M">/a/é{k}</path><path action="A">/b</path></paths><msg>{text}</msg></logentry>\n'
+
+
+def test_records_whatever_the_cuts():
+    """Stretches of all sizes give each record once, in the stretch where its mark ends."""
+    text = "head\n----\na--\n----\n----\n x----\nbb\n\n----\ntail"
+    data = text.encode()
+    read = lambda n, at: data[at : at + n]
+    for mark, line in ((b"----\n", True), (b"----\n", False), (b"a-", False)):
+        whole, at = [], 0
+        for i in range(len(data)):
+            if data.startswith(mark, i) and i >= at and (not line or i == 0 or data[i - 1] == 10):
+                whole.append((at, data[at : i + len(mark)]))
+                at = i + len(mark)
+        for size in range(1, len(data) + 1):
+            for chunk in (1, 3, 50):
+                marks, got = growing.Marks(mark, line, chunk), []
+                for start in range(0, len(data), size):
+                    stop = min(len(data), start + size)
+                    got += marks.records(read, start, stop, stop == len(data))
+                assert got == [*whole, (at, data[at:])]
+    with pytest.raises(ValueError, match="end as it begins"):
+        growing.Marks(b"\n--\n", False)
+
+
+def test_log_is_read_while_it_grows(spark, tmp_path):
+    """Records cut anywhere, over several starts and 100 bytes a task: rows as the batch parser gives."""
+    logs, out, mark = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "mark")
+    logs.mkdir()
+    whole = {name: ("<log>" + "".join(entry_of(k, f"{name} 漢 &lt;") for k in range(25)) + "</log>").encode() for name in ("r1", "r2")}
+
+    def start():
+        stream = growing.stream_log(spark, str(logs), "xml_log", split=100, chunk=64)
+        stream.writeStream.trigger(availableNow=True).format("parquet").option("path", out).option("checkpointLocation", mark).start().awaitTermination()
+        return spark.read.parquet(out)
+
+    seen = []
+    for cut in (90, 1_000, 1_001, 3_333, 10**6):
+        for name, data in whole.items():
+            with open(logs / name, "ab") as log:
+                log.write(data[log.tell() : cut])
+        rows = start()
+        seen.append({r["revision"] for r in rows.collect()})
+        for r in seen[-1]:  # whole as soon as its end is there
+            assert f'revision="{r}"' in whole["r1"][:cut].decode("utf-8", "ignore")
+        assert len(seen[-1]) == whole["r1"][:cut].count(b"</logentry>")
+    files = spark.read.option("wholetext", True).text(str(logs)).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("repo"), "value")
+    want = sorted(map(str, growing.KINDS["xml_log"][2](files).collect()))
+    assert sorted(map(str, rows.select(*growing.KINDS["xml_log"][2](files).columns).collect())) == want
+    assert sorted(map(str, growing.read_log(spark, str(logs), "xml_log", split=777).collect())) == want
+    (logs / "r1").write_text("short")
+    with pytest.raises(Exception, match="become shorter"):
+        start()
+
+
+def test_logs_by_line_marks(spark, tmp_path):
+    """A patch set is whole when the next one begins, or at the end of a file that comes whole."""
+    text = "".join(f"{'-' * 21}\nPatchSet {k} \nDate: 2024/01/02 03:04:05\nAuthor: u\nBranch: HEAD\nTag: (none) \nLog:\nm {'-' * 21}\n\nMembers: \n\tf{k}:1.1->1.2 \n\n" for k in range(1, 9))
+    (tmp_path / "r").write_text(text)
+    read = lambda **more: sorted((r["seq"], r["name"], r["log"]) for r in growing.read_log(spark, str(tmp_path), "patchset_log", split=50, **more).collect())
+    rows = [(k, f"f{k}", "m " + "-" * 21) for k in range(1, 9)]
+    assert read() == rows[:-1] and read(rest=True) == rows
