@@ -92,22 +92,25 @@ GROUPS = """, m AS (SELECT *, CASE WHEN lag(author) OVER w = author AND lag(log)
 
 @query("t5_stream_collapse", V.sql("changes", GROUPS).replace(") , m AS", "), m AS"))
 def collapsed(spark, sf):
-    """Groups across batches, closed by gaps, other changesets and tags; a last changeset far behind closes the last."""
+    """Groups across batches, closed by gaps, other changesets, tags and the watermark; polls of the sources move it on."""
     rows = V.changes(spark, sf).select("repo", "seq", F.col("event_id").cast("string").alias("revision"), F.col("date_utc").cast("timestamp").alias("date_utc"), "author", "log", F.when(F.col("seq") % 5 == 0, F.array(F.lit("t"))).alias("tags"))
-    ends = rows.groupBy("repo").agg(F.lit(-1).cast("long").alias("seq"), F.lit("end").alias("revision"), (F.max("date_utc") + F.expr("INTERVAL 9 DAYS")).alias("date_utc"), F.lit("nobody").alias("author"), F.lit("").alias("log"), F.lit(None).cast("array<string>").alias("tags"))
     base, key = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
+    spark.createDataFrame([], "at timestamp").write.parquet(f"{base}/polls")
 
     def start():
-        stream = follow.stream_collapse(follow.stream_ingest(spark, f"{base}/inbox", CHANGES + ", tags array<string>"), 6 * 3600, "1 day")
+        polled = follow.stream_ingest(spark, f"{base}/polls", "at timestamp")
+        stream = follow.stream_collapse(follow.stream_ingest(spark, f"{base}/inbox", CHANGES + ", tags array<string>"), 6 * 3600, "1 day", polled)
         return stream.writeStream.trigger(availableNow=True).outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/mark").start()
 
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        _in_parts(spark, rows.union(ends), base, start)
+        _in_parts(spark, rows, base, start)
+        rows.agg((F.max("date_utc") + F.expr("INTERVAL 9 DAYS")).alias("at")).write.mode("append").parquet(f"{base}/polls")
+        start().awaitTermination()
     finally:
         spark.conf.set(key, before)
-    return spark.read.parquet(f"{base}/out").select("repo", "revision", "n", "late")
+    return spark.read.schema(follow.COLLAPSED).parquet(f"{base}/out").select("repo", "revision", "n", "late")
 
 
 @query("h2_after_hooks", V.sql("changes", "SELECT repo, seq, 'release-' || seq AS tag FROM changes WHERE seq % 50 = 49"))

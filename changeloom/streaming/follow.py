@@ -9,9 +9,10 @@ applied rows are looked up by identity.
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections.abc import Callable, Iterator
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -139,64 +140,95 @@ def stream_dedupe(stream: DataFrame, time: str = "date_utc", delay: str = "1 hou
 
 
 class _Collapse(StatefulProcessor):
-    """Holds the changesets of a repo until no earlier one can come, and the group
-    that may still grow. A repo's latest date less the delay is its mark; what comes
-    with an earlier date than the mark of the batches before is late."""
+    """Holds the changesets of a repo until no earlier one can come, by the watermark, and
+    the group that may still grow, with the actions of its paths in a map. Timers wake it
+    when the watermark has passed what is held, whether or not the repo has news."""
 
-    def __init__(self, seconds: int, delay: timedelta):
-        self.gap, self.delay = timedelta(seconds=seconds), delay
+    def __init__(self, seconds: int):
+        self.gap = timedelta(seconds=seconds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         row = "date_utc timestamp, author string, log string, revision string, tagged boolean, acts string"
+        self.handle = handle
         self.waiting = handle.getListState("waiting", row)
-        self.open = handle.getValueState("open", "first timestamp, last timestamp, author string, log string, revision string, n long, tagged boolean, acts string")
-        self.mark = handle.getValueState("mark", "at timestamp")
+        self.open = handle.getValueState("open", "first timestamp, last timestamp, author string, log string, revision string, n long, tagged boolean")
+        self.held = handle.getMapState("held", "path string", "action string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark = self.mark.get()[0] if self.mark.exists() else None
-        waiting = sorted(self.waiting.get(), key=_in_order) if self.waiting.exists() else []
-        out, new = [], []
+        mark, out, new = _time(timerValues.getCurrentWatermarkInMs()), [], []
         for frame in rows:
+            frame = frame[~frame["polled"]]
             for date, *rest in frame[["date_utc", "author", "log", "revision", "tagged", "acts_json"]].itertuples(index=False):
                 row = (pd.Timestamp(date).to_pydatetime(), *(None if x is None or x != x else x for x in rest))
-                if mark and row[0] < mark:
-                    out.append((*row[:1], *row[:4], 1, True))
+                if row[0] < mark:
+                    out.append((row[0], *row[:4], 1, True))
                 else:
                     new.append(row)
-        waiting = sorted([*waiting, *new], key=_in_order)
-        if waiting:
-            mark = max(x for x in (mark, waiting[-1][0] - self.delay) if x)
-            self.mark.update((mark,))
+        if new:
+            self.waiting.appendList(new)
+        yield from self._advance(key, mark, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, _time(timerValues.getCurrentWatermarkInMs()), [])
+
+    def _advance(self, key, mark: datetime, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        waiting = sorted(self.waiting.get(), key=_in_order) if self.waiting.exists() else []
+        ready = [r for r in waiting if r[0] < mark]
         group = self.open.get() if self.open.exists() else None
-        ready = [r for r in waiting if r[0] < mark] if mark else []
-        for row in ready:
-            date, author, log, revision, tagged, acts = row
+        for date, author, log, revision, tagged, acts in ready:
             here = json.loads(acts) if acts else {}
-            if group and group[2] == author and group[3] == log and date - group[1] < self.gap and not group[6]:
-                held = json.loads(group[7])
-                if all(held.get(path, action) == action for path, action in here.items()):
-                    group = (group[0], date, author, log, group[4], group[5] + 1, bool(tagged), json.dumps(held | here))
-                    continue
-            if group:
-                out.append((*group[:6], False))
-            group = (date, date, author, log, revision, 1, bool(tagged), json.dumps(here))
-        if group and mark and mark - group[1] >= self.gap:
+            if group and group[2] == author and group[3] == log and date - group[1] < self.gap and not group[6] and not any(self.held.containsKey((p,)) and self.held.getValue((p,))[0] != a for p, a in here.items()):
+                group = (group[0], date, author, log, group[4], group[5] + 1, bool(tagged))
+            else:
+                if group:
+                    out.append((*group[:6], False))
+                self._forget()
+                group = (date, date, author, log, revision, 1, bool(tagged))
+            for path, action in here.items():
+                self.held.updateValue((path,), (action,))
+        if group and mark - group[1] >= self.gap:
             out.append((*group[:6], False))
+            self._forget()
             group = None
         if group:
             self.open.update(group)
         elif self.open.exists():
             self.open.clear()
-        self.waiting.put(waiting[len(ready) :])
+        rest = waiting[len(ready) :]
+        if ready and rest:
+            self.waiting.put(rest)
+        elif ready:
+            self.waiting.clear()
+        self._wake(([group[1] + self.gap] if group else []) + [r[0] for r in rest[:1]])
         if out:
             frame = pd.DataFrame(out, columns=["first_date", "date_utc", "author", "log", "revision", "n", "late"])
             frame.insert(0, "repo", key[0])
             yield frame
 
+    def _forget(self) -> None:
+        if self.held.exists():
+            self.held.clear()
+
+    def _wake(self, times: list[datetime]) -> None:
+        """Timers for when the watermark is past ``times``, and no others."""
+        wanted = {math.floor((t - EPOCH) / timedelta(milliseconds=1)) + 1 for t in times}
+        there = {t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()}
+        for t in there - wanted:
+            self.handle.deleteTimer(t)
+        for t in wanted - there:
+            self.handle.registerTimer(t)
+
     def close(self) -> None:
         pass
 
 
+EPOCH = datetime(1970, 1, 1)
+
+
+def _time(millis: int) -> datetime:
+    return EPOCH + timedelta(milliseconds=millis)
+
+
 def _in_order(row: tuple) -> tuple:
     return tuple((x is not None, x) for x in row[:4])
 
@@ -204,20 +236,28 @@ def _in_order(row: tuple) -> tuple:
 COLLAPSED = "repo string, first_date timestamp, date_utc timestamp, author string, log string, revision string, n long, late boolean"
 
 
-def stream_collapse(stream: DataFrame, seconds: int = 180, delay: str = "10 minutes") -> DataFrame:
+def stream_collapse(stream: DataFrame, seconds: int = 180, delay: str = "10 minutes", polled: DataFrame | None = None) -> DataFrame:
     """Groups of neighbouring changesets as ``collapse_changesets`` makes them, each
-    when its repo's later changesets show that it cannot grow: same author and log,
-    less than ``seconds`` apart, no tag in between (tags array) and no path with
-    another action (acts, a map from path to action), where the stream has those.
-
-    A changeset that comes more than ``delay`` after later ones of earlier batches
-    is a row of its own with late, to be looked into. Those without a date are not
-    for this. Needs the RocksDB state store.
+    when it cannot grow any more: same author and log, less than ``seconds`` apart, no
+    tag in between (tags array) and no path with another action (acts, a map from path
+    to action), where the stream has those.
+
+    The watermark, ``delay`` behind the latest date of any repo, tells that nothing
+    earlier comes. So a repo's last group is given when others have moved on; where
+    there are none, ``polled``, a stream of times (at) up to which the sources have
+    been read, moves the watermark as a changeset would. A changeset that comes with a
+    date before the watermark is a row of its own with late, to be looked into. Those
+    without a date are not for this. Needs the RocksDB state store and UTC sessions.
     """
     tagged = F.coalesce(F.size("tags") > 0, F.lit(False)) if "tags" in stream.columns else F.lit(False)
     acts = F.to_json("acts") if "acts" in stream.columns else F.lit("{}")
-    rows = stream.where("date_utc IS NOT NULL").select("repo", "date_utc", "author", "log", "revision", tagged.alias("tagged"), acts.alias("acts_json")).groupBy("repo")
-    return rows.transformWithStateInPandas(_Collapse(seconds, pd.Timedelta(delay).to_pytimedelta()), outputStructType=COLLAPSED, outputMode="Append", timeMode="None")
+    rows = stream.where("date_utc IS NOT NULL").select("repo", "date_utc", "author", "log", "revision", tagged.alias("tagged"), acts.alias("acts_json"), F.lit(False).alias("polled"), F.col("date_utc").alias("_event"))
+    if polled is not None:
+        none = F.lit(None).cast("string")
+        rows = rows.union(polled.select(none, "at", none, none, none, F.lit(False), none, F.lit(True), F.col("at").alias("_event")))
+    # The rows go on without the column of the watermark: Spark would drop late ones.
+    rows = rows.withWatermark("_event", delay).drop("_event").groupBy("repo")
+    return rows.transformWithStateInPandas(_Collapse(seconds), outputStructType=COLLAPSED, outputMode="Append", timeMode="EventTime")
 
 
 def session_collapse(stream: DataFrame, seconds: int = 180, delay: str = "10 minutes") -> DataFrame:

@@ -1,10 +1,13 @@
 """Streams give what batches give, once, whatever happens in between."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from changeloom.operators import changesets
 from changeloom.streaming import follow, growing
 
 CHANGES = "repo string, seq long, revision string, date_utc timestamp, author string, log string"
@@ -66,23 +69,64 @@ def test_tree_is_kept(spark, tmp_path):
     assert [tuple(r) for r in follow.current_tree(spark, out).collect()] == [("r", "a", "2")]
 
 
-def test_stream_collapse_gives_groups_that_cannot_grow(spark, tmp_path):
-    """Over batches: gaps, others' changesets, tags and clashing paths end a group; what is late is told."""
+@pytest.fixture
+def rocksdb(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    inbox, mark, out = (str(tmp_path / n) for n in ("inbox", "mark", "out"))
-    rows = [(0, "u", [], "UPD"), (60, "u", ["t"], "UPD"), (110, "u", [], "UPD"), (150, "u", [], "DEL"), (500, "u", [], "UPD"), (560, "v", [], "UPD"), (2_000, "u", [], "UPD"), (10, "u", [], "UPD"), (9_000, "u", [], "UPD")]
-    try:
-        for k, (seconds, author, tags, action) in enumerate(rows):
-            row = ("r", k, str(k), START + timedelta(seconds=seconds), author, "m", tags, {"p": action})
-            spark.createDataFrame([row], CHANGES + ", tags array<string>, acts map<string,string>").write.mode("append").parquet(inbox)
-            stream = follow.stream_collapse(follow.stream_ingest(spark, inbox, CHANGES + ", tags array<string>, acts map<string,string>"), 180, "1 minute")
-            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-        got = sorted((r["revision"], r["author"], r["n"], r["late"]) for r in spark.read.parquet(out).collect())
-    finally:
-        spark.conf.set(key, before)
-    assert got == [("0", "u", 2, False), ("2", "u", 1, False), ("3", "u", 1, False), ("4", "u", 1, False), ("5", "v", 1, False), ("6", "u", 1, False), ("7", "u", 1, True)]
+    yield
+    spark.conf.set(key, before)
+
+
+WITH_ACTS = CHANGES + ", tags array<string>, acts map<string,string>"
+
+
+def collapsing(spark, tmp_path):
+    inbox, polls, mark, out = (str(tmp_path / n) for n in ("inbox", "polls", "mark", "out"))
+    spark.createDataFrame([], "at timestamp").write.mode("append").parquet(polls)
+
+    def start(rows=(), polled=None):
+        rows = [(repo, k, str(k), START + timedelta(seconds=s), author, "m", tags, {"p": action}) for repo, k, s, author, tags, action in rows]
+        spark.createDataFrame(rows, WITH_ACTS).write.mode("append").parquet(inbox)
+        if polled is not None:
+            spark.createDataFrame([(START + timedelta(seconds=polled),)], "at timestamp").write.mode("append").parquet(polls)
+        stream = follow.stream_collapse(follow.stream_ingest(spark, inbox, WITH_ACTS), 180, "1 minute", follow.stream_ingest(spark, polls, "at timestamp"))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["repo"] or "", r["revision"], r["author"], r["n"], r["late"]) for r in spark.read.schema(follow.COLLAPSED).parquet(out).collect())
+
+    return start
+
+
+def test_stream_collapse_gives_groups_that_cannot_grow(spark, tmp_path, rocksdb):
+    """Over batches and starts: gaps, others' changesets, tags and clashing paths end a group; what is late is told."""
+    start = collapsing(spark, tmp_path)
+    rows = [(0, "u", [], "UPD"), (60, "u", ["t"], "UPD"), (110, "u", [], "UPD"), (150, "u", [], "DEL"), (500, "u", [], "UPD"), (560, "v", [], "UPD"), (2_000, "u", [], "UPD"), (10, "u", [], "UPD")]
+    for k, (seconds, author, tags, action) in enumerate(rows):
+        got = start([("r", k, seconds, author, tags, action)])
+    want = [("r", "0", "u", 2, False), ("r", "2", "u", 1, False), ("r", "3", "u", 1, False), ("r", "4", "u", 1, False), ("r", "5", "v", 1, False), ("r", "7", "u", 1, True)]
+    assert got == want
+    # Nothing more comes to r: another repo's changeset moves the watermark, and so does a poll.
+    assert start([("s", 8, 2_241, "w", [], "UPD")]) == sorted([*want, ("r", "6", "u", 1, False)])
+    assert start(polled=2_000) == sorted([*want, ("r", "6", "u", 1, False)])
+    assert start(polled=2_482) == sorted([*want, ("r", "6", "u", 1, False), ("s", "8", "w", 1, False)])
+
+
+def test_stream_collapse_equals_batches(spark, tmp_path, rocksdb):
+    """Rows out of order within the delay, in five starts: the groups of the batch operator, the last ones too."""
+    rng, rows, at = random.Random(7), [], 0
+    for k in range(120):
+        at += rng.choice([0, 1, 20, 100, 179, 180, 400])
+        rows.append((rng.choice("rs"), k, at, rng.choice("uv"), ["t"] if rng.random() < 0.05 else [], rng.choice(["UPD", "UPD", "DEL"])))
+    start = collapsing(spark, tmp_path)
+    landed = sorted(rows, key=lambda r: r[2] + rng.uniform(0, 50))
+    for part in range(5):
+        got = start(landed[part * 24 : (part + 1) * 24], polled=at + 1_000 if part == 4 else None)
+    sets = changesets.order_changesets(spark.createDataFrame([(repo, str(k), START + timedelta(seconds=s), author, "m", tags, action) for repo, k, s, author, tags, action in rows], "repo string, revision string, date_utc timestamp, author string, log string, tags array<string>, action string"))
+    # Order among equal dates is by author, message and revision in both, since message and first action are the same here.
+    sets = sets.drop("seq").withColumn("seq", F.row_number().over(Window.partitionBy("repo").orderBy("date_utc", "author", "log", "revision")))
+    found = changesets.collapse_changesets(sets, sets.select("repo", "seq", F.lit("p").alias("name"), "action"))
+    groups = found.groupBy("repo", "group").agg(F.min_by("revision", "seq").alias("revision"), F.min_by("author", "seq").alias("author"), F.count("*").alias("n"))
+    assert got == sorted((r["repo"], r["revision"], r["author"], r["n"], False) for r in groups.collect())
 
 
 def test_session_windows_and_snapshot(spark):
