@@ -47,10 +47,11 @@ def rate_limited(stream: DataFrame, seconds: float | None = None):
     return stream.writeStream.trigger(availableNow=True) if seconds is None else stream.writeStream.trigger(processingTime=f"{seconds} seconds")
 
 
-def table_at(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """The table at ``path``; an empty one where nothing has been written yet."""
+def table_at(spark: SparkSession, path: str, schema: str | StructType, base: str | None = None) -> DataFrame:
+    """The table at ``path``; an empty one where nothing has been written yet. ``base`` is
+    the whole table's path if this one is a part of it."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return (spark.read.option("basePath", base) if base else spark.read).schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -61,21 +62,24 @@ def resume_safe_apply(apply: Callable[[DataFrame], DataFrame | None], applied_pa
     """A function for foreachBatch that applies each changeset once.
 
     The batch is what is pending; rows whose identity was recorded at
-    ``applied_path`` by other batches were applied before. What ``apply`` gives,
-    or the batch if it gives nothing, is recorded in a folder of ``run`` (name of
+    ``applied_path`` by other batches were applied before. Records lie in parts by
+    identity (``_part``), and only the parts that a batch has rows of are looked into,
+    so that its work doesn't grow with the history before. What ``apply`` gives,
+    or the batch if it gives nothing, is recorded under ``run`` (name of
     the checkpoint) and batch. A batch that was lost halfway is run again and its
-    folder replaced, so that applying by returning rows happens once; what
+    records replaced, so that applying by returning rows happens once; what
     ``apply`` does besides may be done again for that one batch.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        done_before = _recorded(batch.sparkSession, applied_path, batch.schema).where((F.col("run") != _run_name(run)) | (F.col("batch") != number))
-        fresh = missing_changesets(batch.dropDuplicates(list(key)), done_before, key).persist()
+        pending = batch.dropDuplicates(list(key)).persist()
+        fresh = missing_changesets(pending, _done_before(pending, applied_path, key, number, run), key).persist()
         try:
             done = apply(fresh)
-            write_state(fresh if done is None else done, applied_path, number, run)
+            write_state(fresh if done is None else done, applied_path, number, run, key)
         finally:
             fresh.unpersist()
+            pending.unpersist()
 
     return step
 
@@ -84,13 +88,31 @@ def _run_name(run: str) -> str:
     return f"r{zlib.crc32(run.encode()):08x}"
 
 
-def _recorded(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return table_at(spark, path, StructType([*schema.fields]).add("run", "string").add("batch", "long"))
+#: Parts of identities without a date, and how many parts a batch may have before all are read.
+HASHED, SOME = 1024, 1000
 
 
-def write_state(applied: DataFrame, path: str, number: int, run: str = "") -> None:
+def _part(key: tuple[str, ...]) -> Column:
+    """Where an identity is recorded: by day, which equal identities share; by hash if it has no date."""
+    if "date_utc" in key:
+        return F.coalesce(F.floor(F.unix_seconds(F.col("date_utc").cast("timestamp")) / 86_400).cast("string"), F.lit("none"))
+    return F.pmod(F.xxhash64(*key), F.lit(HASHED)).cast("string")
+
+
+def _done_before(batch: DataFrame, path: str, key: tuple[str, ...], number: int, run: str) -> DataFrame:
+    """Records of other batches in the parts that ``batch`` has rows of."""
+    parts = [r[0] for r in batch.select(_part(key)).distinct().limit(SOME + 1).collect()]
+    where = "*" if len(parts) > SOME else "{" + ",".join(sorted(parts) or ["none"]) + "}"
+    schema = StructType([*batch.schema.fields]).add("part", "string").add("run", "string").add("batch", "long")
+    found = table_at(batch.sparkSession, f"{path}/part={where}", schema, path)
+    return found.where((F.col("run") != _run_name(run)) | (F.col("batch") != number))
+
+
+def write_state(applied: DataFrame, path: str, number: int, run: str = "", key: tuple[str, ...] = IDENTITY) -> None:
     """Records applied changesets as those of a batch, in one step."""
-    applied.drop("run", "batch").write.mode("overwrite").parquet(f"{path}/run={_run_name(run)}/batch={number}")
+    rows = applied.drop("part", "run", "batch").withColumns({"part": _part(key), "run": F.lit(_run_name(run)), "batch": F.lit(number).cast("long")})
+    rows = rows.repartition("part")  # a file for each part
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "run", "batch").parquet(path)
 
 
 def last_applied(spark: SparkSession, path: str) -> DataFrame:
@@ -120,14 +142,13 @@ def gated_stream(stream: DataFrame, accepted: Column, applied_path: str, pending
         # Of rows of one identity a rejected one decides, so that the choice is the same in every batch.
         fresh = fresh.withColumn("_ok", F.coalesce(accepted, F.lit(False)))
         fresh = fresh.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_ok", "seq"))).where("_n = 1").drop("_n")
-        done_before = _recorded(spark, applied_path, batch.schema).where((F.col("run") != _run_name(checkpoint)) | (F.col("batch") != number))
-        fresh = missing_changesets(fresh, done_before, key)
+        fresh = missing_changesets(fresh, _done_before(fresh, applied_path, key, number, checkpoint), key)
         stop = fresh.where("NOT _ok").groupBy(F.col("repo").alias("_repo")).agg(F.min("seq").alias("_stop"))
         fresh = fresh.join(stop, F.col("repo").eqNullSafe(F.col("_repo")), "left").withColumn("_held", F.coalesce(F.col("seq") >= F.col("_stop"), F.lit(False))).persist()
         try:
             # What is held is stored first: a batch that is lost between the two writes is run again from the last pending folder.
             fresh.where("_held").select(*batch.columns).write.mode("overwrite").parquet(f"{pending_path}/{number}")
-            write_state(fresh.where("NOT _held").select(*batch.columns), applied_path, number, checkpoint)
+            write_state(fresh.where("NOT _held").select(*batch.columns), applied_path, number, checkpoint, key)
         finally:
             fresh.unpersist()
 
@@ -267,20 +288,48 @@ def session_collapse(stream: DataFrame, seconds: int = 180, delay: str = "10 min
     return grouped.agg(F.count("*").alias("n"), F.max("date_utc").alias("date_utc"))
 
 
+TREE = "repo string, path string, rev string, seq long, live boolean"
+
+
 def stream_tree(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps updates (repo, path, rev, seq, live) of a tree at ``path``, one folder for
-    each batch; ``current_tree`` reads the tree."""
+    """Keeps updates (repo, path, rev, seq, live) of a tree at ``path``, which belongs to
+    ``checkpoint``; ``current_tree`` reads the tree.
+
+    The n-th batch is merged with as many before it as the greatest power of two that
+    divides n says. So a row is written once for each doubling of the history, and the
+    tree after n batches is in as many folders as n has binary digits of one. What was
+    deleted is forgotten in folders that go back to the first batch. A batch that was
+    lost is done again and replaces its folder.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy("repo", "path").agg(F.max_by(F.struct("rev", "seq", "live"), "seq").alias("e")).select("repo", "path", "e.*")
-        latest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark, n = batch.sparkSession, number + 1
+        rows, size = batch.select("repo", "path", "rev", F.col("seq").cast("long"), "live"), n & -n
+        for before in _folders(n - 1)[-(size.bit_length() - 1):] if size > 1 else []:
+            rows = rows.union(spark.read.schema(TREE).parquet(f"{path}/upto-{before}"))
+        latest = rows.groupBy("repo", "path").agg(F.max_by(F.struct("rev", "seq", "live"), "seq").alias("e")).select("repo", "path", "e.*")
+        latest.where("live" if size == n else "true").write.mode("overwrite").parquet(f"{path}/upto-{n}")
+        # Two marks in turn: while one is written the other holds.
+        spark.range(1).select(F.lit(n).cast("long").alias("n")).write.mode("overwrite").parquet(f"{path}/mark-{n % 2}")
 
     return rate_limited(stream).foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
 
+def _folders(n: int) -> list[int]:
+    """The folders that hold the first n batches: n without its lower binary ones, shortest first."""
+    out = []
+    while n:
+        out.append(n)
+        n &= n - 1
+    return out[::-1]
+
+
 def current_tree(spark: SparkSession, path: str) -> DataFrame:
-    """(repo, path, rev) as of all batches."""
-    rows = spark.read.parquet(path)
+    """(repo, path, rev) as of all batches; nothing but the last folders is read."""
+    marks = table_at(spark, f"{path}/mark-0", "n long").union(table_at(spark, f"{path}/mark-1", "n long"))
+    rows = table_at(spark, f"{path}/none", TREE)
+    for n in _folders(marks.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]):
+        rows = rows.union(spark.read.schema(TREE).parquet(f"{path}/upto-{n}"))
     return rows.groupBy("repo", "path").agg(F.max_by(F.struct("rev", "live"), "seq").alias("e")).where("e.live").select("repo", "path", "e.rev")
 
 

@@ -61,12 +61,46 @@ def test_duplicates_within_the_watermark(spark, tmp_path):
 
 
 def test_tree_is_kept(spark, tmp_path):
-    schema = "repo string, path string, rev string, seq long, live boolean"
+    """Eleven batches, some in one start: the tree of the last rows, in three folders; what was deleted at first is gone from them."""
     inbox, out, mark = (str(tmp_path / n) for n in ("inbox", "tree", "mark"))
-    for rows in ([("r", "a", "1", 1, True), ("r", "b", "1", 1, True)], [("r", "a", "2", 2, True), ("r", "b", "1", 3, False)]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(inbox)
-        follow.stream_tree(follow.stream_ingest(spark, inbox, schema), out, mark).awaitTermination()
-    assert [tuple(r) for r in follow.current_tree(spark, out).collect()] == [("r", "a", "2")]
+    assert follow._folders(11) == [8, 10, 11] and follow._folders(0) == []
+    spark.createDataFrame([], follow.TREE).write.parquet(str(tmp_path / "none"))
+    rng, held, seq = random.Random(2), {}, 0
+    for part in range(11):
+        rows = []
+        for _ in range(6):
+            seq += 1
+            path, live = f"p{rng.randrange(25)}", rng.random() < 0.6
+            rows.append(("r", path, str(seq), seq, live))
+            held[path] = str(seq) if live else None
+        spark.createDataFrame(rows, follow.TREE).coalesce(1).write.mode("append").parquet(inbox)
+        if part in (0, 1, 4, 7, 10):
+            follow.stream_tree(follow.stream_ingest(spark, inbox, follow.TREE, files_per_batch=1), out, mark).awaitTermination()
+            got = {r["path"]: r["rev"] for r in follow.current_tree(spark, out).collect()}
+            assert got == {p: rev for p, rev in held.items() if rev}
+    assert spark.read.parquet(f"{out}/upto-8").where("NOT live").count() == 0
+    assert follow.current_tree(spark, str(tmp_path / "no")).count() == 0
+
+
+def test_a_batch_reads_only_its_own_days(spark, tmp_path):
+    """Records of other days are not even opened: one of them is no parquet file."""
+    applied = str(tmp_path / "applied")
+    step = follow.resume_safe_apply(lambda rows: None, applied)
+    day = lambda k, n: spark.createDataFrame([("r", k, str(k), datetime(2024, 1, 1 + n), "u", "m")], CHANGES)
+    for n in range(4):
+        step(day(n, n), n)
+    broken = tmp_path / "applied" / f"part={(datetime(2024, 1, 2) - datetime(1970, 1, 1)).days}"
+    for old in broken.rglob("*.parquet"):
+        old.write_bytes(b"no table")
+    (old.parent / f".{old.name}.crc").unlink(missing_ok=True)
+    step(day(2, 2).union(day(9, 2)).union(day(10, 3)), 4)
+    rows = spark.read.option("basePath", applied).parquet(*(str(p) for p in (tmp_path / "applied").glob("part=*") if p != broken))
+    assert sorted((r["seq"], r["batch"]) for r in rows.collect()) == [(0, 0), (2, 2), (3, 3), (9, 4), (10, 4)]
+    # Without a date in the identity parts go by hash; a null identity has one too.
+    again = follow.resume_safe_apply(lambda rows: None, str(tmp_path / "other"), ("repo", "revision"))
+    for n in range(2):
+        again(day(1, 1).union(day(1, 2)).union(day(3, 3).withColumn("revision", F.lit(None).cast("string"))), n)
+    assert spark.read.parquet(str(tmp_path / "other")).count() == 2
 
 
 @pytest.fixture
