@@ -224,8 +224,10 @@ def order_directories_first(entries: DataFrame) -> DataFrame:
     gone = e.where(F.col("action") == DEL).select(*KEY, "pos", "name", F.coalesce("is_directory", F.lit(False)).alias("dir"))
     own = gone.join(comes, [*KEY, "name"]).where("_at < pos").groupBy(*KEY, "pos").agg(F.min("_to").alias("_to"))
     gone = gone.join(own, [*KEY, "pos"], "left").withColumn("_to", F.coalesce("_to", F.struct(F.col("pos").alias("place"), F.lit(1 << 30).alias("depth"))))
-    heads = F.transform(F.sequence(F.lit(1), F.length("name")), lambda k: F.substr("name", F.lit(1), k))
-    starts = gone.where("name <> ''").select(*KEY, F.col("pos").alias("_pos"), F.explode(heads).alias("name"))
+    # Of a name's beginnings only those as long as some deleted directory's name can be one.
+    sizes = gone.where("dir AND name <> ''").groupBy(*KEY).agg(F.collect_set(F.length("name")).alias("_sizes"))
+    heads = F.transform(F.filter("_sizes", lambda k: k <= F.length("name")), lambda k: F.substr("name", F.lit(1), k))
+    starts = gone.join(sizes, [*KEY]).select(*KEY, F.col("pos").alias("_pos"), F.explode(heads).alias("name"))
     outer = starts.join(gone.where("dir"), [*KEY, "name"]).where("pos < _pos").groupBy(*KEY, F.col("_pos").alias("pos")).agg(F.min("_to").alias("_out"), F.count("*").cast("int").alias("_nested"))
     gone = gone.join(outer, [*KEY, "pos"], "left").select(*KEY, "pos", F.least("_to", "_out").alias("_to"), F.coalesce("_nested", F.lit(0)).alias("_nested"))
     out = e.join(gone, [*KEY, "pos"], "left")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from changeloom.operators import adapt, changesets, entries, folds, graph, tree
+from changeloom.operators import adapt, changesets, digests, entries, folds, graph, tree
 from changeloom.plans import views as V
 from changeloom.plans.catalog import epoch, query
-from changeloom.storage import stored
+from changeloom.storage import shared_dir, stored
 
 E_COLS = "repo, seq, pos, action, name, old_name"
 M = V.sql("moves", "").rstrip()
@@ -521,13 +523,26 @@ def leftover(spark, sf):
     return tree.leftover_check(old, new).groupBy("side").agg(F.count("*").alias("n"))
 
 
-@query("q3_verify_trees", TREES + ", a AS (SELECT repo, seq || '/' || path AS path, rev FROM bef WHERE path NOT LIKE '%/s1/%'), b AS (SELECT repo, seq || '/' || path AS path, rev FROM trees WHERE path NOT LIKE '%/s1/%') SELECT repo, path, CASE WHEN b.rev IS NULL THEN 'missing' WHEN a.rev IS NULL THEN 'extra' ELSE 'changed' END AS kind FROM a FULL JOIN b USING (repo, path) WHERE a.rev IS DISTINCT FROM b.rev")
+Q3_SQL = TREES + ", a AS (SELECT repo, seq || '/' || path AS path, rev FROM bef WHERE path NOT LIKE '%/s1/%'), b AS (SELECT repo, seq || '/' || path AS path, rev FROM trees WHERE path NOT LIKE '%/s1/%') SELECT repo, path, CASE WHEN b.rev IS NULL THEN 'missing' WHEN a.rev IS NULL THEN 'extra' ELSE 'changed' END AS kind FROM a FULL JOIN b USING (repo, path) WHERE a.rev IS DISTINCT FROM b.rev"
+
+
+@query("q3_verify_trees", Q3_SQL)
 def verify_trees(spark, sf):
     trees = V.trees(spark, sf)
     at = lambda df: df.select("repo", F.concat(F.col("seq").cast("string"), F.lit("/"), "path").alias("path"), F.col("rev").alias("hash"))
     return tree.verify_trees(at(trees.withColumn("seq", F.col("seq") + 1)), at(trees), ("s1",))
 
 
+@query("q3_verify_stored_trees", Q3_SQL.replace("WHERE path NOT LIKE '%/s1/%'", ""))
+def verify_stored(spark, sf):
+    """The same trees, all of their directories, stored with digests and compared from the top."""
+    trees, base = V.trees(spark, sf), f"{shared_dir(spark)}/trees-{uuid.uuid4().hex}"
+    at = lambda df: df.select("repo", F.concat(F.col("seq").cast("string"), F.lit("/"), "path").alias("path"), F.col("rev").alias("hash"))
+    digests.store_tree(at(trees.withColumn("seq", F.col("seq") + 1)), f"{base}/source")
+    digests.store_tree(at(trees), f"{base}/target")
+    return digests.verify_stored_trees(spark, f"{base}/source", f"{base}/target")
+
+
 @query("q4_verify_logs", V.sql("logs", "SELECT role AS author, count(*) AS n FROM logs WHERE turn % 7 = 3 GROUP BY 1"))
 def verify_logs(spark, sf):
     source = V.logs(spark, sf).select(F.col("conv_id").cast("string").alias("repo"), F.col("role").alias("author"), "log", "turn")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from changeloom.functions import scalars as S
 from changeloom.functions.reflow import reflowed
-from changeloom.operators import adapt, cells, changesets, entries, folds, graph, tree
+from changeloom.operators import adapt, cells, changesets, digests, entries, folds, graph, tree
 from changeloom.sources import commit_logs, file_logs, xml_logs
 
 ENTRY = "repo string, seq long, pos int, action string, name string, old_name string, is_directory boolean"
@@ -547,3 +547,21 @@ def test_tags_of_counts_that_stand_still(spark):
     made = tree.tagging_changesets(placed).collect()
     assert [(r["seq"], r["author"], r["revision"], r["log"], r["tags"]) for r in made] == [(-1, "unknown tagger", "1900-01-01 00:00:00 by unknown tagger", "tag 1900-01-01 00:00:00+00:00 ['old']", ["old"])]
     assert tree.tagging_changesets(placed, "2024-05-06 07:08:09").first()["log"] == "tag 2024-05-06 07:08:09+00:00 ['old']"
+
+
+def test_stored_trees_are_compared_from_the_top(spark, tmp_path, monkeypatch):
+    """Of 2,000 directories a handful is opened; nulls, repos of null and lost directories are told."""
+    whole = {(repo, f"d{k % 7}/e{k % 50}/s{k % 4}/f{k}"): str(k % 3) for k in range(8_000) for repo in ("a", None) if repo or k < 100}
+    other = dict(whole) | {("a", "d1/e1/s1/f1"): "new", ("a", "top"): None, (None, "x/y/z"): "1", ("a", "d0/e0/s0/f0"): None}
+    for name in [n for n in other if n[1].startswith("d3/e17/")]:
+        del other[name]
+    kinds = {n: "missing" for n in whole if n not in other} | {n: "extra" for n in other if n not in whole} | {n: "changed" for n in whole if n in other and whole[n] != other[n]}
+    for name, held in (("source", whole), ("target", other)):
+        digests.store_tree(spark.createDataFrame([(r, p, h) for (r, p), h in held.items()], "repo string, path string, hash string"), str(tmp_path / name))
+    paths = str(tmp_path / "source"), str(tmp_path / "target")
+    for named in (digests.NAMED, 0):  # the second joins the directories' names only
+        monkeypatch.setattr(digests, "NAMED", named)
+        assert {(r["repo"], r["path"]): r["kind"] for r in digests.verify_stored_trees(spark, *paths).collect()} == kinds
+    opened = {(r["repo"], r["dir"]) for r in digests.differing_directories(spark, *paths).collect()}
+    assert {n[1].rsplit("/", 1)[0] for n in kinds if "/" in n[1]} <= {d for _, d in opened} and len(opened) < 30
+    assert digests.verify_stored_trees(spark, paths[0], paths[0]).count() == 0
