@@ -48,7 +48,7 @@ def filter_branch(revs: DataFrame, symbols: DataFrame, branch: str | None = None
     if branch is None:
         number = revs.groupBy("repo", "path").agg(branch_of(F.max(rev_key(F.col("rev")))).alias("_branch"))
     else:
-        number = symbols.where(F.col("tag") == branch).groupBy("repo", "path").agg(F.first(rev_key(F.col("number"))).alias("_branch"))
+        number = symbols.where(F.col("tag") == branch).groupBy("repo", "path").agg(F.min(rev_key(F.col("number"))).alias("_branch"))
         number = number.withColumn("_branch", F.when(is_branch(F.col("_branch")), F.col("_branch")).otherwise(branch_of(F.col("_branch"))))
     out = revs.join(number, ["repo", "path"], "left")
     return out.where(F.col("_branch").isNull() | same_branch(rev_key(F.col("rev")), F.col("_branch"))).drop("_branch")

@@ -138,10 +138,21 @@ def same_branch(spark, sf):
     return rows.select("repo", "path", F.col("n").cast("long").alias("n"), S.is_branch(a).alias("is_branch"), S.rev_text(S.branch_of(a)).alias("branch"), S.same_branch(a, b).alias("same"))
 
 
-@query("f5_map_action", V.sql("moves", "SELECT action AS native, count(*) AS n, CASE action WHEN 'ADD' THEN 'ADD' WHEN 'DEL' THEN 'DEL' WHEN 'UPD' THEN 'UPD' WHEN 'REN' THEN 'REN' END AS mapped FROM moves GROUP BY 1"))
+#: Codes of each kind of source, and one that none has.
+NATIVE = {
+    "xml": ["A", "D", "M", "R", "?"], "commit": ["A", "D", "M", "T", "R", "C", "?"], "changelist": ["add", "branch", "delete", "edit", "integrate", "?"],
+    "patch": ["add_file", "add_directory", "remove_file", "remove_directory", "modify_file", "move", "?"], "report": ["A", "D", "M", "ch", "cl", "=>", "/>", "?"],
+}
+NATIVE_SQL = ", ".join(f"('{kind}', {k}, {len(codes)}, '{code}')" for kind, codes in NATIVE.items() for k, code in enumerate(codes))
+
+
+@query("f5_map_action", V.sql("moves", f"""SELECT kind, native, count(*) AS n, CASE WHEN native IN ('A', 'C', 'add', 'branch', 'add_file', 'add_directory') THEN 'ADD' WHEN native IN ('D', 'delete', 'remove_file', 'remove_directory') THEN 'DEL'
+    WHEN native IN ('M', 'T', 'edit', 'integrate', 'modify_file', 'ch', 'cl') THEN 'UPD' WHEN native IN ('R', 'move', '=>', '/>') THEN 'REN' END AS mapped FROM moves JOIN (VALUES {NATIVE_SQL}) v(kind, k, size, native) ON (seq + pos) % size = k GROUP BY kind, native"""))
 def map_action(spark, sf):
-    code = F.translate(F.substring("action", 1, 1), "U", "M")
-    return V.moves(spark, sf).groupBy(F.col("action").alias("native")).agg(F.count("*").alias("n"), F.max(S.map_action("commit", code)).alias("mapped"))
+    """Codes of all kinds, dealt over all entries."""
+    coded = lambda kind: F.element_at(F.array(*map(F.lit, NATIVE[kind])), ((F.col("seq") + F.col("pos")) % len(NATIVE[kind]) + 1).cast("int"))
+    rows = V.moves(spark, sf).select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), coded(k).alias("native"), S.map_action(k, coded(k)).alias("mapped")) for k in NATIVE))).alias("c"))
+    return rows.groupBy("c.kind", "c.native", "c.mapped").agg(F.count("*").alias("n"))
 
 
 @query("f6_refill", V.sql("logs", r"SELECT conv_id, turn, list_reduce(string_split(trim(regexp_replace(log, '\s+', ' ', 'g')), ' '), lambda acc, w: acc || CASE WHEN length(regexp_extract(acc, '[^\n]*$')) + 1 + length(w) <= 70 THEN ' ' ELSE chr(10) END || w) AS log FROM logs"))

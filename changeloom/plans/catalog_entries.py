@@ -166,12 +166,11 @@ def resolve(spark, sf):
 @query("j5_renames_by_branch_note", M + """, c AS (SELECT repo, seq, pos, action, name, CASE WHEN action = 'ADD' THEN 'd0/e' || (pos % 2) || '/f' || (pos % 9) END AS old_name FROM moves), n AS (SELECT repo, seq, name, min(old_name) AS origin FROM c WHERE action = 'ADD' GROUP BY ALL),
     e AS (SELECT c.repo, c.seq, c.pos, c.action, c.name, CASE WHEN c.action = 'ADD' THEN n.origin END AS old_name FROM c LEFT JOIN n USING (repo, seq, name)), gone AS (SELECT DISTINCT repo, seq, name FROM e WHERE action = 'DEL'),
     k AS (SELECT *, row_number() OVER (PARTITION BY repo, seq, old_name, action ORDER BY name DESC) AS k FROM e), r AS (SELECT k.repo, k.seq, k.pos, k.old_name FROM k JOIN gone g ON g.repo = k.repo AND g.seq = k.seq AND g.name = k.old_name WHERE action = 'ADD' AND k = 1)
-    SELECT repo, seq, count(*) FILTER (WHERE (repo, seq, pos) IN (SELECT (repo, seq, pos) FROM r)) AS n_ren, count(*) AS n FROM e WHERE NOT (action = 'DEL' AND (repo, seq, name) IN (SELECT (repo, seq, old_name) FROM r)) GROUP BY 1, 2""")
+    SELECT e.repo, e.seq, e.pos, CASE WHEN r.pos IS NOT NULL THEN 'REN' ELSE action END AS action, name, r.old_name FROM e LEFT JOIN r ON r.repo = e.repo AND r.seq = e.seq AND r.pos = e.pos WHERE NOT (action = 'DEL' AND (e.repo, e.seq, name) IN (SELECT (repo, seq, old_name) FROM r))""")
 def branch_note(spark, sf):
     rows = V.moves(spark, sf).withColumn("old_name", F.lit(None).cast("string"))
     notes = rows.where("action = 'ADD'").groupBy("repo", "seq", "name").agg(F.min(F.format_string("d0/e%d/f%d", F.col("pos") % 2, F.col("pos") % 9)).alias("origin"))
-    found = entries.renames_by_branch_note(rows, notes)
-    return found.groupBy("repo", "seq").agg(F.count(F.when((F.col("action") == "REN") & (F.col("old_name").startswith("d0/")), 1)).alias("_n"), F.count("*").alias("n")).join(rows.where("action = 'REN'").groupBy("repo", "seq").agg(F.count("*").alias("_own")), ["repo", "seq"], "left").select("repo", "seq", F.col("_n").alias("n_ren"), "n")
+    return out(entries.renames_by_branch_note(rows, notes))
 
 
 TREES = V.sql("trees", "").rstrip() + ", bef AS (SELECT repo, seq + 1 AS seq, path, rev FROM trees)"
@@ -280,12 +279,12 @@ def rebase_old(spark, sf):
     return out(entries.rebase_old_names(rows))
 
 
-@query("j14_expand_added_dir", M + ", t AS (SELECT DISTINCT repo, name AS path FROM moves), adds AS (SELECT repo, seq, min(split_part(name, '/', 1)) AS dir FROM moves WHERE pos = 0 AND seq % 20 = 0 GROUP BY ALL) SELECT repo, seq, count(*) AS n FROM (SELECT repo, seq, dir AS name FROM adds UNION ALL SELECT a.repo, a.seq, t.path FROM adds a JOIN t ON t.repo = a.repo AND t.path LIKE a.dir || '/%') GROUP BY 1, 2")
+@query("j14_expand_added_dir", M + ", t AS (SELECT DISTINCT repo, name AS path FROM moves), adds AS (SELECT repo, seq, min(split_part(name, '/', 1)) AS dir FROM moves WHERE pos = 0 AND seq % 20 = 0 GROUP BY ALL) SELECT repo, seq, dir AS name FROM adds UNION ALL SELECT a.repo, a.seq, t.path FROM adds a JOIN t ON t.repo = a.repo AND t.path LIKE a.dir || '/%'")
 def expand(spark, sf):
     rows = V.moves(spark, sf)
     adds = rows.where("pos = 0 AND seq % 20 = 0").groupBy("repo", "seq").agg(F.min(F.substring_index("name", "/", 1)).alias("name")).withColumns({"pos": F.lit(0), "action": F.lit("ADD"), "is_directory": F.lit(True)})
     state = adds.select("repo", "seq").join(rows.select("repo", F.col("name").alias("path")).distinct(), "repo")
-    return entries.expand_added_dir(adds, state).groupBy("repo", "seq").agg(F.count("*").alias("n"))
+    return entries.expand_added_dir(adds, state).select("repo", "seq", "name")
 
 
 @query("j15_flag_deleted_dirs", V.sql("ivals", "").rstrip() + ", d AS (SELECT repo, seq, split_part(path, '/', 1) AS name FROM changes WHERE action = 'DEL') SELECT repo, seq, name, EXISTS (SELECT 1 FROM ivals i WHERE i.repo = d.repo AND i.path LIKE d.name || '/%' AND from_seq < d.seq AND (to_seq IS NULL OR to_seq >= d.seq)) AS is_directory FROM d")
@@ -304,13 +303,13 @@ def inverted(spark, sf):
     return entries.rewrite_inverted(rows).select("repo", "seq", F.col("pos").cast("long").alias("pos"), "name")
 
 
-@query("j17_add_unlisted", TREES + " SELECT repo, seq, count(*) AS n FROM (SELECT t.repo, t.seq, t.path FROM trees t ANTI JOIN bef b ON b.repo = t.repo AND b.seq = t.seq AND b.path = t.path) GROUP BY 1, 2")
+@query("j17_add_unlisted", TREES + " SELECT t.repo, t.seq, t.path AS name FROM trees t ANTI JOIN bef b ON b.repo = t.repo AND b.seq = t.seq AND b.path = t.path")
 def unlisted(spark, sf):
     trees = V.trees(spark, sf)
     before = trees.withColumn("seq", F.col("seq") + 1)
     fresh = trees.join(before, ["repo", "seq", "path"], "left_anti")
     half = fresh.where("path LIKE '%1'").select("repo", "seq", F.lit(0).alias("pos"), F.lit("ADD").alias("action"), F.col("path").alias("name"), F.lit(None).cast("string").alias("old_name"))
-    return entries.add_unlisted(half, before, trees).groupBy("repo", "seq").agg(F.count("*").alias("n"))
+    return entries.add_unlisted(half, before, trees).select("repo", "seq", "name")
 
 
 # Orders and windows

@@ -138,9 +138,9 @@ def changelist(spark, sf):
     return ents.join(heads, ["repo", "seq"]).select("repo", "seq", F.col("pos").cast("long").alias("pos"), "action", "name", "origin", "author", epoch("date_utc").alias("at"), "log")
 
 
-@query("s8_header_log", V.sql("logs", "SELECT conv_id, turn, role || ' <r@x>' AS author, CAST(1704164645 AS BIGINT) AS at, 'Sum ' || turn || chr(10) || 'key' || chr(10) || rtrim(log, chr(10)) AS log, turn % 4 = 1 AS bad FROM logs WHERE log <> ''"))
+@query("s8_header_log", V.sql("logs", "SELECT conv_id, turn, role || ' <r@x>' AS author, CAST(1704164645 AS BIGINT) AS at, 'Sum ' || turn || chr(10) || 'key' || CASE WHEN rtrim(log, chr(10)) = '' THEN '' ELSE chr(10) || rtrim(log, chr(10)) END AS log, turn % 4 = 1 AS bad FROM (SELECT conv_id, turn, role, CASE WHEN turn % 5 = 2 THEN '' ELSE coalesce(log, '') END AS log FROM logs)"))
 def header_log(spark, sf):
-    rows = V.logs(spark, sf).where("log <> ''")
+    rows = V.logs(spark, sf).withColumn("log", F.when(F.col("turn") % 5 == 2, "").otherwise(F.coalesce("log", F.lit(""))))
     extra = F.when(F.col("turn") % 4 == 1, "Content-type: multipart/mixed\n").otherwise("")
     value = text("Revision: p--", F.col("conv_id"), "--", F.col("turn"), "\nCreator: ", F.col("role"), " <r@x>\nDate: Tue Jan  2 05:04:05 CEST 2024\nStandard-date: 2024-01-02 03:04:05 GMT\n", extra, "Summary: Sum ", F.col("turn"), "\nKeywords: key\n\n", F.col("log"), "\n")
     found = file_logs.ingest_header_log(rows.select(F.lit("r").alias("repo"), value.alias("value")))
@@ -148,16 +148,17 @@ def header_log(spark, sf):
     return found.select(ids[1].cast("long").alias("conv_id"), ids[2].cast("long").alias("turn"), "author", epoch("date_utc").alias("at"), "log", "bad")
 
 
-@query("s9_apply_report", V.sql("moves", "SELECT repo || '-' || seq AS repo, pos, action, name, CASE WHEN action = 'REN' THEN old_name END AS old_name, false AS conflict FROM moves"))
+@query("s9_apply_report", V.sql("moves", "SELECT repo, seq, pos, action, name, CASE WHEN action = 'REN' THEN old_name END AS old_name, false AS conflict FROM moves"))
 def apply_report(spark, sf):
+    """Many reports of each repo, told apart by the changeset that they are about."""
     line = (
         F.when(F.col("action") == "REN", text("=>  ", F.col("old_name"), "\t", F.col("name"))).when(F.col("action") == "ADD", text("A   ", F.col("name")))
         .when(F.col("action") == "DEL", text("D/  ", F.col("name"))).otherwise(text("M   ./", F.col("name")))
     )
     sets = joined(V.moves(spark, sf), ["repo", "seq"], ["pos"], text(line, "\n"))
     value = text("A   before\n* applying changeset x\n", F.col("value"), "--  permission\n* reapplying local changes\nM   after\n")
-    found = file_logs.ingest_apply_report(sets.select(F.concat_ws("-", "repo", "seq").alias("repo"), value.alias("value")))
-    return found.select("repo", F.col("pos").cast("long").alias("pos"), "action", "name", "old_name", "conflict")
+    found = file_logs.ingest_apply_report(sets.select("repo", "seq", value.alias("value")), key=("repo", "seq"))
+    return found.select("repo", "seq", F.col("pos").cast("long").alias("pos"), "action", "name", "old_name", "conflict")
 
 
 def certs_text(spark, sf):
@@ -203,7 +204,7 @@ def manifest(spark, sf):
     return found.select("repo", "path", "rev", epoch("ts").alias("at"), "tag")
 
 
-@query("s13_snapshot_history", V.sql("trees", ", b AS (SELECT repo, seq + 1 AS seq, path, rev FROM trees WHERE (repo, seq + 1) IN (SELECT (repo, seq) FROM trees)), o AS (SELECT coalesce(b.repo, a.repo) AS repo, coalesce(b.seq, a.seq) AS seq, coalesce(b.path, a.path) AS name, b.rev AS o, a.rev AS n FROM b FULL JOIN trees a USING (repo, seq, path)), cp AS (SELECT x.repo, x.seq, y.name AS source, min(x.name) AS path FROM o x JOIN o y ON y.repo = x.repo AND y.seq = x.seq AND split_part(y.name, '/', 3) = split_part(x.name, '/', 3) WHERE x.o IS NULL AND y.n IS NULL GROUP BY ALL), k AS (SELECT repo, seq, path, min(source) AS source FROM cp GROUP BY ALL) SELECT repo, seq, CASE WHEN o IS NULL AND (repo, seq, name) IN (SELECT (repo, seq, path) FROM k) THEN 'REN' WHEN o IS NULL THEN 'ADD' WHEN n IS NULL THEN 'DEL' ELSE 'UPD' END AS action, count(*) AS n FROM o WHERE o IS DISTINCT FROM n AND NOT (n IS NULL AND (repo, seq, name) IN (SELECT (repo, seq, source) FROM k)) GROUP BY ALL").replace(") , b AS", "), b AS"))
+@query("s13_snapshot_history", V.sql("trees", ", b AS (SELECT repo, seq + 1 AS seq, path, rev FROM trees WHERE (repo, seq + 1) IN (SELECT (repo, seq) FROM trees)), o AS (SELECT coalesce(b.repo, a.repo) AS repo, coalesce(b.seq, a.seq) AS seq, coalesce(b.path, a.path) AS name, b.rev AS o, a.rev AS n FROM b FULL JOIN trees a USING (repo, seq, path)), cp AS (SELECT x.repo, x.seq, y.name AS source, min(x.name) AS path FROM o x JOIN o y ON y.repo = x.repo AND y.seq = x.seq AND split_part(y.name, '/', 3) = split_part(x.name, '/', 3) WHERE x.o IS NULL AND y.n IS NULL GROUP BY ALL), k AS (SELECT repo, seq, path, min(source) AS source FROM cp GROUP BY ALL) SELECT repo, seq, CASE WHEN o IS NULL AND (repo, seq, name) IN (SELECT (repo, seq, path) FROM k) THEN 'REN' WHEN o IS NULL THEN 'ADD' WHEN n IS NULL THEN 'DEL' ELSE 'UPD' END AS action, name, CASE WHEN o IS NULL THEN (SELECT source FROM k WHERE k.repo = o.repo AND k.seq = o.seq AND k.path = o.name) END AS old_name FROM o WHERE o IS DISTINCT FROM n AND NOT (n IS NULL AND (repo, seq, name) IN (SELECT (repo, seq, source) FROM k))").replace(") , b AS", "), b AS"))
 def snapshots(spark, sf):
     """Files that moved are noted as copies of files of the same name."""
     rows = V.trees(spark, sf)
@@ -211,7 +212,7 @@ def snapshots(spark, sf):
     parents = years.withColumn("parent", F.col("seq") - 1)
     before = rows.withColumn("seq", F.col("seq") + 1).join(years, ["repo", "seq"], "left_semi")
     ents, _ = trees.ingest_snapshot_history(rows, parents, named_alike(before, rows))
-    return ents.groupBy("repo", "seq", "action").agg(F.count("*").alias("n"))
+    return ents.select("repo", "seq", "action", "name", "old_name")
 
 
 @query("s14_delta_lists", V.sql("moves", "SELECT repo, seq AS revision, row_number() OVER (PARTITION BY repo, seq ORDER BY CASE action WHEN 'REN' THEN 0 WHEN 'ADD' THEN 1 WHEN 'DEL' THEN 2 ELSE 3 END, pos) - 1 AS pos, action, name, CASE WHEN action = 'REN' THEN old_name END AS old_name FROM moves"))

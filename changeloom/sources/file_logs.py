@@ -6,7 +6,7 @@ a reader has cut it already. ``read_logs`` makes such rows from files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeloom.functions.scalars import parse_date
@@ -107,19 +107,18 @@ def ingest_header_log(df: DataFrame) -> DataFrame:
 REPORT_CODES = {"A": ADD, "A/": ADD, "D": DEL, "D/": DEL, "M": UPD, "Mb": UPD, "M-": UPD, "ch": UPD, "cl": UPD}
 
 
-def ingest_apply_report(df: DataFrame, start: str = "* applying changeset", end: str = "* reapplying local changes") -> DataFrame:
-    """Entries and conflicts of a report of applying a changeset, between its start
-    and end lines: repo, pos, action, name, old_name, conflict."""
-    lines = df.select("repo", F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    w = Window.partitionBy("repo").orderBy("at")
-    state = F.sum(F.startswith("line", F.lit(start)).cast("int")).over(w) - F.sum(F.startswith("line", F.lit(end)).cast("int")).over(w)
-    inside = lines.withColumn("_in", state).where((F.col("_in") > 0) & ~F.startswith("line", F.lit("*")))
-    code, rest = F.regexp_extract("line", r"^(\S+)\s+", 1), F.regexp_extract("line", r"^\S+\s+(.*?)\s*$", 1)
+def ingest_apply_report(df: DataFrame, start: str = "* applying changeset", end: str = "* reapplying local changes", key: tuple[str, ...] = ("repo",)) -> DataFrame:
+    """Entries and conflicts of reports of applying changesets, between their start
+    and end lines: repo, pos, action, name, old_name, conflict. A report is a row; other
+    columns of ``key`` tell several reports of a repo apart."""
+    at = lambda mark: rf"(?m)^\Q{mark}\E"
+    parts = F.split("value", at(start))  # what is before the first start is no part of it
+    inside = F.flatten(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.slice(F.split(F.split(p, at(end))[0], "\n"), F.lit(2), F.length(p) + 1)))
+    coded = lambda line: F.regexp_extract(line, r"^(\S+)\s+", 1)
+    rows = df.select(*key, F.posexplode(F.filter(inside, lambda x: ~F.startswith(x, F.lit("*")) & ~coded(x).isin("--", "-/", ""))).alias("pos", "line"))
+    code, rest = coded(F.col("line")), F.regexp_extract("line", r"^\S+\s+(.*?)\s*$", 1)
     table = F.create_map(*(F.lit(x) for item in REPORT_CODES.items() for x in item))
     moved = code.isin("=>", "/>")
     name = F.regexp_replace(F.when(moved, F.regexp_extract(rest, r"\t(.*)$", 1)).otherwise(rest), r"^\./", "")
     old = F.when(moved, F.regexp_replace(F.regexp_extract(rest, r"^(.*?)\t", 1), r"^\./", ""))
-    out = inside.where(~code.isin("--", "-/", "")).select("repo", "at", F.when(moved, "REN").otherwise(F.element_at(table, code)).alias("action"), name.alias("name"), old.alias("old_name"), code.isin("C", "?").alias("conflict"))
-    return out.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).drop("at")
-
-
+    return rows.select(*key, F.when(moved, "REN").otherwise(F.element_at(table, code)).alias("action"), name.alias("name"), old.alias("old_name"), code.isin("C", "?").alias("conflict"), "pos")

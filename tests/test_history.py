@@ -565,3 +565,10 @@ def test_stored_trees_are_compared_from_the_top(spark, tmp_path, monkeypatch):
     opened = {(r["repo"], r["dir"]) for r in digests.differing_directories(spark, *paths).collect()}
     assert {n[1].rsplit("/", 1)[0] for n in kinds if "/" in n[1]} <= {d for _, d in opened} and len(opened) < 30
     assert digests.verify_stored_trees(spark, paths[0], paths[0]).count() == 0
+
+
+def test_reports_of_one_repo_are_told_apart(spark):
+    one = "A   no\n* applying changeset a\nA   a1\n* patching\n=>  o\t./n\nC   f\n--  p\n* reapplying local changes\nM   no\n* applying changeset b\nD   b1\n"
+    rows = file_logs.ingest_apply_report(spark.createDataFrame([("r", 1, one), ("r", 2, "* applying changeset c\nch  c1"), ("r", 3, ""), (None, 4, None)], "repo string, n int, value string"), key=("repo", "n")).collect()
+    assert sorted((r["n"], r["pos"], r["action"], r["name"], r["old_name"], r["conflict"]) for r in rows if r["action"]) == [(1, 0, A, "a1", None, False), (1, 1, R, "n", "o", False), (1, 3, D, "b1", None, False), (2, 0, U, "c1", None, False)]
+    assert [(r["pos"], r["name"]) for r in rows if r["conflict"]] == [(2, "f")]
