@@ -17,6 +17,7 @@ import base64
 import uuid
 from collections.abc import Iterator
 from functools import cache
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -55,17 +56,17 @@ def write_token_files(docs: DataFrame, path: str, ranks_file: str, pattern: str,
 
     A null text is an empty document. Both kinds are written by the same tasks.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
 
     def encode(rows: dict) -> dict:
         encoding = _encoding(ranks_file, pattern)
         tokens = [np.array(encoding.encode_ordinary(text or ""), "<u2").tobytes() for text in rows["text"]]
-        names = [f"{number} {'' if i is None else i}".encode() for number, i in zip(rows["number"], rows["id"], strict=True)]
+        names = [f"{number} {'' if i is None else '=' + quote(i)}".encode() for number, i in zip(rows["number"], rows["id"], strict=True)]
         return {"kind": [0] * len(tokens) + [1] * len(names), "number": rows["number"] * 2, "value": tokens + names}
 
     coded = map_batches(numbered, encode, "kind int, number long, value binary")
     lines = coded.sortWithinPartitions("kind", "number").select("kind", F.col("value").cast("string").alias("value"))
-    lines.write.partitionBy("kind").options(**_raw_lines(separator)).text(path)
+    lines.write.partitionBy("kind").option("maxRecordsPerFile", 0).options(**_raw_lines(separator)).text(path)
 
 
 def read_blocks(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -146,17 +147,17 @@ def count_tokens(docs: DataFrame, ranks_file: str, pattern: str, separator: int,
     start (its first identifier's place there).
 
     Token files are written to the shared folder, read again in ranges and
-    scanned. A null text has no tokens; null and repeated ids keep a row each; an
+    scanned. A null text has no tokens; null and repeated ids, numbers or texts, keep a row each; an
     empty table gives no rows; other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
+    spark, id_type = docs.sparkSession, dict(docs.dtypes)[id_col]
     path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, path, ranks_file, pattern, separator, id_col, text_col)
     if not spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("length").head(1):
-        return spark.createDataFrame([], f"`{id_col}` long, n_tokens long, file long, start long")
+        return spark.createDataFrame([], f"`{id_col}` {id_type}, n_tokens long, file long, start long")
     number = F.split("value", " ")
     written = spark.read.options(**_raw_lines(separator)).text(f"{path}/kind=1").select(
-        F.shiftright(number[0].cast("long"), PLACE_BITS).alias("file"), number[0].cast("long").bitwiseAND((1 << PLACE_BITS) - 1).alias("place"), F.nullif(number[1], F.lit("")).cast("long").alias("id"),
+        F.shiftright(number[0].cast("long"), PLACE_BITS).alias("file"), number[0].cast("long").bitwiseAND((1 << PLACE_BITS) - 1).alias("place"), F.when(number[1] != "", F.url_decode(F.substring(number[1], 2, 1 << 30))).cast(id_type).alias("id"),
     )
     scanned = stored(scan_blocks(read_blocks(spark, f"{path}/kind=0", block_ids), separator), "scanned")
     counts = document_counts(scanned, block_ids).withColumn("file", F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("long"))

@@ -30,6 +30,8 @@ EOL = "\r\n"
 CAPTURE = "url_key string, stamp string, capture_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string"
 #: Second of the first capture; a page without a time of its own gets its id in seconds after it.
 EPOCH = "2024-01-01T00:00:00Z"
+#: Seconds behind EPOCH in which captures are dated.
+DATED = 1_000_000_000
 #: Captures of a sorted run, and captures that a task merges, on average.
 RUN_RECORDS, RANGE_RECORDS = 50_000, 100_000
 
@@ -62,7 +64,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     Of the rows with equal payloads of ``min_bytes`` or more, the one of smallest
     id is a response and holds the payload; the others are revisits that name it.
-    Rows of null id follow all others; where all ids of a payload are null, each
+    Ids are numbers or texts, whatever is in them. Rows of null id follow all others; where all ids of a payload are null, each
     is a response, and so is each row that repeats the smallest id. A null
     payload is an empty one, a null URL an empty target. Other columns are
     ignored, whatever their names.
@@ -75,8 +77,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     first = keyed.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     known = keyed.join(first, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    uri = lambda c: F.concat(F.lit("<urn:capture:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    stamp = F.date_format(F.timestamp_seconds(F.unix_seconds(F.lit(EPOCH).cast("timestamp")) + F.coalesce(F.col("id").cast("long"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    uri = lambda c: F.concat(F.lit("<urn:capture:"), F.when(c.isNull(), "").when(c.cast("string") == "", "=").otherwise(F.url_encode(c.cast("string"))), F.lit(">"))
+    # An id's own number, or a hash of it, within some thirty years, so that dates have four digits and sort as texts.
+    since = F.pmod(F.coalesce(F.col("id").try_cast("long"), F.crc32(F.col("id").cast("string").cast("binary")), F.lit(0)), F.lit(DATED))
+    stamp = F.date_format(F.timestamp_seconds(F.unix_seconds(F.lit(EPOCH).cast("timestamp")) + since), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = [
         ("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         ("WARC-Record-ID", uri(F.col("id"))),
@@ -256,7 +260,7 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0, id_col: str = "page
     path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, id_col, url_col, payload_col, min_bytes)
     id_type = dict(pages.dtypes)[id_col]
-    back = lambda c: F.nullif(F.col(c), F.lit("")).cast(id_type)
+    back = lambda c: F.when(F.col(c) == "=", "").when(F.col(c) != "", F.url_decode(F.col(c))).cast(id_type)
     return merged_index(read_captures(spark, path)).select(
         back("capture_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", back("refers_to").alias("refers_to"), "url_key", "stamp", "place",
     )

@@ -246,3 +246,22 @@ def test_words_of_odd_rows(spark):
     rows = [(None, "Äpfel-Straße SCHÖNER schöner"), (1, None), (1, ""), (1, "abcdef" * 3_000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS run", "2 AS h")
     assert sorted(r[0] for r in Q.edited_words(frame).collect() if len(r[0]) < 99) == sorted(["straße", "schÖner", "schöner"])
+
+
+# Ids of operators that write them to files
+
+
+@pytest.mark.parametrize(("kind", "ids"), [("long", [1 << 62, -(1 << 62), 10**15, 0, None, 0]), ("string", ["a b", "ü\r\n\r\n> %41+", "", None, "12", "12"]), ("int", [-1, 0, 1, None, 2, 2])])
+def test_ids_of_any_kind(spark, kind, ids):
+    from changeloom.llm import token_files, warc
+
+    frame = spark.createDataFrame([(i, f"text {k}", f"http://h/{k}") for k, i in enumerate(ids)], f"doc_id {kind}, text string, url string")
+    counts = token_files.count_tokens(frame, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+    assert dict(counts.dtypes)["doc_id"] == dict(frame.dtypes)["doc_id"]
+    assert sorted((r["doc_id"] for r in counts.collect()), key=repr) == sorted(ids, key=repr)
+    pages = warc.archive_round_trip(frame, id_col="doc_id", payload_col="text").collect()
+    assert sorted(((r["doc_id"], r["payload_bytes"]) for r in pages), key=repr) == sorted(((i, 6) for i in ids), key=repr)
+    assert all(len(r["stamp"]) == 20 for r in pages)
+    twins = warc.archive_round_trip(frame.withColumn("text", frame["url"].substr(1, 7)), id_col="doc_id", payload_col="text").collect()
+    first = min(i for i in ids if i is not None)
+    assert all(r["refers_to"] == first for r in twins if r["record_type"] == "revisit") and sum(r["record_type"] == "revisit" for r in twins) >= 4
