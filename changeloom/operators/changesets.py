@@ -92,20 +92,21 @@ def collapse_changesets(changesets: DataFrame, entries: DataFrame | None = None,
     Neighbours, numbers of islands and groups go from cell to cell of seq, which must be
     distinct in a repo, so that dense histories and long groups are in many tasks.
     """
+    whole = stored(changesets, "changesets")  # each step below reads its input twice
     tags = F.coalesce(F.size("tags") > 0, F.lit(False)) if "tags" in changesets.columns else F.lit(False)
     micros = F.unix_micros(F.col("date_utc").cast("timestamp"))
-    rows = cells.with_previous(changesets, "seq", F.struct("author", "log", micros.alias("at"), tags.alias("tagged")), "_prev")
+    rows = cells.with_previous(whole.select("repo", "seq", "date_utc", "author", "log", tags.alias("_tagged")), "seq", F.struct("author", "log", micros.alias("at"), F.col("_tagged").alias("tagged")), "_prev")
     near = F.col("_prev.author").eqNullSafe(F.col("author")) & F.col("_prev.log").eqNullSafe(F.col("log"))
     near &= (micros - F.col("_prev.at") < seconds * 1_000_000) & ~F.col("_prev.tagged")
     first = F.col("_prev").isNull() | ~F.coalesce(near, F.lit(False))
-    if entries is None:
-        begins = rows.withColumn("_start", F.when(first, F.col("seq")))
-    else:
-        islands = cells.running_greatest(rows.select("repo", "seq", F.when(first, F.col("seq")).alias("_start")), "seq", "_start", "_island").select("repo", "seq", "_island")
+    marks = stored(rows.select("repo", "seq", "date_utc", F.when(first, F.col("seq")).alias("_start")), "marks")
+    if entries is not None:
+        islands = cells.running_greatest(marks.drop("date_utc"), "seq", "_start", "_island").select("repo", "seq", "_island")
         cut = group_starts(stored(islands, "islands"), entries).withColumn("_cut", F.lit(True))
-        begins = _join(rows, cut, ["repo", "seq"], "left").withColumn("_start", F.when(first | F.col("_cut"), F.col("seq"))).drop("_cut")
-    grouped = cells.running_greatest(begins.drop("_prev"), "seq", "_start", "group").drop("_start")
-    return cells.group_greatest(grouped, "seq", "group", "date_utc", "group_date")
+        marks = stored(_join(marks, cut, ["repo", "seq"], "left").select("repo", "seq", "date_utc", F.when(F.col("_cut"), F.col("seq")).otherwise(F.col("_start")).alias("_start")), "marks")
+    grouped = stored(cells.running_greatest(marks, "seq", "_start", "group").drop("_start"), "grouped")
+    dated = cells.group_greatest(grouped, "seq", "group", "date_utc", "group_date").drop("date_utc")
+    return _join(whole, dated, ["repo", "seq"])
 
 
 def group_starts(islands: DataFrame, entries: DataFrame) -> DataFrame:

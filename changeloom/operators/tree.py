@@ -119,10 +119,11 @@ def find_applied(entries: DataFrame, manifest: DataFrame) -> DataFrame:
     """(repo, seq, applied, last) by a working tree's revisions (repo, path, rev):
     applied if no path there is older than the entry and at least one is as new;
     paths that it lacks decide nothing. last marks the latest applied changeset."""
-    known = entries.join(manifest.select("repo", F.col("path").alias("name"), F.col("rev").alias("_rev")), ["repo", "name"], "left")
-    older = F.col("_rev").isNotNull() & (rev_key(F.col("_rev")) < rev_key(F.col("new_rev")))
-    newer = F.col("_rev").isNotNull() & (rev_key(F.col("_rev")) >= rev_key(F.col("new_rev")))
-    out = known.groupBy("repo", "seq").agg((~F.bool_or(older) & F.bool_or(newer)).alias("applied"))
+    there = manifest.select("repo", F.col("path").alias("name"), rev_key(F.col("rev")).alias("_there"))
+    known = entries.select("repo", "seq", "name", rev_key(F.col("new_rev")).alias("_own")).join(there, ["repo", "name"], "left")
+    older, newer = F.col("_there") < F.col("_own"), F.col("_there") >= F.col("_own")
+    found = known.groupBy("repo", "seq").agg((~F.coalesce(F.bool_or(older), F.lit(False)) & F.coalesce(F.bool_or(newer), F.lit(False))).alias("applied"))
+    out = stored(found, "applied")
     last = out.where("applied").groupBy("repo").agg(F.max("seq").alias("_last"))
     return out.join(last, "repo", "left").withColumn("last", F.coalesce(F.col("seq") == F.col("_last"), F.lit(False))).drop("_last")
 
