@@ -478,14 +478,23 @@ DIRSQL = V.sql("ivals", "").rstrip() + """, dv AS (SELECT repo, split_part(path,
     lv AS (SELECT *, sum(d) OVER (PARTITION BY repo, path ORDER BY seq) AS live FROM st), ch AS (SELECT repo, path, seq, CASE WHEN live - d = 0 AND live > 0 THEN 'ADD' WHEN live - d > 0 AND live = 0 THEN 'DEL' END AS action FROM lv)"""
 
 
-@query("d1_synthesize_dir_adds", DIRSQL + " SELECT repo, seq, path FROM ch WHERE action = 'ADD'")
+DEEPSQL = DIRSQL.replace("to_seq FROM ivals), st AS", "to_seq FROM ivals UNION ALL SELECT repo, replace(path, '/f', '/e'), from_seq, to_seq FROM ivals), st AS")
+
+
+def deeper(spark, sf):
+    """Each file in a directory of its own, which comes and goes with it, below one of ten."""
+    name = F.concat(F.replace("path", F.lit("/f"), F.lit("/e")), F.lit("/x"))
+    return V.changes(spark, sf).withColumns({"path": name, "name": name})
+
+
+@query("d1_synthesize_dir_adds", DEEPSQL + " SELECT repo, seq, path FROM ch WHERE action = 'ADD'")
 def dir_adds(spark, sf):
-    return tree.synthesize_dir_adds(V.changes(spark, sf))
+    return tree.synthesize_dir_adds(deeper(spark, sf))
 
 
-@query("d2_synthesize_dir_deletes", DIRSQL + " SELECT repo, seq, path FROM ch WHERE action = 'DEL'")
+@query("d2_synthesize_dir_deletes", DEEPSQL + " SELECT repo, seq, path FROM ch WHERE action = 'DEL'")
 def dir_deletes(spark, sf):
-    return tree.synthesize_dir_deletes(tree.tree_intervals(V.changes(spark, sf)))
+    return tree.synthesize_dir_deletes(tree.tree_intervals(deeper(spark, sf)))
 
 
 @query("d2_directory_changes", DIRSQL + " SELECT repo, path, seq, action FROM ch WHERE action IS NOT NULL")
