@@ -271,12 +271,17 @@ def remap(spark, sf):
     return changesets.remap_authors(rows, {"click": "Clicker <c@x>", "view": "Viewer <v@x>"}).join(changesets.remap_authors(rows, table).withColumnRenamed("author", "joined"), "event_id")
 
 
-@query("j13_rebase_old_names", DIRS.replace("dirs AS (SELECT repo, seq, pos, CASE", "unused AS (SELECT 1), dirs0 AS (SELECT repo, seq, pos, CASE") + """, ren AS (SELECT repo, seq, pos, action, CASE WHEN pos = 0 THEN 'moved' ELSE name END AS name, CASE WHEN pos = 0 THEN split_part(old_name, '/', 1) ELSE old_name END AS old_name FROM moves WHERE action = 'REN'), first AS (SELECT repo, seq, old_name AS dir, name AS dst FROM ren WHERE pos = 0)
-    SELECT r.repo, r.seq, pos, action, name, CASE WHEN pos > 0 AND f.dir IS NOT NULL THEN f.dst || substr(old_name, length(f.dir) + 1) ELSE old_name END AS old_name FROM ren r LEFT JOIN first f ON f.repo = r.repo AND f.seq = r.seq AND r.old_name LIKE f.dir || '/%'""")
+@query("j13_rebase_old_names", M + """, e AS (SELECT repo, seq, pos, action, CASE WHEN action = 'REN' AND pos < 2 THEN 'moved' || pos ELSE name END AS name, CASE WHEN action = 'REN' AND pos = 0 THEN split_part(old_name, '/', 1) WHEN action = 'REN' AND pos = 1 THEN split_part(old_name, '/', 1) || '/' || split_part(old_name, '/', 2) ELSE old_name END AS old_name FROM moves),
+    one AS (SELECT repo, seq, old_name AS dir, name AS dst FROM e WHERE action = 'REN' AND pos = 0), two AS (SELECT repo, seq, old_name AS dir, name AS dst FROM e WHERE action = 'REN' AND pos = 1)
+    SELECT e.repo, e.seq, pos, action, name, CASE WHEN action = 'REN' AND pos > 1 AND starts_with(old_name, two.dir || '/') THEN two.dst || substr(old_name, length(two.dir) + 1) WHEN action = 'REN' AND pos > 0 AND starts_with(old_name, one.dir || '/') THEN one.dst || substr(old_name, length(one.dir) + 1) ELSE old_name END AS old_name
+    FROM e LEFT JOIN one ON one.repo = e.repo AND one.seq = e.seq LEFT JOIN two ON two.repo = e.repo AND two.seq = e.seq""")
 def rebase_old(spark, sf):
-    head = F.col("pos") == 0
-    rows = V.moves(spark, sf).where("action = 'REN'").withColumns({"name": F.when(head, "moved").otherwise(F.col("name")), "old_name": F.when(head, F.substring_index("old_name", "/", 1)).otherwise(F.col("old_name"))})
-    return out(entries.rebase_old_names(rows))
+    """A first rename moves a directory, a second one the directory below; all other entries are there too."""
+    moves, pos = F.col("action") == "REN", F.col("pos")
+    name = F.when(moves & (pos < 2), F.concat(F.lit("moved"), pos.cast("string"))).otherwise(F.col("name"))
+    old = F.when(moves & (pos < 2), F.substring_index("old_name", "/", 1)).otherwise(F.col("old_name"))
+    old = F.when(moves & (pos == 1), F.substring_index("old_name", "/", 2)).otherwise(old)
+    return out(entries.rebase_old_names(V.moves(spark, sf).withColumns({"name": name, "old_name": old})))
 
 
 @query("j14_expand_added_dir", M + ", t AS (SELECT DISTINCT repo, name AS path FROM moves), adds AS (SELECT repo, seq, min(split_part(name, '/', 1)) AS dir FROM moves WHERE pos = 0 AND seq % 20 = 0 GROUP BY ALL) SELECT repo, seq, dir AS name FROM adds UNION ALL SELECT a.repo, a.seq, t.path FROM adds a JOIN t ON t.repo = a.repo AND t.path LIKE a.dir || '/%'")
@@ -551,11 +556,13 @@ def verify_stored(spark, sf):
     return digests.verify_stored_trees(spark, f"{base}/source", f"{base}/target")
 
 
-@query("q4_verify_logs", V.sql("logs", "SELECT role AS author, count(*) AS n FROM logs WHERE turn % 7 = 3 GROUP BY 1"))
+@query("q4_verify_logs", V.sql("logs", "SELECT 'expected' AS side, role AS author, count(*) AS n FROM logs WHERE turn % 7 = 3 GROUP BY 2 UNION ALL SELECT 'actual', 'new ' || role, count(*) FROM logs WHERE turn % 5 = 1 GROUP BY 2"))
 def verify_logs(spark, sf):
+    """The target lacks some logs, has some of other authors, and other white space at line ends."""
     source = V.logs(spark, sf).select(F.col("conv_id").cast("string").alias("repo"), F.col("role").alias("author"), "log", "turn")
-    target = source.where("turn % 7 <> 3").withColumn("log", F.concat("log", F.lit(" \n ")))
-    return tree.verify_logs(source, target).where("side = 'expected'").groupBy("author").agg(F.count("*").alias("n"))
+    new = source.where("turn % 5 = 1").withColumn("author", F.concat(F.lit("new "), "author"))
+    target = source.where("turn % 7 <> 3").union(new).withColumn("log", F.concat("log", F.lit(" \n ")))
+    return tree.verify_logs(source, target).groupBy("side", "author").agg(F.count("*").alias("n"))
 
 
 @query("q5_quarantine_bad", "SELECT CASE WHEN event_type = 'error' AND value < 0 THEN 'kind,value' WHEN event_type = 'error' THEN 'kind' WHEN value < 0 THEN 'value' ELSE '' END AS errors, count(*) AS n FROM events GROUP BY 1")
