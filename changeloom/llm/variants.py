@@ -73,6 +73,7 @@ class Search:
         if segments * bits > 64 * parts or bits > 40:
             raise ValueError("segments do not fit")
         self.parts, self.segments, self.bits, self.distance, self.enough = parts, segments, bits, distance, forest_is_enough
+        self.plausible: Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray] | None = None
 
     def mine(self, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pairs' first common variant is that of their bucket's ``key``."""
@@ -253,7 +254,8 @@ def _meet(rows: DataFrame, search: Search, every: bool) -> DataFrame:
     def pairs_of(key: int, own: list[np.ndarray] | None, part: list[np.ndarray], visit: bool) -> pa.RecordBatch:
         found = [np.zeros((0, 2), np.int64)]
         own = [c[:0] for c in part] if own is None else own
-        node, label, *words = (np.concatenate(c) for c in zip(own, part, strict=True))
+        node, label, *further = (np.concatenate(c) for c in zip(own, part, strict=True))
+        further, words = further[: -search.parts], further[-search.parts :]
         prints, old = np.stack(words, axis=1).view(np.uint64), len(own[0])
         step = max(1, (1 << 20) // max(1, len(node)))
         for top in range(old, len(node), step):
@@ -263,6 +265,10 @@ def _meet(rows: DataFrame, search: Search, every: bool) -> DataFrame:
             if every:
                 ok = label[i] != label[j]
                 i, j = i[ok], j[ok]
+            if search.plausible:
+                ok = search.plausible([c[i] for c in further], [c[j] for c in further])
+                i, j = i[ok], j[ok]
+            if every:
                 ok = search.mine(np.full(len(i), key), prints[i], prints[j])
                 i, j = i[ok], j[ok]
             else:  # one link of each row to the smallest node
@@ -284,6 +290,7 @@ def links(nodes: DataFrame, search: Search, verified: Callable[[DataFrame], Data
     or of all that ``verified`` lets through."""
     accept = verified or (lambda pairs: pairs)
     names = [f"f{k}" for k in range(search.parts)]
+    further = list(search.plausible.names) if search.plausible else []
     rows = keyed(nodes.select("node", *names), search)
     first = stored(_first_round(rows, search), "proposed")
     pairs = first.where(f"kind = {PAIR}").select("a", "b")
@@ -293,7 +300,7 @@ def links(nodes: DataFrame, search: Search, verified: Callable[[DataFrame], Data
         return done
     blocks = F.ceil(F.col("n") / (MOST // 2))
     own = F.pmod(F.xxhash64("node"), blocks)
-    columns = ["node", "label", *names]
+    columns = ["node", "label", *further, *names]
 
     def dealt(rows: DataFrame, goes_round) -> DataFrame:
         placed = rows.select("key", *columns, own.alias("own"), F.explode(F.when(goes_round, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("at"))
@@ -301,10 +308,11 @@ def links(nodes: DataFrame, search: Search, verified: Callable[[DataFrame], Data
 
     large = left.where(f"kind = {NOTHING}")
     if large.head(1):
+        rows = keyed(nodes.select("node", *further, *names), search)
         near = _meet(dealt(rows.join(large, "key").withColumn("label", F.col("node")), own == 0), search, every=False)
         done = stored(done.union(accept(stored(near, "proposed"))), "links")
     roots = components(done)
-    labelled = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), *names)
+    labelled = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), *further, *names)
     rows = stored(keyed(labelled, search).join(left, "key"), "open")
     main = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     near = _meet(dealt(rows.join(main, "key"), F.col("label") != F.col("main")), search, every=True)

@@ -103,14 +103,44 @@ def test_segments_across_words(bits, lo):
 def test_share_of_similar_sets_that_is_proposed(rows, similarity):
     """At 0.8 and above, for small and for very large corpora, from fingerprints of random sets."""
     rng, found, n = np.random.default_rng(rows), 0, 400
-    search = similar.search_for(rows, 0.8)
+    search, fits = similar.search_for(rows, 0.8), similar.Plausible(0.8)
     for _ in range(n):
         shared, own = round(200 * similarity), round(200 * (1 - similarity)) // 2
-        a, b = (np.array([similar.majority(np.concatenate([both, rng.integers(0, 1 << 64, own, np.uint64)]), search.parts)]).view(np.uint64) for both in [rng.integers(0, 1 << 64, shared, np.uint64)] for _ in "ab")
-        found += bool(variants._first_variant(a ^ b, search.segments, search.bits)[0] >= 0 and variants._apart(a, b)[0] <= search.distance)
+        both = rng.integers(0, 1 << 64, shared, np.uint64)
+        sets = [np.concatenate([both, rng.integers(0, 1 << 64, own, np.uint64)]) for _ in "ab"]
+        a, b = (np.array([similar.majority(s, search.parts)]).view(np.uint64) for s in sets)
+        near = variants._first_variant(a ^ b, search.segments, search.bits)[0] >= 0 and variants._apart(a, b)[0] <= search.distance
+        found += bool(near and fits(*([np.array([x]) for x in (len(s), *similar.sketch(s))] for s in sets))[0])
     assert found >= 0.95 * n
 
 
+@pytest.mark.parametrize(("size", "similarity", "kept"), [(80, 0.8, (0.98, 1)), (200, 0.8, (0.99, 1)), (2000, 0.8, (0.99, 1)), (200, 0.55, (0, 0.1)), (2000, 0.55, (0, 0.05))])
+def test_share_of_pairs_that_is_plausible(size, similarity, kept):
+    rng, found, n = np.random.default_rng(size), 0, 400
+    fits = similar.Plausible(0.8)
+    shared, own = round(size * similarity), round(size * (1 - similarity)) // 2
+    for _ in range(n):
+        both = rng.integers(0, 1 << 64, shared, np.uint64)
+        sets = [np.concatenate([both, rng.integers(0, 1 << 64, own, np.uint64)]) for _ in "ab"]
+        found += bool(fits(*([np.array([x]) for x in (len(s), *similar.sketch(s))] for s in sets))[0])
+    assert kept[0] * n <= found <= kept[1] * n
+
+
+def test_plausible_pairs_in_columns_and_arrays(spark):
+    """Both forms agree; sizes are told apart exactly; small sets pass whatever their sketches."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, 300, np.uint64)
+    sets = [base[:n] for n in (0, 0, 1, 4, 5, 79, 80, 100, 239, 240, 299, 300)] + [np.concatenate([base[:150], rng.integers(0, 1 << 64, n, np.uint64)]) for n in (0, 20, 50, 150)]
+    rows, fits = [(k, len(s), *similar.sketch(s)) for k, s in enumerate(sets)], similar.Plausible(0.8)
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a)]
+    arrays = [[np.array([rows[p[side]][c] for p in pairs]) for c in range(1, len(rows[0]))] for side in (0, 1)]
+    want = {p for p, ok in zip(pairs, fits(*arrays), strict=True) if ok}
+    frame = spark.createDataFrame(rows, "node long, " + ", ".join(f"{n} long" for n in fits.names))
+    assert {tuple(r) for r in fits.of(spark.createDataFrame(pairs, "a long, b long"), frame).collect()} == want
+    assert {(1, 0), (4, 3), (7, 6), (11, 9)} <= want and not {(3, 2), (7, 5), (11, 8), (2, 0)} & want
+    assert fits.of(spark.createDataFrame([], "a long, b long"), frame).count() == 0
+
+
 def test_components_of_odd_links(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(220)] + [(k, k + 1) for k in range(1_000, 1_060)] + [(5_000, 5_000), (None, 1), (7_000, 6_000), (7_000, 6_000)]
