@@ -1,6 +1,8 @@
 """Operators of the history library on small histories."""
 
 import random
+import re
+import textwrap
 import time
 from datetime import datetime, timedelta
 
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changeloom.functions import scalars as S
-from changeloom.functions.reflow import reflowed
+from changeloom.functions.reflow import refill
 from changeloom.operators import adapt, cells, changesets, digests, entries, folds, graph, tree
 from changeloom.sources import commit_logs, file_logs, xml_logs
 
@@ -285,11 +287,28 @@ def test_checks_and_hooks(spark):
 # Text
 
 
-def test_reflow():
-    assert reflowed("  one\n two ") == "one two"
-    assert reflowed("- a b\n  c\n* d") == "- a b c\n\n- d"
-    assert reflowed("intro\n- a") == "- intro\n\n- a"
-    assert reflowed(None) is None and max(map(len, reflowed("word " * 50).split("\n"))) <= 70
+def wrapped(log, width=70):
+    """The rule of ``refill`` over the standard library's wrapping."""
+    if log is None:
+        return None
+    parts = re.split(r"(?m)^ *[-*] ", log.strip())
+    if len(parts) > 1 and not parts[0]:
+        parts = parts[1:]
+    first, rest = ("- ", "  ") if len(parts) > 1 else ("", "")
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width, initial_indent=first, subsequent_indent=rest) for p in parts if p)
+
+
+def test_refill(spark):
+    words = ["a", "be", "word", "well-known", "so--called", "x-y-zed", "--", "-", "*", "end.", "-o", "1-2", "Ünï-cödé", "---", "state-of-the-art", "\"q\"--r"]
+    words += ["w" * 69, "w" * 70, "w" * 71, "v" * 150, "http://host/" + "path-1/" * 14, "-" * 72, "--" + "z" * 80, "a-" * 60, "é" * 140 + "-1"]
+    rng, texts = random.Random(4), [None, "", " \n", "  one\n two ", "- a b\n  c\n* d", "intro\n- a", "- only", "- a\n- \n- b", "a\n\n\t- b", "x\n-no\n - yes", "word " * 3000, "v" * 100_000]
+    for size in (3, 12, 60):
+        texts += ["".join(rng.choice(words[: rng.choice([8, 16, len(words)])]) + rng.choice([" ", " ", "  ", "\n", "\n- ", "\t"]) for _ in range(size)) for _ in range(60)]
+    for width in (70, 20):
+        got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", refill(F.col("t"), width).alias("r")).collect()
+        assert len(got) == len(texts)
+        for row in got:
+            assert row["r"] == wrapped(texts[row["k"]], width), texts[row["k"]]
 
 
 @pytest.mark.parametrize(("rev", "key"), [("1.2.0.2 locked", [1, 2, 2]), ("", [0]), (None, [0]), ("1.1.1.1", [1, 1]), ("1.10", [1, 10]), ("1.2.2.3", [1, 2, 2, 3])])
