@@ -21,6 +21,18 @@ def frame(spark, rows, seq=1):
     return spark.createDataFrame([("r", seq, k, a, n, o, d) for k, (a, n, o, d) in enumerate(rows)], ENTRY)
 
 
+# Renames of several additions of one path
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_of_equal_additions_one_is_the_rename(spark, turned):
+    """The last by pos, wherever rows come from."""
+    rows = [("r", 1, 0, "DEL", "o", None, None), *(("r", 1, k, "ADD", "n", "o", None) for k in (1, 2, 3))]
+    df = spark.createDataFrame(rows[::-1] if turned else rows, ENTRY).coalesce(1)
+    renamed = lambda out: [r["pos"] for r in out.where("action = 'REN'").collect()]
+    assert renamed(entries.detect_renames(df)) == [3]
+
+
 # Copies and replacements
 
 
