@@ -26,11 +26,13 @@ def frame(spark, rows, seq=1):
 
 @pytest.mark.parametrize("turned", [False, True])
 def test_of_equal_additions_one_is_the_rename(spark, turned):
-    """The last by pos, wherever rows come from."""
+    """The last by pos, wherever rows come from; by branch notes the first."""
     rows = [("r", 1, 0, "DEL", "o", None, None), *(("r", 1, k, "ADD", "n", "o", None) for k in (1, 2, 3))]
     df = spark.createDataFrame(rows[::-1] if turned else rows, ENTRY).coalesce(1)
     renamed = lambda out: [r["pos"] for r in out.where("action = 'REN'").collect()]
     assert renamed(entries.detect_renames(df)) == [3]
+    notes = spark.createDataFrame([("r", 1, "n", "o")], "repo string, seq long, name string, origin string")
+    assert renamed(entries.renames_by_branch_note(df.withColumn("old_name", F.lit(None).cast("string")), notes)) == [1]
 
 
 # Copies and replacements
