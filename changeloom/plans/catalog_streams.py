@@ -128,9 +128,10 @@ def tagged(spark, sf):
 
 @query("t9_stream_tree", V.sql("ivals", "SELECT repo, path, rev FROM ivals WHERE to_seq IS NULL"))
 def kept_tree(spark, sf):
+    """The files of the history are in no order, so neither are batches."""
     rows = V.changes(spark, sf).select("repo", "path", "rev", "seq", (F.col("action") != "DEL").alias("live"))
     inbox, base = _landed(spark, rows)
-    follow.stream_tree(follow.stream_ingest(spark, inbox, "repo string, path string, rev string, seq long, live boolean", files_per_batch=2), f"{base}/tree", f"{base}/mark").awaitTermination()
+    follow.stream_tree(follow.stream_ingest(spark, inbox, "repo string, path string, rev string, seq long, live boolean", files_per_batch=2), f"{base}/tree", f"{base}/mark", ordered=False).awaitTermination()
     return follow.current_tree(spark, f"{base}/tree")
 
 

@@ -291,15 +291,17 @@ def session_collapse(stream: DataFrame, seconds: int = 180, delay: str = "10 min
 TREE = "repo string, path string, rev string, seq long, live boolean"
 
 
-def stream_tree(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_tree(stream: DataFrame, path: str, checkpoint: str, ordered: bool = True) -> StreamingQuery:
     """Keeps updates (repo, path, rev, seq, live) of a tree at ``path``, which belongs to
     ``checkpoint``; ``current_tree`` reads the tree.
 
     The n-th batch is merged with as many before it as the greatest power of two that
     divides n says. So a row is written once for each doubling of the history, and the
     tree after n batches is in as many folders as n has binary digits of one. What was
-    deleted is forgotten in folders that go back to the first batch. A batch that was
-    lost is done again and replaces its folder.
+    deleted is forgotten in folders that go back to the first batch, unless batches are
+    not ``ordered`` by seq: then a later batch may bring what was there before the
+    deletion, so the deletion is kept, a row for each path. A batch that was lost is
+    done again and replaces its folder.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -308,7 +310,7 @@ def stream_tree(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
         for before in _folders(n - 1)[-(size.bit_length() - 1):] if size > 1 else []:
             rows = rows.union(spark.read.schema(TREE).parquet(f"{path}/upto-{before}"))
         latest = rows.groupBy("repo", "path").agg(F.max_by(F.struct("rev", "seq", "live"), "seq").alias("e")).select("repo", "path", "e.*")
-        latest.where("live" if size == n else "true").write.mode("overwrite").parquet(f"{path}/upto-{n}")
+        latest.where("live" if ordered and size == n else "true").write.mode("overwrite").parquet(f"{path}/upto-{n}")
         # Two marks in turn: while one is written the other holds.
         spark.range(1).select(F.lit(n).cast("long").alias("n")).write.mode("overwrite").parquet(f"{path}/mark-{n % 2}")
 

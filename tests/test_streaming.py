@@ -82,6 +82,17 @@ def test_tree_is_kept(spark, tmp_path):
     assert follow.current_tree(spark, str(tmp_path / "no")).count() == 0
 
 
+def test_deletions_outlast_batches_in_no_order(spark, tmp_path):
+    """A merged folder must still know of a deletion when what was there before it comes later."""
+    inbox, out, mark = (str(tmp_path / n) for n in ("inbox", "tree", "mark"))
+    for rows in ([("r", "a", "2", 9, False)], [("r", "b", "1", 1, True)], [("r", "a", "1", 3, True)], [("r", "b", "2", 4, True)]):
+        spark.createDataFrame(rows, follow.TREE).coalesce(1).write.mode("append").parquet(inbox)
+        follow.stream_tree(follow.stream_ingest(spark, inbox, follow.TREE, files_per_batch=1), out, mark, ordered=False).awaitTermination()
+        got = {r["path"]: r["rev"] for r in follow.current_tree(spark, out).collect()}
+        assert "a" not in got
+    assert got == {"b": "2"}
+
+
 def test_a_batch_reads_only_its_own_days(spark, tmp_path):
     """Records of other days are not even opened: one of them is no parquet file."""
     applied = str(tmp_path / "applied")
