@@ -67,13 +67,15 @@ def collect_by_key(revs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return changesets, entries
 
 
-def order_changesets(changesets: DataFrame) -> DataFrame:
-    """With seq from 0 within each repo: by date, author, first action and message.
+def order_changesets(changesets: DataFrame, identity: str = "revision") -> DataFrame:
+    """With seq from 0 within each repo: by date, author, first action and message, and
+    where all of these are equal by the text of ``identity``, if there is such a column.
 
     Numbers are dealt within days and then offset, so that no task sorts a whole
     history. Changesets without a date come first.
     """
     order = [F.col("date_utc"), F.col("author"), F.coalesce("first_action", F.lit(" ")) if "first_action" in changesets.columns else F.lit(" "), F.col("log")]
+    order += [F.col(identity).cast("string")] if identity in changesets.columns else []
     day = changesets.withColumn("_day", F.to_date("date_utc"))
     days = day.groupBy("repo", "_day").agg(F.count("*").alias("_n"))
     days = days.withColumn("_before", F.sum("_n").over(Window.partitionBy("repo").orderBy("_day")) - F.col("_n")).drop("_n")

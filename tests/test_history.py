@@ -35,6 +35,13 @@ def test_of_equal_additions_one_is_the_rename(spark, turned):
     assert renamed(entries.renames_by_branch_note(df.withColumn("old_name", F.lit(None).cast("string")), notes)) == [1]
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_equal_changesets_are_ordered_by_revision(spark, turned):
+    rows = [("r", datetime(2024, 1, 1), "u", "m", str(k)) for k in range(5)]
+    df = spark.createDataFrame(rows[::-1] if turned else rows, "repo string, date_utc timestamp, author string, log string, revision string").coalesce(1)
+    assert [r["revision"] for r in changesets.order_changesets(df).orderBy("seq").collect()] == list("01234")
+
+
 # Copies and replacements
 
 
