@@ -60,11 +60,13 @@ def ingest_patch_xml(df: DataFrame) -> DataFrame:
     date = _attribute(head, "date")
     tag = F.coalesce(F.nullif(F.regexp_extract(name, r"^TAG (.*)$", 1), F.lit("")), F.nullif(F.regexp_extract(comment, r"^TAG (.*)$", 1), F.lit("")))
     actions = F.regexp_extract_all(F.regexp_extract("r", r"(?s)<summary>(.*)</summary>", 1), F.lit(r"(?s)<(?:move|(?:add|remove|modify)_(?:file|directory))\b[^>]*?(?:/>|>.*?(?=<(?:/|move|add_|remove_|modify_)))"), F.lit(0))
-    rows = records.select(
+    # A patch's own columns before its entries are exploded, or they would be found again for each entry.
+    patches = records.select(
         "repo", name.alias("revision"), F.nullif(_attribute(head, "hash"), F.lit("")).alias("patch_hash"), _attribute(head, "author").alias("author"),
         F.coalesce(parse_date("compact", date), parse_date("words", date)).alias("date_utc"), (_attribute(head, "inverted") == "True").alias("inverted"),
-        comment.alias("log"), tag.alias("tag"), F.posexplode_outer(actions).alias("pos", "a"),
+        comment.alias("log"), tag.alias("tag"), actions.alias("_actions"),
     )
+    rows = patches.select("*", F.posexplode_outer("_actions").alias("pos", "a")).drop("_actions")
     kind = F.regexp_extract("a", r"^<(\w+)", 1)
     moved = kind == "move"
     text = _stripped(_unescaped(F.regexp_extract("a", r"(?s)>([^<]*)", 1)))
