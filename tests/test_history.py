@@ -42,6 +42,16 @@ def test_equal_changesets_are_ordered_by_revision(spark, turned):
     assert [r["revision"] for r in changesets.order_changesets(df).orderBy("seq").collect()] == list("01234")
 
 
+def test_a_tree_that_all_changesets_share(spark):
+    """Added directories get the paths below them as if the tree were given for each changeset."""
+    rows = [("r", k, 0, "ADD", "d", None, True) for k in range(40)] + [("r", 3, 1, "UPD", "d/a", None, False), ("q", 1, 0, "ADD", "d/e", None, True)]
+    df = spark.createDataFrame(rows, ENTRY)
+    shared = spark.createDataFrame([("r", "d/a"), ("r", "d/e/b"), ("r", "c"), ("q", "d/e/z"), ("q", "d/y")], "repo string, path string")
+    found = lambda tree: sorted((r["repo"], r["seq"], r["name"], r["action"], r["pos"]) for r in entries.expand_added_dir(df, tree).collect())
+    assert found(shared) == found(df.select("repo", "seq").distinct().join(shared, "repo"))
+    assert len(found(shared)) == 42 + 79 + 1
+
+
 # Copies and replacements
 
 
