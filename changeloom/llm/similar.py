@@ -6,7 +6,9 @@ sets is high enough. Equal sets are one node.
 
 Before whole sets are fetched, pairs are dropped whose sizes alone exclude that
 similarity, and pairs whose sketches are too far apart: a sketch has one bit of the
-least hash in each of 32 bins, under several hash functions.
+least hash in each of 32 bins, under several hash functions. Rows of buckets that are too
+dense to list their pairs meet by their rarest shingles, of which similar sets share one,
+and their sets are compared there.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, stored
@@ -129,12 +131,41 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("k") >= F.lit(least) * (F.col("m") + F.col("n") - F.col("k")) - F.lit(1e-9)).select("a", "b")
 
 
+def rarest(sets: DataFrame, least: float) -> DataFrame:
+    """(key, node): of each of ``sets`` (node, hashes) the rarest shingles, so many that
+    any two sets of a Jaccard similarity of ``least`` have one of them in common.
+
+    Such a set x has at least ``least`` |x| shingles in the other one, so the first
+    |x| - ceil(least |x|) + 1 in any order that holds for all sets do. In order of frequency
+    a passage that many sets hold comes last, and does not bring them together.
+    """
+    held = sets.select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("key"))
+    often = stored(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("n", "key"))
+    ranked = held.join(often, "key", "left").select("node", "size", "key", F.coalesce("n", F.lit(1)).alias("n")).withColumn("nth", nth)
+    return ranked.where((F.col("nth") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - F.lit(1e-9)) + 1) & (F.col("n") > 1)).select("key", "node")
+
+
+def alike(sets: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Of pairs (i, j) of ``sets``, sorted by i, whether their similarity is ``least``."""
+    out, edges = np.zeros(len(i), bool), np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]])[: len(i) + 1])
+    for lo, hi in zip(edges.tolist(), edges[1:].tolist(), strict=False) if len(i) else ():
+        one, others = np.sort(sets[i[lo]]), sets[j[lo:hi]]
+        sizes = np.array([len(x) for x in others])
+        every = np.concatenate(others)
+        hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+        both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+        out[lo:hi] = both >= least * (len(one) + sizes - both) - 1e-9
+    return out
+
+
 def groups(rows: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
     """(rid, root) for each row (rid long, unique and the same in each pass; text):
     rows of one root are connected by links of similarity ``least`` or more.
     Texts without words are alike."""
     search = search_for(rows.count(), least)
     search.plausible = plausible = Plausible(least)
+    search.similar = lambda sets, i, j: alike(sets, i, j, least)
     names = [f"f{k}" for k in range(search.parts)]
 
     def prints_of(batch: dict) -> dict:
@@ -154,9 +185,15 @@ def groups(rows: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42)
     def accepted(pairs: DataFrame) -> DataFrame:
         pairs = stored(plausible.of(pairs, nodes), "plausible")
         known = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-        sets = stored(map_batches(texts.join(known, "rid"), sets_of, "node long, hashes array<long>"), "sets")
-        return verified(pairs, sets, least)
+        return verified(pairs, fetched(known), least)
+
+    def fetched(known: DataFrame) -> DataFrame:
+        return stored(map_batches(texts.join(known, "rid"), sets_of, "node long, hashes array<long>"), "sets")
+
+    def narrow(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sets = fetched(some.select(F.col("node").alias("rid")))
+        return rarest(sets, least), sets
 
-    roots = components(linked(nodes, search, accepted))
+    roots = components(linked(nodes, search, accepted, narrow))
     rooted = nodes.select("d0", "d1", "node").join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"))
     return prints.select("rid", "d0", "d1").join(rooted, ["d0", "d1"]).select("rid", "root")

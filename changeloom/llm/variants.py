@@ -13,7 +13,10 @@ connects them by such pairs again. A bucket of more than ``MOST`` rows is
 dealt out to blocks, each compared with itself and with one of them. What that
 leaves is made up for when the components of these links are known: of such
 buckets, rows of different components are compared, and rows of the bucket's main
-component, which are most, stay in their blocks while the few others visit all.
+component, which are most, stay in their blocks while the few others visit all. Where
+pairs are verified further, rows of such buckets meet by what links have in common
+(``narrow``) and are verified where they meet, so that pairs which are near but no
+links are compared but never listed.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from .common import stored
 from .graph import components
 
 DENSE, MOST = 16, 4096
+#: Hashes of a set that count as one row of a block.
+HASHES = 256
 #: Near pairs for each row of a bucket beyond which a forest is taken, and rows looked at together.
 MANY, ROWS = 4, 8192
 #: What became of a bucket: a pair of it, a forest of it, nothing yet.
@@ -74,11 +79,16 @@ class Search:
             raise ValueError("segments do not fit")
         self.parts, self.segments, self.bits, self.distance, self.enough = parts, segments, bits, distance, forest_is_enough
         self.plausible: Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray] | None = None
+        self.similar: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None  # of sets, pairs (i, j) by i
 
     def mine(self, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pairs' first common variant is that of their bucket's ``key``."""
         return _first_variant(a ^ b, self.segments, self.bits) == key >> 40
 
+    def meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pairs have a common variant."""
+        return _first_variant(a ^ b, self.segments, self.bits) >= 0
+
     def small(self, key: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Near pairs of many small buckets at once; rows are sorted by key."""
         alive, step, found = np.arange(len(key)), 1, [np.zeros((2, 0), np.int64)]
@@ -234,9 +244,11 @@ def _first_round(rows: DataFrame, search: Search) -> DataFrame:
     return dealt.mapInArrow(compare, "kind int, key long, a long, b long")
 
 
-def _meet(rows: DataFrame, search: Search, every: bool) -> DataFrame:
+def _meet(rows: DataFrame, search: Search, every: bool, variants: bool = True) -> DataFrame:
     """(a, b) of the rows of a block (own) and of those and its visitors: all near pairs of
-    different labels, or a forest of the own and one link from each to a visitor."""
+    different labels, or a forest of the own and one link from each to a visitor. Where keys
+    are no ``variants`` rows have their sets behind the label, and of pairs with a common
+    variant those are taken whose sets are similar."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, own = None, None
@@ -255,6 +267,7 @@ def _meet(rows: DataFrame, search: Search, every: bool) -> DataFrame:
         found = [np.zeros((0, 2), np.int64)]
         own = [c[:0] for c in part] if own is None else own
         node, label, *further = (np.concatenate(c) for c in zip(own, part, strict=True))
+        sets = None if variants else further.pop(0)
         further, words = further[: -search.parts], further[-search.parts :]
         prints, old = np.stack(words, axis=1).view(np.uint64), len(own[0])
         step = max(1, (1 << 20) // max(1, len(node)))
@@ -269,8 +282,11 @@ def _meet(rows: DataFrame, search: Search, every: bool) -> DataFrame:
                 ok = search.plausible([c[i] for c in further], [c[j] for c in further])
                 i, j = i[ok], j[ok]
             if every:
-                ok = search.mine(np.full(len(i), key), prints[i], prints[j])
+                ok = search.mine(np.full(len(i), key), prints[i], prints[j]) if variants else search.meet(prints[i], prints[j])
                 i, j = i[ok], j[ok]
+                if not variants:
+                    ok = search.similar(sets, i, j)
+                    i, j = i[ok], j[ok]
             else:  # one link of each row to the smallest node
                 side, other = (j, i) if visit else (i, j)
                 order = np.lexsort((node[other], side))
@@ -285,9 +301,16 @@ def _meet(rows: DataFrame, search: Search, every: bool) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def links(nodes: DataFrame, search: Search, verified: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _main(rows: DataFrame) -> DataFrame:
+    """(key, main): the label of most rows."""
+    return rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+
+
+def links(nodes: DataFrame, search: Search, verified: Callable[[DataFrame], DataFrame] | None = None, narrow: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
     """(a, b) of ``nodes`` (node, f0, ...) whose components are those of all near pairs,
-    or of all that ``verified`` lets through."""
+    or of all that ``verified`` lets through. ``narrow`` gives (key, node) and (node, hashes)
+    for some nodes (node), of which any two that ``verified`` lets through have a key in
+    common; ``search.similar`` then says of sets of hashes what ``verified`` would say."""
     accept = verified or (lambda pairs: pairs)
     names = [f"f{k}" for k in range(search.parts)]
     further = list(search.plausible.names) if search.plausible else []
@@ -300,9 +323,9 @@ def links(nodes: DataFrame, search: Search, verified: Callable[[DataFrame], Data
         return done
     blocks = F.ceil(F.col("n") / (MOST // 2))
     own = F.pmod(F.xxhash64("node"), blocks)
-    columns = ["node", "label", *further, *names]
 
     def dealt(rows: DataFrame, goes_round) -> DataFrame:
+        columns = ["node", "label", *(["hashes"] if "hashes" in rows.columns else []), *further, *names]
         placed = rows.select("key", *columns, own.alias("own"), F.explode(F.when(goes_round, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("at"))
         return placed.select("key", "at", (F.col("at") != F.col("own")).cast("long").alias("visits"), *columns)
 
@@ -313,7 +336,17 @@ def links(nodes: DataFrame, search: Search, verified: Callable[[DataFrame], Data
         done = stored(done.union(accept(stored(near, "proposed"))), "links")
     roots = components(done)
     labelled = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), *further, *names)
-    rows = stored(keyed(labelled, search).join(left, "key"), "open")
-    main = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    near = _meet(dealt(rows.join(main, "key"), F.col("label") != F.col("main")), search, every=True)
-    return done.union(stored(accept(stored(near, "proposed")), "links"))
+    if narrow:
+        open_ = stored(keyed(nodes.select("node", *names), search).select("key", "node").join(left.select("key"), "key").select("node").distinct(), "open")
+        keys, sets = narrow(open_)
+        rows = stored(keys.join(labelled.select("node", "label"), "node").join(sets.select("node", F.size("hashes").alias("hashed")), "node"), "open")
+        n = F.greatest(F.count("*"), F.ceil(F.sum("hashed") / HASHES))  # a block of large sets has few
+        left = rows.groupBy("key").agg(n.alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "n")
+        rows = stored(rows.drop("hashed").join(left, "key"), "open")
+        main = _main(rows)
+        rows = rows.join(labelled.drop("label"), "node").join(sets, "node")
+    else:
+        rows = stored(keyed(labelled, search).join(left, "key"), "open")
+        main = _main(rows)
+    near = _meet(dealt(rows.join(main, "key"), F.col("label") != F.col("main")), search, every=True, variants=not narrow)
+    return done.union(stored(near, "links") if narrow else stored(accept(stored(near, "proposed")), "links"))

@@ -114,3 +114,23 @@ def test_contaminated_rows_without_or_of_one_id(spark):
     kept = P.drop_contaminated(spark, docs, SF)
     assert kept.columns == P.COLUMNS
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
+def test_look_alikes_are_not_listed_in_pairs(spark, monkeypatch):
+    """Of edited copies of one text most pairs are near, but below 0.8: all links are found, and
+    no more pairs are fetched than a few for each row."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base, texts = [word() for _ in range(150)], []
+    for k in range(300):
+        words = list(base)
+        for at in rng.sample(range(2, 148, 5), 2 + k % 2):
+            words[at] = word()
+        texts.append(" ".join(words))
+    listed, before = [], P.similar.verified
+    monkeypatch.setattr(P.similar, "verified", lambda pairs, *args: listed.append(pairs.count()) or before(pairs, *args))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    rows = P.with_row_id(docs, "doc_id", "text")
+    found = {r["rid"]: r["root"] for r in P.similar.groups(rows).collect()}
+    assert [found[k] for k in range(300)] == _brute_groups(texts)
+    assert sum(listed) < 20 * len(texts)
