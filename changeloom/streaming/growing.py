@@ -22,6 +22,8 @@ from changeloom.sources.xml_logs import ingest_patch_xml, ingest_xml_log
 
 #: Bytes of a stretch, and of a read.
 SPLIT, CHUNK = 8 << 20, 1 << 20
+#: Stretches of a batch beyond which they are made longer, up to SPLIT bytes: each is a task, whose start takes longer than reading little.
+STRETCHES = 128
 
 #: Kinds of logs: the mark that ends a record (or begins the next), whether it must be a line of its own, and the parser.
 KINDS = {
@@ -135,15 +137,16 @@ class _Files:
         return {n: size for n, size in names.items() if not any(part[0] in "._" for part in n.split("/"))}
 
     def stretches(self, before: dict[str, int], sizes: dict[str, int]) -> list[Stretch]:
-        out = []
+        out, new = [], sum(max(0, size - before.get(name, 0)) for name, size in sizes.items())
+        split = max(self.split, min(SPLIT, -(-new // STRETCHES)))
         for name, size in sorted(sizes.items()):
             start = before.get(name, 0)
             if size < start:
                 raise ValueError(f"{name} has become shorter; logs must only grow")
             folder = name.split("/")[-2] if "/" in name else ""
             repo = folder.split("=")[-1] if self.folders else name.split("/")[-1]
-            for at in range(start, size, self.split):
-                stop = min(size, at + self.split)
+            for at in range(start, size, split):
+                stop = min(size, at + split)
                 out.append(Stretch(name, repo, at, stop, self.rest and stop == size))
         return out
 
@@ -189,7 +192,8 @@ class GrowingLogs(DataSource):
     Options: end, the mark that ends a record and stays in it; line (true: the mark is a
     line); rest (true: what stands behind the last mark is a record too, for files that
     come whole); repo (file: a file's name, or folder: what its folder is called, behind
-    the = if there is one); encoding; split and chunk, bytes of a task and of a read.
+    the = if there is one); encoding; split and chunk, bytes of a task (at
+    least, if there are many) and of a read.
     """
 
     @classmethod

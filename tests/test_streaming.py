@@ -269,3 +269,15 @@ def test_logs_by_line_marks(spark, tmp_path):
     read = lambda **more: sorted((r["seq"], r["name"], r["log"]) for r in growing.read_log(spark, str(tmp_path), "patchset_log", split=50, **more).collect())
     rows = [(k, f"f{k}", "m " + "-" * 21) for k in range(1, 9)]
     assert read() == rows[:-1] and read(rest=True) == rows
+
+
+def test_large_batches_are_read_in_few_tasks(tmp_path):
+    """Tasks of a batch follow its size only where they are of SPLIT bytes."""
+    files = growing._Files({"path": str(tmp_path), "end": "</logentry>", "split": str(1 << 16)})
+    for size in (1 << 16, 1 << 24, 1 << 28, 1 << 33):
+        sizes = {f"repo={k}/log": size // 4 for k in range(4)}
+        found = files.stretches({}, sizes)
+        assert len(found) <= max(growing.STRETCHES, size / growing.SPLIT) + 4
+        assert all(a.stop == b.start for a, b in zip(found, found[1:]) if a.path == b.path)
+        assert sum(s.stop - s.start for s in found) == sum(sizes.values())
+    assert len(files.stretches({}, {"log": 1 << 20})) == 16
