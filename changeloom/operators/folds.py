@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -212,25 +212,38 @@ def order_directories_first(entries: DataFrame) -> DataFrame:
     rename to, or an addition of, its path, and before the deletion of a directory
     whose name its own begins with. What must not move stays.
     """
+    # All steps go by changeset, so that rows are dealt once and only sorted anew: an entry
+    # visits the paths that it is compared at, and takes home what stood there before it.
     e = entries.select(*KEY, "pos", *COLUMNS)
     depth = lambda c: F.size(F.split(c, "/"))
     enters = F.col("action").isin(ADD, REN) & F.coalesce("is_directory", F.lit(False))
-    dirs = e.where(enters).select(*KEY, "pos", F.col("name").alias("dir"))
-    inside = e.select(*KEY, F.col("pos").alias("_at"), F.explode(ancestors_of(F.col("name"))).alias("dir"))
-    first = dirs.join(inside, [*KEY, "dir"]).where("_at < pos").groupBy(*KEY, "pos").agg(F.min("_at").alias("_first"))
-    e = e.join(first, [*KEY, "pos"], "left").withColumn("_place", F.coalesce("_first", "pos"))
+    comes, gone = F.col("action").isin(ADD, REN), F.col("action") == DEL
+    dir_gone = gone & F.coalesce("is_directory", F.lit(False))
+    before = lambda at: Window.partitionBy(*KEY, at).orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
+    home = F.array(F.struct(F.col("name").alias("at"), F.lit(False).alias("away")))
+
+    def visits(paths: Column) -> Column:
+        return F.explode(F.concat(home, F.coalesce(F.transform(paths, lambda p: F.struct(p.alias("at"), F.lit(True).alias("away"))), F.slice(home, 1, 0))))
+
+    # Directories that enter: the first entry below them.
+    dirs = F.max(enters).over(Window.partitionBy(*KEY))
+    e = e.withColumn("_dirs", dirs).withColumn("_visit", visits(F.when(F.col("_dirs"), ancestors_of(F.col("name")))))
+    first = F.min(F.when(F.col("_visit.away"), F.col("pos"))).over(before("_visit.at"))
+    e = e.withColumn("_first", F.when(enters, first)).where("NOT _visit.away").withColumn("_place", F.coalesce("_first", "pos")).drop("_visit", "_first", "_dirs")
     # Deletions: of what comes to their path, and of deleted directories that begin their name.
-    comes = e.where(F.col("action").isin(ADD, REN)).select(*KEY, "name", F.struct(F.col("_place").alias("place"), depth("name").alias("depth")).alias("_to"), F.col("pos").alias("_at"))
-    gone = e.where(F.col("action") == DEL).select(*KEY, "pos", "name", F.coalesce("is_directory", F.lit(False)).alias("dir"))
-    own = gone.join(comes, [*KEY, "name"]).where("_at < pos").groupBy(*KEY, "pos").agg(F.min("_to").alias("_to"))
-    gone = gone.join(own, [*KEY, "pos"], "left").withColumn("_to", F.coalesce("_to", F.struct(F.col("pos").alias("place"), F.lit(1 << 30).alias("depth"))))
+    to = F.struct(F.col("_place").alias("place"), depth("name").alias("depth"))
+    came = F.min(F.when(comes, to)).over(before("name"))
+    late = F.struct(F.col("pos").alias("place"), F.lit(1 << 30).alias("depth"))
+    e = e.withColumn("_to", F.when(gone, F.coalesce(came, late)))
     # Of a name's beginnings only those as long as some deleted directory's name can be one.
-    sizes = gone.where("dir AND name <> ''").groupBy(*KEY).agg(F.collect_set(F.length("name")).alias("_sizes"))
+    sizes = F.collect_set(F.when(dir_gone & (F.col("name") != ""), F.length("name"))).over(Window.partitionBy(*KEY))
     heads = F.transform(F.filter("_sizes", lambda k: k <= F.length("name")), lambda k: F.substr("name", F.lit(1), k))
-    starts = gone.join(sizes, [*KEY]).select(*KEY, F.col("pos").alias("_pos"), F.explode(heads).alias("name"))
-    outer = starts.join(gone.where("dir"), [*KEY, "name"]).where("pos < _pos").groupBy(*KEY, F.col("_pos").alias("pos")).agg(F.min("_to").alias("_out"), F.count("*").cast("int").alias("_nested"))
-    gone = gone.join(outer, [*KEY, "pos"], "left").select(*KEY, "pos", F.least("_to", "_out").alias("_to"), F.coalesce("_nested", F.lit(0)).alias("_nested"))
-    out = e.join(gone, [*KEY, "pos"], "left")
+    e = e.withColumn("_sizes", sizes).withColumn("_visit", visits(F.when(gone, heads)))
+    stands, away = ~F.col("_visit.away") & dir_gone, F.col("_visit.away")
+    e = e.withColumns({"_out": F.min(F.when(stands, F.col("_to"))).over(before("_visit.at")), "_n": F.count_if(stands).over(before("_visit.at"))})
+    mine = Window.partitionBy(*KEY, "pos")
+    e = e.withColumns({"_out": F.min(F.when(away, F.col("_out"))).over(mine), "_nested": F.sum(F.when(away, F.col("_n"))).over(mine).cast("int")})
+    out = e.where(~away).withColumn("_to", F.least("_to", "_out"))
     stays = F.coalesce(F.col("_to.place"), F.col("_place")) == F.col("pos")
     order = [
         F.coalesce(F.col("_to.place"), F.col("_place")),

@@ -622,3 +622,13 @@ def test_reports_of_one_repo_are_told_apart(spark):
     rows = file_logs.ingest_apply_report(spark.createDataFrame([("r", 1, one), ("r", 2, "* applying changeset c\nch  c1"), ("r", 3, ""), (None, 4, None)], "repo string, n int, value string"), key=("repo", "n")).collect()
     assert sorted((r["n"], r["pos"], r["action"], r["name"], r["old_name"], r["conflict"]) for r in rows if r["action"]) == [(1, 0, A, "a1", None, False), (1, 1, R, "n", "o", False), (1, 3, D, "b1", None, False), (2, 0, U, "c1", None, False)]
     assert [(r["pos"], r["name"]) for r in rows if r["conflict"]] == [(2, "f")]
+
+
+def test_directories_first_deals_rows_once(spark):
+    """A changeset goes to one task and stays there; null repos are a repo."""
+    steps = [("ADD", "a/b/f", False), ("REN", "a/b", True), ("ADD", "a", True), ("DEL", "c/d", False), ("DEL", "c", True), ("DEL", "c/e/f", False), ("DEL", "a/b", False)]
+    rows = [(repo, 1, pos, action, name, "old" if action == "REN" else None, directory) for repo in ("r", None) for pos, (action, name, directory) in enumerate(steps)]
+    out = folds.order_directories_first(spark.createDataFrame(rows, "repo string, seq long, pos int, action string, name string, old_name string, is_directory boolean"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {repo: [r["action"] + " " + r["name"] for r in sorted(out.collect(), key=lambda r: r["pos"]) if r["repo"] == repo] for repo in ("r", None)}
+    assert got[None] == got["r"] == ["ADD a", "DEL a/b", "REN a/b", "ADD a/b/f", "DEL c/d", "DEL c/e/f", "DEL c"]
