@@ -247,8 +247,9 @@ def mark_repeats(docs: DataFrame, span: int = 200, gram: int = 64, id_col: str =
         return base.select("rid", "text").join(wanted, "rid").select("text", "wanted").mapInArrow(cut_out, "anchor long, context long, copies long, data binary")
 
     if hot.head(1):
-        cool, warm = different.join(hot, "anchor", "left_anti"), different.join(hot, "anchor", "left_semi")
-        marked = _indexed(with_bytes(cool), span).union(_marked_hot(with_bytes(warm), span, gram))
+        cut = stored(with_bytes(different), "bytes")  # whole texts are dealt for it, so once for all
+        cool, warm = cut.join(hot, "anchor", "left_anti"), cut.join(hot, "anchor", "left_semi")
+        marked = _indexed(cool, span).union(_marked_hot(warm, span, gram))
     else:
         marked = _indexed(with_bytes(different), span)
     marks = found.join(marked, ["anchor", "context"]).groupBy("rid").agg(F.collect_list(F.struct("start", "runs")).alias("marks"))

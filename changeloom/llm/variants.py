@@ -13,10 +13,11 @@ connects them by such pairs again. A bucket of more than ``MOST`` rows is
 dealt out to blocks, each compared with itself and with one of them. What that
 leaves is made up for when the components of these links are known: of such
 buckets, rows of different components are compared, and rows of the bucket's main
-component, which are most, stay in their blocks while the few others visit all. Where
-pairs are verified further, rows of such buckets meet by what links have in common
-(``narrow``) and are verified where they meet, so that pairs which are near but no
-links are compared but never listed.
+component, which are most, stay in their blocks while the few others visit all. Rows
+that are near no other row of such a bucket have no part in that. Where pairs are
+verified further, rows that are plausible partners of a row of another component
+meet by what links have in common (``narrow``) and are verified where they meet, so
+that pairs which are near but no links are compared but never listed.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ DENSE, MOST = 16, 4096
 HASHES = 256
 #: Near pairs for each row of a bucket beyond which a forest is taken, and rows looked at together.
 MANY, ROWS = 4, 8192
-#: What became of a bucket: a pair of it, a forest of it, nothing yet.
+#: What became of a bucket: a pair of it, a forest with this row of it, nothing yet.
 PAIR, FOREST, NOTHING = 0, 1, 2
 
 
@@ -112,21 +113,22 @@ class Search:
         i, j = np.nonzero(far <= self.distance)
         return top[i], j
 
-    def dense(self, key: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    def dense(self, key: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Near pairs of one bucket, rows sorted by node, or, where they are many, a
-        spanning forest of links to small nodes; and whether these are all."""
-        n, found, whole = len(prints), 0, True
+        spanning forest of links to small nodes; and of a forest the rows that are in it."""
+        n, found, woods = len(prints), 0, np.zeros(0, np.int64)
         parts, step = [np.zeros((2, 0), np.int64)], max(1, (1 << 20) // n)
         for top in range(0, n, step):
             i, j = self.near(np.arange(top, min(n, top + step)), prints)
             parts.append(np.stack([i, j])[:, j < i])
             found += parts[-1].shape[1]
             if found > MANY * n:
-                parts, whole = [self._forest(prints)], False
+                parts = [self._forest(prints)]
+                woods = np.unique(parts[0])
                 break
         i, j = np.concatenate(parts, axis=1)
         mine = self.mine(np.full(len(i), key), prints[i], prints[j])
-        return i[mine], j[mine], whole
+        return i[mine], j[mine], woods
 
     def _forest(self, prints: np.ndarray) -> np.ndarray:
         label, links = np.arange(len(prints)), []
@@ -208,8 +210,9 @@ def batches_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np
 
 
 def _first_round(rows: DataFrame, search: Search) -> DataFrame:
-    """(kind, key, a, b): PAIR with the pair's nodes, larger first; FOREST or NOTHING with
-    a bucket's key and, as a, how many of its rows."""
+    """(kind, key, a, b): PAIR with the pair's nodes, larger first; FOREST with a bucket's key
+    and, as a, a node that is near another of it; NOTHING with a bucket's key and, as a,
+    how many of its rows."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, node, *words), large in _buckets(batches):
@@ -227,10 +230,10 @@ def _first_round(rows: DataFrame, search: Search) -> DataFrame:
                 if hi - lo > MOST:
                     left.append((NOTHING, int(key[lo]), hi - lo, None))
                     continue
-                a, b, whole = search.dense(int(key[lo]), prints[lo:hi])
+                a, b, woods = search.dense(int(key[lo]), prints[lo:hi])
                 pairs.append(np.stack([node[lo + a], node[lo + b]], axis=1))
-                if not whole and not search.enough:
-                    left.append((FOREST, int(key[lo]), hi - lo, None))
+                if not search.enough:
+                    left += [(FOREST, int(key[lo]), x, None) for x in node[lo + woods].tolist()]
             found = np.concatenate(pairs)
             out = [(PAIR, None, a, b) for a, b in zip(found.max(axis=1).tolist(), found.min(axis=1).tolist(), strict=True)] + left
             if out:
@@ -244,11 +247,12 @@ def _first_round(rows: DataFrame, search: Search) -> DataFrame:
     return dealt.mapInArrow(compare, "kind int, key long, a long, b long")
 
 
-def _meet(rows: DataFrame, search: Search, every: bool, variants: bool = True) -> DataFrame:
+def _meet(rows: DataFrame, search: Search, every: bool, variants: bool = True, ends: bool = False) -> DataFrame:
     """(a, b) of the rows of a block (own) and of those and its visitors: all near pairs of
     different labels, or a forest of the own and one link from each to a visitor. Where keys
     are no ``variants`` rows have their sets behind the label, and of pairs with a common
-    variant those are taken whose sets are similar."""
+    variant those are taken whose sets are similar. ``ends`` asks for (node), the rows
+    that have such a pair, instead of the pairs."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, own = None, None
@@ -293,12 +297,14 @@ def _meet(rows: DataFrame, search: Search, every: bool, variants: bool = True) -
                 side, other = side[order], other[order]
                 first = np.concatenate([[True], side[1:] != side[:-1]])[: len(side)]
                 i, j = side[first], other[first]
-            found.append(np.stack([node[i], node[j]], axis=1))
+            found.append(np.unique(np.stack([node[i], node[j]])).reshape(-1, 1) if ends else np.stack([node[i], node[j]], axis=1))
+        if ends:
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([f.ravel() for f in found])))], names=["node"])
         pairs = np.concatenate(found)
         return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1, initial=-(1 << 63))), pa.array(pairs.min(axis=1, initial=(1 << 63) - 1))], names=["a", "b"])
 
     dealt = rows.repartition("key", "at").sortWithinPartitions("key", "at", "visits", "node")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(compare, "node long" if ends else "a long, b long").distinct()
 
 
 def _main(rows: DataFrame) -> DataFrame:
@@ -306,6 +312,13 @@ def _main(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
 
 
+def _mixed(rows: DataFrame, size) -> DataFrame:
+    """Rows (key, node, label, ...) of keys with several labels, and n, the ``size`` of their keys."""
+    rows = stored(rows, "open")
+    mixed = rows.groupBy("key").agg(size.alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return stored(rows.join(mixed.select("key", "n"), "key"), "open")
+
+
 def links(nodes: DataFrame, search: Search, verified: Callable[[DataFrame], DataFrame] | None = None, narrow: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
     """(a, b) of ``nodes`` (node, f0, ...) whose components are those of all near pairs,
     or of all that ``verified`` lets through. ``narrow`` gives (key, node) and (node, hashes)
@@ -317,9 +330,11 @@ def links(nodes: DataFrame, search: Search, verified: Callable[[DataFrame], Data
     rows = keyed(nodes.select("node", *names), search)
     first = stored(_first_round(rows, search), "proposed")
     pairs = first.where(f"kind = {PAIR}").select("a", "b")
-    left = stored(first.where(f"kind <> {PAIR}").groupBy("key").agg(F.sum("a").alias("n"), F.max("kind").alias("kind")), "buckets")
+    woods = first.where(f"kind = {FOREST}").select("key", F.col("a").alias("node"))
+    large = stored(first.where(f"kind = {NOTHING}").groupBy("key").agg(F.sum("a").alias("n")), "buckets")
     done = stored(accept(stored(pairs.distinct(), "proposed")), "links")
-    if not left.head(1):
+    some = bool(large.head(1))
+    if not some and not woods.head(1):
         return done
     blocks = F.ceil(F.col("n") / (MOST // 2))
     own = F.pmod(F.xxhash64("node"), blocks)
@@ -329,24 +344,21 @@ def links(nodes: DataFrame, search: Search, verified: Callable[[DataFrame], Data
         placed = rows.select("key", *columns, own.alias("own"), F.explode(F.when(goes_round, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("at"))
         return placed.select("key", "at", (F.col("at") != F.col("own")).cast("long").alias("visits"), *columns)
 
-    large = left.where(f"kind = {NOTHING}")
-    if large.head(1):
+    if some:
         rows = keyed(nodes.select("node", *further, *names), search)
         near = _meet(dealt(rows.join(large, "key").withColumn("label", F.col("node")), own == 0), search, every=False)
         done = stored(done.union(accept(stored(near, "proposed"))), "links")
     roots = components(done)
     labelled = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), *further, *names)
-    if narrow:
-        open_ = stored(keyed(nodes.select("node", *names), search).select("key", "node").join(left.select("key"), "key").select("node").distinct(), "open")
-        keys, sets = narrow(open_)
-        rows = stored(keys.join(labelled.select("node", "label"), "node").join(sets.select("node", F.size("hashes").alias("hashed")), "node"), "open")
-        n = F.greatest(F.count("*"), F.ceil(F.sum("hashed") / HASHES))  # a block of large sets has few
-        left = rows.groupBy("key").agg(n.alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "n")
-        rows = stored(rows.drop("hashed").join(left, "key"), "open")
-        main = _main(rows)
-        rows = rows.join(labelled.drop("label"), "node").join(sets, "node")
-    else:
-        rows = stored(keyed(labelled, search).join(left, "key"), "open")
-        main = _main(rows)
-    near = _meet(dealt(rows.join(main, "key"), F.col("label") != F.col("main")), search, every=True, variants=not narrow)
-    return done.union(stored(near, "links") if narrow else stored(accept(stored(near, "proposed")), "links"))
+    left = stored(woods.union(keyed(nodes.select("node", *names), search).select("key", "node").join(large, "key").select("key", "node")) if some else woods, "left")
+    rows = _mixed(left.join(labelled.select("node", "label"), "node"), F.count("*"))
+    main = _main(rows)
+    rows = dealt(rows.drop("label").join(labelled, "node").join(main, "key"), F.col("label") != F.col("main"))
+    if not narrow:
+        return done.union(stored(accept(stored(_meet(rows, search, every=True), "proposed")), "links"))
+    keys, sets = narrow(stored(_meet(rows, search, every=True, ends=True), "ends"))
+    rows = keys.join(labelled.select("node", "label"), "node").join(sets.select("node", F.size("hashes").alias("hashed")), "node")
+    rows = _mixed(rows, F.greatest(F.count("*"), F.ceil(F.sum("hashed") / HASHES))).drop("hashed")  # a block of large sets has few
+    main = _main(rows)
+    rows = rows.drop("label").join(labelled, "node").join(sets, "node").join(main, "key")
+    return done.union(stored(_meet(dealt(rows, F.col("label") != F.col("main")), search, every=True, variants=False), "links"))

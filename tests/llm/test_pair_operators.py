@@ -238,6 +238,20 @@ def test_a_frequent_line_is_dealt_out(spark, monkeypatch):
     assert max(seen) <= 5 and len(seen) > 2
 
 
+def test_texts_are_dealt_once_where_anchors_are_hot(spark, monkeypatch):
+    """The bytes of frequent and of other contexts are cut in one pass over the texts."""
+    monkeypatch.setattr(repeats, "HOT", 5)
+    plans = []
+    for name in ("_indexed", "_marked_hot"):
+        before = getattr(repeats, name)
+        monkeypatch.setattr(repeats, name, lambda contexts, *args, before=before: plans.append(contexts._jdf.queryExecution().toString()) or before(contexts, *args))
+    line = "a line that stands in many documents, word for word, and is longer than the gram that anchors it. "
+    docs = spark.createDataFrame([(k, f"{k * 7919} " * 30 + line + f"{k * 104729} " * 30) for k in range(12)], "doc_id long, text string")
+    assert repeats.remove_repeats(docs, 80, gram=16).agg({"n_removed": "sum"}).first()[0] >= 12 * (len(line) - 1)
+    assert len(plans) > 1 and not any("collect_list" in p for p in plans)
+
+
+
 def test_contexts_of_long_texts_hold_every_window_once(monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", (1 << 9) - 1)
     data = random.Random(1).randbytes(5_000)

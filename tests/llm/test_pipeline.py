@@ -134,3 +134,20 @@ def test_look_alikes_are_not_listed_in_pairs(spark, monkeypatch):
     found = {r["rid"]: r["root"] for r in P.similar.groups(rows).collect()}
     assert [found[k] for k in range(300)] == _brute_groups(texts)
     assert sum(listed) < 20 * len(texts)
+
+
+def test_rows_that_are_near_none_stay_out_of_the_second_round(spark, monkeypatch):
+    """Copies of one text make their buckets dense; the rows that share a bucket with them by
+    chance, and the copies themselves if they are one component, are not fetched again."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base, texts = [word() for _ in range(200)], []
+    for k in range(60):
+        texts.append(" ".join([*base, *(word() for _ in range(1 + k % 3))]))
+    texts += [" ".join(word() for _ in range(40)) for _ in range(3000)]
+    opened, before = [], P.similar.rarest
+    monkeypatch.setattr(P.similar, "rarest", lambda sets, *args: opened.append(sets.count()) or before(sets, *args))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    found = {r["rid"]: r["root"] for r in P.similar.groups(P.with_row_id(docs, "doc_id", "text")).collect()}
+    assert [found[k] for k in range(len(texts))] == [0] * 60 + list(range(60, len(texts)))
+    assert opened == [0]
