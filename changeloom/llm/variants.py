@@ -275,7 +275,8 @@ def _meet(rows: DataFrame, search: Search, every: bool, variants: bool = True, e
         further, words = further[: -search.parts], further[-search.parts :]
         prints, old = np.stack(words, axis=1).view(np.uint64), len(own[0])
         step = max(1, (1 << 20) // max(1, len(node)))
-        for top in range(old, len(node), step):
+        alone = every and len(label) and label.min() == label.max()
+        for top in range(len(node) if alone else old, len(node), step):
             i, j = search.near(np.arange(top, min(len(node), top + step)), prints)
             ok = j < old if visit else j < i
             i, j = i[ok], j[ok]
@@ -350,10 +351,13 @@ def links(nodes: DataFrame, search: Search, verified: Callable[[DataFrame], Data
         done = stored(done.union(accept(stored(near, "proposed"))), "links")
     roots = components(done)
     labelled = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), *further, *names)
-    left = stored(woods.union(keyed(nodes.select("node", *names), search).select("key", "node").join(large, "key").select("key", "node")) if some else woods, "left")
-    rows = _mixed(left.join(labelled.select("node", "label"), "node"), F.count("*"))
-    main = _main(rows)
-    rows = dealt(rows.drop("label").join(labelled, "node").join(main, "key"), F.col("label") != F.col("main"))
+    # A bucket of which a forest was taken has MOST rows at most and meets in one task as it is.
+    rows = woods.join(labelled, "node").select("key", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("visits"), "node", "label", *further, *names)
+    if some:
+        open_ = keyed(nodes.select("node", *names), search).select("key", "node").join(large.select("key"), "key").join(labelled.select("node", "label"), "node")
+        open_ = _mixed(open_, F.count("*"))
+        main = _main(open_)
+        rows = rows.union(dealt(open_.drop("label").join(labelled, "node").join(main, "key"), F.col("label") != F.col("main")))
     if not narrow:
         return done.union(stored(accept(stored(_meet(rows, search, every=True), "proposed")), "links"))
     keys, sets = narrow(stored(_meet(rows, search, every=True, ends=True), "ends"))

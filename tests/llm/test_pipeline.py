@@ -151,3 +151,23 @@ def test_rows_that_are_near_none_stay_out_of_the_second_round(spark, monkeypatch
     found = {r["rid"]: r["root"] for r in P.similar.groups(P.with_row_id(docs, "doc_id", "text")).collect()}
     assert [found[k] for k in range(len(texts))] == [0] * 60 + list(range(60, len(texts)))
     assert opened == [0]
+
+
+def test_forests_meet_without_joins_by_bucket(spark, monkeypatch):
+    """Rows of a bucket of which a forest was taken are compared where they meet: they are
+    not joined with the number and the main component of each of their buckets, and links
+    that the forest lacks are found all the same."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base, texts = [word() for _ in range(150)], []
+    for k in range(200):
+        words = list(base)
+        for at in rng.sample(range(2, 148, 5), 2 + k % 2):
+            words[at] = word()
+        texts.append(" ".join(words))
+    mixed, before = [], P.similar.linked.__globals__["_mixed"]
+    monkeypatch.setitem(P.similar.linked.__globals__, "_mixed", lambda rows, size: mixed.append(rows.columns) or before(rows, size))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    found = {r["rid"]: r["root"] for r in P.similar.groups(P.with_row_id(docs, "doc_id", "text")).collect()}
+    assert [found[k] for k in range(200)] == _brute_groups(texts)
+    assert len(mixed) == 1 and "hashed" in mixed[0]  # only keys of shingles
