@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from changeloom.functions import scalars as S
 from changeloom.functions.reflow import refill
 from changeloom.operators import adapt, cells, changesets, digests, entries, folds, graph, tree
+from changeloom.plans import registry
 from changeloom.sources import commit_logs, file_logs, xml_logs
 
+SF = "/root/testdata/sf0.001"
 ENTRY = "repo string, seq long, pos int, action string, name string, old_name string, is_directory boolean"
 
 
@@ -115,6 +117,17 @@ def test_copies_in_every_order(spark):
     assert not wrong, {s: ([i[3:] for i in rows if i[1] == s], got.get(s), want[s]) for s in list(wrong)[:2]}
 
 
+def test_copies_are_resolved_where_changesets_are_dealt(spark):
+    """Rows are dealt once, by changeset, and joined with nothing, also below those of a view
+    that is dealt so."""
+    df = spark.createDataFrame([("r", 0, 0, "DEL", "a", None, False), ("r", 0, 1, "ADD", "b", "a/x", True)], "repo string, seq long, pos int, action string, name string, old_name string, copied boolean")
+    found = entries.resolve_copies(df)
+    assert [(r["action"], r["name"]) for r in found.orderBy("pos").collect()] == [("REN", "b"), ("DEL", "a")]
+    for rows in (found, registry.queries()["j1_to_j4_resolve_copies"](spark, SF)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange ") == 1
+
+
 # Folds
 
 A, D, U, R = "ADD", "DEL", "UPD", "REN"
