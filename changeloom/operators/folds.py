@@ -197,7 +197,9 @@ def fold_patch_entries(entries: DataFrame) -> DataFrame:
     types = dict(entries.dtypes)
     schema = StructType.fromDDL(", ".join(f"{c} {types[c]}" for c in KEY) + ", pos int, action string, name string, old_name string, is_directory boolean")
     arrow = to_arrow_schema(schema)
-    return entries.select(*KEY, "pos", *COLUMNS).repartition(*KEY).sortWithinPartitions(*KEY, "pos").mapInArrow(run, schema)
+    # The window has the rows dealt by changeset, unless they are already, and sorted by pos.
+    placed = entries.select(*KEY, F.row_number().over(Window.partitionBy(*KEY).orderBy("pos")).alias("pos"), *COLUMNS)
+    return placed.mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -128,6 +128,12 @@ def test_copies_are_resolved_where_changesets_are_dealt(spark):
         assert "Join" not in plan and plan.count("Exchange ") == 1
 
 
+def test_folded_rows_are_dealt_once(spark):
+    """A view that is dealt by changeset is not dealt anew to be folded."""
+    plan = registry.queries()["e1_fold_patch_entries"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
 # Folds
 
 A, D, U, R = "ADD", "DEL", "UPD", "REN"
