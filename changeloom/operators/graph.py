@@ -1,7 +1,7 @@
 """Operators on the graph of revisions: ``edges`` (repo, child, parent).
 
-Work goes block by block: revisions of about the same depth are a block, small enough
-for one task, in which a whole stretch of the graph is walked at once; what crosses from
+Work goes block by block: revisions of about the same depth are a block, or whole trees
+where no revision has several parents, small enough for one task, in which a whole stretch of the graph is walked at once; what crosses from
 block to block is joined. So rounds follow the number of blocks that a path goes
 through, not merges, forks or depth. Null repos are a repo; edges without a child or a
 parent are none.
@@ -41,35 +41,51 @@ def _numbered(edges: DataFrame, nodes: DataFrame | None) -> tuple[DataFrame, Dat
     return numbered, stored(ends.select("c", "p").distinct(), "edges")
 
 
-def _depths(up: DataFrame, count: int) -> DataFrame:
-    """(id, depth) along single parents (id, up; null at roots), by pointer doubling. In
-    a cycle depths are what the bounded number of rounds gives."""
+def _depths(up: DataFrame, count: int) -> tuple[DataFrame, bool]:
+    """(id, at, depth) along single parents (id, up; null at roots), by pointer doubling: at is
+    the root. Also whether all roots were found; in a cycle at and depth are what the bounded
+    number of rounds gives."""
     state = stored(up.select("id", F.coalesce("up", "id").alias("at"), F.col("up").isNotNull().cast("long").alias("depth")), "depths")
     for _ in range(math.ceil(math.log2(count + 1)) + 1):
         far = state.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_depth"))
         moved = stored(state.join(far, "at").select("id", F.col("_at").alias("at"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("_depth") > 0).alias("_moved")), "depths")
         state = moved.drop("_moved")
         if not moved.where("_moved").head(1):
-            break
-    return state.select("id", "depth")
+            return state, True
+    return state, False
 
 
-def _blocks(numbered: DataFrame, ways: DataFrame, block: int) -> DataFrame:
-    """(id, block), stored: revisions of neighbouring depths along one parent, of several
-    that which is deepest along any."""
+def _trees(numbered: DataFrame, ways: DataFrame) -> tuple[DataFrame, bool, bool]:
+    """(id, at, depth), stored, along one parent, of several that which is deepest along any;
+    whether there is one with several parents, and whether all roots were found."""
     count = numbered.count()
     parents = ways.groupBy(F.col("c").alias("id")).agg(F.max("p").alias("up"), F.count("*").alias("n"))
-    depth = stored(_depths(numbered.select("id").join(parents.drop("n"), "id", "left"), count), "depth")
-    if parents.where("n > 1").head(1):
-        deep = ways.join(depth.select(F.col("id").alias("p"), "depth"), "p").groupBy(F.col("c").alias("id")).agg(F.max_by("p", F.struct("depth", "p")).alias("up"))
-        depth = stored(_depths(numbered.select("id").join(deep, "id", "left"), count), "depth")
-    place = depth.join(numbered.select("id", "repo"), "id")
-    sizes = place.groupBy("repo", "depth").agg(F.count("*").alias("n"))
-    starts = running(sizes.withColumn("_n", F.col("n")), "depth", "_n", "upto")
+    trees, whole = _depths(numbered.select("id").join(parents.drop("n"), "id", "left"), count)
+    merged = bool(parents.where("n > 1").head(1))
+    if merged:
+        deep = ways.join(trees.select(F.col("id").alias("p"), "depth"), "p").groupBy(F.col("c").alias("id")).agg(F.max_by("p", F.struct("depth", "p")).alias("up"))
+        trees, whole = _depths(numbered.select("id").join(deep, "id", "left"), count)
+    return trees, merged, whole
+
+
+def _blocks(numbered: DataFrame, trees: DataFrame, merged: bool, block: int) -> DataFrame:
+    """(id, block), stored: revisions of neighbouring depths of a repo or, where no revision
+    has several parents, whole trees, and of those of more than a block neighbouring depths."""
     # A depth of more than a block is parted by hash, so that no block is much larger.
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block))
-    placed = null_safe(place, starts, ["repo", "depth"])
-    return stored(placed.select("id", F.xxhash64("repo", F.floor((F.col("upto") - F.col("n")) / block), part).alias("block")), "blocks")
+    sized = lambda rows, keys: running(rows.groupBy(*keys, "depth").agg(F.count("*").alias("n")).withColumn("_n", F.col("n")), "depth", "_n", "upto", keys)
+    stretch = F.floor((F.col("upto") - F.col("n")) / block)
+    if merged:
+        place = trees.join(numbered.select("id", "repo"), "id")
+        return stored(null_safe(place, sized(place, ["repo"]), ["repo", "depth"]).select("id", F.xxhash64("repo", stretch, part).alias("block")), "blocks")
+    parts = math.ceil((trees.count() + 1) / block)
+    large = stored(trees.groupBy("at").agg(F.count("*").alias("_size")).where(F.col("_size") > block), "large")  # one for each block at most
+    marked = trees.join(F.broadcast(large), "at", "left")
+    rows = marked.where("_size IS NULL").select("id", F.pmod(F.xxhash64("at"), F.lit(parts)).alias("block"))
+    if large.head(1):
+        place = marked.where("_size IS NOT NULL")
+        rows = rows.union(null_safe(place, sized(place, ["at"]), ["at", "depth"]).select("id", F.xxhash64("at", stretch, part).alias("block")))
+    return stored(rows, "blocks")
 
 
 def reachable(edges: DataFrame, roots: DataFrame, direction: str = "ancestors", block: int = BLOCK) -> DataFrame:
@@ -81,7 +97,8 @@ def reachable(edges: DataFrame, roots: DataFrame, direction: str = "ancestors",
     spark = edges.sparkSession
     numbered, ways = _numbered(edges, None)
     a, b = ("c", "p") if direction == "ancestors" else ("p", "c")
-    blocks = _blocks(numbered, ways, block)
+    trees, merged, _ = _trees(numbered, ways)
+    blocks = _blocks(numbered, trees, merged, block)
     ways = stored(ways.select(F.col(a).alias("id"), F.col(b).alias("to")).join(blocks, "id"), "ways")
     # Ways that lead out of their block, where walking goes on.
     out = stored(ways.join(blocks.select(F.col("id").alias("to"), F.col("block").alias("_block")), "to").where("block <> _block").select(F.col("to").alias("id"), F.col("_block").alias("block")).distinct(), "out")
@@ -130,7 +147,10 @@ def topo_order(edges: DataFrame, nodes: DataFrame | None = None, cycles: str = "
         raise ValueError("cycles are an error or flagged")
     spark = edges.sparkSession
     numbered, ways = _numbered(edges, nodes)
-    left = _blocks(numbered, ways, block)
+    trees, merged, whole = _trees(numbered, ways)
+    if whole and not merged:  # of single parents depths are levels, and there is no cycle
+        return _placed(numbered.join(trees.select("id", F.col("depth").alias("level")), "id"))
+    left = _blocks(numbered, trees, merged, block)
     open_ = stored(ways.select(F.col("c").alias("id"), "p", F.lit(None).cast("long").alias("level")).join(left, "id"), "open")
     path = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
 
@@ -172,12 +192,16 @@ def topo_order(edges: DataFrame, nodes: DataFrame | None = None, cycles: str = "
     if cycles == "error" and (some := stuck.orderBy("repo", "revision").head(5)):
         raise CycleError(f"{left.count()} revisions are in cycles or stand on one, such as " + ", ".join(f"{r['revision']} of {r['repo']}" for r in some))
     levels = spark.read.schema("id long, level long").parquet(path) if settled else left.where("false").select("id", none.alias("level"))
-    level = numbered.join(levels, "id")
+    out = _placed(numbered.join(levels, "id"))
+    return out.union(stuck.select("repo", "revision", none, none)) if cycles == "flag" else out
+
+
+def _placed(level: DataFrame) -> DataFrame:
+    """(repo, revision, level) with seq, by level and revision."""
     sizes = level.groupBy("repo", "level").agg(F.count("*").alias("n"))
     starts = running(sizes.withColumn("_n", F.col("n")), "level", "_n", "upto")
     placed = level.withColumn("_place", F.row_number().over(Window.partitionBy("repo", "level").orderBy("revision")))
-    out = null_safe(placed, starts, ["repo", "level"]).select("repo", "revision", "level", (F.col("upto") - F.col("n") + F.col("_place") - 1).alias("seq"))
-    return out.union(stuck.select("repo", "revision", none, none)) if cycles == "flag" else out
+    return null_safe(placed, starts, ["repo", "level"]).select("repo", "revision", "level", (F.col("upto") - F.col("n") + F.col("_place") - 1).alias("seq"))
 
 
 def linearize(changesets: DataFrame, order: DataFrame, branch: str, first_only: bool = False, start: str | None = None) -> DataFrame:

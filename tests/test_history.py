@@ -134,6 +134,30 @@ def test_folded_rows_are_dealt_once(spark):
     assert plan.count("Exchange ") == 1
 
 
+# Forests
+
+
+@pytest.mark.parametrize("block", [40, 7])
+def test_trees_are_walked_whole(spark, monkeypatch, block):
+    """Where no revision has several parents levels are depths and nothing is settled in rounds,
+    and what reaches back through a tree of a block takes one round, however deep it is."""
+    edges = [("r", c * 100 + d, c * 100 + d - 1) for c in range(20) for d in range(1, 25)] + [("s", 5000 + d, 5000) for d in range(1, 60)]
+    df = spark.createDataFrame(edges, "repo string, child long, parent long")
+    names, before = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda rows, name: names.append(name) or before(rows, name))
+    got = {(r["repo"], r["revision"]): (r["level"], r["seq"]) for r in graph.topo_order(df, block=block).collect()}
+    levels = {("r", c * 100 + d): d for c in range(20) for d in range(25)} | {("s", 5000 + d): min(d, 1) for d in range(60)}
+    for repo in "rs":
+        order = sorted((n for n in levels if n[0] == repo), key=lambda n: (levels[n], n[1]))
+        assert [got[n] for n in order] == [(levels[n], k) for k, n in enumerate(order)]
+    assert len(got) == len(levels) and "done" not in names
+    names.clear()
+    roots = spark.createDataFrame([("r", c * 100 + 24) for c in range(0, 20, 2)] + [("s", 5007)], "repo string, revision long")
+    found = sorted((r["repo"], r["revision"]) for r in graph.reachable(df, roots, block=block).collect())
+    assert found == sorted([("r", c * 100 + d) for c in range(0, 20, 2) for d in range(24)] + [("s", 5000)])
+    assert block < 25 or names.count("got") <= 2  # the tree of 60 is in several blocks
+
+
 # Folds
 
 A, D, U, R = "ADD", "DEL", "UPD", "REN"
