@@ -11,6 +11,7 @@ from changeloom.plans import views as V
 from changeloom.plans.catalog import epoch, query
 from changeloom.plans.catalog_entries import named_alike
 from changeloom.sources import commit_logs, file_logs, trees, xml_logs
+from changeloom.storage import stored
 
 
 def text(*parts) -> Column:
@@ -134,7 +135,8 @@ def changelist(spark, sf):
     sets = joined(moves, ["repo", "seq"], ["pos"], text("... //depot/", F.col("name"), "#", F.col("pos") + 1, " ", code, "\n"))
     value = text("Change ", seq, " by joe@box on 2024/01/02 03:04:05\n\n\tdid ", seq, "\n\tmore\n\nAffected files ...\n\n", F.col("value"))
     notes = moves.where("action = 'REN'").select("repo", "seq", F.concat(F.lit("//depot/"), "name").alias("path"), text("branch from //depot/", F.col("old_name"), "#1").alias("note"))
-    heads, ents = commit_logs.ingest_changelist(sets.select("repo", value.alias("value")), notes)
+    described = stored(sets.select("repo", value.alias("value")), "describes")  # heads and entries are both read from it
+    heads, ents = commit_logs.ingest_changelist(described, notes)
     return ents.join(heads, ["repo", "seq"]).select("repo", "seq", F.col("pos").cast("long").alias("pos"), "action", "name", "origin", "author", epoch("date_utc").alias("at"), "log")
 
 

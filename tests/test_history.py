@@ -134,6 +134,12 @@ def test_folded_rows_are_dealt_once(spark):
     assert plan.count("Exchange ") == 1
 
 
+def test_changelists_are_written_once(spark):
+    """Heads and entries are read from stored descriptions; the view is worked out again for notes only."""
+    plan = registry.queries()["s7_changelist"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey") and plan.count("collect_list") == 0
+
+
 # Forests
 
 
