@@ -95,22 +95,30 @@ def collapse_changesets(changesets: DataFrame, entries: DataFrame | None = None,
     distinct in a repo, so that dense histories and long groups are in many tasks.
     """
     whole = stored(changesets, "changesets")  # each step below reads its input twice
-    tags = F.coalesce(F.size("tags") > 0, F.lit(False)) if "tags" in changesets.columns else F.lit(False)
-    micros = F.unix_micros(F.col("date_utc").cast("timestamp"))
-    rows = cells.with_previous(whole.select("repo", "seq", "date_utc", "author", "log", tags.alias("_tagged")), "seq", F.struct("author", "log", micros.alias("at"), F.col("_tagged").alias("tagged")), "_prev")
-    near = F.col("_prev.author").eqNullSafe(F.col("author")) & F.col("_prev.log").eqNullSafe(F.col("log"))
-    near &= (micros - F.col("_prev.at") < seconds * 1_000_000) & ~F.col("_prev.tagged")
-    first = F.col("_prev").isNull() | ~F.coalesce(near, F.lit(False))
-    marks = stored(rows.select("repo", "seq", "date_utc", F.when(first, F.col("seq")).alias("_start")), "marks")
-    if entries is not None:
-        islands = cells.running_greatest(marks.drop("date_utc"), "seq", "_start", "_island").select("repo", "seq", "_island")
-        cut = group_starts(stored(islands, "islands"), entries).withColumn("_cut", F.lit(True))
-        marks = stored(_join(marks, cut, ["repo", "seq"], "left").select("repo", "seq", "date_utc", F.when(F.col("_cut"), F.col("seq")).otherwise(F.col("_start")).alias("_start")), "marks")
+    marks = with_starts(whole, entries, seconds, "date_utc")
     grouped = stored(cells.running_greatest(marks, "seq", "_start", "group").drop("_start"), "grouped")
     dated = cells.group_greatest(grouped, "seq", "group", "date_utc", "group_date").drop("date_utc")
     return _join(whole, dated, ["repo", "seq"])
 
 
+def with_starts(whole: DataFrame, entries: DataFrame | None, seconds: int, *columns: str) -> DataFrame:
+    """(repo, seq, _start) and ``columns`` of stored changesets: _start is the seq where
+    a group begins, null where a changeset joins the one before."""
+    tags = F.coalesce(F.size("tags") > 0, F.lit(False)) if "tags" in whole.columns else F.lit(False)
+    micros = F.unix_micros(F.col("date_utc").cast("timestamp"))
+    rows = whole.select("repo", "seq", "author", "log", micros.alias("_micros"), tags.alias("_tagged"), *(c for c in columns if c not in ("author", "log")))
+    rows = cells.with_previous(rows, "seq", F.struct("author", "log", F.col("_micros").alias("at"), F.col("_tagged").alias("tagged")), "_prev")
+    near = F.col("_prev.author").eqNullSafe(F.col("author")) & F.col("_prev.log").eqNullSafe(F.col("log"))
+    near &= (F.col("_micros") - F.col("_prev.at") < seconds * 1_000_000) & ~F.col("_prev.tagged")
+    first = F.col("_prev").isNull() | ~F.coalesce(near, F.lit(False))
+    marks = stored(rows.select("repo", "seq", *columns, F.when(first, F.col("seq")).alias("_start")), "marks")
+    if entries is None:
+        return marks
+    islands = cells.running_greatest(marks.select("repo", "seq", "_start"), "seq", "_start", "_island").select("repo", "seq", "_island")
+    cut = group_starts(stored(islands, "islands"), entries).withColumn("_cut", F.lit(True))
+    return stored(_join(marks, cut, ["repo", "seq"], "left").select("repo", "seq", *columns, F.when(F.col("_cut"), F.col("seq")).otherwise(F.col("_start")).alias("_start")), "marks")
+
+
 def group_starts(islands: DataFrame, entries: DataFrame) -> DataFrame:
     """(repo, seq): where groups begin inside of islands (repo, seq, _island: the seq of
     its first), because a path comes again with another action than the group has.

@@ -45,14 +45,15 @@ def last(spark, sf):
     return follow.last_applied(spark, f"{base}/applied").select("repo", "seq")
 
 
-def _in_parts(spark, rows, base: str, start) -> None:
-    """``rows`` land in PARTS by date; after each part ``start`` takes what is there."""
+def _in_parts(spark, rows, base: str, start):
+    """``rows`` land in PARTS by date; after each part ``start`` takes what is there. Gives the latest date."""
     rows = stored(rows, "landing")
     low, high = rows.agg(F.min("date_utc"), F.max("date_utc")).first()
     edges = [low + (high - low) * k / PARTS for k in range(PARTS)] if low else []
     for k, edge in enumerate(edges):
         rows.where((F.col("date_utc") >= edge) & (F.lit(k + 1 == PARTS) | (F.col("date_utc") < (edges[k + 1] if k + 1 < PARTS else edge)))).write.mode("append").parquet(f"{base}/inbox")
         start().awaitTermination()
+    return high
 
 
 @query("t6_stream_dedupe", V.sql("changes", "SELECT repo, seq FROM changes"))
@@ -94,22 +95,17 @@ GROUPS = """, m AS (SELECT *, CASE WHEN lag(author) OVER w = author AND lag(log)
 def collapsed(spark, sf):
     """Groups across batches, closed by gaps, other changesets, tags and the watermark; polls of the sources move it on."""
     rows = V.changes(spark, sf).select("repo", "seq", F.col("event_id").cast("string").alias("revision"), F.col("date_utc").cast("timestamp").alias("date_utc"), "author", "log", F.when(F.col("seq") % 5 == 0, F.array(F.lit("t"))).alias("tags"))
-    base, key = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     spark.createDataFrame([], "at timestamp").write.parquet(f"{base}/polls")
 
     def start():
         polled = follow.stream_ingest(spark, f"{base}/polls", "at timestamp")
-        stream = follow.stream_collapse(follow.stream_ingest(spark, f"{base}/inbox", CHANGES + ", tags array<string>"), 6 * 3600, "1 day", polled)
-        return stream.writeStream.trigger(availableNow=True).outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/mark").start()
+        stream = follow.stream_ingest(spark, f"{base}/inbox", CHANGES + ", tags array<string>")
+        return follow.collapse_stream(stream, f"{base}/out", f"{base}/state", f"{base}/mark", 6 * 3600, "1 day", polled)
 
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        _in_parts(spark, rows, base, start)
-        rows.agg((F.max("date_utc") + F.expr("INTERVAL 9 DAYS")).alias("at")).write.mode("append").parquet(f"{base}/polls")
-        start().awaitTermination()
-    finally:
-        spark.conf.set(key, before)
+    high = _in_parts(spark, rows, base, start)
+    spark.range(1).select((F.lit(high).cast("timestamp") + F.expr("INTERVAL 9 DAYS")).alias("at")).write.mode("append").parquet(f"{base}/polls")
+    start().awaitTermination()
     return spark.read.schema(follow.COLLAPSED).parquet(f"{base}/out").select("repo", "revision", "n", "late")
 
 

@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
-from changeloom.operators.changesets import missing_changesets
+from changeloom.operators import cells
+from changeloom.operators.changesets import missing_changesets, order_changesets, with_starts
+from changeloom.operators.joins import null_safe
+from changeloom.storage import stored
 
 IDENTITY = ("repo", "revision", "date_utc", "author")
 
@@ -269,6 +272,9 @@ def stream_collapse(stream: DataFrame, seconds: int = 180, delay: str = "10 minu
     been read, moves the watermark as a changeset would. A changeset that comes with a
     date before the watermark is a row of its own with late, to be looked into. Those
     without a date are not for this. Needs the RocksDB state store and UTC sessions.
+
+    What waits of one repo is sorted by one task in memory, so this is for histories
+    that come in small batches; ``collapse_stream`` has no such bound.
     """
     tagged = F.coalesce(F.size("tags") > 0, F.lit(False)) if "tags" in stream.columns else F.lit(False)
     acts = F.to_json("acts") if "acts" in stream.columns else F.lit("{}")
@@ -281,6 +287,65 @@ def stream_collapse(stream: DataFrame, seconds: int = 180, delay: str = "10 minu
     return rows.transformWithStateInPandas(_Collapse(seconds), outputStructType=COLLAPSED, outputMode="Append", timeMode="EventTime")
 
 
+def collapse_stream(stream: DataFrame, path: str, state_path: str, checkpoint: str, seconds: int = 180, delay: str = "10 minutes", polled: DataFrame | None = None) -> StreamingQuery:
+    """Starts a query that writes the groups of ``stream_collapse`` to ``path``, a folder
+    for each batch, and ends when nothing is left to read.
+
+    A batch is numbered and cut by the steps of ``collapse_changesets``, so a repo's rows
+    are in as many tasks as its history has cells. What is left of a batch is stored below
+    ``state_path``, which belongs to ``checkpoint``, a folder for each batch: changesets
+    that an earlier one may still come before, the last group of each repo if it may
+    still grow, as one row, and the action of each of its paths. The watermark is
+    that of the batch's own rows, so groups are given in the batch that closes them.
+    A batch that was lost is done again and replaces its folders. UTC sessions.
+    """
+    has = set(stream.columns)
+    given = [F.col(c) if c in has else F.lit(None).cast(t).alias(c) for c, t in (("tags", "array<string>"), ("acts", "map<string,string>"))]
+    rows = stream.where("date_utc IS NOT NULL").select("repo", F.col("date_utc").cast("timestamp").alias("date_utc"), "author", "log", "revision", *given, F.col("date_utc").cast("timestamp").alias("_event"))
+    if polled is not None:
+        rows = rows.union(polled.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema[:-1]), F.col("at").alias("_event")))
+    waits, first = rows.drop("_event").schema, F.col("date_utc").alias("first_date")
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark, last, here = batch.sparkSession, f"{state_path}/{number - 1}", f"{state_path}/{number}"
+        mark = lambda at: F.timestamp_micros(F.lit(at).cast("long")) - F.expr(f"INTERVAL {delay}")
+        behind = lambda at: F.coalesce(F.col("date_utc") < mark(at), F.lit(False))
+        batch = batch.persist()
+        try:
+            was = table_at(spark, f"{last}/mark", "at long").agg(F.max("at")).first()[0]
+            at = batch.agg(F.greatest(F.max(F.unix_micros("_event")), F.lit(was).cast("long"))).first()[0]
+            fresh = batch.where("date_utc IS NOT NULL").drop("_event")
+            late = fresh.where(behind(was)).select("repo", first, "date_utc", "author", "log", "revision", F.lit(1).cast("long").alias("n"), F.lit(True).alias("late"))
+            held = fresh.where(~behind(was)).unionByName(table_at(spark, f"{last}/waiting", waits))
+            held.where(~behind(at)).write.mode("overwrite").parquet(f"{here}/waiting")
+            # The group that was open is one changeset, before all others.
+            ready = order_changesets(held.where(behind(at))).select("repo", "seq", first, "date_utc", "author", "log", "revision", F.lit(1).cast("long").alias("n"), "tags", "acts")
+            whole = stored(ready.unionByName(table_at(spark, f"{last}/open", ready.drop("acts").schema), allowMissingColumns=True), "changesets")
+            names = None
+            if "acts" in has:
+                names = whole.select("repo", "seq", F.explode("acts").alias("name", "action")).union(table_at(spark, f"{last}/held", HELD))
+            marks = with_starts(whole, names, seconds, "first_date", "date_utc", "author", "log", "revision", "n", "tags")
+            ends = marks.groupBy("repo").agg(F.max("_start").alias("_open"), F.max("date_utc").alias("_last")).where(mark(at) - F.col("_last") < F.expr(f"INTERVAL {seconds} SECONDS")).drop("_last")
+            still = F.coalesce(F.col("seq") >= F.col("_open"), F.lit(False))
+            ended = null_safe(marks, ends, ["repo"], "left")
+            pick = [F.min("first_date").alias("first_date"), F.max("date_utc").alias("date_utc"), *(F.min_by(c, "seq").alias(c) for c in ("author", "log", "revision")), F.sum("n").alias("n")]
+            grown = ended.where(still).groupBy("repo").agg(*pick, F.max_by("tags", "seq").alias("tags"))
+            grown.withColumn("seq", F.lit(-1).cast("long")).write.mode("overwrite").parquet(f"{here}/open")
+            if names is not None:
+                kept = null_safe(names, ends, ["repo"]).where(still).groupBy("repo", "name").agg(F.max("action").alias("action"))
+                kept.select("repo", F.lit(-1).cast("long").alias("seq"), "name", "action").write.mode("overwrite").parquet(f"{here}/held")
+            spark.range(1).select(F.lit(at).cast("long").alias("at")).write.mode("overwrite").parquet(f"{here}/mark")
+            closed = cells.running_greatest(ended.where(~still).drop("_open", "tags"), "seq", "_start", "group").groupBy("repo", "group").agg(*pick)
+            closed.drop("group").withColumn("late", F.lit(False)).unionByName(late).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return rate_limited(rows).foreachBatch(run).option("checkpointLocation", checkpoint).start()
+
+
+HELD = "repo string, seq long, name string, action string"
+
+
 def session_collapse(stream: DataFrame, seconds: int = 180, delay: str = "10 minutes") -> DataFrame:
     """The same, nearly: changesets of others in between do not break a group."""
     gap = f"{seconds * 1_000_000 - 1} microseconds"

@@ -2,12 +2,15 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from changeloom.operators import changesets
+from changeloom.plans.registry import queries
+from changeloom.storage import shared_dir
 from changeloom.streaming import follow, growing
 
 CHANGES = "repo string, seq long, revision string, date_utc timestamp, author string, log string"
@@ -174,6 +177,53 @@ def test_stream_collapse_equals_batches(spark, tmp_path, rocksdb):
     assert got == sorted((r["repo"], r["revision"], r["author"], r["n"], False) for r in groups.collect())
 
 
+def test_collapse_stream_equals_batches(spark, tmp_path):
+    """Groups that go on over batches, in a repo without a name too: those of the batch
+    operator; a lost batch is done again, and late rows are told."""
+    inbox, polls, state, mark, out = (str(tmp_path / n) for n in ("inbox", "polls", "state", "mark", "out"))
+    rng, rows, at = random.Random(11), [], 0
+    for k in range(120):
+        at += rng.choice([0, 1, 20, 20, 60, 60, 179, 180])
+        tags, acts = rng.choice([None, *[[]] * 15, ["t"]]), {f"p{rng.randrange(9)}": rng.choice([*["UPD"] * 9, "DEL"]) for _ in range(rng.randrange(3))}
+        rows.append((rng.choice(["r", None]), k, str(k), START + timedelta(seconds=at), rng.choice([*"uuuuuuuuuv", None]), "m", tags, acts))
+    spark.createDataFrame([], "at timestamp").write.parquet(polls)
+
+    def start(rows, polled=None):
+        spark.createDataFrame(rows, WITH_ACTS).coalesce(1).write.mode("append").parquet(inbox)
+        if polled:
+            spark.createDataFrame([(polled,), (None,)], "at timestamp").write.mode("append").parquet(polls)
+        stream = follow.stream_ingest(spark, inbox, WITH_ACTS)
+        query = follow.collapse_stream(stream, out, state, mark, 180, "1 minute", follow.stream_ingest(spark, polls, "at timestamp"))
+        query.awaitTermination()
+        return query
+
+    landed = sorted(rows, key=lambda r: r[3] + timedelta(seconds=rng.uniform(0, 50)))
+    for part in range(3):
+        query = start(landed[part * 40 : (part + 1) * 40])
+        assert not query.lastProgress["stateOperators"]  # nothing is kept by repo in one task
+    # The last batch is lost before it is committed, and run again.
+    for file in (tmp_path / "mark" / "commits").glob("*2*"):
+        file.unlink()
+    start([("r", 999, "999", START, "u", "m", None, None)], rows[-1][3] + timedelta(hours=1))
+    sets = spark.createDataFrame(rows, WITH_ACTS).drop("seq")
+    sets = sets.withColumn("seq", F.row_number().over(Window.partitionBy("repo").orderBy("date_utc", "author", "log", "revision")))
+    found = changesets.collapse_changesets(sets, sets.select("repo", "seq", F.explode("acts").alias("name", "action")))
+    groups = found.groupBy("repo", "group").agg(*(F.min_by(c, "seq").alias(c) for c in ("revision", "author", "log")), F.min("date_utc").alias("first"), F.max("date_utc").alias("last"), F.count("*").alias("n"), F.lit(False).alias("late"))
+    fields = lambda rows: sorted(str(tuple(r)) for r in rows)
+    got = spark.read.schema(follow.COLLAPSED).parquet(out).select("repo", "revision", "author", "log", "first_date", "date_utc", "n", "late").collect()
+    want = [*groups.drop("group").collect(), ("r", "999", "u", "m", START, START, 1, True)]
+    assert fields(got) == fields(want) and max(r["n"] for r in got) > 5
+
+
+def test_streamed_groups_need_no_state_by_repo(spark):
+    """A repo's pending changesets of a large batch don't fit one task, so no operator is keyed by repo."""
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.glob("stream-*"))
+    queries()["t5_stream_collapse"](spark, "/root/testdata/sf0.001").count()
+    new = [p for p in shared.glob("stream-*") if p not in before]
+    assert new and not any((p / "mark" / "state").exists() for p in new)
+
+
 def test_session_windows_and_snapshot(spark):
     batch = some(spark, 0, 4)
     assert [r["n"] for r in follow.session_collapse(batch, 61).collect()] == [4]
