@@ -308,6 +308,14 @@ def _meet(rows: DataFrame, search: Search, every: bool, variants: bool = True, e
     return dealt.mapInArrow(compare, "node long" if ends else "a long, b long").distinct()
 
 
+def _by_node(rows: DataFrame, info: DataFrame) -> DataFrame:
+    """``rows`` (key, node, ...) with what ``info`` tells of their nodes. A node, which is in
+    many buckets, is joined once with the list of its rows, so that what is told of it is
+    not fetched for each of them."""
+    of = rows.groupBy("node").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "node"))).alias("_rows"))
+    return of.join(info, "node").withColumn("_row", F.explode("_rows")).select("_row.*", *info.columns)
+
+
 def _main(rows: DataFrame) -> DataFrame:
     """(key, main): the label of most rows."""
     return rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
@@ -352,17 +360,17 @@ def links(nodes: DataFrame, search: Search, verified: Callable[[DataFrame], Data
     roots = components(done)
     labelled = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), *further, *names)
     # A bucket of which a forest was taken has MOST rows at most and meets in one task as it is.
-    rows = woods.join(labelled, "node").select("key", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("visits"), "node", "label", *further, *names)
+    rows = _by_node(woods, labelled).select("key", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("visits"), "node", "label", *further, *names)
     if some:
-        open_ = keyed(nodes.select("node", *names), search).select("key", "node").join(large.select("key"), "key").join(labelled.select("node", "label"), "node")
-        open_ = _mixed(open_, F.count("*"))
+        open_ = keyed(nodes.select("node", *names), search).select("key", "node").join(large.select("key"), "key")
+        open_ = _mixed(_by_node(open_, labelled.select("node", "label")), F.count("*"))
         main = _main(open_)
-        rows = rows.union(dealt(open_.drop("label").join(labelled, "node").join(main, "key"), F.col("label") != F.col("main")))
+        rows = rows.union(dealt(_by_node(open_.drop("label").join(main, "key"), labelled), F.col("label") != F.col("main")))
     if not narrow:
         return done.union(stored(accept(stored(_meet(rows, search, every=True), "proposed")), "links"))
     keys, sets = narrow(stored(_meet(rows, search, every=True, ends=True), "ends"))
-    rows = keys.join(labelled.select("node", "label"), "node").join(sets.select("node", F.size("hashes").alias("hashed")), "node")
+    rows = _by_node(keys, labelled.select("node", "label").join(sets.select("node", F.size("hashes").alias("hashed")), "node"))
     rows = _mixed(rows, F.greatest(F.count("*"), F.ceil(F.sum("hashed") / HASHES))).drop("hashed")  # a block of large sets has few
     main = _main(rows)
-    rows = rows.drop("label").join(labelled, "node").join(sets, "node").join(main, "key")
+    rows = _by_node(rows.drop("label").join(main, "key"), labelled.join(sets, "node"))
     return done.union(stored(_meet(dealt(rows, F.col("label") != F.col("main")), search, every=True, variants=False), "links"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -171,3 +172,35 @@ def test_forests_meet_without_joins_by_bucket(spark, monkeypatch):
     found = {r["rid"]: r["root"] for r in P.similar.groups(P.with_row_id(docs, "doc_id", "text")).collect()}
     assert [found[k] for k in range(200)] == _brute_groups(texts)
     assert len(mixed) == 1 and "hashed" in mixed[0]  # only keys of shingles
+
+
+def _rows_joined(spark, since: int = -1) -> tuple[int, int]:
+    """Rows that joins by node made in executions after ``since``, and the last execution."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    done = store.executionsList()
+    ids = [done.apply(k).executionId() for k in range(done.size())]
+    for number in (k for k in ids if k > since):
+        metrics, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for metric in (node.metrics().apply(k) for k in range(node.metrics().size())) if re.search(r"Join \[node#\d+L\], \[node#", node.desc()) else ():
+                value = metrics.get(metric.accumulatorId()) if metric.name() == "number of output rows" else None
+                total += int(value.get().replace(",", "")) if value is not None and value.isDefined() else 0
+    return total, max(ids, default=-1)
+
+
+def test_rows_are_joined_once_for_all_their_buckets(spark):
+    """A row of many dense buckets gets its fingerprint and component once, not for each of them."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base, texts = [word() for _ in range(150)], []
+    for k in range(200):
+        words = list(base)
+        for at in rng.sample(range(2, 148, 5), 2 + k % 2):
+            words[at] = word()
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    _, since = _rows_joined(spark)
+    found = {r["rid"]: r["root"] for r in P.similar.groups(P.with_row_id(docs, "doc_id", "text")).collect()}
+    made, _ = _rows_joined(spark, since)
+    assert [found[k] for k in range(200)] == _brute_groups(texts)
+    assert made < 40 * len(texts), made
